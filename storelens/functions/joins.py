@@ -1,0 +1,24 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# A side with at most this many rows may be broadcast explicitly.  Larger
+# sides are left to the planner: AQE still converts a join to broadcast when
+# the measured shuffle size is under spark.sql.autoBroadcastJoinThreshold.
+DEFAULT_BROADCAST_ROWS = 1_000_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    Reads no more than ``max_rows + 1`` rows per partition, so the check
+    stays cheap even when the answer is "no" on a huge table.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for ``df`` only when its row count is proven bounded."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
