@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storelens.plans import activity_queries, store_queries  # noqa: F401  (registration)
+from storelens.plans import activity_queries, document_queries, store_queries  # noqa: F401  (registration)
 from storelens.plans.registry import REGISTRY
 
 
