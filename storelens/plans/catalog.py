@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from storelens.plans import activity_queries, document_queries, store_queries  # noqa: F401  (registration)
+from storelens.plans import (  # noqa: F401  (registration)
+    activity_queries, document_queries, seed_queries, store_queries, stream_queries)
 from storelens.plans.registry import REGISTRY
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.sources.tables import Tables
+from storelens.sources.tables import Tables  # noqa: F401
 
 
 @dataclass
