@@ -46,34 +46,38 @@ OUTCOME_PREFIXES = [
 
 # ------------------------------------------------------------------ S4, S5
 
+_KINDS = ("OBJECT", "object", "ARRAY", "array", "STRING", "string", "VOID", "null")
+
+
 def _kind_of(v: Column) -> Column:
-    """'object', 'array', 'string', 'null' or 'other' for a VARIANT value."""
-    s = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit(None))
-            .when(F.is_variant_null(v), F.lit("null"))
-            .when(s.startswith("OBJECT"), F.lit("object"))
-            .when(s.startswith("ARRAY"), F.lit("array"))
-            .when(s == "STRING", F.lit("string"))
-            .otherwise(F.lit("other")))
+    """'object', 'array', 'string', 'null' or 'other' for a VARIANT value
+    (null when there is no value): one ``schema_of_variant`` call."""
+    head = F.substring_index(F.schema_of_variant(v), "<", 1)
+    kinds = F.create_map(*[F.lit(x) for x in _KINDS])
+    return F.when(v.isNotNull(), F.coalesce(kinds[head], F.lit("other")))
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Every line with its parse: ``line_kind`` (kind of the whole line, null
-    when malformed or blank), ``type``, ``data`` as text and ``data_kind``."""
+    """Every line with its parse: ``type`` (of an object line), ``is_null_line``
+    (the line is JSON ``null``), ``data`` as text and ``data_kind``.
+
+    Blank, malformed and truncated lines parse to nothing (``try_parse_json``).
+    ``type`` is a single path lookup, so a filter on it that Spark pushes
+    below this projection costs one parse per row.
+    """
     v = F.try_parse_json(col_of(line))
-    data = F.try_variant_get(v, "$.data", "variant")
     return lines.select(
-        "*",
-        _kind_of(v).alias("line_kind"),
-        F.when(_kind_of(v) == "object", F.try_variant_get(v, "$.type", "string")).alias("type"),
+        *lines.columns,
+        F.try_variant_get(v, "$.type", "string").alias("type"),
+        F.coalesce(F.is_variant_null(v), F.lit(False)).alias("is_null_line"),
         F.get_json_object(col_of(line), "$.data").alias("data"),
-        _kind_of(data).alias("data_kind"))
+        _kind_of(F.try_variant_get(v, "$.data", "variant")).alias("data_kind"))
 
 
 def parse_status_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Drop blank and malformed lines and unknown types; keep the rest."""
     parsed = parse_lines(lines, line)
-    return parsed.where(F.col("type").isin(KNOWN_TYPES)).drop("line_kind")
+    return parsed.where(F.col("type").isin(KNOWN_TYPES)).drop("is_null_line")
 
 
 def to_status_lines(df: DataFrame, type_col: str = "type", data_col: str = "data") -> DataFrame:
@@ -131,7 +135,7 @@ def final_reply(lines: DataFrame, req: str = "request_id", line: str = "line") -
     text = F.when(F.col("data_kind") == "object",
                   F.get_json_object(F.col(line), "$.data.text"))
     parsed = parsed.withColumn("__text", text)
-    is_abort = (F.col("type") == "error") | (F.col("line_kind") == "null")
+    is_abort = (F.col("type") == "error") | F.col("is_null_line")
     # min/max of (seq, ...) structs: nulls (rows of other kinds) are ignored
     per_req = parsed.groupBy(req).agg(
         F.min(F.when(is_abort, F.struct(F.col("seq"), F.col("data")))).alias("__abort"),

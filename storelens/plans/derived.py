@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from storelens.functions.text import Expr, sql_concat, sql_literal
+from storelens.functions.text import sql_literal
 
 KIND_SQL = ("CASE event_type WHEN 'signup' THEN 'login_ok' WHEN 'error' THEN 'logout' "
             "ELSE 'chat' END")
@@ -55,10 +55,9 @@ STATEMENTS = [
 
 
 def _statement_sql() -> str:
-    whens = " ".join(
-        f"WHEN {i} THEN replace({sql_literal(s)}, '{{u}}', CAST(user_id AS STRING))"
-        for i, s in enumerate(STATEMENTS))
-    return f"CASE CAST(event_id % {len(STATEMENTS)} AS INT) {whens} END"
+    whens = " ".join(f"WHEN {i} THEN {sql_literal(s)}" for i, s in enumerate(STATEMENTS))
+    return (f"replace(CASE CAST(event_id % {len(STATEMENTS)} AS INT) {whens} END, "
+            "'{u}', CAST(user_id AS STRING))")
 
 
 STATEMENT_SQL = _statement_sql()
@@ -105,28 +104,32 @@ CALLS_CTE = f"""calls AS (
 
 # ------------------------------------------------------------ status lines
 
+STATUS_NAMES = ["DATABASE", "RAG", "INTERNET", "THINKING", "NOT_A_STATUS"]
+FINAL_TEMPLATES = [
+    '{"type": "final", "data": "odpowiedz {k}"}',
+    '{"type": "final", "data": "{\\"text\\": \\"w ciagu {k}\\"}"}',
+    '{"type": "final", "data": {"text": "tekst {k}", "k": {k}}}',
+    '{"type": "final", "data": {"text": "", "k": {k}}}',
+    '{"type": "final", "data": [{"type": "text", "text": "lista {k}"}]}',
+]
+ODD_LINES = ["", "{bad", '{"type": "final", "da', "null", "5", '{"type": "other", "data": 1}']
+
+
 def _status_line_sql(k: str) -> str:
     """One JSON line per event in the server's format (json.dumps with its
-    default separators), plus the malformed and odd lines a client meets."""
-    ks = Expr(f"CAST({k} AS STRING)")
-    status = Expr(f"CASE CAST({k} % 5 AS INT) WHEN 0 THEN 'DATABASE' WHEN 1 THEN 'RAG' "
-                  "WHEN 2 THEN 'INTERNET' WHEN 3 THEN 'THINKING' ELSE 'NOT_A_STATUS' END")
-    finals = [
-        sql_concat('{"type": "final", "data": "odpowiedz ', ks, '"}'),
-        sql_concat('{"type": "final", "data": "{\\"text\\": \\"w ciagu ', ks, '\\"}"}'),
-        sql_concat('{"type": "final", "data": {"text": "tekst ', ks, '", "k": ', ks, '}}'),
-        sql_concat('{"type": "final", "data": {"text": "", "k": ', ks, '}}'),
-        sql_concat('{"type": "final", "data": [{"type": "text", "text": "lista ', ks, '"}]}'),
-    ]
-    odd = ["", "{bad", '{"type": "final", "da', "null", "5", '{"type": "other", "data": 1}']
-    final_case = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(finals))
-    odd_case = " ".join(f"WHEN {i} THEN {sql_literal(e)}" for i, e in enumerate(odd))
-    return f"""CASE
-  WHEN event_type IN ('view', 'click') THEN {sql_concat('{"type": "status", "data": "', status, '"}')}
-  WHEN event_type = 'purchase' THEN CASE CAST({k} % 5 AS INT) {final_case} END
-  WHEN event_type = 'error' THEN {sql_concat('{"type": "error", "data": "Blad ', ks, '"}')}
-  ELSE CASE CAST({k} % 6 AS INT) {odd_case} END
+    default separators), plus the malformed and odd lines a client meets.
+    A CASE picks a short template; one replace fills in ``k``."""
+    status = " ".join(f"WHEN {i} THEN {sql_literal('{\"type\": \"status\", \"data\": \"' + n + '\"}')}"
+                      for i, n in enumerate(STATUS_NAMES))
+    finals = " ".join(f"WHEN {i} THEN {sql_literal(x)}" for i, x in enumerate(FINAL_TEMPLATES))
+    odd = " ".join(f"WHEN {i} THEN {sql_literal(x)}" for i, x in enumerate(ODD_LINES))
+    template = f"""CASE
+  WHEN event_type IN ('view', 'click') THEN CASE CAST({k} % 5 AS INT) {status} END
+  WHEN event_type = 'purchase' THEN CASE CAST({k} % 5 AS INT) {finals} END
+  WHEN event_type = 'error' THEN '{{"type": "error", "data": "Blad {{k}}"}}'
+  ELSE CASE CAST({k} % 6 AS INT) {odd} END
 END"""
+    return f"replace({template}, '{{k}}', CAST({k} AS STRING))"
 
 
 def status_lines(events: DataFrame) -> DataFrame:

@@ -8,11 +8,36 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Inputs at least this large are spread over the cluster's cores when the scan
+# yields fewer partitions (e.g. one unsplittable row group).  At scale the scan
+# already splits and this never fires.
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength()
+
+
+def spread(df: DataFrame, size_bytes: int, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin repartition to the default parallelism when a sizeable
+    input arrives in fewer partitions than there are cores.  Filters and
+    column pruning still reach the scan below the repartition."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if size_bytes >= min_bytes and df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
     """Read one table lazily; column pruning and filters reach the Parquet scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, _path_bytes(spark, path)) if spread_small else df
 
 
 class Tables:
