@@ -65,6 +65,8 @@ def split_spans(text: str, separators: Sequence[str] = SEPARATORS, size: int = C
                 overlap: int = CHUNK_OVERLAP, lo: int = 0, hi: int | None = None) -> list[tuple[int, int]]:
     """Chunk spans of ``text[lo:hi]`` under the contract above."""
     hi = len(text) if hi is None else hi
+    if hi <= lo:
+        return []
     sep, rest = None, []
     for i, s in enumerate(separators):
         if text.find(s, lo, hi) != -1:
