@@ -6,10 +6,9 @@ integer arithmetic, no time-zone dependence).
 
 Sessionization needs each activity's predecessor and a running count of
 session starts.  A plain window per id would put a hot id (a third of all
-rows) in one task, so the stream of each id is cut into time buckets: lag and
-running sums run per ``(id, bucket)``, and only the small per-bucket
-summaries (one row per id and bucket) are windowed per id to carry the
-predecessor and the session offset across buckets.
+rows) in one task, so every ordered window here goes through
+:mod:`storelens.functions.windows`: it runs per ``(id, time bucket)`` and
+carries values across buckets from one summary row per id and bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +17,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from storelens.functions import windows as W
 from storelens.functions.joins import broadcast_if_small
+from storelens.functions.windows import floor_div
 from storelens.functions.text import col_of, py_strip
 
 US = 1_000_000
@@ -47,11 +48,6 @@ LOGIN_NO_PASSWORD = ("error", "Brak hasła")
 LOGIN_BACKEND_ERROR = ("error", "Błąd backendu")
 
 
-def floor_div(x: Column, y: int) -> Column:
-    """Integer floor division (exact for any sign)."""
-    return ((x - F.pmod(x, F.lit(y))) / F.lit(y)).cast("long")
-
-
 # ------------------------------------------------------------------ C1, C2
 
 def session_table(log: DataFrame, kinds: Sequence[str] = ACTIVITY_KINDS) -> DataFrame:
@@ -77,28 +73,13 @@ def _sessionize(rows: DataFrame, is_new, bucket_s: int) -> DataFrame:
     at ``prev_us`` starts a new session.  Returns rows with ``prev_us`` and
     ``session_no`` (1-based per id).
     """
-    b = floor_div(F.col("ts_us"), bucket_s * US)
-    rows = rows.withColumn("__b", b)
-    w = Window.partitionBy("session_id", "__b").orderBy("ts_us", "seq")
-    rows = rows.withColumn("__lag", F.lag("ts_us").over(w))
-
-    per_bucket = rows.groupBy("session_id", "__b").agg(F.max("ts_us").alias("__bmax"))
-    wb = Window.partitionBy("session_id").orderBy("__b")
-    carry = per_bucket.select("session_id", "__b", F.lag("__bmax").over(wb).alias("__prev_bmax"))
-    rows = rows.join(carry, ["session_id", "__b"])
-    prev = F.coalesce("__lag", "__prev_bmax")
-    rows = rows.withColumn("prev_us", prev).withColumn(
-        "__new", F.when(prev.isNull() | is_new(prev, F.col("ts_us")), 1).otherwise(0))
-
-    starts = rows.groupBy("session_id", "__b").agg(F.sum("__new").alias("__n"))
-    offset = starts.select(
-        "session_id", "__b",
-        F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"))
-    rows = rows.join(offset, ["session_id", "__b"])
-    running = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("session_no", (F.col("__off") + running).cast("long")) \
-        .drop("__b", "__lag", "__prev_bmax", "__n", "__off", "__new")
+    order = ["ts_us", "seq"]
+    rows = W.with_bucket(rows, "ts_us", bucket_s * US)
+    rows = W.lag_across(rows, "session_id", "ts_us", order, "ts_us", "prev_us")
+    prev = F.col("prev_us")
+    rows = rows.withColumn("__new", F.when(prev.isNull() | is_new(prev, F.col("ts_us")), 1).otherwise(0))
+    rows = W.running_sum_across(rows, "session_id", order, "__new", "session_no")
+    return rows.withColumn("session_no", F.col("session_no").cast("long")).drop(W.BUCKET, "__new")
 
 
 def sessionize(log: DataFrame, ttl_s: int = SESSION_TTL_S, kinds: Sequence[str] = ("chat",),
@@ -153,31 +134,20 @@ def role_as_of(log: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_
     session of the latest earlier activity; before any session it changes
     nothing.  An as-of join written as windows.
     """
+    order = ["ts_us", "seq"]
     act = sessionize_swept(log, ttl_s, sweep_s, t0_us, ACTIVITY_KINDS, bucket_s) \
         .select("session_id", "ts_us", "seq", "kind", "session_no")
     outs = log.where(F.col("kind") == "logout").select(
         "session_id", "ts_us", "seq", "kind", F.lit(None).cast("long").alias("session_no"))
-    both = act.unionByName(outs)
-    # logouts take the session of the latest earlier activity: the as-of
-    # lookup runs per (id, bucket) with the last session of earlier buckets
-    # carried in from the per-bucket summary
-    b = floor_div(F.col("ts_us"), bucket_s * US)
-    both = both.withColumn("__b", b)
-    w = Window.partitionBy("session_id", "__b").orderBy("ts_us", "seq")
-    both = both.withColumn("__asof", F.last("session_no", ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    per_bucket = act.withColumn("__b", b).groupBy("session_id", "__b").agg(F.max("session_no").alias("__bm"))
-    wb = Window.partitionBy("session_id").orderBy("__b")
-    carry = per_bucket.select("session_id", "__b", F.max("__bm").over(
-        wb.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"))
-    both = both.join(carry, ["session_id", "__b"], "left")
-    both = both.withColumn("sess", F.coalesce("__asof", "__prev")).where(F.col("sess").isNotNull())
+    both = W.with_bucket(act.unionByName(outs), "ts_us", bucket_s * US)
+    # as-of lookup: a logout takes the session of the latest earlier activity
+    both = W.running_last_across(both, "session_id", order, F.col("session_no"), "sess")
+    both = both.where(F.col("sess").isNotNull())
     flag = F.when(F.col("kind") == "login_ok", True).when(F.col("kind") == "logout", False)
-    ws = Window.partitionBy("session_id", "sess").orderBy("ts_us", "seq") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("is_admin", F.coalesce(F.last(flag, ignorenulls=True).over(ws), F.lit(False)))
+    both = W.running_last_across(both, ["session_id", "sess"], order, flag, "__flag")
     return both.where(F.col("kind") == "chat").select(
-        "session_id", "seq", "ts_us", F.col("sess").alias("session_no"), "is_admin")
+        "session_id", "seq", "ts_us", F.col("sess").alias("session_no"),
+        F.coalesce("__flag", F.lit(False)).alias("is_admin"))
 
 
 # ------------------------------------------------------------------ C9, C10

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from storelens.functions import windows as W
 from storelens.functions.joins import broadcast_if_small
 from storelens.functions.text import col_of
 
@@ -105,11 +106,12 @@ def latest_status(requests: DataFrame, events: DataFrame, req: str = "request_id
             .select(req, F.coalesce("__s", F.lit(THINKING)).alias("status")))
 
 
-def status_spans(events: DataFrame, req: str = "request_id") -> DataFrame:
+def status_spans(events: DataFrame, req: str = "request_id", bucket_s: int = 6 * 3600) -> DataFrame:
     """Time spent in each status per request (until the next status);
-    the last status of a request has no end and is counted without time."""
-    w = Window.partitionBy(req).orderBy("ts_us", "seq")
-    spans = events.withColumn("__next", F.lead("ts_us").over(w))
+    the last status of a request has no end and is counted without time.
+    The next-status lookup is bucketed in time, so a hot request is split."""
+    spans = W.with_bucket(events, "ts_us", bucket_s * 1_000_000)
+    spans = W.lead_across(spans, req, "ts_us", ["ts_us", "seq"], "ts_us", "__next")
     return spans.groupBy(req, "status").agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.sum(F.col("__next") - F.col("ts_us")).alias("time_us"))
