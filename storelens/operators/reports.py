@@ -126,7 +126,7 @@ def child_before_parent(lines: DataFrame, orders: DataFrame, child_ts="l_shipdat
         orders.select("o_orderkey", parent_ts), F.col("l_orderkey") == F.col("o_orderkey"))
     return (joined.where(F.col(child_ts) < F.col(parent_ts))
             .select("l_orderkey", "l_linenumber",
-                    F.datediff(F.to_date(parent_ts), F.to_date(child_ts)).alias("days_before")))
+                    F.datediff(F.to_date(parent_ts), F.to_date(child_ts)).cast("long").alias("days_before")))
 
 
 def free_delivery_share(lines: DataFrame, group="l_returnflag", fee="l_discount") -> DataFrame:
@@ -148,7 +148,7 @@ def top_products_per_category(lines: DataFrame, parts: DataFrame, k: int = 5,
     joined = per_part.join(parts.select("p_partkey", "p_name", category),
                            F.col("l_partkey") == F.col("p_partkey"))
     w = Window.partitionBy(category).orderBy(F.col("rev").desc())
-    ranked = joined.withColumn("rnk", F.dense_rank().over(w)).where(F.col("rnk") <= k)
+    ranked = joined.withColumn("rnk", F.dense_rank().over(w).cast("long")).where(F.col("rnk") <= k)
     return ranked.select(category, "p_partkey", "p_name",
                          to_double(F.col("rev")).alias("revenue"), "rnk")
 

@@ -148,3 +148,18 @@ SELECT * FROM r WHERE rank <= 3""")
 def v09(t):
     phrases = t.benchmark.select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
     return P.page_search(t.pages, phrases, k=3)
+
+
+@query("s03_index_roundtrip", """
+SELECT vec_id AS chunk_id, text AS chunk_text, len(embedding) AS dims
+FROM embeddings JOIN documents ON vec_id = doc_id""")
+def s03(t):
+    from storelens.session import scratch_path
+    index = (t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+             .select(F.col("vec_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "embedding"))
+    path = scratch_path(t.spark, "s03-index")
+    S.save_index(index, path)
+    loaded, err = S.load_index(t.spark, path)
+    if err:
+        raise RuntimeError(err)
+    return loaded.select("chunk_id", "chunk_text", F.size("embedding").cast("long").alias("dims"))

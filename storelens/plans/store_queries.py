@@ -47,7 +47,7 @@ def r02(t):
 
 @query("r03_orders_by_status", f"""
 SELECT o_orderpriority, n_orders, n_orders / SUM(n_orders) OVER () AS share,
-       CAST(list_position({PRIORITIES!r}, o_orderpriority) AS INTEGER) AS status_rank
+       CAST(list_position({PRIORITIES!r}, o_orderpriority) AS BIGINT) AS status_rank
 FROM (SELECT o_orderpriority, COUNT(*) AS n_orders FROM orders GROUP BY o_orderpriority)""")
 def r03(t):
     return R.orders_by_status(t.orders, "o_orderpriority", PRIORITIES)
@@ -99,7 +99,7 @@ def r07(t):
 
 @query("r08_monthly_orders", """
 SELECT month, n_orders, CAST(value AS DOUBLE) AS value,
-       SUM(n_orders) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_orders,
+       CAST(SUM(n_orders) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_orders,
        CAST(SUM(value) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_value,
        n_orders - LAG(n_orders) OVER (ORDER BY month) AS mom_change
 FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n_orders,
@@ -215,7 +215,7 @@ def t04(t):
 
 
 @query("t04_enum_rank", f"""
-SELECT o_orderkey, CAST(list_position({PRIORITIES!r}, o_orderpriority) AS INTEGER) AS priority_rank
+SELECT o_orderkey, CAST(list_position({PRIORITIES!r}, o_orderpriority) AS BIGINT) AS priority_rank
 FROM orders""")
 def t04b(t):
     return t.orders.select("o_orderkey", T.enum_rank(F.col("o_orderpriority"), PRIORITIES).alias("priority_rank"))
