@@ -79,3 +79,25 @@ def running_sum_across(df: DataFrame, keys, order: Sequence[str], value: str, ou
     offset = sums.select(*keys, BUCKET, F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
     return (df.join(offset, [*keys, BUCKET])
             .withColumn(out, F.col("__off") + F.sum(value).over(w)).drop("__off"))
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rank",
+                    method: str = "row_number", salt_by: Sequence[str] | None = None,
+                    salts: int = 16) -> DataFrame:
+    """Rows ranked ``<= k`` inside each group, without ranking a whole group
+    in one task.
+
+    Phase one ranks inside ``salts`` hash sub-groups of each group and keeps
+    rank ``<= k``: a row in the group's top k (by ``row_number`` over a total
+    order, or by ``dense_rank``) is also in its sub-group's top k, so nothing
+    is lost.  Phase two ranks only those survivors (at most ``salts x k``
+    rows per group, plus ties for ``dense_rank``).
+    """
+    fn = {"row_number": F.row_number, "dense_rank": F.dense_rank, "rank": F.rank}[method]
+    group = list(group)
+    salt_cols = list(salt_by) if salt_by else df.columns
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)))
+    w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
+    survivors = salted.withColumn("__r1", fn().over(w1)).where(F.col("__r1") <= k).drop("__r1", "__salt")
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return survivors.withColumn(out, fn().over(w2).cast("long")).where(F.col(out) <= k)

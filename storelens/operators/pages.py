@@ -10,9 +10,10 @@ Ranking (ours): distinct query terms hit, then total hits, then page id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions.text import col_of
+from storelens.functions.windows import top_k_per_group
 
 # Patterns without backreferences or look-around (same text in Java and RE2).
 SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
@@ -49,5 +50,5 @@ def page_search(pages: DataFrame, phrases: DataFrame, k: int = 3, page_id: str =
     scored = (q.join(post, "term")
               .groupBy(phrase_id, page_id)
               .agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("hits")))
-    w = Window.partitionBy(phrase_id).orderBy(F.col("n_terms").desc(), F.col("hits").desc(), F.col(page_id))
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    order = [F.col("n_terms").desc(), F.col("hits").desc(), F.col(page_id)]
+    return top_k_per_group(scored, [phrase_id], order, k, salt_by=[page_id])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from storelens.functions.joins import broadcast_if_small
 from storelens.functions.money import money, net_price, to_double
+from storelens.functions.windows import top_k_per_group
 from storelens.operators.contracts import enum_rank
 
 
@@ -141,14 +142,15 @@ def top_products_per_category(lines: DataFrame, parts: DataFrame, k: int = 5,
                               category="p_type") -> DataFrame:
     """Dense rank of products by revenue inside each category, top k ranks.
 
-    Revenue is aggregated per product first, so the ranking window sees one
-    row per product, not per line.
+    Revenue is aggregated per product first, so the ranking sees one row per
+    product, and ranks in salted sub-groups first, so a large category is not
+    ranked in one task.
     """
     per_part = lines.groupBy("l_partkey").agg(F.sum(net_price()).alias("rev"))
     joined = per_part.join(parts.select("p_partkey", "p_name", category),
                            F.col("l_partkey") == F.col("p_partkey"))
-    w = Window.partitionBy(category).orderBy(F.col("rev").desc())
-    ranked = joined.withColumn("rnk", F.dense_rank().over(w).cast("long")).where(F.col("rnk") <= k)
+    ranked = top_k_per_group(joined, [category], [F.col("rev").desc()], k, out="rnk",
+                             method="dense_rank", salt_by=["p_partkey"])
     return ranked.select(category, "p_partkey", "p_name",
                          to_double(F.col("rev")).alias("revenue"), "rnk")
 
