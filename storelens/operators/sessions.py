@@ -21,6 +21,7 @@ from storelens.functions import windows as W
 from storelens.functions.joins import broadcast_if_small
 from storelens.functions.windows import floor_div
 from storelens.functions.text import col_of, py_strip
+from storelens.session import cut_lineage
 
 US = 1_000_000
 # Fixed values from the reference: session life, sweep period, client idle limit.
@@ -67,19 +68,40 @@ def expired_at(sessions: DataFrame, now_us: int, ttl_s: int = SESSION_TTL_S) ->
 # ------------------------------------------------------------------ C3, C4
 
 def _sessionize(rows: DataFrame, is_new, bucket_s: int) -> DataFrame:
-    """Shared skew-safe sessionizer.
+    """Shared skew-safe sessionizer (one window level, one summary join).
 
     ``is_new(prev_us, ts_us)`` says whether an activity at ``ts_us`` after one
-    at ``prev_us`` starts a new session.  Returns rows with ``prev_us`` and
+    at ``prev_us`` starts a new session.  Inside each (id, bucket) a window
+    gives the predecessor and the session starts after the first row; one
+    summary row per (id, bucket) -- first and last time, starts -- is windowed
+    per id to decide whether each bucket's first row starts a session and how
+    many sessions began before the bucket.  Returns rows with ``prev_us`` and
     ``session_no`` (1-based per id).
     """
     order = ["ts_us", "seq"]
+    b = W.BUCKET
     rows = W.with_bucket(rows, "ts_us", bucket_s * US)
-    rows = W.lag_across(rows, "session_id", "ts_us", order, "ts_us", "prev_us")
-    prev = F.col("prev_us")
-    rows = rows.withColumn("__new", F.when(prev.isNull() | is_new(prev, F.col("ts_us")), 1).otherwise(0))
-    rows = W.running_sum_across(rows, "session_id", order, "__new", "session_no")
-    return rows.withColumn("session_no", F.col("session_no").cast("long")).drop(W.BUCKET, "__new")
+    w = Window.partitionBy("session_id", b).orderBy(*order)
+    rows = rows.withColumn("__lag", F.lag("ts_us").over(w))
+    rows = rows.withColumn("__inner", F.when(F.col("__lag").isNotNull()
+                                             & is_new(F.col("__lag"), F.col("ts_us")), 1).otherwise(0))
+    summary = rows.groupBy("session_id", b).agg(
+        F.min("ts_us").alias("__first"), F.max("ts_us").alias("__last"), F.sum("__inner").alias("__n_inner"))
+    wb = Window.partitionBy("session_id").orderBy(b)
+    summary = summary.withColumn("__prev_last", F.lag("__last").over(wb))
+    summary = summary.withColumn(
+        "__first_new", F.when(F.col("__prev_last").isNull() | is_new(F.col("__prev_last"), F.col("__first")), 1)
+        .otherwise(0))
+    summary = summary.select(
+        "session_id", b, "__prev_last", "__first_new",
+        F.coalesce(F.sum(F.col("__n_inner") + F.col("__first_new")).over(
+            wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    rows = rows.join(summary, ["session_id", b])
+    rows = rows.withColumn("prev_us", F.coalesce("__lag", "__prev_last")).withColumn(
+        "__new", F.when(F.col("__lag").isNull(), F.col("__first_new")).otherwise(F.col("__inner")))
+    running = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("session_no", (F.col("__base") + running).cast("long")).drop(
+        b, "__lag", "__inner", "__prev_last", "__first_new", "__base", "__new")
 
 
 def sessionize(log: DataFrame, ttl_s: int = SESSION_TTL_S, kinds: Sequence[str] = ("chat",),
@@ -135,19 +157,40 @@ def role_as_of(log: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_
     nothing.  An as-of join written as windows.
     """
     order = ["ts_us", "seq"]
+    b = W.BUCKET
     act = sessionize_swept(log, ttl_s, sweep_s, t0_us, ACTIVITY_KINDS, bucket_s) \
         .select("session_id", "ts_us", "seq", "kind", "session_no")
+    act = cut_lineage(act)  # one reliable write; the steps below read it, not its lineage
     outs = log.where(F.col("kind") == "logout").select(
         "session_id", "ts_us", "seq", "kind", F.lit(None).cast("long").alias("session_no"))
     both = W.with_bucket(act.unionByName(outs), "ts_us", bucket_s * US)
-    # as-of lookup: a logout takes the session of the latest earlier activity
-    both = W.running_last_across(both, "session_id", order, F.col("session_no"), "sess")
-    both = both.where(F.col("sess").isNotNull())
     flag = F.when(F.col("kind") == "login_ok", True).when(F.col("kind") == "logout", False)
-    both = W.running_last_across(both, ["session_id", "sess"], order, flag, "__flag")
+    w = Window.partitionBy("session_id", b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__sess_in", F.last("session_no", ignorenulls=True).over(w)).withColumn("__flag", flag)
+    # per (id, bucket): its last session and its last flag event with the
+    # session that event fell in (null = before the bucket's first activity)
+    summary = both.groupBy("session_id", b).agg(
+        F.max("session_no").alias("__last_sess"),
+        F.max(F.when(F.col("__flag").isNotNull(),
+                     F.struct("ts_us", "seq", "__sess_in", "__flag"))).alias("__lf"))
+    wb = Window.partitionBy("session_id").orderBy(b)
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("__carry_sess", F.last("__last_sess", ignorenulls=True).over(before))
+    summary = summary.withColumn("__lf_sess", F.coalesce(F.col("__lf.__sess_in"), F.col("__carry_sess")))
+    last_flag = F.last(F.when(F.col("__lf").isNotNull(), F.struct(F.col("__lf_sess").alias("s"),
+                                                                   F.col("__lf.__flag").alias("f"))),
+                       ignorenulls=True).over(before)
+    summary = summary.select("session_id", b, "__carry_sess", last_flag.alias("__cf"))
+    summary = summary.select("session_id", b, "__carry_sess",
+                             F.when(F.col("__cf.s") == F.col("__carry_sess"), F.col("__cf.f")).alias("__carry_flag"))
+    both = both.join(summary, ["session_id", b]).withColumn("sess", F.coalesce("__sess_in", "__carry_sess"))
+    both = both.where(F.col("sess").isNotNull())  # a logout before any session changes nothing
+    ws = Window.partitionBy("session_id", b, "sess").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    in_bucket = F.last("__flag", ignorenulls=True).over(ws)
+    carried = F.when(F.col("sess") == F.col("__carry_sess"), F.col("__carry_flag"))
+    both = both.withColumn("is_admin", F.coalesce(in_bucket, carried, F.lit(False)))
     return both.where(F.col("kind") == "chat").select(
-        "session_id", "seq", "ts_us", F.col("sess").alias("session_no"),
-        F.coalesce("__flag", F.lit(False)).alias("is_admin"))
+        "session_id", "seq", "ts_us", F.col("sess").alias("session_no"), "is_admin")
 
 
 # ------------------------------------------------------------------ C9, C10
