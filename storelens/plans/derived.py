@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from storelens.functions.text import sql_literal
+from storelens.functions.times import epoch_us, epoch_us_sql
 
 KIND_SQL = ("CASE event_type WHEN 'signup' THEN 'login_ok' WHEN 'error' THEN 'logout' "
             "ELSE 'chat' END")
@@ -30,7 +31,7 @@ def activity_log(events: DataFrame) -> DataFrame:
     successful login, error a logout; seq is the event id."""
     return events.select(
         F.col("user_id").alias("session_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        epoch_us("ts").alias("ts_us"),
         F.col("event_id").alias("seq"),
         F.expr(KIND_SQL).alias("kind"))
 
@@ -92,7 +93,7 @@ def tool_calls(events: DataFrame) -> DataFrame:
     """(request_id, seq, ts_us, kind, tool_name)."""
     return events.select(
         F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        epoch_us("ts").alias("ts_us"),
         F.expr(CALL_KIND_SQL).alias("kind"), F.expr(CALL_NAME_SQL).alias("tool_name"))
 
 
@@ -137,7 +138,7 @@ def status_lines(events: DataFrame) -> DataFrame:
     # selectExpr: the same expression text is the DuckDB oracle's input
     return _k(events).selectExpr(
         "user_id AS request_id", "event_id AS seq",
-        "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us",
+        f"{epoch_us_sql('ts')} AS ts_us",
         f"{_status_line_sql('k')} AS line")
 
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from storelens.functions.times import ntz_from_us
 from storelens.operators.contracts import (ACCOUNT_STATUSES, ACCOUNT_TYPES, ORDER_STATUSES,
                                            PAYMENT_METHODS, assign_ids, order_number)
 
@@ -92,7 +93,7 @@ def weighted_choice(h: Column, values: Sequence, weights: Sequence[int]) -> Colu
 
 
 def _ts_text(us: Column) -> Column:
-    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(ntz_from_us(us), "yyyy-MM-dd HH:mm:ss")
 
 
 def seed_customers(keys: DataFrame, key: str, seed: int, now_us: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from storelens.operators.sessions import SESSION_TTL_S, SWEEP_S, US
+from storelens.functions.times import epoch_us, instant_from_us
 from storelens.plans.derived import KIND_SQL
 from storelens.session import scratch_path
 
@@ -25,7 +26,7 @@ def activity_stream(spark: SparkSession, folder: str, schema: StructType, glob:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(folder)
     return events.select(F.col("user_id").alias("session_id"),
-                         F.col("ts").cast("timestamp").alias("ts"),
+                         instant_from_us(epoch_us("ts")).alias("ts"),
                          F.col("event_id").alias("seq"), F.expr(KIND_SQL).alias("kind"))
 
 
