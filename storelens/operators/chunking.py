@@ -93,11 +93,13 @@ def split_spans(text: str, separators: Sequence[str] = SEPARATORS, size: int = C
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     separators: Sequence[str] = SEPARATORS, size: int = CHUNK_SIZE,
-                    overlap: int = CHUNK_OVERLAP, carry: Sequence[str] = ()) -> DataFrame:
+                    overlap: int = CHUNK_OVERLAP, carry: Sequence[str] = (),
+                    with_length: bool = False) -> DataFrame:
     """V1/V2: one row per chunk ``(id, chunk_no, start, end, chunk_text, *carry)``.
 
     ``carry`` columns of the document are copied onto each of its chunks in
-    the same pass (no join back).  Empty or null texts yield no chunk.
+    the same pass (no join back); ``with_length`` adds the document's length
+    (``doc_len``).  Empty or null texts yield no chunk.
     """
     carry = list(carry)
     src = docs.select(id_col, text_col, *carry)
@@ -105,6 +107,8 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               StructField("chunk_no", LongType()), StructField("start", LongType()),
               StructField("end", LongType()), StructField("chunk_text", StringType())]
     fields += [src.schema[c] for c in carry]
+    if with_length:
+        fields.append(StructField("doc_len", LongType()))
     schema = StructType(fields)
     seps = list(separators)
 
@@ -115,7 +119,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 text = getattr(rec, text_col)
                 if not isinstance(text, str) or not text:
                     continue
-                extra = [getattr(rec, c) for c in carry]
+                extra = [getattr(rec, c) for c in carry] + ([len(text)] if with_length else [])
                 for i, (s, e) in enumerate(split_spans(text, seps, size, overlap)):
                     rows.append([getattr(rec, id_col), i, s, e, text[s:e], *extra])
             yield pd.DataFrame(rows, columns=schema.fieldNames())
@@ -123,10 +127,14 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return src.mapInPandas(run, schema)
 
 
-def chunk_invariants(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def chunk_invariants(chunks: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id",
+                     text_col: str = "text",
                      size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                      separators: Sequence[str] = SEPARATORS) -> DataFrame:
-    """Per document: covered length and the tiling / size / overlap checks."""
+    """Per document: covered length and the tiling / size / overlap checks.
+
+    The document length comes from the chunks' ``doc_len`` when present (no
+    second read of the texts), else from ``docs``."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(id_col).orderBy("chunk_no")
@@ -139,10 +147,13 @@ def chunk_invariants(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id",
         F.sum(F.col("end") - F.greatest("start", F.coalesce("__prev_end", "start"))).alias("covered"),
         (F.min("start") == 0).alias("starts_at_zero"),
         F.max("end").alias("__max_end"),
+        *([F.max("doc_len").alias("__len")] if "doc_len" in chunks.columns else []),
         F.coalesce(F.bool_and(F.col("start") <= F.col("__prev_end")), F.lit(True)).alias("no_gap"),
         F.coalesce(F.bool_and(F.col("__prev_end") - F.col("start") <= overlap), F.lit(True)).alias("overlap_ok"),
         F.bool_and((F.col("end") - F.col("start") <= size) | no_sep).alias("size_ok"))
-    lengths = docs.select(id_col, F.length(text_col).cast("long").alias("__len"))
-    return per_doc.join(lengths, id_col).select(
+    if "doc_len" not in chunks.columns:
+        lengths = docs.select(id_col, F.length(text_col).cast("long").alias("__len"))
+        per_doc = per_doc.join(lengths, id_col)
+    return per_doc.select(
         id_col, "covered", "starts_at_zero", (F.col("__max_end") == F.col("__len")).alias("ends_at_length"),
         "no_gap", "overlap_ok", "size_ok")
