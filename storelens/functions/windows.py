@@ -71,14 +71,17 @@ def running_last_across(df: DataFrame, keys, order: Sequence[str], value: Column
 
 
 def running_sum_across(df: DataFrame, keys, order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` up to and including each row, per key."""
+    """Running sum of ``value`` up to and including each row, per key (null
+    until the first non-null value, like SQL's running ``SUM``)."""
     keys = _keys(keys)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.groupBy(*keys, BUCKET).agg(F.sum(value).alias("__n"))
     wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select(*keys, BUCKET, F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
-    return (df.join(offset, [*keys, BUCKET])
-            .withColumn(out, F.col("__off") + F.sum(value).over(w)).drop("__off"))
+    offset = sums.select(*keys, BUCKET, F.sum("__n").over(wb).alias("__off"))
+    inner = F.sum(value).over(w)
+    total = F.when(F.col("__off").isNull() & inner.isNull(), F.lit(None)) \
+        .otherwise(F.coalesce(F.col("__off"), F.lit(0)) + F.coalesce(inner, F.lit(0)))
+    return df.join(offset, [*keys, BUCKET]).withColumn(out, total).drop("__off")
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rank",
