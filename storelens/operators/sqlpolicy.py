@@ -67,9 +67,16 @@ def decide(df: DataFrame, sql: str = "statement", is_admin: str = "is_admin") ->
         F.when(~admin & w, F.lit("refused")).when(w, F.lit("commit")).otherwise(F.lit("rows")).alias("action"),
         F.when(~admin & w, F.lit(None).cast("string")).when(admin, F.lit("root"))
          .otherwise(F.lit("customer")).alias("login"),
+        (admin & w & _starts_as_read(cleaned)).alias("admin_read_as_write"),
     )
 
 
+def _starts_as_read(c: Column) -> Column:
+    """The statement begins with SELECT or WITH (case-insensitive)."""
+    head = F.upper(F.substring(c, 1, 6))
+    return head.startswith("SELECT") | head.startswith("WITH")
+
+
 def run_read(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], is_admin: bool = False,
              guest_tables: Sequence[str] | None = None):
     """Q4: run one read over registered tables.

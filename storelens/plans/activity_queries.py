@@ -50,11 +50,14 @@ WITH {D.STATEMENTS_CTE}, c AS (SELECT *, {CLEAN_SQL} AS clean_sql FROM stmts),
 w AS (SELECT *, ({WRITE_SQL}) AS is_write FROM c)
 SELECT stmt_id, is_admin, clean_sql, is_write,
        CASE WHEN NOT is_admin AND is_write THEN 'refused' WHEN is_write THEN 'commit' ELSE 'rows' END AS action,
-       CASE WHEN NOT is_admin AND is_write THEN NULL WHEN is_admin THEN 'root' ELSE 'customer' END AS login
+       CASE WHEN NOT is_admin AND is_write THEN NULL WHEN is_admin THEN 'root' ELSE 'customer' END AS login,
+       (is_admin AND is_write AND (substr(upper(clean_sql), 1, 6) = 'SELECT' OR substr(upper(clean_sql), 1, 4) = 'WITH'))
+         AS admin_read_as_write
 FROM w""")
 def q03(t):
     log = D.statement_log(t.events)
-    return Q.decide(log).select("stmt_id", "is_admin", "clean_sql", "is_write", "action", "login")
+    return Q.decide(log).select("stmt_id", "is_admin", "clean_sql", "is_write", "action", "login",
+                                "admin_read_as_write")
 
 
 Q4_STATEMENT = """```sql
