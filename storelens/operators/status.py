@@ -8,10 +8,9 @@ between a string, an object and a list that the client acts on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions import windows as W
-from storelens.functions.joins import broadcast_if_small
 from storelens.functions.text import col_of
 
 # Fixed values from the reference: status names, tool-name mapping, UI labels.
@@ -153,12 +152,12 @@ def final_reply(lines: DataFrame, req: str = "request_id", line: str = "line") -
 
 
 def status_label(df: DataFrame, status: str = "status") -> DataFrame:
-    """Label per status, falling back to the THINKING label."""
-    spark = df.sparkSession
-    labels = spark.createDataFrame(list(STATUS_LABELS.items()), "__st string, label string")
-    labels = broadcast_if_small(labels, 1000)
-    out = df.join(labels, F.col(status) == F.col("__st"), "left")
-    return out.withColumn("label", F.coalesce("label", F.lit(STATUS_LABELS[THINKING]))).drop("__st")
+    """Label per status, falling back to the THINKING label.
+
+    The label table is a fixed four-entry constant, so it is a map literal
+    looked up in the projection: no join, no extra job."""
+    labels = F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv])
+    return df.withColumn("label", F.coalesce(labels[F.col(status)], F.lit(STATUS_LABELS[THINKING])))
 
 
 # ------------------------------------------------------------------ N7

@@ -1,7 +1,6 @@
 import random
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from storelens.operators import sessions as C
 from tests.conftest import rows
