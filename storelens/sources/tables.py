@@ -25,8 +25,12 @@ def spread(df: DataFrame, size_bytes: int, min_bytes: int = SPREAD_MIN_BYTES) ->
     """Round-robin repartition to the default parallelism when a sizeable
     input arrives in fewer partitions than there are cores.  Filters and
     column pruning still reach the scan below the repartition."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if size_bytes >= min_bytes and df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        few = df.rdd.getNumPartitions() < target
+    except Exception:  # noqa: BLE001 - no local context (client session): leave as is
+        return df
+    if size_bytes >= min_bytes and few:
         return df.repartition(target)
     return df
 
@@ -37,7 +41,13 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True)
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    return spread(df, _path_bytes(spark, path)) if spread_small else df
+    if not spread_small:
+        return df
+    try:
+        size = _path_bytes(spark, path)
+    except Exception:  # noqa: BLE001 - no JVM handle (client session)
+        return df
+    return spread(df, size)
 
 
 class Tables:
