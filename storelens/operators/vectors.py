@@ -191,43 +191,51 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
 
 def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
                    vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
-                   n_planes: int = 4, seed: int = 7, target_group: int = 50_000) -> DataFrame:
-    """V6: approximate k nearest by random-hyperplane buckets.
-
-    Index and queries get a bucket from the signs of ``n_planes`` fixed
-    random projections; a query is compared only with its bucket.  Large
-    buckets are salted into sub-groups of about ``target_group`` index rows
-    (queries replicated per salt), so no group holds a hot bucket whole.
-    Each group runs an exact NumPy top-k; only k rows per query and group
-    leave it.
+                   n_planes: int = 3, n_tables: int = 4, seed: int = 7,
+                   target_group: int = 50_000) -> DataFrame:
+    """V6: approximate k nearest by random-hyperplane hashing.
+
+    Each of ``n_tables`` hash tables gives every vector a bucket from the
+    signs of ``n_planes`` fixed random projections; a query is compared only
+    with the index rows sharing one of its buckets, and the candidates of all
+    tables are merged (more tables, higher recall).  Large buckets are salted
+    into sub-groups of about ``target_group`` index rows (queries replicated
+    per salt), so no group holds a hot bucket whole.  Each group runs an
+    exact NumPy top-k; only k rows per query and group leave it.
     """
     dim = len(index.select(vec_col).where(F.col(vec_col).isNotNull()).first()[0])
     rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((n_planes, dim))
-
-    def bucket(c):
-        bits = [F.when(F.aggregate(F.zip_with(c, F.array(*[F.lit(float(v)) for v in p]),
-                                              lambda x, y: x.cast("double") * y),
-                                   F.lit(0.0), lambda a, x: a + x) >= 0, 1 << i).otherwise(0)
-                for i, p in enumerate(planes)]
-        out = bits[0]
-        for b in bits[1:]:
-            out = out + b
-        return out
+    planes = rng.standard_normal((n_tables, n_planes, dim))
+
+    def buckets(c):
+        """array<struct<__t, __b>>: the vector's bucket in every table."""
+        out = []
+        for t, table in enumerate(planes):
+            bits = [F.when(F.aggregate(F.zip_with(c, F.array(*[F.lit(float(v)) for v in p]),
+                                                  lambda x, y: x.cast("double") * y),
+                                       F.lit(0.0), lambda a, x: a + x) >= 0, 1 << i).otherwise(0)
+                    for i, p in enumerate(table)]
+            b = bits[0]
+            for x in bits[1:]:
+                b = b + x
+            out.append(F.struct(F.lit(t).alias("__t"), b.alias("__b")))
+        return F.array(*out)
 
     idx = index.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v"), bucket(F.col(vec_col)).alias("__b"))
+        F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v"),
+        F.inline(buckets(F.col(vec_col))))
     qs = queries.where(F.col(query_vec).isNotNull()).select(
         F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv"),
-        bucket(F.col(query_vec)).alias("__b"))
-    sizes = idx.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    salts = sizes.select("__b", F.greatest(F.lit(1), F.ceil(F.col("__n") / target_group)).cast("int").alias("__s"))
-    salts = F.broadcast(salts)  # one row per bucket: at most 2**n_planes rows
+        F.inline(buckets(F.col(query_vec))))
+    sizes = idx.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    salts = sizes.select("__t", "__b",
+                         F.greatest(F.lit(1), F.ceil(F.col("__n") / target_group)).cast("int").alias("__s"))
+    salts = F.broadcast(salts)  # one row per table and bucket: at most n_tables * 2**n_planes rows
     si, sq = salts.alias("si"), salts.alias("sq")
-    idx = idx.join(si, "__b").select(
-        "__id", "__v", "__b", F.pmod(F.xxhash64("__id"), F.col("si.__s")).cast("int").alias("__salt"))
-    qs = qs.join(sq, "__b").select(
-        "__qid", "__qv", "__b", F.explode(F.sequence(F.lit(0), F.col("sq.__s") - 1)).alias("__salt"))
+    idx = idx.join(si, ["__t", "__b"]).select(
+        "__id", "__v", "__t", "__b", F.pmod(F.xxhash64("__id"), F.col("si.__s")).cast("int").alias("__salt"))
+    qs = qs.join(sq, ["__t", "__b"]).select(
+        "__qid", "__qv", "__t", "__b", F.explode(F.sequence(F.lit(0), F.col("sq.__s") - 1)).alias("__salt"))
 
     def group_topk(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -243,8 +251,10 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
         qi, ids, d = _topk_rows(qi, xid[xi], d, k)
         return pd.DataFrame({"query_id": left["__qid"].to_numpy(np.int64)[qi], "vec_id": ids, "dist": d})
 
-    cand = qs.groupBy("__b", "__salt").cogroup(idx.groupBy("__b", "__salt")).applyInPandas(
+    cand = qs.groupBy("__t", "__b", "__salt").cogroup(idx.groupBy("__t", "__b", "__salt")).applyInPandas(
         group_topk, "query_id long, vec_id long, dist double")
+    # a neighbour found by several tables is one candidate
+    cand = cand.dropDuplicates(["query_id", "vec_id"])
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     out = cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return out.withColumnRenamed("vec_id", id_col).withColumnRenamed("query_id", query_id)

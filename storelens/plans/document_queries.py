@@ -163,3 +163,11 @@ def s03(t):
     if err:
         raise RuntimeError(err)
     return loaded.select("chunk_id", "chunk_text", F.size("embedding").cast("long").alias("dims"))
+
+
+@query("v06_recall")
+def v06_recall(t):
+    """Measured recall@3 of the approximate search against the exact one."""
+    approx = V.nearest_approx(t.embeddings, _self_queries(t), k=3)
+    exact = V.nearest_batch(t.embeddings, _self_queries(t), k=3)
+    return V.recall_at_k(approx, exact)
