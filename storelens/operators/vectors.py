@@ -14,15 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
 from storelens.functions.joins import has_at_most
 
 DEFAULT_K = 3  # fixed value from the reference search (k=3)
 ROUND = 6
-# Queries per broadcast block.  A block is collected to the driver and
-# broadcast only after its row count is checked against this bound.
-MAX_QUERY_BLOCK = 20_000
+# Bytes of query vectors per broadcast block (stored at their own width).  A block is collected
+# to the driver and broadcast only after its row count is checked against the
+# bound derived from this size; tasks walk a block QUERY_STEP queries at a
+# time, so per-task memory does not grow with the block.
+MAX_BLOCK_BYTES = 256 << 20
+QUERY_STEP = 2048
 CONTEXT_SEPARATOR = "\n\n...\n\n"  # fixed value: appended after every hit
 
 
@@ -109,7 +112,8 @@ def _topk_rows(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
     return qi[keep], ids[keep], d[keep]
 
 
-def _block_search(qids: np.ndarray, qm: np.ndarray, k: int, metric: str, id_col: str, vec_col: str):
+def _block_search(qids: np.ndarray, qm32: np.ndarray, k: int, metric: str, id_col: str, vec_col: str,
+                  step: int = QUERY_STEP):
     """mapInPandas body: running exact top-k of one query block over a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,15 +126,17 @@ def _block_search(qids: np.ndarray, qm: np.ndarray, k: int, metric: str, id_col:
                 continue
             xm = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             xid = pdf[id_col].to_numpy(np.int64)
-            approx = _distances(qm, xm, metric)
-            kk = min(k, approx.shape[1])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            # every pair that could be in the exact top-k after rounding
-            qi, xi = np.nonzero(approx <= kth[:, None] + 1e-5)
-            d = np.round(_exact(qm[qi], xm[xi], metric), ROUND)
-            st_q = np.concatenate([st_q, qi])
-            st_id = np.concatenate([st_id, xid[xi]])
-            st_d = np.concatenate([st_d, d])
+            for lo in range(0, len(qm32), step):
+                qm = qm32[lo:lo + step].astype(np.float64)
+                approx = _distances(qm, xm, metric)
+                kk = min(k, approx.shape[1])
+                kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+                # every pair that could be in the exact top-k after rounding
+                qi, xi = np.nonzero(approx <= kth[:, None] + 1e-5)
+                d = np.round(_exact(qm[qi], xm[xi], metric), ROUND)
+                st_q = np.concatenate([st_q, qi + lo])
+                st_id = np.concatenate([st_id, xid[xi]])
+                st_d = np.concatenate([st_d, d])
             st_q, st_id, st_d = _topk_rows(st_q, st_id, st_d, k)
         if len(st_q):
             yield pd.DataFrame({"query_id": qids[st_q], id_col: st_id, "dist": st_d})
@@ -138,38 +144,58 @@ def _block_search(qids: np.ndarray, qm: np.ndarray, k: int, metric: str, id_col:
     return run
 
 
+def _query_blocks(q: DataFrame, max_rows: int):
+    """Split the queries into hash blocks of at most ``max_rows`` rows each;
+    a block over the bound (hash skew) is split again with another hash."""
+    if has_at_most(q, max_rows):
+        return [q]
+    n = q.count()
+    pending = [(q, 0, -(-n // max_rows) * 2)]
+    out = []
+    while pending:
+        df, depth, parts = pending.pop()
+        h = F.pmod(F.xxhash64("__qid", F.lit(depth)), F.lit(parts))
+        for b in range(parts):
+            blk = df.where(h == b)
+            if has_at_most(blk, max_rows):
+                out.append(blk)
+            else:
+                pending.append((blk, depth + 1, 4))
+    return out
+
+
 def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
                   vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
-                  metric: str = "l2", max_block: int = MAX_QUERY_BLOCK) -> DataFrame:
+                  metric: str = "l2", max_block: int | None = None,
+                  max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """V5: exact k nearest index rows for every query.
 
-    Queries travel in blocks of at most ``max_block`` rows (checked before
-    collecting); each block is broadcast and searched against every index
-    partition with a running top-k, so each task emits at most
-    ``k x block`` rows.  A window over those candidates picks the final k.
+    Queries travel in blocks of bounded size (``max_block`` rows, by default
+    what fits in ``max_block_bytes`` of float32 vectors), checked before each
+    block is collected; each block is broadcast and searched against every
+    index partition with a running top-k, so each task emits at most
+    ``k x block`` rows and the index is read once per block.  A window over
+    those candidates picks the final k.
     """
     spark = index.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv")) \
         .where(F.col("__qv").isNotNull())
-    if has_at_most(q, max_block):
-        blocks = [q]
-    else:
-        n = q.count()
-        nb = -(-n // max_block) * 2  # hash blocks average half the bound
-        q = q.withColumn("__blk", F.pmod(F.xxhash64("__qid"), F.lit(nb)))
-        blocks = [q.where(F.col("__blk") == b).drop("__blk") for b in range(nb)]
     schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()),
                          StructField("dist", DoubleType())])
+    first = q.select("__qv").first()  # one row: the vector width
+    if first is None:
+        return spark.createDataFrame([], schema.add(StructField("rank", LongType())))
+    width = 4 if isinstance(q.schema["__qv"].dataType.elementType, FloatType) else 8
+    if max_block is None:
+        max_block = max(1, max_block_bytes // (width * len(first[0])))
     src = index.select(F.col(id_col).cast("long").alias(id_col), vec_col)
     parts = []
-    for blk in blocks:
-        if not has_at_most(blk, max_block):
-            raise RuntimeError("query block exceeds its bound")
+    for blk in _query_blocks(q, max_block):
         pdf = blk.toPandas()
         if pdf.empty:
             continue
         qids = pdf["__qid"].to_numpy(np.int64)
-        qm = np.stack(pdf["__qv"].to_numpy()).astype(np.float64)
+        qm = np.stack(pdf["__qv"].to_numpy()).astype(np.float32 if width == 4 else np.float64)
         bc = spark.sparkContext.broadcast((qids, qm))
 
         def run(batches, bc=bc):
@@ -177,8 +203,6 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
             return _block_search(qids_, qm_, k, metric, id_col, vec_col)(batches)
 
         parts.append(src.mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add(StructField("rank", LongType())))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
