@@ -75,6 +75,12 @@ SELECT id_zamowienia, id_klienta, numer_zamowienia, data_zamowienia, status_zamo
        kategoria, cena_jednostkowa, ilosc, koszt_dostawy, metoda_platnosci
 FROM o JOIN pos USING (p)"""
 
+# money leaves the registered query as double (exact decimal -> nearest double)
+ORDERS_OUT_SQL = f"""
+SELECT * REPLACE (CAST(cena_jednostkowa AS DOUBLE) AS cena_jednostkowa,
+                  CAST(koszt_dostawy AS DOUBLE) AS koszt_dostawy)
+FROM ({ORDERS_SQL})"""
+
 
 @query("s06_seed_customers", CUSTOMERS_SQL)
 def s06a(t):
@@ -85,9 +91,10 @@ def _orders(t):
     return G.seed_orders(t.orders, "o_orderkey", t.customer, "c_custkey", SEED, NOW_US, YEAR)
 
 
-@query("s06_seed_orders", ORDERS_SQL)
+@query("s06_seed_orders", ORDERS_OUT_SQL)
 def s06b(t):
-    return _orders(t)
+    o = _orders(t)
+    return o.withColumns({c: o[c].cast("double") for c in ("cena_jednostkowa", "koszt_dostawy")})
 
 
 STATUS_SHARES = ", ".join(
