@@ -44,3 +44,17 @@ def test_entry_contract(spark):
     assert df.count() > 0 and df.columns == ["c_custkey", "c_name", "spend", "n_orders"]
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 70
+
+
+def test_status_line_stream(spark):
+    import os
+    from storelens.streaming.status import status_line_stream
+    folder = tempfile.mkdtemp(prefix="storelens-lines-")
+    with open(os.path.join(folder, "req1.jsonl"), "w") as f:
+        f.write('{"type": "status", "data": "RAG"}\n\n{bad\n{"type": "final", "data": {"text": "ok"}}\n')
+    with open(os.path.join(folder, "req2.jsonl"), "w") as f:
+        f.write('null\n{"type": "error", "data": "x"}\n')
+    out = SA.run_available(status_line_stream(spark, folder), "test-s4")
+    got = sorted((os.path.basename(r.source_file), r.type, r.data_kind) for r in out.collect())
+    assert got == [("req1.jsonl", "final", "object"), ("req1.jsonl", "status", "string"),
+                   ("req2.jsonl", "error", "string")]
