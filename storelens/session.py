@@ -21,6 +21,9 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # streaming state (session windows, ticks) off the JVM heap, spillable
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # delete checkpoint files once no DataFrame refers to them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
