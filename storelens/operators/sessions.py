@@ -104,7 +104,7 @@ def _sessionize(rows: DataFrame, is_new, bucket_s: int) -> DataFrame:
         b, "__lag", "__inner", "__prev_last", "__first_new", "__base", "__new")
 
 
-def sessionize(log: DataFrame, ttl_s: int = SESSION_TTL_S, kinds: Sequence[str] = ("chat",),
+def sessionize(log: DataFrame, ttl_s: int = CLIENT_IDLE_MS // 1000, kinds: Sequence[str] = ("chat",),
                bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
     """C3, client rule: a new session when the gap between activities exceeds
     ``ttl`` (a gap of exactly ``ttl`` stays in the session)."""
@@ -237,6 +237,14 @@ def prefix_request(text, is_admin, admin_prefix: str = ADMIN_REQUEST_PREFIX,
     return F.concat(ext, F.lit("\n"), body)
 
 
+def prefix_helper_request(text, is_admin, admin_info: str = ADMIN_HELPER_INFO,
+                          guest_info: str = GUEST_HELPER_INFO) -> Column:
+    """C11, helper level: the database helper puts its own role note directly
+    before the text it receives (no separator)."""
+    admin = F.coalesce(col_of(is_admin), F.lit(False))
+    return F.concat(F.when(admin, F.lit(admin_info)).otherwise(F.lit(guest_info)), col_of(text))
+
+
 def client_address(forwarded, peer) -> Column:
     """First item of the forwarded list, else the peer, whitespace-stripped."""
     return py_strip(F.split(F.coalesce(col_of(forwarded), col_of(peer)), ",", -1)[0])

@@ -87,6 +87,9 @@ def test_history_transcript_prefix(spark):
         C.prefix_request("t", "a").alias("r")).collect()
     assert {r.r for r in req} == {C.ADMIN_EXTENSION + "\n" + C.ADMIN_REQUEST_PREFIX + "q",
                                   C.GUEST_EXTENSION + "\nq"}
+    helper = spark.createDataFrame([("q", True), ("q", None)], "t string, a boolean").select(
+        C.prefix_helper_request("t", "a").alias("r")).collect()
+    assert {r.r for r in helper} == {C.ADMIN_HELPER_INFO + "q", C.GUEST_HELPER_INFO + "q"}
 
 
 def test_admin_allowed_and_logins(spark):
