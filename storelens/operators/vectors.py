@@ -3,29 +3,30 @@
 Distances are squared L2 by default (``cosine`` and ``dot`` are options),
 computed in double from the stored floats and rounded to 6 places before
 ranking; ties go to the smaller id.  No operator materialises query x index
-pairs as rows: exact search keeps a running top-k per query inside each index
-partition (NumPy), then merges ``k`` candidates per partition and query.
+pairs as rows: exact search meets bounded query blocks with bounded index
+blocks in cogroup tasks that keep a running top-k per query (NumPy), then
+merges ``k`` candidates per index block and query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
-from storelens.functions.joins import has_at_most
 
 DEFAULT_K = 3  # fixed value from the reference search (k=3)
 ROUND = 6
-# Bytes of query vectors per broadcast block (stored at their own width).  A block is collected
-# to the driver and broadcast only after its row count is checked against the
-# bound derived from this size; tasks walk a block QUERY_STEP queries at a
-# time, so per-task memory does not grow with the block.
-MAX_BLOCK_BYTES = 256 << 20
-QUERY_STEP = 2048
+# Bytes of vectors on each side of one block pair (a block of queries against
+# a block of index rows).  Both blocks of a pair sit in one task, so task
+# memory is bounded by twice this plus one distance tile of
+# QUERY_STEP x INDEX_STEP doubles (64 MiB), whatever the table sizes.
+BLOCK_BYTES = 64 << 20
+QUERY_STEP = 1024
+INDEX_STEP = 8192
+# Below this many rows per block a table is not cut further just to use more cores.
+MIN_BLOCK_ROWS = 256
 CONTEXT_SEPARATOR = "\n\n...\n\n"  # fixed value: appended after every hit
 
 
@@ -112,100 +113,86 @@ def _topk_rows(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
     return qi[keep], ids[keep], d[keep]
 
 
-def _block_search(qids: np.ndarray, qm32: np.ndarray, k: int, metric: str, id_col: str, vec_col: str,
-                  step: int = QUERY_STEP):
-    """mapInPandas body: running exact top-k of one query block over a partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        st_q = np.empty(0, np.int64)
-        st_id = np.empty(0, np.int64)
-        st_d = np.empty(0, np.float64)
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
-                continue
-            xm = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            xid = pdf[id_col].to_numpy(np.int64)
-            for lo in range(0, len(qm32), step):
-                qm = qm32[lo:lo + step].astype(np.float64)
-                approx = _distances(qm, xm, metric)
-                kk = min(k, approx.shape[1])
-                kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-                # every pair that could be in the exact top-k after rounding
-                qi, xi = np.nonzero(approx <= kth[:, None] + 1e-5)
-                d = np.round(_exact(qm[qi], xm[xi], metric), ROUND)
-                st_q = np.concatenate([st_q, qi + lo])
-                st_id = np.concatenate([st_id, xid[xi]])
-                st_d = np.concatenate([st_d, d])
-            st_q, st_id, st_d = _topk_rows(st_q, st_id, st_d, k)
-        if len(st_q):
-            yield pd.DataFrame({"query_id": qids[st_q], id_col: st_id, "dist": st_d})
-
-    return run
-
-
-def _query_blocks(q: DataFrame, max_rows: int):
-    """Split the queries into hash blocks of at most ``max_rows`` rows each;
-    a block over the bound (hash skew) is split again with another hash."""
-    if has_at_most(q, max_rows):
-        return [q]
-    n = q.count()
-    pending = [(q, 0, -(-n // max_rows) * 2)]
-    out = []
-    while pending:
-        df, depth, parts = pending.pop()
-        h = F.pmod(F.xxhash64("__qid", F.lit(depth)), F.lit(parts))
-        for b in range(parts):
-            blk = df.where(h == b)
-            if has_at_most(blk, max_rows):
-                out.append(blk)
-            else:
-                pending.append((blk, depth + 1, 4))
-    return out
+def _pair_topk(qids: np.ndarray, qm: np.ndarray, xid: np.ndarray, xm: np.ndarray, k: int, metric: str):
+    """Exact top-k of every query in ``qm`` over the rows of ``xm``, walked in
+    tiles; only ``k`` (query, id, dist) rows per query are kept between tiles."""
+    st_q = np.empty(0, np.int64)
+    st_id = np.empty(0, np.int64)
+    st_d = np.empty(0, np.float64)
+    for xlo in range(0, len(xm), INDEX_STEP):
+        xs, ids = xm[xlo:xlo + INDEX_STEP], xid[xlo:xlo + INDEX_STEP]
+        for lo in range(0, len(qm), QUERY_STEP):
+            qs = qm[lo:lo + QUERY_STEP]
+            approx = _distances(qs, xs, metric)
+            kk = min(k, approx.shape[1])
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            # every pair that could be in the exact top-k after rounding
+            qi, xi = np.nonzero(approx <= kth[:, None] + 1e-5)
+            d = np.round(_exact(qs[qi], xs[xi], metric), ROUND)
+            st_q = np.concatenate([st_q, qi + lo])
+            st_id = np.concatenate([st_id, ids[xi]])
+            st_d = np.concatenate([st_d, d])
+        st_q, st_id, st_d = _topk_rows(st_q, st_id, st_d, k)
+    return qids[st_q], st_id, st_d
+
+
+def _n_blocks(n: int, rows: int, spread: int) -> int:
+    """Blocks of at most ``rows`` rows; more (down to MIN_BLOCK_ROWS rows
+    each) when that alone would leave cores idle."""
+    need = -(-n // rows) if n else 1
+    return max(1, need, min(spread, -(-n // MIN_BLOCK_ROWS)))
 
 
 def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
                   vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
                   metric: str = "l2", max_block: int | None = None,
-                  max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """V5: exact k nearest index rows for every query.
-
-    Queries travel in blocks of bounded size (``max_block`` rows, by default
-    what fits in ``max_block_bytes`` of float32 vectors), checked before each
-    block is collected; each block is broadcast and searched against every
-    index partition with a running top-k, so each task emits at most
-    ``k x block`` rows and the index is read once per block.  A window over
-    those candidates picks the final k.
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """V5: exact k nearest index rows for every query (blocked nested loop).
+
+    Queries and index rows are dealt into blocks of at most ``max_block``
+    rows (by default what fits in ``block_bytes`` of vectors) by a hash of
+    their position, so a repeated id cannot gather in one block.  Every
+    query block meets every index block in one cogroup task: each query row
+    travels to the index blocks and each index row to the query blocks, and
+    nothing passes through the driver.  A task keeps a running top-k per
+    query and emits at most ``k`` rows per query; a window over those
+    candidates (``k`` per index block) picks the final k.  Exact search is
+    quadratic by nature: ``nearest_approx`` is the option for large query sets.
     """
     spark = index.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv")) \
         .where(F.col("__qv").isNotNull())
+    x = index.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v")) \
+        .where(F.col("__v").isNotNull())
     schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()),
                          StructField("dist", DoubleType())])
-    first = q.select("__qv").first()  # one row: the vector width
+    first = x.select("__v").first()  # one row: the vector width
     if first is None:
         return spark.createDataFrame([], schema.add(StructField("rank", LongType())))
-    width = 4 if isinstance(q.schema["__qv"].dataType.elementType, FloatType) else 8
-    if max_block is None:
-        max_block = max(1, max_block_bytes // (width * len(first[0])))
-    src = index.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = []
-    for blk in _query_blocks(q, max_block):
-        pdf = blk.toPandas()
-        if pdf.empty:
-            continue
-        qids = pdf["__qid"].to_numpy(np.int64)
-        qm = np.stack(pdf["__qv"].to_numpy()).astype(np.float32 if width == 4 else np.float64)
-        bc = spark.sparkContext.broadcast((qids, qm))
-
-        def run(batches, bc=bc):
-            qids_, qm_ = bc.value
-            return _block_search(qids_, qm_, k, metric, id_col, vec_col)(batches)
-
-        parts.append(src.mapInPandas(run, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    width = 4 if isinstance(x.schema["__v"].dataType.elementType, FloatType) else 8
+    rows = max_block or max(1, block_bytes // (width * max(1, len(first[0]))))
+    cores = spark.sparkContext.defaultParallelism
+    n_q, n_x = q.count(), x.count()
+    b_q = _n_blocks(n_q, rows, 1)
+    b_x = _n_blocks(n_x, rows, max(1, cores // b_q))
+    pos = F.xxhash64(F.monotonically_increasing_id())
+    qb = (q.withColumn("__qb", F.pmod(pos, F.lit(b_q)))
+          .withColumn("__xb", F.explode(F.sequence(F.lit(0), F.lit(b_x - 1)))))
+    xb = (x.withColumn("__xb", F.pmod(pos, F.lit(b_x)))
+          .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1)))))
+
+    def pair(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), id_col: np.empty(0, np.int64),
+                                 "dist": np.empty(0, np.float64)})
+        qm = np.stack(left["__qv"].to_numpy()).astype(np.float64)
+        xm = np.stack(right["__v"].to_numpy()).astype(np.float64)
+        qi, ids, d = _pair_topk(left["__qid"].to_numpy(np.int64), qm,
+                                right["__id"].to_numpy(np.int64), xm, k, metric)
+        return pd.DataFrame({"query_id": qi, id_col: ids, "dist": d})
+
+    cand = (qb.groupBy("__qb", "__xb").cogroup(xb.groupBy("__qb", "__xb"))
+            .applyInPandas(pair, schema))
     w = Window.partitionBy("query_id").orderBy("dist", id_col)
     return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
             .where(F.col("rank") <= k).withColumnRenamed("query_id", query_id))
