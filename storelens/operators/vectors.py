@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
+from storelens.functions.windows import top_k_per_group
+
 
 DEFAULT_K = 3  # fixed value from the reference search (k=3)
 ROUND = 6
@@ -193,9 +195,9 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
 
     cand = (qb.groupBy("__qb", "__xb").cogroup(xb.groupBy("__qb", "__xb"))
             .applyInPandas(pair, schema))
-    w = Window.partitionBy("query_id").orderBy("dist", id_col)
-    return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k).withColumnRenamed("query_id", query_id))
+    # a query id repeated many times is ranked in salted parts first
+    ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col(id_col)], k)
+    return ranked.withColumnRenamed("query_id", query_id)
 
 
 # ------------------------------------------------------------------ V6
@@ -266,8 +268,7 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
         group_topk, "query_id long, vec_id long, dist double")
     # a neighbour found by several tables is one candidate
     cand = cand.dropDuplicates(["query_id", "vec_id"])
-    w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    out = cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    out = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col("vec_id")], k)
     return out.withColumnRenamed("vec_id", id_col).withColumnRenamed("query_id", query_id)
 
 
