@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A side with at most this many rows may be broadcast explicitly.  Larger
-# sides are left to the planner: AQE still converts a join to broadcast when
-# the measured shuffle size is under spark.sql.autoBroadcastJoinThreshold.
+# A side may be broadcast explicitly when it has at most this many rows and
+# at most this many bytes (measured, see ``size_at_most``).  Larger sides are
+# left to the planner: AQE still converts a join to broadcast when the
+# measured shuffle size is under spark.sql.autoBroadcastJoinThreshold.
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -19,6 +21,17 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for ``df`` only when its row count is proven bounded."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def size_at_most(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows whose JSON text
+    (an upper estimate of their in-memory width, per row) totals at most
+    ``max_bytes``.  Like :func:`has_at_most` it reads at most
+    ``max_rows + 1`` rows, and it runs as one distributed aggregate."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for ``df`` only when its rows and bytes are proven bounded."""
+    return F.broadcast(df) if size_at_most(df, max_rows, max_bytes) else df

@@ -67,3 +67,12 @@ def test_order_number(spark):
     df = spark.createDataFrame([(0, 2026), (5, 2025)], "i long, y int")
     out = df.select(T.order_number(F.col("i"), F.col("y")).alias("n"))
     assert rows(out) == [("ZA-2025-1005",), ("ZA-2026-1000",)]
+
+
+def test_broadcast_guard_checks_rows_and_bytes(spark):
+    from storelens.functions.joins import size_at_most
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k long, s string")
+    assert size_at_most(df, 50, 1 << 20)
+    assert not size_at_most(df, 49, 1 << 20)        # too many rows
+    assert not size_at_most(df, 50, 50 * 100)        # too many bytes: each row is over 100 bytes of JSON
+    assert size_at_most(df.limit(0), 0, 0)           # empty side
