@@ -90,17 +90,23 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     """Rows ranked ``<= k`` inside each group, without ranking a whole group
     in one task.
 
-    Phase one ranks inside ``salts`` hash sub-groups of each group and keeps
-    rank ``<= k``: a row in the group's top k (by ``row_number`` over a total
-    order, or by ``dense_rank``) is also in its sub-group's top k, so nothing
-    is lost.  Phase two ranks only those survivors (at most ``salts x k``
-    rows per group, plus ties for ``dense_rank``).
+    For ``k`` up to the optimizer's window group limit threshold a single
+    window suffices: Spark plans a partial ``WindowGroupLimit`` before the
+    exchange, so each map task sends at most ``k`` rows per group (plus
+    ties for ``rank``/``dense_rank``) and a hot group arrives pre-cut.  Above
+    the threshold two phases do the same by hand: phase one ranks inside
+    ``salts`` hash sub-groups of each group and keeps rank ``<= k`` (a row
+    in the group's top k is also in its sub-group's top k, so nothing is
+    lost); phase two ranks only those survivors.
     """
     fn = {"row_number": F.row_number, "dense_rank": F.dense_rank, "rank": F.rank}[method]
     group = list(group)
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k <= threshold:
+        return df.withColumn(out, fn().over(w2).cast("long")).where(F.col(out) <= k)
     salt_cols = list(salt_by) if salt_by else df.columns
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)))
     w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
     survivors = salted.withColumn("__r1", fn().over(w1)).where(F.col("__r1") <= k).drop("__r1", "__salt")
-    w2 = Window.partitionBy(*group).orderBy(*order)
     return survivors.withColumn(out, fn().over(w2).cast("long")).where(F.col(out) <= k)

@@ -46,6 +46,29 @@ def test_two_phase_top_k_equals_plain_ranking(spark, seed, method, k):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got.select(*plain.columns).collect()))
 
 
+@settings(max_examples=3, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from(["row_number", "dense_rank", "rank"]), st.integers(1, 4))
+def test_salted_top_k_path_equals_plain_ranking(spark, seed, method, k):
+    """Above the window group limit threshold the salted two-phase path runs."""
+    rnd = random.Random(seed)
+    df = spark.createDataFrame([(rnd.randint(0, 2), i, rnd.randint(0, 6)) for i in range(200)],
+                               "g long, id long, score long")
+    order = [F.col("score").desc(), F.col("id")] if method == "row_number" else [F.col("score").desc()]
+    fn = {"row_number": F.row_number, "dense_rank": F.dense_rank, "rank": F.rank}[method]()
+    plain = df.withColumn("rank", fn.over(Window.partitionBy("g").orderBy(*order)).cast("long")) \
+        .where(f"rank <= {k}")
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "0")
+        got = W.top_k_per_group(df, ["g"], order, k, method=method, salt_by=["id"], salts=5)
+        assert "__salt" in got._jdf.queryExecution().analyzed().toString()
+        res = sorted(map(tuple, got.select(*plain.columns).collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert sorted(map(tuple, plain.collect())) == res
+
+
 def test_epoch_us_ignores_session_time_zone(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts")
     old = spark.conf.get("spark.sql.session.timeZone")
