@@ -153,7 +153,8 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
 
     Queries and index rows are dealt into blocks of at most ``max_block``
     rows (by default what fits in ``block_bytes`` of vectors) by a hash of
-    their position, so a repeated id cannot gather in one block.  Every
+    id and vector, so an id repeated with different vectors spreads over
+    blocks, and a recomputed task deals rows exactly as before.  Every
     query block meets every index block in one cogroup task: each query row
     travels to the index blocks and each index row to the query blocks, and
     nothing passes through the driver.  A task keeps a running top-k per
@@ -177,10 +178,11 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     n_q, n_x = q.count(), x.count()
     b_q = _n_blocks(n_q, rows, 1)
     b_x = _n_blocks(n_x, rows, max(1, cores // b_q))
-    pos = F.xxhash64(F.monotonically_increasing_id())
-    qb = (q.withColumn("__qb", F.pmod(pos, F.lit(b_q)))
+    # blocks from the row's own content, so a task recomputed after an
+    # executor loss deals every row to the same block again
+    qb = (q.withColumn("__qb", F.pmod(F.xxhash64("__qid", "__qv"), F.lit(b_q)))
           .withColumn("__xb", F.explode(F.sequence(F.lit(0), F.lit(b_x - 1)))))
-    xb = (x.withColumn("__xb", F.pmod(pos, F.lit(b_x)))
+    xb = (x.withColumn("__xb", F.pmod(F.xxhash64("__id", "__v"), F.lit(b_x)))
           .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1)))))
 
     def pair(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
