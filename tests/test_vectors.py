@@ -1,3 +1,6 @@
+import random
+
+from hypothesis import given, settings, strategies as st
 import numpy as np
 
 from storelens.operators import pages as P
@@ -59,3 +62,39 @@ def test_page_search(spark):
     phrases = spark.createDataFrame([(1, "zwrot towaru"), (2, "nic")], "phrase_id long, phrase string")
     got = rows(P.page_search(pages, phrases, k=2), "phrase_id", "page_id", "n_terms", "rank")
     assert got == [(1, 1, 2, 1), (1, 3, 1, 2)]
+
+
+def _brute_page_search(pages, phrases, k):
+    import re
+    post = {}
+    for pid, html in pages:
+        for w in re.findall(r"[a-z0-9]+", html.lower()):
+            post.setdefault(pid, {}).setdefault(w, 0)
+            post[pid][w] += 1
+    out = []
+    for qid, text in phrases:
+        qt = set(re.findall(r"[a-z0-9]+", text.lower()))
+        scored = []
+        for pid, tf in post.items():
+            hit = [tf[t] for t in qt if t in tf]
+            if hit:
+                scored.append((-len(hit), -sum(hit), pid))
+        for r, (n, h, pid) in enumerate(sorted(scored)[:k], 1):
+            out.append((qid, pid, -n, -h, r))
+    return sorted(out)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 3), st.integers(1, 3))
+def test_page_search_rounds_equal_exhaustive_ranking(spark, seed, k, depth):
+    """Small depths force several threshold rounds; a tiny vocabulary makes
+    common words and tied scores; the result must equal the plain ranking."""
+    rnd = random.Random(seed)
+    vocab = ["a", "b", "c", "d", "e", "f", "g", "h"]
+    pages = [(i, "<p>" + " ".join(rnd.choice(vocab[:rnd.randint(2, 8)]) for _ in range(rnd.randint(1, 12))) + "</p>")
+             for i in range(40)]
+    phrases = [(j, " ".join(rnd.sample(vocab, rnd.randint(1, 4)))) for j in range(12)] + [(99, "zzz")]
+    pdf = spark.createDataFrame(pages, "page_id long, html string")
+    qdf = spark.createDataFrame(phrases, "phrase_id long, phrase string")
+    got = rows(P.page_search(pdf, qdf, k=k, depth=depth), "phrase_id", "page_id", "n_terms", "hits", "rank")
+    assert got == _brute_page_search(pages, phrases, k)
