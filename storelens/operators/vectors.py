@@ -214,9 +214,10 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
     signs of ``n_planes`` fixed random projections; a query is compared only
     with the index rows sharing one of its buckets, and the candidates of all
     tables are merged (more tables, higher recall).  Large buckets are salted
-    into sub-groups of about ``target_group`` index rows (queries replicated
-    per salt), so no group holds a hot bucket whole.  Each group runs an
-    exact NumPy top-k; only k rows per query and group leave it.
+    on both sides into parts of about ``target_group`` rows, and every query
+    part meets every index part of its bucket, so no group holds a hot
+    bucket whole.  Each group runs the tiled exact top-k of V5; only k rows
+    per query and group leave it.
     """
     dim = len(index.select(vec_col).where(F.col(vec_col).isNotNull()).first()[0])
     rng = np.random.default_rng(seed)
@@ -242,31 +243,35 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
     qs = queries.where(F.col(query_vec).isNotNull()).select(
         F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv"),
         F.inline(buckets(F.col(query_vec))))
-    sizes = idx.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    salts = sizes.select("__t", "__b",
-                         F.greatest(F.lit(1), F.ceil(F.col("__n") / target_group)).cast("int").alias("__s"))
+    # Both sides of a bucket are cut into salt parts of about target_group
+    # rows (by a hash of id and vector); every query part meets every index
+    # part of its bucket, so no group holds a hot bucket's queries or index
+    # rows whole.
+    def parts(n):
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / target_group)).cast("int")
+
+    salts = (idx.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__ni"))
+             .join(qs.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__nq")), ["__t", "__b"])
+             .select("__t", "__b", parts("__ni").alias("__si"), parts("__nq").alias("__sq")))
     salts = F.broadcast(salts)  # one row per table and bucket: at most n_tables * 2**n_planes rows
-    si, sq = salts.alias("si"), salts.alias("sq")
-    idx = idx.join(si, ["__t", "__b"]).select(
-        "__id", "__v", "__t", "__b", F.pmod(F.xxhash64("__id"), F.col("si.__s")).cast("int").alias("__salt"))
-    qs = qs.join(sq, ["__t", "__b"]).select(
-        "__qid", "__qv", "__t", "__b", F.explode(F.sequence(F.lit(0), F.col("sq.__s") - 1)).alias("__salt"))
+    idx = idx.join(salts, ["__t", "__b"]).select(
+        "__id", "__v", "__t", "__b", F.pmod(F.xxhash64("__id", "__v"), F.col("__si")).cast("int").alias("__is"),
+        F.explode(F.sequence(F.lit(0), F.col("__sq") - 1)).alias("__qs"))
+    qs = qs.join(salts, ["__t", "__b"]).select(
+        "__qid", "__qv", "__t", "__b", F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
+        F.explode(F.sequence(F.lit(0), F.col("__si") - 1)).alias("__is"))
 
     def group_topk(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "dist": []})
-        qm = np.stack(left["__qv"].to_numpy()).astype(np.float64)
-        xm = np.stack(right["__v"].to_numpy()).astype(np.float64)
-        xid = right["__id"].to_numpy(np.int64)
-        approx = _distances(qm, xm, "l2")
-        kk = min(k, approx.shape[1])
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        qi, xi = np.nonzero(approx <= kth[:, None] + 1e-5)
-        d = np.round(_exact(qm[qi], xm[xi], "l2"), ROUND)
-        qi, ids, d = _topk_rows(qi, xid[xi], d, k)
-        return pd.DataFrame({"query_id": left["__qid"].to_numpy(np.int64)[qi], "vec_id": ids, "dist": d})
-
-    cand = qs.groupBy("__t", "__b", "__salt").cogroup(idx.groupBy("__t", "__b", "__salt")).applyInPandas(
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64),
+                                 "dist": np.empty(0, np.float64)})
+        qi, ids, d = _pair_topk(left["__qid"].to_numpy(np.int64), np.stack(left["__qv"].to_numpy()).astype(np.float64),
+                                right["__id"].to_numpy(np.int64), np.stack(right["__v"].to_numpy()).astype(np.float64),
+                                k, "l2")
+        return pd.DataFrame({"query_id": qi, "vec_id": ids, "dist": d})
+
+    keys = ["__t", "__b", "__is", "__qs"]
+    cand = qs.groupBy(*keys).cogroup(idx.groupBy(*keys)).applyInPandas(
         group_topk, "query_id long, vec_id long, dist double")
     # a neighbour found by several tables is one candidate
     cand = cand.dropDuplicates(["query_id", "vec_id"])

@@ -98,3 +98,14 @@ def test_page_search_rounds_equal_exhaustive_ranking(spark, seed, k, depth):
     qdf = spark.createDataFrame(phrases, "phrase_id long, phrase string")
     got = rows(P.page_search(pdf, qdf, k=k, depth=depth), "phrase_id", "page_id", "n_terms", "hits", "rank")
     assert got == _brute_page_search(pages, phrases, k)
+
+
+def test_nearest_approx_salting_does_not_change_results(spark):
+    """Cutting buckets into many parts on both sides (target_group=7) must
+    give exactly the candidates of unsalted buckets."""
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    queries = emb.select(emb.vec_id.alias("query_id"), emb.embedding.alias("vector"))
+    whole = V.nearest_approx(emb, queries, k=3, target_group=1_000_000)
+    salted = V.nearest_approx(emb, queries, k=3, target_group=7)
+    cols = ["query_id", "vec_id", "dist", "rank"]
+    assert rows(whole, *cols) == rows(salted, *cols)
