@@ -143,8 +143,8 @@ def top_products_per_category(lines: DataFrame, parts: DataFrame, k: int = 5,
     """Dense rank of products by revenue inside each category, top k ranks.
 
     Revenue is aggregated per product first, so the ranking sees one row per
-    product, and ranks in salted sub-groups first, so a large category is not
-    ranked in one task.
+    product, and a large category reaches its final window pre-cut (see
+    :func:`top_k_per_group`), so it is not ranked whole in one task.
     """
     per_part = lines.groupBy("l_partkey").agg(F.sum(net_price()).alias("rev"))
     joined = per_part.join(parts.select("p_partkey", "p_name", category),
