@@ -76,12 +76,15 @@ def page_search(pages: DataFrame, phrases: DataFrame, k: int = 3, page_id: str =
         # never travels whole
         lists = top_k_per_group(post.join(qp.select("term").distinct(), "term", "left_semi"), ["term"],
                                 [F.col("tf").desc(), F.col(page_id)], d + 1, out="__pos")
-        seen = lists.where(F.col("__pos") <= d).select("term", page_id)
-        below = lists.where(F.col("__pos") == d + 1).select("term", F.col("tf").alias("__btf"))
+        # at most d + 1 rows per pending phrase and term; a phrase none of
+        # whose terms occurs in any page has no match and drops out here
+        reach = qp.join(lists, "term")
+        below = F.col("__pos") == d + 1
         # an unseen page scores at most (unexhausted terms, sum of their next tf)
-        bound = (qp.join(below, "term", "left").groupBy(phrase_id)
-                 .agg(F.count("__btf").alias("__bx"), F.coalesce(F.sum("__btf"), F.lit(0)).alias("__by")))
-        cand = qp.join(seen, "term").select(phrase_id, page_id).distinct()
+        bound = reach.groupBy(phrase_id).agg(
+            F.count(F.when(below, 1)).alias("__bx"),
+            F.coalesce(F.sum(F.when(below, F.col("tf"))), F.lit(0)).alias("__by"))
+        cand = reach.where(~below).select(phrase_id, page_id).distinct()
         scored = (cand.join(qp, phrase_id).join(post, ["term", page_id])
                   .groupBy(phrase_id, page_id)
                   .agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("hits")))
