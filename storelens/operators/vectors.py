@@ -175,7 +175,9 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     width = 4 if isinstance(x.schema["__v"].dataType.elementType, FloatType) else 8
     rows = max_block or max(1, block_bytes // (width * max(1, len(first[0]))))
     cores = spark.sparkContext.defaultParallelism
-    n_q, n_x = q.count(), x.count()
+    # row counts of the inputs bound the non-null rows from above (blocks can
+    # only come out smaller) and, on a plain Parquet scan, read no column
+    n_q, n_x = queries.count(), index.count()
     b_q = _n_blocks(n_q, rows, 1)
     b_x = _n_blocks(n_x, rows, max(1, cores // b_q))
     # blocks from the row's own content, so a task recomputed after an
