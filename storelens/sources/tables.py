@@ -8,10 +8,14 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-# Inputs at least this large are spread over the cluster's cores when the scan
-# yields fewer partitions (e.g. one unsplittable row group).  At scale the scan
-# already splits and this never fires.
+# Small inputs that arrive in too few partitions (e.g. one unsplittable row
+# group) are spread over the cluster's cores: at least SPREAD_MIN_BYTES, at
+# most SPREAD_MAX_BYTES (so the extra shuffle stays bounded), one partition per
+# SPREAD_PART_BYTES up to the default parallelism.  Larger inputs are never
+# spread: the scan already splits them at spark.sql.files.maxPartitionBytes.
 SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MAX_BYTES = 1 << 30
+SPREAD_PART_BYTES = 256 << 10
 
 
 def _path_bytes(spark: SparkSession, path: str) -> int:
@@ -21,18 +25,20 @@ def _path_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
-def spread(df: DataFrame, size_bytes: int, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin repartition to the default parallelism when a sizeable
-    input arrives in fewer partitions than there are cores.  Filters and
-    column pruning still reach the scan below the repartition."""
+def spread(df: DataFrame, size_bytes: int, min_bytes: int = SPREAD_MIN_BYTES,
+           max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Round-robin repartition a small input that arrives in fewer partitions
+    than its size warrants.  Filters and column pruning still reach the scan
+    below the repartition."""
+    if not min_bytes <= size_bytes <= max_bytes:
+        return df
     try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        few = df.rdd.getNumPartitions() < target
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no local context (client session): leave as is
         return df
-    if size_bytes >= min_bytes and few:
-        return df.repartition(target)
-    return df
+    target = min(cores, -(-size_bytes // SPREAD_PART_BYTES))
+    return df.repartition(target) if have < target else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
