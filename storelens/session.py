@@ -54,8 +54,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is created and registered.
+    Read from the session.  When it is unset, a local-mode session (tests,
+    local runs) gets a scratch folder of its own; a session with a cluster
+    master must name a shared folder, since a machine-local one would not be
+    shared.  (A client session without a local context cannot tell, and gets
+    the scratch folder.)
     """
     try:
         sc = spark.sparkContext
@@ -63,6 +66,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     path = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not path:
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster "
+                               "(lineage cuts and streaming state are written there)")
         path = tempfile.mkdtemp(prefix="storelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and sc.getCheckpointDir() is None:

@@ -10,3 +10,8 @@ def test_spread_only_small_inputs_in_too_few_partitions(spark):
     assert TB.spread(one, 2 << 30).rdd.getNumPartitions() == 1             # over 1 GiB: never shuffled
     many = spark.range(1000).repartition(cores)
     assert TB.spread(many, 64 * mib) is many                                # already spread
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    from storelens.session import checkpoint_dir
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
