@@ -30,6 +30,7 @@ SWEEP_S = 300
 CLIENT_IDLE_MS = 1_800_000
 ACTIVITY_KINDS = ("chat", "login_ok")
 DEFAULT_BUCKET_S = 6 * 3600
+HISTORY_BUCKET_TURNS = 4096
 
 # Request prefixes of the reference (texts are arguments with
 # these defaults).
@@ -203,20 +204,47 @@ def _render(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
 
 
-def history_before(turns: DataFrame, conv: str = "conv_id", last_n: int | None = None) -> DataFrame:
+def history_before(turns: DataFrame, conv: str = "conv_id", last_n: int | None = None,
+                   bucket_turns: int = HISTORY_BUCKET_TURNS) -> DataFrame:
     """The ordered transcript before each turn (unbounded, as in the
-    reference; ``last_n`` bounds it for hot conversations).
+    reference; ``last_n`` bounds it to the last n earlier turns).
 
-    Output is quadratic in a conversation's length by nature; each window
-    partition is one conversation, processed as a sorted stream.
+    Unbounded output is quadratic in a conversation's length by nature; each
+    window partition is one conversation, processed as a sorted stream.
+    With ``last_n`` no conversation is one task: see :func:`_history_last_n`.
     """
-    lo = Window.unboundedPreceding if last_n is None else -last_n
-    w = Window.partitionBy(conv).orderBy("turn").rowsBetween(lo, -1)
-    hist = F.collect_list(_turn_struct()).over(w)
+    if last_n is None:
+        w = Window.partitionBy(conv).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        hist = F.collect_list(_turn_struct()).over(w)
+    else:
+        if last_n < 1:
+            raise ValueError("last_n must be at least 1")
+        turns, hist = _history_last_n(turns, conv, last_n, bucket_turns)
     return turns.select(conv, "turn", F.size(hist).alias("n_before"), hist.alias("history")) \
         .withColumn("history_text", _render(F.col("history")))
 
 
+def _history_last_n(turns: DataFrame, conv: str, last_n: int, bucket_turns: int):
+    """The last ``last_n`` earlier turns per turn, windowed per (conversation,
+    bucket of ``bucket_turns`` turn numbers).  The turns a bucket's first rows
+    need from before it come from the tails (last ``last_n`` turns) of at most
+    ``last_n`` earlier non-empty buckets, windowed per conversation over one
+    summary row per bucket."""
+    b = W.BUCKET
+    rows = turns.withColumn(b, floor_div(F.col("turn"), bucket_turns))
+    w = Window.partitionBy(conv, b).orderBy("turn")
+    rows = rows.withColumn("__in", F.collect_list(_turn_struct()).over(w.rowsBetween(-last_n, -1)))
+    tails = (rows.withColumn("__tail", F.collect_list(_turn_struct()).over(w.rowsBetween(-(last_n - 1), 0)))
+             .withColumn("__last", F.lead("turn").over(w).isNull())
+             .where("__last").select(conv, b, "__tail"))
+    wb = Window.partitionBy(conv).orderBy(b).rowsBetween(-last_n, -1)
+    carry = tails.select(conv, b, F.flatten(F.collect_list("__tail").over(wb)).alias("__carry"))
+    rows = rows.join(carry, [conv, b])
+    full = F.concat(F.coalesce(F.col("__carry"), F.array().cast(rows.schema["__in"].dataType)), F.col("__in"))
+    hist = F.slice(full, F.greatest(F.size(full) - F.lit(last_n) + 1, F.lit(1)), last_n)
+    return rows.drop(b), hist
+
+
 def transcript(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     """The full ordered transcript per conversation."""
     return (turns.groupBy(conv)

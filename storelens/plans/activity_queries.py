@@ -217,6 +217,20 @@ def c09(t):
     return h.select("conv_id", "turn", F.col("n_before").cast("long").alias("n_before"), "history_text")
 
 
+HISTORY_LAST_N = 3
+
+
+@query("c09_history_last_n", f"""
+SELECT conv_id, turn, COUNT(*) OVER w AS n_before,
+       COALESCE(array_to_string(list(role || ': ' || text) OVER w, chr(10)), '') AS history_text
+FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {HISTORY_LAST_N} PRECEDING AND 1 PRECEDING)""")
+def c09_last_n(t):
+    """C9 with the bounded history option (no conversation whole in one task)."""
+    h = C.history_before(t.conversations, last_n=HISTORY_LAST_N)
+    return h.select("conv_id", "turn", F.col("n_before").cast("long").alias("n_before"), "history_text")
+
+
 @query("c10_transcript", """
 SELECT conv_id, COUNT(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript_text
 FROM conversations GROUP BY conv_id""")

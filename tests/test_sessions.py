@@ -1,6 +1,7 @@
 import random
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from storelens.operators import sessions as C
 from tests.conftest import rows
@@ -105,3 +106,26 @@ def test_admin_allowed_and_logins(spark):
     summary = rows(C.login_summary(attempts))
     assert summary == [("correct", "Zalogowano na admina", 1), ("error", "Brak hasła", 1),
                        ("error", "Błąd backendu", 1), ("error", "loginErr4r", 1)]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 4), st.integers(1, 5))
+def test_bounded_history_across_buckets_equals_plain_window(spark, seed, last_n, bucket_turns):
+    """Sparse turn numbers and tiny buckets: history must come from earlier
+    buckets, sometimes from several; the result equals one plain window."""
+    from pyspark.sql import Window
+    rnd = random.Random(seed)
+    rows_ = []
+    for conv in range(4):
+        turn = 0
+        for _ in range(rnd.randint(0, 15)):
+            turn += rnd.randint(1, 7)
+            rows_.append((conv, turn, rnd.choice(["user", "assistant"]), f"t{conv}-{turn}"))
+    turns = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_before, r.history_text)
+           for r in C.history_before(turns, last_n=last_n, bucket_turns=bucket_turns).collect()}
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-last_n, -1)
+    hist = F.collect_list(F.struct("turn", "role", "text")).over(w)
+    plain = turns.select("conv_id", "turn", F.size(hist).alias("n"), hist.alias("h"))
+    exp = {(r.conv_id, r.turn): (r.n, "\n".join(f"{x.role}: {x.text}" for x in r.h)) for r in plain.collect()}
+    assert got == exp
