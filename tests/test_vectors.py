@@ -109,3 +109,26 @@ def test_nearest_approx_salting_does_not_change_results(spark):
     salted = V.nearest_approx(emb, queries, k=3, target_group=7)
     cols = ["query_id", "vec_id", "dist", "rank"]
     assert rows(whole, *cols) == rows(salted, *cols)
+
+
+def test_nearest_batch_dot_and_cosine_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vecs = [(i, [float(x) for x in rng.standard_normal(6).astype(np.float32)]) for i in range(40)]
+    index = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    queries = [(500 + i, v) for i, v in vecs[:5]]
+    qdf = spark.createDataFrame(queries, "query_id long, vector array<float>")
+
+    def dist(q, x, metric):
+        q, x = np.array(q, np.float64), np.array(x, np.float64)
+        dot = 0.0
+        for a, b in zip(q, x):
+            dot = dot + a * b
+        return round(-dot, 6) if metric == "dot" else round(1.0 - dot / (np.linalg.norm(q) * np.linalg.norm(x)), 6)
+
+    for metric in ("dot", "cosine"):
+        exp = {qid: [i for _, i in sorted((dist(q, x, metric), i) for i, x in vecs)[:3]] for qid, q in queries}
+        got = {}
+        for r in sorted(V.nearest_batch(index, qdf, k=3, metric=metric, max_block=7).collect(),
+                        key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == exp, metric
