@@ -181,10 +181,13 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     b_q = _n_blocks(n_q, rows, 1)
     b_x = _n_blocks(n_x, rows, max(1, cores // b_q))
     # blocks from the row's own content, so a task recomputed after an
-    # executor loss deals every row to the same block again
-    qb = (q.withColumn("__qb", F.pmod(F.xxhash64("__qid", "__qv"), F.lit(b_q)))
+    # executor loss deals every row to the same block again.  Both keys are
+    # int on both sides: the cogroup hash-partitions each side by its own key
+    # types, and a long key would send a block to another partition than the
+    # same int key.
+    qb = (q.withColumn("__qb", F.pmod(F.xxhash64("__qid", "__qv"), F.lit(b_q)).cast("int"))
           .withColumn("__xb", F.explode(F.sequence(F.lit(0), F.lit(b_x - 1)))))
-    xb = (x.withColumn("__xb", F.pmod(F.xxhash64("__id", "__v"), F.lit(b_x)))
+    xb = (x.withColumn("__xb", F.pmod(F.xxhash64("__id", "__v"), F.lit(b_x)).cast("int"))
           .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1)))))
 
     def pair(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
