@@ -174,7 +174,10 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
         return spark.createDataFrame([], schema.add(StructField("rank", LongType())))
     width = 4 if isinstance(x.schema["__v"].dataType.elementType, FloatType) else 8
     rows = max_block or max(1, block_bytes // (width * max(1, len(first[0]))))
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - a client session without a local context
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # row counts of the inputs bound the non-null rows from above (blocks can
     # only come out smaller) and, on a plain Parquet scan, read no column
     n_q, n_x = queries.count(), index.count()
@@ -202,7 +205,7 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
 
     cand = (qb.groupBy("__qb", "__xb").cogroup(xb.groupBy("__qb", "__xb"))
             .applyInPandas(pair, schema))
-    # a query id repeated many times is ranked in salted parts first
+    # a query id repeated many times reaches its final window pre-cut
     ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col(id_col)], k)
     return ranked.withColumnRenamed("query_id", query_id)
 
