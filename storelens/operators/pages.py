@@ -64,7 +64,9 @@ def page_search(pages: DataFrame, phrases: DataFrame, k: int = 3, page_id: str =
     Postings and phrase terms are written once to the checkpoint folder and
     reread by every round; each round's final phrases are written there too.
     """
-    q = cut_lineage(phrases.select(phrase_id, F.explode(F.array_distinct(terms(phrase))).alias("term")))
+    # distinct (phrase, term) pairs: a phrase id given twice counts each term once
+    q = cut_lineage(phrases.select(phrase_id, F.explode(F.array_distinct(terms(phrase))).alias("term"))
+                    .distinct())
     post = cut_lineage(page_postings(pages, page_id, html))
     d = depth or max(64, 4 * k)
     pending = q.select(phrase_id).distinct()
