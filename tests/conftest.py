@@ -14,7 +14,14 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     ckpt = tempfile.mkdtemp(prefix="storelens-test-ckpt-")
-    s = build_session("local[*]", 8, extra={"spark.checkpoint.dir": ckpt})
+    extra = {"spark.checkpoint.dir": ckpt}
+    partitions = 8
+    if os.environ.get("STORELENS_TEST_SPREAD"):
+        # every shuffle keeps all its partitions: no test may pass because
+        # groups or blocks happened to share one
+        extra["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+        partitions = 32
+    s = build_session("local[*]", partitions, extra=extra)
     yield s
     s.stop()
 
