@@ -136,3 +136,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = pages.select("page_id", F.regexp_extract(path, "^/[a-z]{2}/([0-9]{1,18})", 1).alias("number"))
     outcomes = numbered.select("page_id", shown.alias("doc_id")).join(labels, "doc_id").select("page_id", "good")
     return judge_urls(pages, outcomes)
+
+
+@query("op1_order_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from storelens.llm.order_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(C.table(spark, sf_dir, "documents"))
