@@ -144,3 +144,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.order_minhash import near_duplicate_classes
 
     return near_duplicate_classes(C.table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS s FROM d, range(1, len(w) - 3) AS r(i)),
+bs AS (SELECT DISTINCT id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS s FROM b, range(1, len(w) - 3) AS r(i)),
+n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
+x AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, n_shared FROM x JOIN n ON n.id = x.item_id WHERE 10 * n_shared >= 8 * n
+"""
+
+
+@query("op5_containment_search", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the shares that show it."""
+    from storelens.llm.decontamination import contaminated
+
+    return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
