@@ -163,3 +163,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.decontamination import contaminated
 
     return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token files."""
+    from storelens.llm.token_files import round_trip
+
+    return round_trip(C.table(spark, sf_dir, "documents"))
