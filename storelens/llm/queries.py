@@ -171,3 +171,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.token_files import round_trip
 
     return round_trip(C.table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated bytes of every document, and a checksum of what is left."""
+    from storelens.llm.repeated_spans import remove_repeats
+
+    found = remove_repeats(C.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
