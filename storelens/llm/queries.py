@@ -180,3 +180,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(C.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    from storelens.llm.toxicity import fit_on, score
+
+    docs = C.table(spark, sf_dir, "documents")
+    scored = score(docs, fit_on(docs, C.table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (C.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
