@@ -191,3 +191,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(docs, fit_on(docs, C.table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (C.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and its bytes decoded from them, as checksums."""
+    import public_tokenizers
+
+    from storelens.llm.byte_bpe import encode, load_ranks
+
+    ranks = load_ranks(C.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    found = encode(C.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
+    return found.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

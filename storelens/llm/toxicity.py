@@ -20,7 +20,8 @@ from storelens.llm.toxicity_net import ToxicityNet, words_of
 
 #: Bound of the training sample, for each class.
 SAMPLE_PER_CLASS = 1500
-UPDATES = 200
+#: Batches the network learns from: six passes over a small sample, at most this many.
+UPDATES, PASSES, BATCH = 200, 6, 48
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SAMPLE_PER_CLASS,
@@ -70,7 +71,8 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, updates: i
         rank[rows] = np.arange(len(rows))
     held = rank % 5 == 4
     fit = np.flatnonzero(~held)
-    net.prime([texts[i] for i in fit], target[fit]).fit([texts[i] for i in fit], target[fit], updates=updates)
+    own = [texts[i] for i in fit]
+    net.prime(own, target[fit]).fit(own, target[fit], updates=min(updates, max(40, PASSES * len(fit) // BATCH)), batch=BATCH)
     check = np.flatnonzero(held) if len(set(target[held].tolist())) == 2 else np.arange(len(target))
     return net.calibrate(net.logits([texts[i] for i in check]), target[check], weight[check])
 

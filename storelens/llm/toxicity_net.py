@@ -16,6 +16,8 @@ DIM, HIDDEN, ATTENTION = 16, 8, 8
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 15
 SHARPNESS = 3.0
+#: texts of the sample that a word or gram must occur in to have a vector
+MIN_TEXTS = 5
 
 _PUNCTUATION = bytes.maketrans(bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F)),
                                b" " * (15 + 7 + 6 + 4))
@@ -90,6 +92,7 @@ class ToxicityNet:
                   "u": f(2 * HIDDEN, s=0.3), "c": np.full(1, -1.0, np.float32)}
         for d in "fb":
             self.p |= {"x" + d: f(DIM, 3 * HIDDEN, s=0.4), "xb" + d: np.zeros(3 * HIDDEN, np.float32), "h" + d: f(HIDDEN, 3 * HIDDEN, s=0.3)}
+        self.used = {name: np.ones(len(self.p[name]), dtype=bool) for name in ("word", "gram")}
         self.scale, self.shift = 1.0, 0.0  # of the calibrated logit
 
     # -- forward
@@ -193,13 +196,17 @@ class ToxicityNet:
             d_x += by_word @ p["x" + d].T
         for name, rows, grads in (("word", b.row, d_x), ("gram", b.gram, (d_x / b.n_grams[:, None])[b.whose])):
             order = np.argsort(rows, kind="stable")
-            used, first = np.unique(rows[order], return_index=True)
-            g[name] = (used, np.add.reduceat(grads[order], first, axis=0) if len(first) else grads[:0])
+            found, first = np.unique(rows[order], return_index=True)
+            total = np.add.reduceat(grads[order], first, axis=0) if len(first) else grads[:0]
+            g[name] = (found[self.used[name][found]], total[self.used[name][found]])
         return g
 
     def prime(self, texts: list[bytes], target: np.ndarray) -> "ToxicityNet":
         """Start the first input dimension from how much oftener than by chance a
-        word or gram occurs in texts of class 1 (a count per text, as a z-score)."""
+        word or gram occurs in texts of class 1 (a count per text, as a z-score).
+
+        Words and grams of fewer than ``MIN_TEXTS`` texts get no vector, so that
+        a small sample can't be learned by heart from its rare words."""
         share = float(np.mean(target)) if len(target) else 0.0
         seen = {name: np.zeros((2, len(self.p[name]))) for name in ("word", "gram")}
         for lo, hi in blocks(texts, 1 << 16):
@@ -211,6 +218,8 @@ class ToxicityNet:
             due = (zero + one) * share
             z = (one - due) / np.sqrt(due * (1 - share) + 1)
             self.p[name][:, 0] = np.clip(z / 3, -1, 3)
+            self.used[name] = zero + one >= MIN_TEXTS
+            self.p[name][~self.used[name]] = 0
         return self
 
     def fit(self, texts: list[bytes], target: np.ndarray, updates: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 3) -> "ToxicityNet":
