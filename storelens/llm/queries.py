@@ -204,3 +204,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode(C.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
     return found.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_class_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document under the class-based model, and the unigram base."""
+    from storelens.llm.class_lm import held_out_fold, score_texts
+
+    return score_texts(C.table(spark, sf_dir, "documents"), held_out_fold()).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
