@@ -1,7 +1,16 @@
-"""The corpus pipeline: filters and near-copy removal over ``documents``.
+"""The corpus pipeline: five stages over ``documents``.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's docs.  A stage sees whatever its
+predecessor kept, and its decisions take effect:
+
+1. ``toxicity``: documents that the network scores 0.5 or more go;
+2. ``near_dedup``: one document of each near-duplicate class stays, the least id;
+3. ``suffix_dedup``: bytes covered by a 50-byte string of an earlier document go;
+4. ``decontaminate``: documents that hold a benchmark item go;
+5. ``bpe``: texts become token ids, and the text is what the ids decode to.
+
+An empty table passes through all stages; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -9,11 +18,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storelens.llm.byte_bpe import encode, load_ranks
+from storelens.llm.common import shared_folder, table, tokenizer_file
+from storelens.llm.decontamination import decontaminate
+from storelens.llm.order_minhash import keep_one_per_class
+from storelens.llm.repeated_spans import without_repeats
+from storelens.llm.toxicity import fit_on, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network does not reject.
+
+    The network learns from the labelled documents of ``docs``.  Null and empty
+    texts score like any text without words.
+    """
+    return without_toxic(docs, fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of every near-duplicate class."""
+    return keep_one_per_class(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that earlier ones hold; ``n_chars`` follows the text."""
+    left = without_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Columns of ``docs`` with the text decoded from its token ids, ``n_tokens`` and ``token_ids``."""
+    import public_tokenizers
+
+    ranks = load_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    others = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
+    found = encode(docs, ranks, public_tokenizers.PATTERN, carry=others)
+    ids = F.when(F.col("n_tokens") == 0, F.array().cast("array<int>")).otherwise(F.split("ids_text", ",").cast("array<int>"))
+    return found.select(*[F.col(f"`{c}`") if c != "text" else F.col("decoded").cast("string").alias("text")
+                          for c in docs.columns if c in others or c == "text"], "n_tokens", ids.alias("token_ids"))
 
-from storelens.llm.common import shared_folder, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontamination), ("bpe", bpe)]
 
+#: Network scores and ordered sketches can't be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
