@@ -3,13 +3,13 @@
 File layout, little-endian:
 
     b"PFOR0001"
-    blocks, back to back; one block of up to 256 ids:
+    blocks, back to back; one block of up to 1024 ids:
         u32 base     least id of the block
-        u8  width    bits of a packed offset, the chosen percentile's bit length
-        u8  n - 1    ids in the block, less one
+        u16 width    bits of a packed offset, the chosen percentile's bit length
+        u16 n        ids in the block
         u16 x        exceptions: offsets that need more than width bits
         packed       ceil(n * width / 8) bytes, low bit first, low width bits of each offset
-        u8[x]        places of the exceptions
+        u16[x]       places of the exceptions
         u32[x]       their whole offsets
     i64[docs]        document ids
     u8[docs]         1 where the document id is known, 0 where it is null
@@ -23,22 +23,26 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 256
+BLOCK = 1024
 PERCENTILE = 0.98
 MAGIC, END = b"PFOR0001", b"PFOREND1"
-_HEAD = np.dtype([("base", "<u4"), ("width", "u1"), ("last", "u1"), ("x", "<u2")])
+_HEAD = np.dtype([("base", "<u4"), ("width", "<u2"), ("n", "<u2"), ("x", "<u2")])
 
 
 def _pack(low: np.ndarray, width: int) -> np.ndarray:
     """(blocks, n) offsets -> (blocks, bytes) of width bits each."""
     if not width:
         return np.zeros((len(low), 0), dtype=np.uint8)
+    if width == 16:
+        return low.astype("<u2").view(np.uint8).reshape(len(low), -1)
     raw = low.astype("<u4").view(np.uint8).reshape(len(low), low.shape[1], 4)
     bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width]
     return np.packbits(bits.reshape(len(low), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
+    if width == 16:
+        return np.ascontiguousarray(packed).view("<u2").astype(np.int64)
     out = np.zeros((len(packed), n, 32), dtype=np.uint8)
     bits = np.unpackbits(packed, axis=1, bitorder="little")[:, :n * width]
     out[:, :, :width] = bits.reshape(len(packed), n, width)
@@ -50,7 +54,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes
     ids = np.asarray(ids, dtype=np.int64)
     out: list[bytes] = []
     whole = len(ids) // BLOCK * BLOCK
-    step = BLOCK * 1024
+    step = BLOCK * 256
     parts = [ids[a:min(a + step, whole)].reshape(-1, BLOCK) for a in range(0, whole, step)]
     if whole < len(ids):
         parts.append(ids[whole:].reshape(1, -1))
@@ -68,8 +72,8 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes
             over = own >> int(w) > 0
             for r, p, o, v in zip(rows, packed, over, own):
                 x = np.flatnonzero(o)
-                head = np.array([(base[r], w, n - 1, len(x))], dtype=_HEAD).tobytes()
-                made[r] = head + p.tobytes() + x.astype(np.uint8).tobytes() + v[x].astype("<u4").tobytes()
+                head = np.array([(base[r], w, n, len(x))], dtype=_HEAD).tobytes()
+                made[r] = head + p.tobytes() + x.astype("<u2").tobytes() + v[x].astype("<u4").tobytes()
         out += made
     return out
 
@@ -83,23 +87,23 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Ids of the blocks at these byte offsets, in order."""
     raw = np.frombuffer(data, dtype=np.uint8)
     heads = raw[starts[:, None] + np.arange(_HEAD.itemsize)].copy().view(_HEAD).reshape(-1)
-    n = heads["last"].astype(np.int64) + 1
+    n = heads["n"].astype(np.int64)
     first = np.r_[0, np.cumsum(n)]
     out = np.empty(first[-1], dtype=np.int64)
     shapes = np.stack([n, heads["width"].astype(np.int64)], axis=1)
     for count, width in np.unique(shapes, axis=0):
         rows = np.flatnonzero((shapes == (count, width)).all(axis=1))
         size = -(-int(count) * int(width) // 8)
-        for a in range(0, len(rows), 1024):
-            some = rows[a:a + 1024]
+        for a in range(0, len(rows), 256):
+            some = rows[a:a + 256]
             packed = raw[(starts[some] + _HEAD.itemsize)[:, None] + np.arange(size)]
             values = _unpack(packed, int(width), int(count)) if width else np.zeros((len(some), int(count)), dtype=np.int64)
             out[first[some][:, None] + np.arange(int(count))] = values
-    body = starts + _HEAD.itemsize + -(-n * heads["width"] // 8)
+    body = starts + _HEAD.itemsize + -(-n * heads["width"].astype(np.int64) // 8)
     for r in np.flatnonzero(heads["x"]):
         x, b = int(heads["x"][r]), int(body[r])
-        places = raw[b:b + x].astype(np.int64)
-        out[first[r] + places] = np.frombuffer(data, dtype="<u4", count=x, offset=b + x)
+        places = np.frombuffer(data, dtype="<u2", count=x, offset=b).astype(np.int64)
+        out[first[r] + places] = np.frombuffer(data, dtype="<u4", count=x, offset=b + 2 * x)
     return out + np.repeat(heads["base"].astype(np.int64), n)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,65 +27,90 @@ END_ID = 0
 #: Text per task and ids per file.
 TASK_BYTES, FILE_IDS = 32 << 20, 4 << 20
 #: Distinct words whose ids a task remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 #: A space between white space on both sides: there a text can't be cut safely.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: single marks that the split pattern leaves alone after a word
+_MARKS = frozenset("!#$%&()*+,-./:;<=>?@[]^_`{|}~")
 _ENCODERS: dict = {}
 
 
+class _Memory(dict):
+    """Remembers what ``make`` gave for a key."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
+
+    def trim(self, most: int) -> None:
+        if len(self) > most:
+            for key in list(self)[most // 2:]:
+                del self[key]
+
+
 class WordEncoder:
     """``Tokenizer.encode`` of whole texts, with the ids of words remembered.
 
-    The tokenizer's split pattern begins a new piece at every single space, so the
-    ids of a text are those of its space-led words, one after another.  Texts with
-    longer runs of white space are encoded in one go.
+    The tokenizer splits a text by a pattern and merges every piece by itself.  The
+    pattern begins a new piece at every single space, so a text is cut there into units
+    whose ids are remembered; a new unit is split by the same pattern, and a new
+    piece goes to the tokenizer's own model.  Texts with longer runs of white
+    space are not cut first.  When the memory is full, its oldest entries,
+    mostly the frequent words, stay.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         quiet_threads()
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.led = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.led[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
+        if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tokenizer.normalizer is not None:
+            raise ValueError("a byte-level vocabulary without normalisation is needed")
+        self.model = self.tokenizer.model
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        # the vocabulary's letters for bytes: printable ones stand for themselves, the rest follow from 256 on
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: 256 + k for k, b in enumerate(rest)}
+        self.pieces = _Memory(self._piece)
+        self.units = _Memory(self._unit)
         self.cache_words = cache_words
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        for a in range(0, len(plain), 2000):
-            some = plain[a:a + 2000]
-            ids = self._ids([" " + " ".join(some)])[0]
-            first = np.flatnonzero(self.led[ids])
-            if len(first) == len(some):
-                self.known.update(zip(some, (p.tobytes() for p in np.split(ids, first[1:]))))
-            else:  # a word that holds a space-led token of its own
-                self.known.update(zip(some, (i.tobytes() for i in self._ids([" " + w for w in some]))))
-        odd = list(words.difference(plain))
-        self.known.update(zip(odd, (i.tobytes() for i in self._ids([" " + w for w in odd]))))
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            spelt = "Ġ" + piece[1:]
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if unit.isalpha():  # the two usual shapes, without the pattern: a word, and a word with a mark after it
+            return self.pieces[" " + unit]
+        if unit[-1:] in _MARKS and unit[:-1].isalpha():
+            return self.pieces[" " + unit[:-1]] + self.pieces[unit[-1]]
+        return self._whole(" " + unit)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.split(text)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without any end id."""
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        if len(self.known) > self.cache_words:
-            self.known.clear()
-        new = {w for parts in cut.values() for w in parts[1:]}
-        new.difference_update(self.known)
-        if new:
-            self._learn(new)
-        heads = dict(zip(cut, self._ids([parts[0] for parts in cut.values()])))
-        for i, parts in cut.items():
-            out[i] = np.frombuffer(heads[i].tobytes() + b"".join([self.known[w] for w in parts[1:]]), dtype="<u4")
+        out = []
+        for text in texts:
+            if _UNSAFE.search(text):
+                ids = self._whole(text)
+            else:
+                first, *rest = text.split(" ")
+                ids = self._whole(first) + b"".join(map(self.units.__getitem__, rest))
+            out.append(np.frombuffer(ids, dtype="<u4"))
+        self.pieces.trim(self.cache_words)
+        self.units.trim(self.cache_words)
         return out
 
 
