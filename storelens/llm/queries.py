@@ -179,7 +179,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.repeated_spans import remove_repeats
 
     found = remove_repeats(C.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 @query("op9_toxicity")
@@ -202,7 +202,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = load_ranks(C.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     found = encode(C.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
-    return found.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
+    return found.select("carried.doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
