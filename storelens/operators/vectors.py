@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
@@ -27,6 +28,8 @@ ROUND = 6
 BLOCK_BYTES = 64 << 20
 QUERY_STEP = 1024
 INDEX_STEP = 8192
+# Pairs whose exact distance is worked out at once (two copies of 64 dims: 64 MiB).
+PAIR_STEP = 1 << 16
 # Below this many rows per block a table is not cut further just to use more cores.
 MIN_BLOCK_ROWS = 256
 CONTEXT_SEPARATOR = "\n\n...\n\n"  # fixed value: appended after every hit
@@ -60,7 +63,8 @@ def distance_expr(a: Column, b: Column, metric: str = "l2") -> Column:
     if metric == "cosine":
         na = F.sqrt(F.aggregate(F.transform(ad, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
         nb = F.sqrt(F.aggregate(F.transform(bd, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
-        return F.lit(1.0) - dot / (na * nb)
+        # a zero vector has no direction: it is as far as an orthogonal one
+        return F.when(na * nb > 0, F.lit(1.0) - dot / F.when(na * nb > 0, na * nb)).otherwise(F.lit(1.0))
     raise ValueError(metric)
 
 
@@ -85,7 +89,17 @@ def _distances(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
     if metric == "dot":
         return -dot
     norms = np.linalg.norm(qm, axis=1)[:, None] * np.linalg.norm(xm, axis=1)[None, :]
-    return 1.0 - dot / norms
+    return 1.0 - np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
+
+
+def _slack(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
+    """A bound on how far ``_distances`` is from the exact distance: rounding
+    grows with the squared norms and the number of dimensions."""
+    eps = 8 * (qm.shape[1] + 4) * np.finfo(np.float64).eps
+    if metric == "cosine":
+        return np.full((len(qm), len(xm)), eps)
+    q, x = (qm * qm).sum(1), (xm * xm).sum(1)
+    return eps * (q[:, None] + x[None, :])
 
 
 def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
@@ -102,7 +116,8 @@ def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
         return acc
     if metric == "dot":
         return -acc
-    return 1.0 - acc / (np.linalg.norm(qm, axis=1) * np.linalg.norm(xm, axis=1))
+    norms = np.linalg.norm(qm, axis=1) * np.linalg.norm(xm, axis=1)
+    return 1.0 - np.divide(acc, norms, out=np.zeros_like(acc), where=norms > 0)
 
 
 def _topk_rows(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
@@ -126,15 +141,18 @@ def _pair_topk(qids: np.ndarray, qm: np.ndarray, xid: np.ndarray, xm: np.ndarray
         for lo in range(0, len(qm), QUERY_STEP):
             qs = qm[lo:lo + QUERY_STEP]
             approx = _distances(qs, xs, metric)
+            err = _slack(qs, xs, metric)
             kk = min(k, approx.shape[1])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            # every pair that could be in the exact top-k after rounding
-            qi, xi = np.nonzero(approx <= kth[:, None] + 1e-5)
-            d = np.round(_exact(qs[qi], xs[xi], metric), ROUND)
-            st_q = np.concatenate([st_q, qi + lo])
-            st_id = np.concatenate([st_id, ids[xi]])
-            st_d = np.concatenate([st_d, d])
-        st_q, st_id, st_d = _topk_rows(st_q, st_id, st_d, k)
+            # the k-th exact distance is at most this, and rounding moves either side by half a unit
+            kth = np.partition(approx + err, kk - 1, axis=1)[:, kk - 1] + 10.0 ** -ROUND
+            qi, xi = np.nonzero(approx - err <= kth[:, None])
+            # ties and wide error bounds can select a whole tile: worked off in
+            # slices of a fixed number of pairs, keeping k rows per query
+            for a in range(0, len(qi), PAIR_STEP):
+                qa, xa = qi[a:a + PAIR_STEP], xi[a:a + PAIR_STEP]
+                d = np.round(_exact(qs[qa], xs[xa], metric), ROUND)
+                st_q, st_id, st_d = _topk_rows(np.concatenate([st_q, qa + lo]), np.concatenate([st_id, ids[xa]]),
+                                               np.concatenate([st_d, d]), k)
     return qids[st_q], st_id, st_d
 
 
@@ -171,7 +189,8 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
                          StructField("dist", DoubleType())])
     first = x.select("__v").first()  # one row: the vector width
     if first is None:
-        return spark.createDataFrame([], schema.add(StructField("rank", LongType())))
+        empty = spark.createDataFrame([], schema.add(StructField("rank", LongType())))
+        return empty.withColumnRenamed("query_id", query_id)
     width = 4 if isinstance(x.schema["__v"].dataType.elementType, FloatType) else 8
     rows = max_block or max(1, block_bytes // (width * max(1, len(first[0]))))
     try:
@@ -212,79 +231,99 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
 
 # ------------------------------------------------------------------ V6
 
+# Hyperplanes are drawn once for so many planes; a table of n rows uses the first log2(n / BUCKET_ROWS).
+MAX_PLANES, BUCKET_ROWS, N_TABLES, SEED = 40, 256, 8, 7
+
+
+def hyperplanes(dim: int, n_tables: int = N_TABLES, seed: int = SEED) -> np.ndarray:
+    """The fixed planes: (table, plane, dim); a prefix of the planes stays the same whatever the index size."""
+    return np.random.default_rng(seed).standard_normal((n_tables, MAX_PLANES, dim))
+
+
 def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
                    vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
-                   n_planes: int = 3, n_tables: int = 4, seed: int = 7,
+                   n_tables: int = N_TABLES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED,
                    target_group: int = 50_000) -> DataFrame:
     """V6: approximate k nearest by random-hyperplane hashing.
 
-    Each of ``n_tables`` hash tables gives every vector a bucket from the
-    signs of ``n_planes`` fixed random projections; a query is compared only
-    with the index rows sharing one of its buckets, and the candidates of all
-    tables are merged (more tables, higher recall).  Large buckets are salted
-    on both sides into parts of about ``target_group`` rows, and every query
-    part meets every index part of its bucket, so no group holds a hot
-    bucket whole.  Each group runs the tiled exact top-k of V5; only k rows
-    per query and group leave it.
+    Each of ``n_tables`` tables gives every vector a bucket from the signs of
+    its projections on log2(rows / ``bucket_rows``) planes, so buckets stay
+    about ``bucket_rows`` rows however large the index is.  A query looks into
+    its own bucket and those that differ in one sign, in every table.
+    Buckets are dealt to tasks in groups of about ``target_group`` rows; a
+    bucket above that is cut on both sides, and every query part meets every
+    index part.  Only k rows per query and group leave a task.
+
+    Every query is returned: ``short`` marks those with fewer than k
+    neighbours found, and one without any (an empty index, a null vector)
+    has one row with a null id.
     """
-    dim = len(index.select(vec_col).where(F.col(vec_col).isNotNull()).first()[0])
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((n_tables, n_planes, dim))
-
-    def buckets(c):
-        """array<struct<__t, __b>>: the vector's bucket in every table."""
-        out = []
-        for t, table in enumerate(planes):
-            bits = [F.when(F.aggregate(F.zip_with(c, F.array(*[F.lit(float(v)) for v in p]),
-                                                  lambda x, y: x.cast("double") * y),
-                                       F.lit(0.0), lambda a, x: a + x) >= 0, 1 << i).otherwise(0)
-                    for i, p in enumerate(table)]
-            b = bits[0]
-            for x in bits[1:]:
-                b = b + x
-            out.append(F.struct(F.lit(t).alias("__t"), b.alias("__b")))
-        return F.array(*out)
-
-    idx = index.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v"),
-        F.inline(buckets(F.col(vec_col))))
-    qs = queries.where(F.col(query_vec).isNotNull()).select(
-        F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv"),
-        F.inline(buckets(F.col(query_vec))))
-    # Both sides of a bucket are cut into salt parts of about target_group
-    # rows (by a hash of id and vector); every query part meets every index
-    # part of its bucket, so no group holds a hot bucket's queries or index
-    # rows whole.
-    def parts(n):
-        return F.greatest(F.lit(1), F.ceil(F.col(n) / target_group)).cast("int")
-
-    salts = (idx.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__ni"))
-             .join(qs.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__nq")), ["__t", "__b"])
-             .select("__t", "__b", parts("__ni").alias("__si"), parts("__nq").alias("__sq")))
-    salts = F.broadcast(salts)  # one row per table and bucket: at most n_tables * 2**n_planes rows
-    idx = idx.join(salts, ["__t", "__b"]).select(
-        "__id", "__v", "__t", "__b", F.pmod(F.xxhash64("__id", "__v"), F.col("__si")).cast("int").alias("__is"),
+    spark = index.sparkSession
+    asked = queries.select(F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv"))
+    x = index.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v")).where(F.col("__v").isNotNull())
+    first = x.select("__v").first()
+    ids = asked.select("__qid").distinct()
+    if first is None:
+        return ids.select(F.col("__qid").alias(query_id), F.lit(None).cast("long").alias(id_col), F.lit(None).cast("double").alias("dist"),
+                          F.lit(None).cast("long").alias("rank"), F.lit(True).alias("short"))
+    n = index.count()
+    n_planes = min(MAX_PLANES, max(0, int(np.ceil(np.log2(max(n, 1) / bucket_rows)))))
+    planes = hyperplanes(len(first[0]), n_tables, seed)[:, :n_planes]
+    groups = max(1, -(-n * n_tables // target_group))
+
+    def hashed(probes: bool):
+        def run(batches):
+            for b in batches:
+                column = b.column(1)
+                m = np.array(column.to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
+                bits = (np.einsum("nd,tpd->ntp", m, planes) >= 0) @ (1 << np.arange(n_planes, dtype=np.int64))
+                flips = np.r_[0, 1 << np.arange(n_planes, dtype=np.int64)] if probes else np.zeros(1, np.int64)
+                per = n_tables * len(flips)
+                who = np.repeat(np.arange(b.num_rows), per)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(who)), column.take(pa.array(who)), pa.array(np.tile(np.repeat(np.arange(n_tables), len(flips)), b.num_rows)),
+                     pa.array((bits[:, :, None] ^ flips).reshape(-1))], [*b.schema.names, "__t", "__b"])
+
+        return run
+
+    kind = x.schema["__v"].dataType.simpleString()
+    idx = x.mapInArrow(hashed(False), f"__id long, __v {kind}, __t long, __b long")
+    qs = (asked.where(F.col("__qv").isNotNull())
+          .mapInArrow(hashed(True), f"__qid long, __qv {asked.schema['__qv'].dataType.simpleString()}, __t long, __b long"))
+    # buckets above the target are cut; all others are one part on either side
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / target_group)).cast("int")
+    cut = (idx.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__ni"))
+           .join(qs.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__nq")), ["__t", "__b"])
+           .select("__t", "__b", parts("__ni").alias("__si"), parts("__nq").alias("__sq")))
+    group = F.pmod(F.xxhash64("__t", "__b"), F.lit(groups)).cast("int").alias("__g")
+    idx = idx.join(cut, ["__t", "__b"]).select(
+        "__id", "__v", "__t", "__b", group, F.pmod(F.xxhash64("__id", "__v"), F.col("__si")).cast("int").alias("__is"),
         F.explode(F.sequence(F.lit(0), F.col("__sq") - 1)).alias("__qs"))
-    qs = qs.join(salts, ["__t", "__b"]).select(
-        "__qid", "__qv", "__t", "__b", F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
+    qs = qs.join(cut, ["__t", "__b"]).select(
+        "__qid", "__qv", "__t", "__b", group, F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
         F.explode(F.sequence(F.lit(0), F.col("__si") - 1)).alias("__is"))
 
     def group_topk(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64),
-                                 "dist": np.empty(0, np.float64)})
-        qi, ids, d = _pair_topk(left["__qid"].to_numpy(np.int64), np.stack(left["__qv"].to_numpy()).astype(np.float64),
-                                right["__id"].to_numpy(np.int64), np.stack(right["__v"].to_numpy()).astype(np.float64),
-                                k, "l2")
-        return pd.DataFrame({"query_id": qi, "vec_id": ids, "dist": d})
-
-    keys = ["__t", "__b", "__is", "__qs"]
-    cand = qs.groupBy(*keys).cogroup(idx.groupBy(*keys)).applyInPandas(
-        group_topk, "query_id long, vec_id long, dist double")
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
+        inside = right.groupby(["__t", "__b"]).indices
+        for bucket, rows in left.groupby(["__t", "__b"]).indices.items():
+            if bucket in inside:
+                l, r = left.iloc[rows], right.iloc[inside[bucket]]
+                found.append(_pair_topk(l["__qid"].to_numpy(np.int64), np.stack(l["__qv"].to_numpy()).astype(np.float64),
+                                        r["__id"].to_numpy(np.int64), np.stack(r["__v"].to_numpy()).astype(np.float64), k, "l2"))
+        q, i, d = (np.concatenate(c) for c in zip(*found))
+        keep = pd.DataFrame({"query_id": q, "vec_id": i, "dist": d}).drop_duplicates()
+        return keep.sort_values(["query_id", "dist", "vec_id"]).groupby("query_id").head(k)
+
+    keys = ["__g", "__is", "__qs"]
+    cand = qs.groupBy(*keys).cogroup(idx.groupBy(*keys)).applyInPandas(group_topk, "query_id long, vec_id long, dist double")
     # a neighbour found by several tables is one candidate
     cand = cand.dropDuplicates(["query_id", "vec_id"])
-    out = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col("vec_id")], k)
-    return out.withColumnRenamed("vec_id", id_col).withColumnRenamed("query_id", query_id)
+    ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col("vec_id")], k)
+    sizes = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
+    out = ids.join(ranked.join(sizes, "query_id"), F.col("__qid") == F.col("query_id"), "left")
+    return out.select(F.col("__qid").alias(query_id), F.col("vec_id").alias(id_col), "dist", "rank",
+                      (F.coalesce("__n", F.lit(0)) < k).alias("short"))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "query_id", id_col: str = "vec_id") -> DataFrame:

@@ -16,14 +16,11 @@ from storelens.operators import vectors as V
 from storelens.plans.registry import query
 from storelens.sources import documents as S
 
-PAGE_TEXT_SQL = "CASE WHEN role = 'system' THEN NULL ELSE text END"
-
-
-@query("s02_assemble_pages", f"""
-SELECT conv_id, string_agg(COALESCE({PAGE_TEXT_SQL}, ''), '' ORDER BY turn) AS text
+@query("s02_assemble_pages", """
+SELECT conv_id, string_agg(COALESCE(text, ''), '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")
 def s02(t):
-    pages = t.conversations.select("conv_id", "turn", F.expr(PAGE_TEXT_SQL).alias("text"))
+    pages = t.conversations.select("conv_id", "turn", "text")
     return S.assemble_pages(pages, doc="conv_id", page_no="turn", text="text")
 
 
@@ -94,18 +91,41 @@ def v05(t):
     return V.nearest_batch(t.embeddings, _self_queries(t), k=3)
 
 
-@query("v06_nearest_approx")
+def _planes_sql(dim: int = 64, planes: int = 12) -> str:
+    """The first planes of every table, as rows (t, i, plane): enough for 2**20 index rows."""
+    fixed = V.hyperplanes(dim)[:, :planes]
+    return ", ".join(f"({t}, {i}, [{', '.join(repr(float(v)) for v in p)}])" for t, table in enumerate(fixed) for i, p in enumerate(table))
+
+
+V6_CTE = f"""
+WITH p AS (SELECT greatest(0, ceil(log2(count(*) / {V.BUCKET_ROWS}.0)))::INT AS planes FROM embeddings),
+pl(t, i, plane) AS (VALUES {_planes_sql()}),
+e AS (SELECT vec_id, embedding, t FROM embeddings, range({V.N_TABLES}) AS r(t) WHERE embedding IS NOT NULL),
+h AS (SELECT vec_id, e.t, any_value(embedding) AS embedding, coalesce(sum(CASE WHEN list_sum(list_transform(range(1, len(embedding) + 1),
+             lambda j: embedding[j]::DOUBLE * plane[j])) >= 0 THEN 1 << i ELSE 0 END), 0)::BIGINT AS b
+      FROM e LEFT JOIN (SELECT pl.* FROM pl, p WHERE i < planes) pl ON pl.t = e.t GROUP BY vec_id, e.t),
+pr AS (SELECT vec_id, t, b FROM h UNION ALL
+       SELECT vec_id, t, xor(b, (1 << f)::BIGINT) FROM h, p, range(64) AS r(f) WHERE f < planes),
+c AS (SELECT DISTINCT pr.vec_id AS query_id, h.vec_id FROM pr JOIN h USING (t, b)),
+d AS (SELECT query_id, a.vec_id, {L2_SQL} AS dist FROM c JOIN embeddings a ON a.vec_id = c.vec_id JOIN embeddings b ON b.vec_id = query_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d),
+t3 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM r WHERE rank <= 3)"""
+
+
+@query("v06_nearest_approx", f"""{V6_CTE}
+SELECT q.vec_id AS query_id, t3.vec_id, dist, rank, coalesce(n, 0) < 3 AS short
+FROM (SELECT DISTINCT vec_id FROM embeddings) q LEFT JOIN t3 ON q.vec_id = t3.query_id""")
 def v06(t):
     return V.nearest_approx(t.embeddings, _self_queries(t), k=3)
 
 
 @query("v07_assemble_context", f"""
 WITH h AS ({V5_SQL})
-SELECT query_id, string_agg(text || {sql_literal(V.CONTEXT_SEPARATOR)}, '' ORDER BY rank) AS context
-FROM h JOIN documents ON vec_id = doc_id GROUP BY query_id""")
+SELECT query_id, string_agg(COALESCE(text, '') || {sql_literal(V.CONTEXT_SEPARATOR)}, '' ORDER BY rank) AS context
+FROM h LEFT JOIN documents ON vec_id = doc_id GROUP BY query_id""")
 def v07(t):
     hits = V.nearest_batch(t.embeddings, _self_queries(t), k=3)
-    hits = hits.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    hits = hits.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
     return V.assemble_context(hits)
 
 
@@ -152,10 +172,10 @@ def v09(t):
 
 @query("s03_index_roundtrip", """
 SELECT vec_id AS chunk_id, text AS chunk_text, len(embedding) AS dims
-FROM embeddings JOIN documents ON vec_id = doc_id""")
+FROM embeddings LEFT JOIN documents ON vec_id = doc_id""")
 def s03(t):
     from storelens.session import scratch_path
-    index = (t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    index = (t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
              .select(F.col("vec_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "embedding"))
     path = scratch_path(t.spark, "s03-index")
     S.save_index(index, path)
@@ -165,7 +185,8 @@ def s03(t):
     return loaded.select("chunk_id", "chunk_text", F.size("embedding").cast("long").alias("dims"))
 
 
-@query("v06_recall")
+@query("v06_recall", f"""{V6_CTE}, x AS ({V5_SQL})
+SELECT count(t3.vec_id) / count(*) AS recall FROM x LEFT JOIN t3 ON x.query_id = t3.query_id AND x.vec_id = t3.vec_id""")
 def v06_recall(t):
     """Measured recall@3 of the approximate search against the exact one."""
     approx = V.nearest_approx(t.embeddings, _self_queries(t), k=3)

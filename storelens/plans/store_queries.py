@@ -53,12 +53,12 @@ def r03(t):
     return R.orders_by_status(t.orders, "o_orderpriority", PRIORITIES)
 
 
-@query("r04_orders_per_customer", f"""
+@query("r04_orders_per_customer", """
 SELECT c_custkey, COUNT(o_orderkey) AS n_orders
-FROM customer LEFT JOIN (SELECT * FROM orders WHERE {QUARTER_SQL}) o ON c_custkey = o_custkey
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey
 GROUP BY c_custkey""")
 def r04(t):
-    return R.orders_per_customer(t.customer, _quarter(t.orders))
+    return R.orders_per_customer(t.customer, t.orders)
 
 
 @query("r05_customers_without_orders", f"""
@@ -231,15 +231,16 @@ def t05(t):
     return T.check_width(t.part, "p_partkey", {"p_name": "varchar(10)", "p_retailprice": "decimal(5,2)"})
 
 
-def _active_customers(t):
-    return t.customer.where(F.col("c_acctbal") >= 0)
+# orphans: every hundredth order points past the last customer
+SHIFTED_KEY_SQL = "CASE WHEN o_orderkey % 100 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END"
 
 
-@query("t06_check_fk", """
-SELECT o_orderkey, o_custkey FROM orders
-WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""")
+@query("t06_check_fk", f"""
+SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, {SHIFTED_KEY_SQL} AS o_custkey FROM orders)
+WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
 def t06(t):
-    return T.check_fk(t.orders, _active_customers(t), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+    orders = t.orders.select("o_orderkey", F.expr(SHIFTED_KEY_SQL).alias("o_custkey"))
+    return T.check_fk(orders, t.customer, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("t07_cascade_delete", """
