@@ -86,7 +86,7 @@ def running_sum_across(df: DataFrame, keys, order: Sequence[str], value: str, ou
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rank",
                     method: str = "row_number", salt_by: Sequence[str] | None = None,
-                    salts: int = 16) -> DataFrame:
+                    salts: int | None = None) -> DataFrame:
     """Rows ranked ``<= k`` inside each group, without ranking a whole group
     in one task.
 
@@ -95,7 +95,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     exchange, so each map task sends at most ``k`` rows per group (plus
     ties for ``rank``/``dense_rank``) and a hot group arrives pre-cut.  Above
     the threshold two phases do the same by hand: phase one ranks inside
-    ``salts`` hash sub-groups of each group and keeps rank ``<= k`` (a row
+    ``salts`` hash sub-groups of each group (as many as there are shuffle partitions) and keeps rank ``<= k`` (a row
     in the group's top k is also in its sub-group's top k, so nothing is
     lost); phase two ranks only those survivors.
     """
@@ -105,6 +105,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k <= threshold:
         return df.withColumn(out, fn().over(w2).cast("long")).where(F.col(out) <= k)
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt_cols = list(salt_by) if salt_by else df.columns
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)))
     w1 = Window.partitionBy(*group, "__salt").orderBy(*order)

@@ -140,8 +140,10 @@ def chunk_invariants(chunks: DataFrame, docs: DataFrame | None = None, id_col: s
     w = Window.partitionBy(id_col).orderBy("chunk_no")
     c = chunks.withColumn("__prev_end", F.lag("end").over(w))
     no_sep = None
+    # a chunk that can't be split further may begin with the separator before it
+    body = F.substring("chunk_text", 2, 1 << 30)
     for s in separators:
-        term = ~F.col("chunk_text").contains(s)
+        term = ~F.when(F.lit(len(s) == 1) & F.col("chunk_text").startswith(s), body).otherwise(F.col("chunk_text")).contains(s)
         no_sep = term if no_sep is None else (no_sep & term)
     per_doc = c.groupBy(id_col).agg(
         F.sum(F.col("end") - F.greatest("start", F.coalesce("__prev_end", "start"))).alias("covered"),

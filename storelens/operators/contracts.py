@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from storelens.functions.joins import broadcast_if_small
 from storelens.session import cut_lineage
 
 # Fixed values of the shop schema (must equal the reference DDL).
@@ -153,10 +153,10 @@ def cascade_update(parent: DataFrame, child: DataFrame, mapping: DataFrame, pare
                    child_col: str, old_col: str = "old_key", new_col: str = "new_key"):
     """Re-key parents and, by cascade, their children: ``coalesce(new, old)``.
 
+    An old key mapped twice takes its least new key, so no row is multiplied.
     Duplicate new keys are reported by :func:`check_unique` on the result.
     """
-    m = mapping.select(F.col(old_col).alias("__old"), F.col(new_col).alias("__new"))
-    m = broadcast_if_small(m)
+    m = mapping.groupBy(F.col(old_col).alias("__old")).agg(F.min(new_col).alias("__new"))
 
     def rekey(df, col):
         cols = [F.coalesce("__new", F.col(col)).alias(col) if c == col else F.col(c) for c in df.columns]
@@ -195,3 +195,63 @@ def order_number(i, year) -> Column:
     i = F.col(i) if isinstance(i, str) else i
     year = F.col(year) if isinstance(year, str) else year
     return F.format_string("ZA-%d-%d", year.cast("int"), (F.lit(ORDER_NUMBER_BASE) + i).cast("long"))
+
+
+# ------------------------------------------------------------------ declared contracts
+
+@dataclass(frozen=True)
+class Contract:
+    """The declared rules of one table (T1-T6): what a DDL statement says."""
+
+    key: str
+    not_null: Sequence[str] = ()
+    unique: Sequence[str] = ()
+    unique_collation: str = "UNICODE_CI"
+    enums: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    widths: Mapping[str, str] = field(default_factory=dict)
+    foreign_keys: Mapping[str, tuple[str, str]] = field(default_factory=dict)  # column -> (parent table, its key)
+    defaults: Mapping[str, object] = field(default_factory=dict)
+
+
+#: The two tables of the shop (fixed values: columns, widths, lists and defaults of the reference DDL).
+CUSTOMER_CONTRACT = Contract(
+    "id_klienta", not_null=("imie", "nazwisko", "email"), unique=("email",),
+    enums={"typ_konta": ACCOUNT_TYPES, "status_konta": ACCOUNT_STATUSES},
+    defaults={**CUSTOMER_DEFAULTS, "data_rejestracji": "CURRENT_TIMESTAMP"})
+ORDER_CONTRACT = Contract(
+    "id_zamowienia", not_null=("id_klienta", "numer_zamowienia", "produkt_nazwa", "cena_jednostkowa"), unique=("numer_zamowienia",),
+    enums={"status_zamowienia": ORDER_STATUSES, "metoda_platnosci": PAYMENT_METHODS},
+    foreign_keys={"id_klienta": ("customers", "id_klienta")},
+    defaults={**ORDER_DEFAULTS, "data_zamowienia": "CURRENT_TIMESTAMP"})
+
+
+def check_contract(df: DataFrame, contract: Contract, parents: Mapping[str, DataFrame] | None = None, now=None) -> DataFrame:
+    """All violations of a contract in one report ``(rule, key, column, value)``.
+
+    Defaults are filled first (T2), so an omitted column with a default is no
+    violation.  ``key`` is the row's key as text, or the repeated value for
+    the unique rule.
+    """
+    df = fill_defaults(df, {c: v for c, v in contract.defaults.items() if c in df.columns}, now)
+    parts = []
+    if contract.not_null:
+        parts.append(check_not_null(df, contract.key, contract.not_null))
+    for col, values in contract.enums.items():
+        parts.append(check_enum(df, contract.key, col, values))
+    if contract.widths:
+        parts.append(check_width(df, contract.key, contract.widths))
+    out = None
+    for p in parts:
+        row = p.select("rule", F.col(contract.key).cast("string").alias("key"), "column", F.col("value").cast("string").alias("value"))
+        out = row if out is None else out.unionAll(row)
+    for col in contract.unique:
+        dup = check_unique(df, col, contract.unique_collation)
+        row = dup.select(F.lit("unique").alias("rule"), F.collate(F.col(col).cast("string"), "UTF8_BINARY").alias("key"),
+                         F.lit(col).alias("column"), F.col("n_rows").cast("string").alias("value"))
+        out = row if out is None else out.unionAll(row)
+    for col, (table, parent_key) in contract.foreign_keys.items():
+        bad = check_fk(df, parents[table], col, parent_key)
+        row = bad.select(F.lit("foreign_key").alias("rule"), F.col(contract.key).cast("string").alias("key"), F.lit(col).alias("column"),
+                         F.col(col).cast("string").alias("value"))
+        out = row if out is None else out.unionAll(row)
+    return out

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storelens.functions.joins import has_at_most
 from storelens.functions.text import col_of
 from storelens.functions.windows import top_k_per_group
 from storelens.session import cut_lineage
@@ -48,10 +47,14 @@ def terms(text) -> Column:
     return F.filter(F.split(F.lower(col_of(text)), TERM_SPLIT_RE), lambda x: x != "")
 
 
-def page_postings(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, term, tf): map-side combined per page."""
-    return (pages.select(page_id, F.explode(terms(page_text(html))).alias("term"))
-            .groupBy(page_id, "term").agg(F.count(F.lit(1)).alias("tf")))
+def page_postings(pages: DataFrame, page_id: str = "page_id", html: str = "html",
+                  wanted: DataFrame | None = None) -> DataFrame:
+    """(page_id, term, tf): map-side combined per page; with ``wanted`` (a
+    ``term`` column) only for those terms."""
+    found = pages.select(page_id, F.explode(terms(page_text(html))).alias("term"))
+    if wanted is not None:
+        found = found.join(wanted, "term", "left_semi")
+    return (found.groupBy(page_id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def page_search(pages: DataFrame, phrases: DataFrame, k: int = 3, page_id: str = "page_id",
@@ -61,13 +64,13 @@ def page_search(pages: DataFrame, phrases: DataFrame, k: int = 3, page_id: str =
 
     ``depth`` is the first round's postings per term (default ``max(64, 4k)``);
     each further round reads eight times as many.
-    Postings and phrase terms are written once to the checkpoint folder and
+    The phrases' own postings and their terms are written once to the checkpoint folder and
     reread by every round; each round's final phrases are written there too.
     """
     # distinct (phrase, term) pairs: a phrase id given twice counts each term once
     q = cut_lineage(phrases.select(phrase_id, F.explode(F.array_distinct(terms(phrase))).alias("term"))
                     .distinct())
-    post = cut_lineage(page_postings(pages, page_id, html))
+    post = cut_lineage(page_postings(pages, page_id, html, q.select("term").distinct()))
     d = depth or max(64, 4 * k)
     pending = q.select(phrase_id).distinct()
     finals = []
@@ -103,7 +106,7 @@ def page_search(pages: DataFrame, phrases: DataFrame, k: int = 3, page_id: str =
         rnd = cut_lineage(status.join(ranked, phrase_id, "left"))
         finals.append(rnd.where(F.col("__done") & F.col(page_id).isNotNull()).drop("__done"))
         pending = rnd.where(~F.col("__done")).select(phrase_id).distinct()
-        if has_at_most(pending, 0):
+        if not pending.limit(1).count():
             break
         d *= 8
     out = finals[0]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from storelens.functions.joins import broadcast_if_small
 from storelens.functions.money import money, net_price, to_double
 from storelens.functions.windows import top_k_per_group
 from storelens.operators.contracts import enum_rank
@@ -93,14 +92,13 @@ def top_customers_by_spend(customers: DataFrame, orders: DataFrame, lines: DataF
 
 def revenue_by_province(customers: DataFrame, orders: DataFrame, lines: DataFrame,
                         nations: DataFrame, regions: DataFrame) -> DataFrame:
-    """Revenue per nation and region; dimension tables join by checked broadcast."""
+    """Revenue per nation and region; how the dimension tables join is the planner's choice by size."""
     per_cust = spend_per_customer(orders, lines)
     per_nation = (per_cust.join(customers.select("c_custkey", "c_nationkey"),
                                 F.col("o_custkey") == F.col("c_custkey"))
                   .groupBy("c_nationkey").agg(F.sum("spend").alias("rev")))
-    dims = broadcast_if_small(
-        nations.join(broadcast_if_small(regions), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", "n_name", "r_name"))
+    dims = (nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_nationkey", "n_name", "r_name"))
     return (per_nation.join(dims, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("r_name", "n_name", to_double(F.col("rev")).alias("revenue")))
 
@@ -177,9 +175,9 @@ def customers_by_type_and_status(customers: DataFrame, kind="c_mktsegment",
                                  balance="c_acctbal") -> DataFrame:
     """Customers per account type, pivoted by status (sign of the balance).
 
-    Pivot values are listed, so Spark runs no extra job to discover them.
+    A null balance is in neither column.  Pivot values are listed, so Spark runs no extra job to discover them.
     """
-    status = F.when(F.col(balance) < 0, "negative").otherwise("non_negative")
+    status = F.when(F.col(balance) < 0, "negative").when(F.col(balance) >= 0, "non_negative")
     return (customers.withColumn("status", status)
             .groupBy(kind).pivot("status", ["negative", "non_negative"]).count()
             .na.fill(0, ["negative", "non_negative"]))

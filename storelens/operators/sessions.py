@@ -18,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.functions import windows as W
-from storelens.functions.joins import broadcast_if_small
 from storelens.functions.windows import floor_div
 from storelens.functions.text import col_of, py_strip
 from storelens.session import cut_lineage
@@ -48,6 +47,7 @@ LOGIN_OK = ("correct", "Zalogowano na admina")
 LOGIN_WRONG = ("error", "loginErr4r")
 LOGIN_NO_PASSWORD = ("error", "Brak hasła")
 LOGIN_BACKEND_ERROR = ("error", "Błąd backendu")
+LOGOUT_OK = ("correct", "Wylogowano admina")
 
 
 # ------------------------------------------------------------------ C1, C2
@@ -281,8 +281,8 @@ def client_address(forwarded, peer) -> Column:
 def admin_allowed(access: DataFrame, allowed: DataFrame, forwarded: str = "forwarded",
                   peer: str = "peer", address_col: str = "address") -> DataFrame:
     """Flag (not filter) each access by membership of its client address
-    in the allow-list; the list is broadcast after a size check."""
-    lst = broadcast_if_small(allowed.select(py_strip(F.col(address_col)).alias("__a")).distinct(), 100_000)
+    in the allow-list; AQE broadcasts the list when its measured size allows."""
+    lst = allowed.select(py_strip(F.col(address_col)).alias("__a")).distinct()
     out = access.withColumn("client_ip", client_address(forwarded, peer))
     out = out.join(lst, F.col("client_ip") == F.col("__a"), "left")
     return out.withColumn("is_admin_control_allowed", F.col("__a").isNotNull()).drop("__a")
@@ -306,3 +306,14 @@ def login_summary(attempts: DataFrame) -> DataFrame:
     o = login_outcome("password_configured", "check_ok")
     return (attempts.select(o["status"].alias("status"), o["message"].alias("message"))
             .groupBy("status", "message").agg(F.count(F.lit(1)).alias("n_attempts")))
+
+
+def logout_summary(attempts: DataFrame, known: DataFrame, session: str = "session_id", ok: str = "ok") -> DataFrame:
+    """Logout attempts per reply.  A logout of a known id is confirmed, one of an
+    unknown id gets no reply, and a backend failure is an error for either."""
+    k = known.select(F.col(session).alias("__k")).distinct()
+    failed = ~F.coalesce(F.col(ok), F.lit(False))
+    replied = attempts.join(k, F.col(session) == F.col("__k"), "left").where(failed | F.col("__k").isNotNull())
+    pick = lambda i: F.when(failed, F.lit(LOGIN_BACKEND_ERROR[i])).otherwise(F.lit(LOGOUT_OK[i]))
+    return replied.select(pick(0).alias("status"), pick(1).alias("message")).groupBy("status", "message").agg(
+        F.count(F.lit(1)).alias("n_attempts"))

@@ -7,10 +7,11 @@ as Spark plans over registered tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import PySparkException
 
 from storelens.functions.text import col_of, py_strip
 
@@ -20,9 +21,7 @@ WRITE_WORDS = ["DELETE", "UPDATE", "INSERT", "DROP", "ALTER"]
 FENCE_OPEN = "```sql"
 FENCE = "```"
 MSG_REFUSED = "Odmowa dostępu. Niedozwolone polecenie"
-MSG_MODIFIED = "Dokonano modyfikacji {n} wierszy"
 MSG_EMPTY = "Wykonano zapytanie: {sql}, ale baza jest pusta lub nic nie pasuje."
-MSG_ROWS = "Dane z bazy: {rows}"
 MSG_ERROR = "BŁĄD MySQL: {err} | Próbowano wykonać: {sql}"
 
 
@@ -77,6 +76,21 @@ def _starts_as_read(c: Column) -> Column:
     return head.startswith("SELECT") | head.startswith("WITH")
 
 
+#: functions that reach outside the registered tables
+_OUTSIDE = re.compile(r"`?\b(java_method|try_reflect|reflect)\b`?\s*\(", re.IGNORECASE)
+_RELATION = re.compile(r"'UnresolvedRelation \[(.*?)\]")
+_CTE = re.compile(r"CTE \[(.*?)\]")
+
+
+def _relations(spark: SparkSession, body: str) -> set[str]:
+    """Names of the relations a statement reads, from its parsed plan (nothing is
+    resolved or run); a name inside a text literal only adds to them."""
+    plan = spark.sql(f"EXPLAIN EXTENDED SELECT * FROM (\n{body}\n)").first()[0]
+    parsed = plan.split("== Analyzed Logical Plan ==")[0]
+    own = {n.strip().lower() for names in _CTE.findall(parsed) for n in names.split(",")}
+    return {n.strip().lower() for n in _RELATION.findall(parsed)} - own
+
+
 def run_read(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], is_admin: bool = False,
              guest_tables: Sequence[str] | None = None):
     """Q4: run one read over registered tables.
@@ -85,27 +99,52 @@ def run_read(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], is_
     ``refused``, ``rows``, ``empty``, ``error``.  The statement is cleaned
     (Q1) and screened (Q2).  A final ``;`` is dropped and the text wrapped as
     ``select * from (...)``, so commands that the screen misses (TRUNCATE,
-    CREATE) fail to parse instead of running.  Emptiness is tested with
+    CREATE) fail to parse instead of running.  A guest reads the permitted tables
+    alone: a statement that names any other relation (a file path, a view left
+    by someone else) or a function that calls Java is refused.  The tables
+    are views only while the statement is analysed; views of the same name come back.
+    Run-time errors are the error outcome too.  Emptiness is tested with
     ``limit(1)``, never a full count.
     """
     clean = _clean_py(sql)
     if _is_write_py(clean) and not is_admin:
         return "refused", None, MSG_REFUSED
-    allowed = tables if is_admin or guest_tables is None else {
+    permitted = tables if is_admin or guest_tables is None else {
         k: v for k, v in tables.items() if k in set(guest_tables)}
-    for name, df in allowed.items():
-        df.createOrReplaceTempView(name)
     body = clean[:-1] if clean.endswith(";") else clean
+    before = {name: spark.table(name) for name in permitted if _is_view(spark, name)}
     try:
-        result = spark.sql(f"select * from ({body})")
+        if not is_admin:
+            others = _relations(spark, body) - {k.lower() for k in permitted}
+            if _OUTSIDE.search(body) or any(_there(spark, name, tables) for name in others):
+                return "refused", None, MSG_REFUSED
+        for name, df in permitted.items():
+            df.createOrReplaceTempView(name)
+        result = spark.sql(f"select * from (\n{body}\n)")
         empty = len(result.limit(1).collect()) == 0
-    except (ParseException, AnalysisException) as err:
-        return "error", None, MSG_ERROR.format(err=str(err).splitlines()[0], sql=clean)
+    except PySparkException as err:
+        first = next((x.strip() for x in str(err).splitlines() if x.strip()), type(err).__name__)
+        return "error", None, MSG_ERROR.format(err=first, sql=clean)
+    finally:
+        for name in permitted:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
     if empty:
         return "empty", result, MSG_EMPTY.format(sql=clean)
     return "rows", result, None
 
 
+def _there(spark: SparkSession, name: str, tables: Mapping[str, DataFrame]) -> bool:
+    """Whether a relation's name means something: a table of the mapping, a view, a
+    catalog table, or a name of several parts (a path or another schema)."""
+    return "," in name or name in {k.lower() for k in tables} or _is_view(spark, name) or spark.catalog.tableExists(name)
+
+
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return any(t.isTemporary and t.name == name.lower() for t in spark.catalog.listTables())
+
+
 def _clean_py(sql: str) -> str:
     return sql.replace(FENCE_OPEN, "").replace(FENCE, "").strip()
 
@@ -145,9 +184,10 @@ def phrase_filter(df: DataFrame, col: str, phrase: str, mode: str = "collation")
 
 
 def insert_rows(table: DataFrame, rows: DataFrame, is_admin: bool = True):
-    """Q7: append rows; returns ``(new_table, affected)`` (affected: 1-row DataFrame)."""
+    """Q7: append rows; returns ``(new_table, affected)`` (affected: one row of ``outcome``,
+    modified or refused, and ``affected_rows``)."""
     if not is_admin:
-        return table, _count_frame(table.limit(0))
+        return table, _refused_frame(table)
     return table.unionByName(rows), _count_frame(rows)
 
 
@@ -158,7 +198,7 @@ def update_where(table: DataFrame, predicate: Column, assignments: Mapping[str,
     ``affected`` counts rows whose value really changes.
     """
     if not is_admin:
-        return table, _count_frame(table.limit(0))
+        return table, _refused_frame(table)
     hit = F.coalesce(predicate, F.lit(False))
     out = table.select(*[F.when(hit, assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments
                          else F.col(c) for c in table.columns])
@@ -172,10 +212,15 @@ def update_where(table: DataFrame, predicate: Column, assignments: Mapping[str,
 def delete_where(table: DataFrame, predicate: Column, is_admin: bool = True):
     """Q7: delete rows where the predicate is true (null keeps the row)."""
     if not is_admin:
-        return table, _count_frame(table.limit(0))
+        return table, _refused_frame(table)
     hit = F.coalesce(predicate, F.lit(False))
     return table.where(~hit), _count_frame(table.where(hit))
 
 
 def _count_frame(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("affected_rows"))
+    return df.agg(F.count(F.lit(1)).alias("affected_rows")).select(F.lit("modified").alias("outcome"), "affected_rows")
+
+
+def _refused_frame(df: DataFrame) -> DataFrame:
+    """The outcome of an edit that a guest may not make: told from an edit of no rows."""
+    return df.sparkSession.range(1).select(F.lit("refused").alias("outcome"), F.lit(0).cast("long").alias("affected_rows"))

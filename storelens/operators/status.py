@@ -1,13 +1,16 @@
 """Status streams: S4/S5 line codec and N1-N7 reductions.
 
 A request's reply arrives as JSON lines ``{"type", "data"}`` with type
-status, final or error.  Lines are parsed with ``try_parse_json`` (null for
-malformed or truncated text) into VARIANT, which keeps the difference
-between a string, an object and a list that the client acts on.
+status, final or error.  A line counts only when it is exactly one JSON value, as
+for the client's ``JSON.parse``; Spark's own JSON readers stop after the first
+value, so lines are parsed by a Pandas UDF, once per line.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions import windows as W
@@ -41,37 +44,73 @@ OUTCOME_PREFIXES = [
     ("documents", "error", "Błąd komunikacji z agentem RAG: "),
     ("internet", "error", "Błąd systemu: Błąd agenta Intenernetu"),
     ("coordinator", "error", "Błąd systemu: Koordynator ma problem"),
+    ("server", "error", "Error "),
 ]
 
 
 # ------------------------------------------------------------------ S4, S5
 
-_KINDS = ("OBJECT", "object", "ARRAY", "array", "STRING", "string", "VOID", "null")
+PARSED = "type string, is_null_line boolean, data string, data_kind string, text string"
 
 
-def _kind_of(v: Column) -> Column:
-    """'object', 'array', 'string', 'null' or 'other' for a VARIANT value
-    (null when there is no value): one ``schema_of_variant`` call."""
-    head = F.substring_index(F.schema_of_variant(v), "<", 1)
-    kinds = F.create_map(*[F.lit(x) for x in _KINDS])
-    return F.when(v.isNotNull(), F.coalesce(kinds[head], F.lit("other")))
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
 
 
-def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Every line with its parse: ``type`` (of an object line), ``is_null_line``
-    (the line is JSON ``null``), ``data`` as text and ``data_kind``.
+def _js(value) -> str | None:
+    """A value's text: strings as they are, null as null, else compact JSON with
+    whole floats written as integers."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _number(text: str):
+    value = float(text)
+    return int(value) if value.is_integer() and abs(value) < 1e21 else value
 
-    Blank, malformed and truncated lines parse to nothing (``try_parse_json``).
-    ``type`` is a single path lookup, so a filter on it that Spark pushes
-    below this projection costs one parse per row.
+
+def _parse_line(line: str | None):
+    """(type, is_null_line, data, data_kind, text) of one line; all null when it is
+    not exactly one JSON value (the client's ``JSON.parse`` throws, and the line is ignored).
+
+    Repeated keys: the last one counts.  ``text`` is an object's ``text``
+    when it is truthy (not null, "", 0 or false).
+    """
+    try:
+        value = json.loads(line, parse_constant=_no_constant, parse_float=_number)
+    except (ValueError, TypeError, RecursionError):
+        return None, False, None, None, None
+    if not isinstance(value, dict):
+        return None, value is None, None, None, None
+    kind = value.get("type")
+    if "data" not in value:
+        return _js(kind), False, None, None, None
+    data = value["data"]
+    name = {dict: "object", list: "array", str: "string", type(None): "null"}.get(type(data), "other")
+    text = data.get("text") if isinstance(data, dict) else None
+    return _js(kind), False, _js(data), name, _js(text) if text else None
+
+
+def _parse(lines: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parse_line(x) for x in lines], columns=["type", "is_null_line", "data", "data_kind", "text"])
+
+
+def parse_lines(lines: DataFrame, line: str = "line", terminated: str | None = None) -> DataFrame:
+    """Every line with its parse: ``type`` (of an object line), ``is_null_line``
+    (the line is JSON ``null``), ``data`` as text, ``data_kind`` ('object', 'array',
+    'string', 'null', 'other'), and ``text``, the object's truthy ``text``.
+
+    Blank, malformed and truncated lines, and lines with anything after their
+    first value, parse to nothing.  Each line is parsed once, in Arrow batches; the
+    function counts as nondeterministic so that no filter is pushed below it
+    and evaluated again.  With ``terminated`` (a boolean column) a line that the stream
+    ended before its line break is dropped: the client never reads it.
     """
-    v = F.try_parse_json(col_of(line))
-    return lines.select(
-        *lines.columns,
-        F.try_variant_get(v, "$.type", "string").alias("type"),
-        F.coalesce(F.is_variant_null(v), F.lit(False)).alias("is_null_line"),
-        F.get_json_object(col_of(line), "$.data").alias("data"),
-        _kind_of(F.try_variant_get(v, "$.data", "variant")).alias("data_kind"))
+    if terminated:
+        lines = lines.where(F.coalesce(F.col(terminated), F.lit(False)))
+    parse = F.pandas_udf(_parse, PARSED).asNondeterministic()
+    return lines.withColumn("__p", parse(col_of(line))).select(*lines.columns, "__p.*")
 
 
 def parse_status_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -119,11 +158,9 @@ def status_spans(events: DataFrame, req: str = "request_id", bucket_s: int = 6 *
 # ------------------------------------------------------------------ N4-N6
 
 def reply_text(data: Column, data_kind: Column, text: Column | None = None) -> Column:
-    """Object with non-empty ``text`` -> that text; other object or list
-    -> its JSON text; string -> itself."""
-    return (F.when(data_kind == "object",
-                   F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(data))
-            .otherwise(data))
+    """Object with a truthy ``text`` -> that text; other object or list
+    -> its JSON text; string -> itself.  ``text`` is null when falsy (S4)."""
+    return F.when(data_kind == "object", F.coalesce(text, data)).otherwise(data)
 
 
 def final_reply(lines: DataFrame, req: str = "request_id", line: str = "line") -> DataFrame:
@@ -133,16 +170,13 @@ def final_reply(lines: DataFrame, req: str = "request_id", line: str = "line") -
     stops reading; else the last final; else the empty string.
     """
     parsed = parse_lines(lines, line)
-    text = F.when(F.col("data_kind") == "object",
-                  F.get_json_object(F.col(line), "$.data.text"))
-    parsed = parsed.withColumn("__text", text)
     is_abort = (F.col("type") == "error") | F.col("is_null_line")
     # min/max of (seq, ...) structs: nulls (rows of other kinds) are ignored
     per_req = parsed.groupBy(req).agg(
         F.min(F.when(is_abort, F.struct(F.col("seq"), F.col("data")))).alias("__abort"),
         F.max(F.when(F.col("type") == "final",
-                     F.struct(F.col("seq"), F.col("data"), F.col("data_kind"), F.col("__text")))).alias("__fin"))
-    reply = reply_text(F.col("__fin.data"), F.col("__fin.data_kind"), F.col("__fin.__text"))
+                     F.struct(F.col("seq"), F.col("data"), F.col("data_kind"), F.col("text")))).alias("__fin"))
+    reply = reply_text(F.col("__fin.data"), F.col("__fin.data_kind"), F.col("__fin.text"))
     return per_req.select(
         req,
         F.when(F.col("__abort").isNotNull(), F.lit("error"))

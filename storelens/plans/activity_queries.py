@@ -112,13 +112,25 @@ def q07a(t):
 
 
 @query("q07_update_count", """
-SELECT COUNT(*) AS affected_rows FROM orders
+SELECT 'modified' AS outcome, COUNT(*) AS affected_rows FROM orders
 WHERE o_totalprice > 400000 AND o_orderpriority IS DISTINCT FROM '1-URGENT'""")
 def q07b(t):
     _, n = Q.update_where(t.orders, F.col("o_totalprice") > 400000, {"o_orderpriority": F.lit("1-URGENT")})
     return n
 
 
+@query("q07_delete_count", """
+SELECT 'modified' AS outcome, COUNT(*) AS affected_rows FROM orders WHERE COALESCE(o_orderstatus = 'P', false)""")
+def q07e(t):
+    return Q.delete_where(t.orders, F.col("o_orderstatus") == "P")[1]
+
+
+@query("q07_insert_count", """
+SELECT 'modified' AS outcome, COUNT(*) AS affected_rows FROM orders WHERE o_orderstatus = 'P'""")
+def q07f(t):
+    return Q.insert_rows(t.orders, t.orders.where("o_orderstatus = 'P'"))[1]
+
+
 @query("q07_delete_where", """
 SELECT o_orderkey FROM orders WHERE NOT COALESCE(o_orderstatus = 'P', false)""")
 def q07c(t):
@@ -149,10 +161,12 @@ def c01(t):
 
 @query("c02_expired_at", f"""
 WITH {D.ACTIVITY_SQL}
-SELECT session_id, MAX(ts_us) AS last_us FROM activity WHERE kind IN ('chat', 'login_ok')
+SELECT session_id, MAX(ts_us) AS last_us FROM activity WHERE kind IN ('chat', 'login_ok') AND ts_us <= {NOW_US}
 GROUP BY session_id HAVING {NOW_US} - MAX(ts_us) > {TTL}""")
 def c02(t):
-    return C.expired_at(C.session_table(D.activity_log(t.events)), NOW_US).select("session_id", "last_us")
+    """What a sweep at NOW finds expired in the log up to then."""
+    log = D.activity_log(t.events).where(F.col("ts_us") <= NOW_US)
+    return C.expired_at(C.session_table(log), NOW_US).select("session_id", "last_us")
 
 
 def _sessionize_sql(kinds, new_rule):
@@ -260,6 +274,17 @@ def c12(t):
     return C.admin_allowed(D.access_log(t.events), allowed)
 
 
+@query("c13_logout_summary", f"""
+WITH {D.ACTIVITY_SQL}, {D.LOGOUTS_CTE}
+SELECT CASE WHEN NOT ok THEN 'error' ELSE 'correct' END AS status,
+       CASE WHEN NOT ok THEN 'Błąd backendu' ELSE 'Wylogowano admina' END AS message, COUNT(*) AS n_attempts
+FROM logouts WHERE known OR NOT ok GROUP BY ALL""")
+def c13b(t):
+    log = D.activity_log(t.events)
+    known = log.where("kind = 'login_ok'").select("session_id").distinct()
+    return C.logout_summary(D.logout_attempts(t.events), known)
+
+
 @query("c13_login_summary", f"""
 WITH {D.ATTEMPTS_CTE},
 o AS (SELECT CASE WHEN NOT COALESCE(password_configured, false) THEN 'error' WHEN check_ok IS NULL THEN 'error'
@@ -291,6 +316,11 @@ PARSED_CTE = f"""parsed AS (
   FROM lines)"""
 
 
+# an object's text, where it is truthy: not null, "", 0 or false
+TRUTHY_TEXT_DUCK = """CASE WHEN data_kind = 'object' AND json_type(line, '$.data.text') IS DISTINCT FROM 'NULL'
+  AND json_extract_string(line, '$.data.text') NOT IN ('', '0', 'false') THEN json_extract_string(line, '$.data.text') END"""
+
+
 @query("s04_parse_status_lines", f"""
 WITH {D.LINES_CTE}, {PARSED_CTE}
 SELECT request_id, seq, type, data, data_kind FROM parsed WHERE type IN ('status', 'final', 'error')""")
@@ -345,7 +375,7 @@ def n03(t):
 @query("n04_final_reply", f"""
 WITH {D.LINES_CTE}, {PARSED_CTE},
 p AS (SELECT *, (type = 'error' OR line_kind = 'null') AS abort,
-             CASE WHEN data_kind = 'object' THEN json_extract_string(line, '$.data.text') END AS txt FROM parsed),
+             {TRUTHY_TEXT_DUCK} AS txt FROM parsed),
 g AS (SELECT request_id, MIN(seq) FILTER (WHERE abort) AS first_err,
              arg_min_null(data, seq) FILTER (WHERE abort) AS err,
              arg_max_null(data, seq) FILTER (WHERE type = 'final') AS fdata,
@@ -399,11 +429,9 @@ def n07(t):
 @query("n05_reply_text", f"""
 WITH {D.LINES_CTE}, {PARSED_CTE}
 SELECT request_id, seq, data_kind,
-       CASE WHEN data_kind = 'object' AND COALESCE(json_extract_string(line, '$.data.text'), '') <> ''
-            THEN json_extract_string(line, '$.data.text') ELSE data END AS reply
+       COALESCE({TRUTHY_TEXT_DUCK}, data) AS reply
 FROM parsed WHERE type = 'final'""")
 def n05(t):
     parsed = N.parse_status_lines(D.status_lines(t.events)).where(F.col("type") == "final")
-    text = F.when(F.col("data_kind") == "object", F.get_json_object("line", "$.data.text"))
     return parsed.select("request_id", "seq", "data_kind",
-                         N.reply_text(F.col("data"), F.col("data_kind"), text).alias("reply"))
+                         N.reply_text(F.col("data"), F.col("data_kind"), F.col("text")).alias("reply"))

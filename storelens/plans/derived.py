@@ -112,8 +112,13 @@ FINAL_TEMPLATES = [
     '{"type": "final", "data": {"text": "tekst {k}", "k": {k}}}',
     '{"type": "final", "data": {"text": "", "k": {k}}}',
     '{"type": "final", "data": [{"type": "text", "text": "lista {k}"}]}',
+    '{"type": "final", "data": {"text": 0, "k": {k}}}',
+    '{"type": "final", "data": {"text": false, "k": {k}}}',
+    '{"type": "final", "data": {"text": null, "k": {k}}}',
 ]
-ODD_LINES = ["", "{bad", '{"type": "final", "da', "null", "5", '{"type": "other", "data": 1}']
+ODD_LINES = ["", "{bad", '{"type": "final", "da', "null", "5", '{"type": "other", "data": 1}',
+             '{"type": "final", "data": "ok {k}"} junk', '{"type": "final", "data": "a"}{"type": "error", "data": "b"}',
+             '[{"type": "final", "data": "{k}"}]']
 
 
 def _status_line_sql(k: str) -> str:
@@ -126,9 +131,9 @@ def _status_line_sql(k: str) -> str:
     odd = " ".join(f"WHEN {i} THEN {sql_literal(x)}" for i, x in enumerate(ODD_LINES))
     template = f"""CASE
   WHEN event_type IN ('view', 'click') THEN CASE CAST({k} % 5 AS INT) {status} END
-  WHEN event_type = 'purchase' THEN CASE CAST({k} % 5 AS INT) {finals} END
+  WHEN event_type = 'purchase' THEN CASE CAST({k} % {len(FINAL_TEMPLATES)} AS INT) {finals} END
   WHEN event_type = 'error' THEN '{{"type": "error", "data": "Blad {{k}}"}}'
-  ELSE CASE CAST({k} % 6 AS INT) {odd} END
+  ELSE CASE CAST({k} % {len(ODD_LINES)} AS INT) {odd} END
 END"""
     return f"replace({template}, '{{k}}', CAST({k} AS STRING))"
 
@@ -186,6 +191,20 @@ def login_attempts(events: DataFrame) -> DataFrame:
                         f"{ATTEMPT_OK_SQL} AS check_ok"))
 
 
+LOGOUT_OK_SQL = "(event_id % 10 <> 3)"
+
+
+def logout_attempts(events: DataFrame) -> DataFrame:
+    """(attempt_id, session_id, ok); ok is false where the backend failed."""
+    return events.where("event_type = 'error'").selectExpr("event_id AS attempt_id", "user_id AS session_id", f"{LOGOUT_OK_SQL} AS ok")
+
+
+LOGOUTS_CTE = f"""logouts AS (
+  SELECT event_id AS attempt_id, user_id AS session_id, {LOGOUT_OK_SQL} AS ok,
+         user_id IN (SELECT session_id FROM activity WHERE kind = 'login_ok') AS known
+  FROM events WHERE event_type = 'error')"""
+
+
 ATTEMPTS_CTE = f"""attempts AS (
   SELECT event_id AS attempt_id, user_id AS session_id,
          {ATTEMPT_CONFIGURED_SQL} AS password_configured, {ATTEMPT_OK_SQL} AS check_ok

@@ -38,6 +38,25 @@ def v01_rows(t):
     return V1.chunk_documents(t.documents)
 
 
+@query("v01_chunk_texts", """
+SELECT doc_id, md5(text) AS text_md5, 0::BIGINT AS n_other
+FROM documents WHERE length(text) > 0""")
+def v01_texts(t):
+    """The texts of the chunks: put together without their overlaps they are the
+    document, and each is the document's text at its place."""
+    from pyspark.sql import Window
+
+    chunks = V1.chunk_documents(t.documents)
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("doc_id").orderBy("chunk_no")), F.lit(0))
+    new = chunks.select("doc_id", "chunk_no", "start", "chunk_text", F.expr("chunk_text").alias("own"), before.alias("from"))
+    own = F.expr("substring(chunk_text, CAST(from - start AS INT) + 1)")
+    whole = (new.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", own.alias("own"), "start", "chunk_text"))).alias("c"))
+             .join(t.documents.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d")))
+    other = F.filter("c", lambda x: F.substr(F.col("text"), x["start"].cast("int") + 1, F.length(x["chunk_text"])) != x["chunk_text"])
+    return whole.select("doc_id", F.md5(F.array_join(F.transform("c", lambda x: x["own"]), "").cast("binary")).alias("text_md5"),
+                        F.size(other).cast("long").alias("n_other"))
+
+
 @query("v02_chunk_carry", """
 SELECT lang, source, COUNT(*) AS n_docs, CAST(SUM(length(text)) AS BIGINT) AS n_chars
 FROM documents WHERE length(text) > 0 GROUP BY lang, source""")

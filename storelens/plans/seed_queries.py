@@ -110,3 +110,17 @@ SELECT st.status_zamowienia, CAST(expected_share AS DOUBLE) AS expected_share, C
 FROM st LEFT JOIN c USING (status_zamowienia)""")
 def g06(t):
     return G.distribution_check(_orders(t), "status_zamowienia", ORDER_STATUSES, G.ORDER_STATUS_WEIGHTS)
+
+
+PRIORITY_WEIGHTS = {"1-URGENT": 1, "2-HIGH": 1, "3-MEDIUM": 1, "4-NOT SPECIFIED": 1, "5-LOW": 1}
+
+
+@query("g06_priority_distribution", f"""
+WITH c AS (SELECT o_orderpriority, COUNT(*) AS observed FROM orders GROUP BY 1),
+st(o_orderpriority, expected_share) AS (VALUES {", ".join(f"('{v}', {w / sum(PRIORITY_WEIGHTS.values())!r})" for v, w in PRIORITY_WEIGHTS.items())})
+SELECT st.o_orderpriority, CAST(expected_share AS DOUBLE) AS expected_share, COALESCE(observed, 0) AS observed,
+       COALESCE(observed, 0) / SUM(COALESCE(observed, 0)) OVER () AS observed_share
+FROM st LEFT JOIN c USING (o_orderpriority)""")
+def g06_priority(t):
+    """G6 on a column of the given tables."""
+    return G.distribution_check(t.orders, "o_orderpriority", list(PRIORITY_WEIGHTS), list(PRIORITY_WEIGHTS.values()))

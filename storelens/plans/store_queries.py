@@ -231,6 +231,41 @@ def t05(t):
     return T.check_width(t.part, "p_partkey", {"p_name": "varchar(10)", "p_retailprice": "decimal(5,2)"})
 
 
+# names differing in case alone: every second segment in lower case
+CASED_SQL = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END || CAST(c_custkey % 100 AS STRING)"
+
+
+@query("t03_check_unique_ci", f"""
+SELECT lower({CASED_SQL}) AS k, COUNT(*) AS n_rows FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1""")
+def t03_ci(t):
+    named = t.customer.select(F.expr(CASED_SQL).alias("k"))
+    found = T.check_unique(named, "k", "UNICODE_CI")
+    return found.select(F.lower(F.collate("k", "UTF8_BINARY")).alias("k"), "n_rows")
+
+
+ORDERS_AS_DECLARED = [
+    "o_orderkey AS id_zamowienia",
+    "CASE WHEN o_orderkey % 100 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS id_klienta",
+    "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 'ZA-' || CAST(o_orderkey - o_orderkey % 8 AS STRING) END AS numer_zamowienia",
+    "o_orderpriority AS status_zamowienia", "o_orderstatus AS produkt_nazwa", "CAST(o_totalprice AS DOUBLE) AS cena_jednostkowa",
+    "CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'Czek' ELSE 'BLIK' END AS metoda_platnosci"]
+
+
+@query("t10_contract_report", f"""
+WITH o AS (SELECT {', '.join(ORDERS_AS_DECLARED)} FROM orders)
+SELECT 'not_null' AS rule, CAST(id_zamowienia AS VARCHAR) AS "key", 'numer_zamowienia' AS "column", NULL AS value FROM o WHERE numer_zamowienia IS NULL
+UNION ALL SELECT 'enum', CAST(id_zamowienia AS VARCHAR), 'status_zamowienia', status_zamowienia FROM o
+UNION ALL SELECT 'enum', CAST(id_zamowienia AS VARCHAR), 'metoda_platnosci', metoda_platnosci FROM o WHERE metoda_platnosci = 'Czek'
+UNION ALL SELECT 'unique', numer_zamowienia, 'numer_zamowienia', CAST(COUNT(*) AS VARCHAR) FROM o
+  WHERE numer_zamowienia IS NOT NULL GROUP BY numer_zamowienia HAVING COUNT(*) > 1
+UNION ALL SELECT 'foreign_key', CAST(id_zamowienia AS VARCHAR), 'id_klienta', CAST(id_klienta AS VARCHAR) FROM o
+  WHERE id_klienta NOT IN (SELECT c_custkey FROM customer)""")
+def t_contract(t):
+    """The declared order contract over the orders table, all rules in one report."""
+    orders = t.orders.selectExpr(*ORDERS_AS_DECLARED)
+    return T.check_contract(orders, T.ORDER_CONTRACT, {"customers": t.customer.select(F.col("c_custkey").alias("id_klienta"))})
+
+
 # orphans: every hundredth order points past the last customer
 SHIFTED_KEY_SQL = "CASE WHEN o_orderkey % 100 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END"
 

@@ -1,13 +1,17 @@
-"""Registered streaming queries (C6, C7): the driver's ``events`` file read as
-a stream, run with ``availableNow`` and read back.  All events arrive in one
-micro-batch, so the closed sessions and ticks are deterministic; the oracle
-keeps exactly those the final watermark (max event time - delay) has passed.
+"""Registered streaming queries (C6, C7): the ``events`` table arrives as files,
+slice by slice in time, with the query started anew on its checkpoint for each.
+A closing event then lets the watermark pass every window, so the result
+is complete; ``is_closed`` marks the rows that the events themselves had closed
+(their end is before the last event less the delay).
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from storelens.functions.times import epoch_us
 from storelens.operators.sessions import SESSION_TTL_S, SWEEP_S, US
-from storelens.plans.derived import ACTIVITY_SQL
+from storelens.plans.derived import ACTIVITY_SQL, KIND_SQL
 from storelens.plans.registry import query
 from storelens.streaming import activity as SA
 
@@ -17,9 +21,15 @@ TTL = SESSION_TTL_S * US
 TICK = SWEEP_S * US
 
 
-def _stream(t):
-    schema = t.events.schema
-    return SA.activity_stream(t.spark, t.sf_dir, schema, glob="events.parquet")
+SLICES = 2
+FLUSH_S = 10 * 24 * 3600
+
+
+def _whole(t, build, name, end, delay_s, last_of="true"):
+    parts, _ = SA.in_time_order(t.events, SLICES, FLUSH_S)
+    last = t.events.where(last_of).agg(F.max(epoch_us("ts"))).first()[0]
+    out = SA.run_in_batches(parts, build, name)
+    return out.withColumn("is_closed", F.col(end) <= F.lit(last - delay_s * US))
 
 
 @query("c06_stream_sessions", f"""
@@ -30,16 +40,16 @@ s AS (SELECT *, SUM(CASE WHEN prev_us IS NULL OR ts_us - prev_us > {TTL} THEN 1
                 OVER (PARTITION BY session_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS sno FROM l),
 g AS (SELECT session_id, MIN(ts_us) AS start_us, MAX(ts_us) AS last_us, MAX(ts_us) + {TTL} AS end_us,
              COUNT(*) AS n_activities FROM s GROUP BY session_id, sno)
-SELECT * FROM g
-WHERE end_us <= (SELECT MAX(ts_us) FROM activity WHERE kind = 'chat') - {SESSION_DELAY_S * US}""")
+SELECT *, end_us <= (SELECT MAX(ts_us) FROM activity WHERE kind = 'chat') - {SESSION_DELAY_S * US} AS is_closed FROM g""")
 def c06(t):
-    return SA.run_available(SA.stream_sessions(_stream(t), SESSION_TTL_S, SESSION_DELAY_S), "c06")
+    return _whole(t, lambda s: SA.stream_sessions(s, SESSION_TTL_S, SESSION_DELAY_S), "c06", "end_us", SESSION_DELAY_S,
+                  f"{KIND_SQL} = 'chat'")
 
 
 @query("c07_stream_ticks", f"""
 WITH e AS (SELECT epoch_us(ts) AS ts_us FROM events),
 g AS (SELECT (ts_us // {TICK}) * {TICK} AS tick_start_us, (ts_us // {TICK}) * {TICK} + {TICK} AS tick_end_us,
              COUNT(*) AS n_activities FROM e GROUP BY 1, 2)
-SELECT * FROM g WHERE tick_end_us <= (SELECT MAX(ts_us) FROM e) - {TICK_DELAY_S * US}""")
+SELECT *, tick_end_us <= (SELECT MAX(ts_us) FROM e) - {TICK_DELAY_S * US} AS is_closed FROM g""")
 def c07(t):
-    return SA.run_available(SA.stream_ticks(_stream(t), SWEEP_S, TICK_DELAY_S), "c07")
+    return _whole(t, lambda s: SA.stream_ticks(s, SWEEP_S, TICK_DELAY_S), "c07", "tick_end_us", TICK_DELAY_S)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session.  When it is unset, a local-mode session (tests,
     local runs) gets a scratch folder of its own; a session with a cluster
     master must name a shared folder, since a machine-local one would not be
-    shared.  (A client session without a local context cannot tell, and gets
-    the scratch folder.)
+    shared.  So must a client session, which cannot tell what it is connected to.
     """
     try:
         sc = spark.sparkContext
@@ -66,7 +65,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     path = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not path:
-        if sc is not None and not sc.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster "
                                "(lineage cuts and streaming state are written there)")
         path = tempfile.mkdtemp(prefix="storelens-ckpt-")
@@ -79,17 +78,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/storelens/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{base}/storelens/{name}-{uuid.uuid4().hex}"
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+def drop_scratch(path: str) -> None:
+    """Remove a folder of :func:`scratch_path` once its rows have been read."""
+    from pyarrow import fs
 
-
-_counter = _count()
+    system, folder = fs.FileSystem.from_uri(path)
+    system.delete_dir(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ per-tick counts are emitted once their tick has closed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from storelens.operators.sessions import SESSION_TTL_S, SWEEP_S, US
 from storelens.functions.times import epoch_us, instant_from_us
 from storelens.plans.derived import KIND_SQL
-from storelens.session import scratch_path
+from storelens.session import cut_lineage, drop_scratch, scratch_path
 
 
 def activity_stream(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet",
@@ -59,14 +61,48 @@ def stream_ticks(stream: DataFrame, tick_s: int = SWEEP_S, delay_s: int = 60) ->
 def run_available(streaming: DataFrame, name: str) -> DataFrame:
     """Run a streaming query over everything available now into a Parquet
     folder (append mode) under the shared checkpoint folder; return the
-    written rows as a batch DataFrame."""
+    written rows as a batch DataFrame.  The folder is removed once they are read."""
     spark = streaming.sparkSession
     base = scratch_path(spark, name)
-    q = (streaming.writeStream.format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(streaming.schema).parquet(f"{base}/out")
+    _drain(streaming, base)
+    return _collected(spark, streaming.schema, base)
+
+
+def _drain(streaming: DataFrame, base: str) -> None:
+    (streaming.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+
+def _collected(spark: SparkSession, schema: StructType, base: str) -> DataFrame:
+    out = cut_lineage(spark.read.schema(schema).parquet(f"{base}/out"))
+    drop_scratch(base)
+    return out
+
+
+def run_in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Let event files arrive part after part: each part is written to a folder
+    and the query ``build(activity stream)`` is started again on the same
+    checkpoint until it has taken in what is new, so state is carried from batch to
+    batch and over restarts.  Returns all rows that it wrote."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    base = scratch_path(spark, name)
+    streaming = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        streaming = build(activity_stream(spark, f"{base}/in", schema))
+        _drain(streaming, base)
+    return _collected(spark, streaming.schema, base)
 
 
-TICK_US = SWEEP_S * US
+def in_time_order(events: DataFrame, slices: int, flush_s: int) -> tuple[list[DataFrame], int]:
+    """``slices`` consecutive parts of the events by time, then one closing event
+    ``flush_s`` after the last, which lets the watermark pass every open window;
+    and the time of the last real event in microseconds."""
+    us = epoch_us("ts")
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    step = (high - low) // slices + 1
+    parts = [events.where((us >= low + k * step) & (us < low + (k + 1) * step)) for k in range(slices)]
+    closing = events.orderBy(us.desc()).limit(1).select(*[
+        {"ts": instant_from_us(F.lit(high + flush_s * US)).cast(f.dataType), "user_id": F.lit(-1).cast(f.dataType),
+         "event_type": F.lit("view")}.get(f.name, F.col(f.name)).alias(f.name) for f in events.schema.fields])
+    return [*parts, closing], high

@@ -69,10 +69,20 @@ def test_order_number(spark):
     assert rows(out) == [("ZA-2025-1005",), ("ZA-2026-1000",)]
 
 
-def test_broadcast_guard_checks_rows_and_bytes(spark):
-    from storelens.functions.joins import size_at_most
-    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k long, s string")
-    assert size_at_most(df, 50, 1 << 20)
-    assert not size_at_most(df, 49, 1 << 20)        # too many rows
-    assert not size_at_most(df, 50, 50 * 100)        # too many bytes: each row is over 100 bytes of JSON
-    assert size_at_most(df.limit(0), 0, 0)           # empty side
+def test_a_declared_contract_in_one_report(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "id_klienta long")
+    df = spark.createDataFrame([(1, 1, "ZA-1", "x", 1.0, None), (2, 9, "za-1", "x", 1.0, "Nowe"), (3, 2, None, None, 2.0, "Inne")],
+                               "id_zamowienia long, id_klienta long, numer_zamowienia string, produkt_nazwa string, "
+                               "cena_jednostkowa double, status_zamowienia string").withColumn("metoda_platnosci", F.lit(None).cast("string"))
+    got = rows(T.check_contract(df, T.ORDER_CONTRACT, {"customers": parents}), "rule", "column", "value")
+    assert sorted(map(str, got)) == sorted(map(str, [
+        ("enum", "status_zamowienia", "Inne"), ("foreign_key", "id_klienta", "9"), ("not_null", "numer_zamowienia", None),
+        ("not_null", "produkt_nazwa", None), ("unique", "numer_zamowienia", "2")]))
+
+
+def test_a_repeated_old_key_multiplies_nothing(spark):
+    parent = spark.createDataFrame([(1,), (2,)], "k long")
+    child = spark.createDataFrame([(10, 1), (11, 1)], "c long, k long")
+    mapping = spark.createDataFrame([(1, 7), (1, 5)], "old_key long, new_key long")
+    p, c = T.cascade_update(parent, child, mapping, "k", "k")
+    assert rows(p) == [(2,), (5,)] and rows(c) == [(10, 5), (11, 5)]

@@ -85,3 +85,10 @@ def test_attach_document(spark):
     out = {r.rid: r.request for r in S.attach_document(req, docs, "rid", "did").collect()}
     assert out[1] == S.ATTACH_TEMPLATE_HEAD + "TXT" + S.ATTACH_TEMPLATE_TAIL + "q1"
     assert out[2] == "q2" and out[3] == "q3"
+
+
+def test_a_chunk_that_begins_with_its_separator_is_of_valid_size(spark):
+    from storelens.operators import chunking as V1
+    docs = spark.createDataFrame([(1, "a " + "w" * 1200)], "doc_id long, text string")
+    r = V1.chunk_invariants(V1.chunk_documents(docs, with_length=True)).first()
+    assert r.size_ok and r.no_gap and r.ends_at_length

@@ -85,3 +85,44 @@ def test_edits_and_counts(spark):
     assert out.count() == 4 and n.first().affected_rows == 1
     out, n = Q.delete_where(t, F.lit(True), is_admin=False)
     assert out.count() == 3 and n.first().affected_rows == 0
+
+
+def test_guest_reads_nothing_but_the_permitted_tables(spark):
+    import os
+    import tempfile
+
+    tables = {"klienci": spark.createDataFrame([(1,)], "id int"), "zam": spark.createDataFrame([(2,)], "id int")}
+    assert Q.run_read(spark, "SELECT * FROM klienci", tables, is_admin=True)[0] == "rows"
+    guest = lambda sql: Q.run_read(spark, sql, tables, guest_tables=["zam"])[0]
+    assert guest("SELECT * FROM zam") == "rows"
+    assert guest("WITH a AS (SELECT id FROM zam) SELECT * FROM a JOIN zam USING (id)") == "rows"
+    assert guest("SELECT * FROM klienci") == "refused"                      # a view that an admin read used
+    assert guest("SELECT * FROM zam WHERE id IN (SELECT id FROM klienci)") == "refused"
+    path = os.path.join(tempfile.mkdtemp(prefix="storelens-guard-"), "t")
+    tables["zam"].write.parquet(path)
+    assert guest(f"SELECT * FROM parquet.`{path}`") == "refused"
+    assert guest("SELECT java_method('java.lang.System', 'nanoTime')") == "refused"
+    assert guest("SELECT `reflect` ('java.lang.System', 'nanoTime')") == "refused"
+
+
+def test_views_are_left_as_they_were(spark):
+    spark.range(7).createOrReplaceTempView("zam")
+    Q.run_read(spark, "SELECT * FROM zam", {"zam": spark.range(1)})
+    assert spark.table("zam").count() == 7
+    spark.catalog.dropTempView("zam")
+    Q.run_read(spark, "SELECT * FROM zam", {"zam": spark.range(1)})
+    assert not any(t.name == "zam" for t in spark.catalog.listTables())
+
+
+def test_run_time_errors_and_comments(spark):
+    tables = {"t": spark.createDataFrame([(1, 0)], "a int, b int")}
+    outcome, _, message = Q.run_read(spark, "SELECT 1/0", tables)
+    assert outcome == "error" and message.startswith("BŁĄD MySQL: [")
+    assert Q.run_read(spark, "SELECT a / b FROM t", tables)[0] == "error"
+    assert Q.run_read(spark, "SELECT a FROM t -- all of them", tables)[0] == "rows"
+
+
+def test_a_refused_edit_is_told_from_an_edit_of_no_rows(spark):
+    t = spark.createDataFrame([(1, "Nowe")], "id int, s string")
+    assert tuple(Q.delete_where(t, F.lit(True), is_admin=False)[1].first()) == ("refused", 0)
+    assert tuple(Q.delete_where(t, F.lit(False))[1].first()) == ("modified", 0)

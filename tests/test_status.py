@@ -2,6 +2,7 @@ import json
 import random
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from storelens.operators import status as N
 from tests.conftest import rows
@@ -99,3 +100,30 @@ def test_outcome_counts(spark):
     assert rows(N.outcome_counts(df)) == [("database", "error", 1), ("database", "modified", 1),
                                           ("database", "refused", 1), ("database", "rows", 1),
                                           ("documents", "error", 1), ("other", "answer", 1)]
+
+
+def test_lines_that_are_not_one_json_value_are_ignored(spark):
+    lines = ['{"type":"final","data":"ok"} junk', '{"type":"final","data":"a"}{"type":"final","data":"b"}', '{"type":"final","data":NaN}',
+             '{"type":"final","data":"one","data":"last"}', ' {"type":"final","data":1.0}\t', '{"type":"final"}']
+    df = spark.createDataFrame(list(enumerate(lines)), "seq long, line string")
+    assert rows(N.parse_status_lines(df), "seq", "data", "data_kind") == [(3, "last", "string"), (4, "1", "other"), (5, None, None)]
+
+
+def test_falsy_texts_give_the_objects_json(spark):
+    data = ['{"text":0}', '{"text":false}', '{"text":null}', '{"text":""}', '{"text":7}', '{"text":"x"}', '[1]', '"s"']
+    df = spark.createDataFrame([(i, f'{{"type":"final","data":{d}}}') for i, d in enumerate(data)], "seq long, line string")
+    got = N.parse_status_lines(df).select("seq", N.reply_text(F.col("data"), F.col("data_kind"), F.col("text")).alias("r"))
+    assert rows(got, "seq", "r") == [(0, '{"text":0}'), (1, '{"text":false}'), (2, '{"text":null}'), (3, '{"text":""}'),
+                                     (4, "7"), (5, "x"), (6, "[1]"), (7, "s")]
+
+
+def test_an_unterminated_last_line_is_not_read(spark):
+    df = spark.createDataFrame([(1, '{"type":"status","data":"RAG"}', True), (2, '{"type":"final","data":"x"}', False)],
+                               "seq long, line string, ended boolean")
+    assert rows(N.parse_lines(df, terminated="ended"), "seq", "type") == [(1, "status")]
+
+
+def test_one_parse_per_row_under_a_filter(spark):
+    df = spark.createDataFrame([(1, '{"type":"status","data":"RAG"}')], "seq long, line string")
+    plan = N.parse_status_lines(df).where(F.col("type") == "final")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

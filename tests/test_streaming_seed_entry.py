@@ -58,3 +58,23 @@ def test_status_line_stream(spark):
     got = sorted((os.path.basename(r.source_file), r.type, r.data_kind) for r in out.collect())
     assert got == [("req1.jsonl", "final", "object"), ("req1.jsonl", "status", "string"),
                    ("req2.jsonl", "error", "string")]
+
+
+def test_state_is_carried_over_batches_and_late_rows_are_dropped(spark):
+    at = lambda rows: spark.createDataFrame(rows, "user_id long, s long, event_id long, event_type string").selectExpr(
+        "user_id", "timestamp_micros(s * 1000000) AS ts", "event_id", "event_type")
+    base = 1_700_000_000
+    parts = [at([(1, base, 1, "view"), (1, base + 1000, 2, "view")]), at([(1, base + 2000, 3, "view"), (2, base + 2500, 4, "view")]),
+             at([(3, base + 50_000, 5, "view")]), at([(1, base + 2100, 6, "view")]), at([(-1, base + 900_000, 7, "view")])]
+    got = SA.run_in_batches(parts, lambda s: SA.stream_sessions(s, 1800, 600), "test-batches")
+    assert sorted((r.session_id, r.n_activities) for r in got.collect()) == [(1, 3), (2, 1), (3, 1)]
+
+
+def test_scratch_names_differ_and_folders_go(spark):
+    import os
+    from storelens.session import drop_scratch, scratch_path
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b
+    spark.range(3).write.parquet(a)
+    drop_scratch(a)
+    assert not os.path.exists(a)

@@ -1,17 +1,3 @@
-from storelens.sources import tables as TB
-
-
-def test_spread_only_small_inputs_in_too_few_partitions(spark):
-    one = spark.range(1000).coalesce(1)
-    cores = spark.sparkContext.defaultParallelism
-    mib = 1 << 20
-    assert TB.spread(one, 512 << 10).rdd.getNumPartitions() == 1           # under 1 MiB: left alone
-    assert TB.spread(one, 2 * mib).rdd.getNumPartitions() == min(cores, 8)  # one partition per 256 KiB
-    assert TB.spread(one, 2 << 30).rdd.getNumPartitions() == 1             # over 1 GiB: never shuffled
-    many = spark.range(1000).repartition(cores)
-    assert TB.spread(many, 64 * mib) is many                                # already spread
-
-
 def test_checkpoint_dir_is_read_from_the_session(spark):
     from storelens.session import checkpoint_dir
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")

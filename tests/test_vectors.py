@@ -47,7 +47,7 @@ def test_nearest_single_and_context(spark):
 def test_nearest_approx_recall(spark):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     queries = emb.select(emb.vec_id.alias("query_id"), emb.embedding.alias("vector"))
-    approx = V.nearest_approx(emb, queries, k=3, n_planes=2, target_group=100)
+    approx = V.nearest_approx(emb, queries, k=3, target_group=100)
     exact = V.nearest_batch(emb, queries, k=3)
     assert approx.agg({"rank": "max"}).first()[0] <= 3
     recall = V.recall_at_k(approx, exact).first().recall
@@ -157,3 +157,52 @@ def test_nearest_batch_blocks_meet_across_partitions(spark):
         d = ((xm[i] - xm) ** 2).sum(1)
         best = [ids[j] for j in np.lexsort((ids, d))[:3]]
         assert [got[ids[i]][r] for r in (1, 2, 3)] == best
+
+
+def _brute_sets(qm, xm, k, metric):
+    import numpy as np
+    if metric == "l2":
+        d = ((qm[:, None, :] - xm[None, :, :]) ** 2).sum(2)
+    else:
+        n = np.linalg.norm(qm, axis=1)[:, None] * np.linalg.norm(xm, axis=1)[None, :]
+        dot = qm @ xm.T
+        d = 1 - np.divide(dot, n, out=np.zeros_like(dot), where=n > 0)
+    return [set(np.argsort(r, kind="stable")[:k]) for r in d]
+
+
+def test_no_neighbour_is_lost_at_any_scale():
+    import numpy as np
+    r = np.random.default_rng(1)
+    for scale in (1.0, 1e3, 1e6):
+        xm, qm = r.standard_normal((2000, 64)) * scale, r.standard_normal((20, 64)) * scale
+        q, ids, _ = V._pair_topk(np.arange(20), qm, np.arange(2000), xm, 3, "l2")
+        assert [set(ids[q == i]) for i in range(20)] == _brute_sets(qm, xm, 3, "l2")
+
+
+def test_many_equal_vectors_and_a_zero_vector():
+    import numpy as np
+    xm = np.ones((5000, 8))
+    q, ids, d = V._pair_topk(np.arange(300), np.ones((300, 8)), np.arange(5000), xm, 3, "l2")
+    assert len(q) == 900 and set(ids) == {0, 1, 2} and not d.any()
+    xm = np.vstack([np.zeros(4), np.eye(4)])
+    q, ids, d = V._pair_topk(np.arange(2), np.vstack([np.zeros(4), np.eye(4)[0]]), np.arange(5), xm, 2, "cosine")
+    assert [(int(a), int(b), float(c)) for a, b, c in zip(q, ids, d)] == [(0, 0, 1.0), (0, 1, 1.0), (1, 1, 0.0), (1, 0, 1.0)]
+
+
+def test_approximate_search_returns_every_query(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<double>")
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert rows(V.nearest_approx(none, q), "query_id", "vec_id", "short") == [(1, None, True), (2, None, True)]
+    one = spark.createDataFrame([(9, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id, r.short) for r in V.nearest_approx(one, q, k=3).collect()}
+    assert got == {(1, 9, True), (2, None, True)}
+    assert V.nearest_batch(none, q.withColumnRenamed("query_id", "qq"), query_id="qq").columns == ["qq", "vec_id", "dist", "rank"]
+
+
+def test_approximate_recall(spark):
+    import numpy as np
+    r = np.random.default_rng(2)
+    x = r.standard_normal((3000, 16)) + r.standard_normal((30, 16))[r.integers(0, 30, 3000)] * 3
+    idx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = idx.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    assert V.recall_at_k(V.nearest_approx(idx, q), V.nearest_batch(idx, q)).first()[0] >= 0.9
