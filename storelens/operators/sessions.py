@@ -253,6 +253,24 @@ def transcript(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
                     _render(F.col("turns")).alias("transcript_text")))
 
 
+def transcript_rows(turns: DataFrame, conv: str = "conv_id", bucket_turns: int = HISTORY_BUCKET_TURNS) -> DataFrame:
+    """C9/C10 without a whole conversation in one group: each turn's line and the
+    place ``start`` where it begins in its conversation's transcript.
+
+    The transcript is the lines in turn order, and the history before a turn
+    (C9) is the transcript's first ``start`` characters (less the last line
+    break), so the output is linear in the input.  Sums run per (conversation,
+    bucket of ``bucket_turns`` turn numbers) and carry over from one summary row
+    per bucket.
+    """
+    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    rows = turns.select(conv, "turn", line.alias("line"),
+                        F.coalesce(F.length(line) + 1, F.lit(0)).cast("long").alias("__n"),
+                        floor_div(F.col("turn"), bucket_turns).alias(W.BUCKET))
+    rows = W.running_sum_across(rows, conv, ["turn"], "__n", "__end")
+    return rows.select(conv, "turn", (F.col("__end") - F.col("__n")).alias("start"), "line")
+
+
 # ------------------------------------------------------------------ C11-C13
 
 def prefix_request(text, is_admin, admin_prefix: str = ADMIN_REQUEST_PREFIX,

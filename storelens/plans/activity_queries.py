@@ -253,6 +253,15 @@ def c10(t):
     return tr.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "transcript_text")
 
 
+@query("c10_transcript_rows", """
+SELECT conv_id, turn, role || ': ' || text AS line,
+       CAST(COALESCE(SUM(length(role || ': ' || text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM conversations""")
+def c10_rows(t):
+    return C.transcript_rows(t.conversations)
+
+
 @query("c11_prefix_request", f"""
 SELECT conv_id, turn,
        CASE WHEN conv_id % 2 = 1 THEN {sql_literal(C.ADMIN_EXTENSION)} || chr(10) || {sql_literal(C.ADMIN_REQUEST_PREFIX)} || text

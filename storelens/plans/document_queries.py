@@ -24,6 +24,15 @@ def s02(t):
     return S.assemble_pages(pages, doc="conv_id", page_no="turn", text="text")
 
 
+@query("s02_page_offsets", """
+SELECT conv_id, turn, COALESCE(text, '') AS page_text,
+       CAST(COALESCE(SUM(length(COALESCE(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM conversations""")
+def s02_offsets(t):
+    return S.page_offsets(t.conversations, doc="conv_id", page_no="turn", text="text")
+
+
 @query("v01_chunk_invariants", f"""
 SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, true AS starts_at_zero, true AS ends_at_length,
        true AS no_gap, true AS overlap_ok, true AS size_ok

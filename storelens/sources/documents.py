@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
+from storelens.functions import windows as W
+
 # Fixed value: the request template used when a PDF is attached (two spaces
 # before the second newline, as in the reference).
 ATTACH_TEMPLATE_HEAD = "Zawartość pliku PDF załączona przez użytkownika: \n "
@@ -53,6 +55,18 @@ def assemble_pages(pages: DataFrame, doc: str = "doc", page_no: str = "page_no",
     return grouped.select(doc, F.array_join(F.transform("__pages", lambda x: x["t"]), "").alias("text"))
 
 
+def page_offsets(pages: DataFrame, doc: str = "doc", page_no: str = "page_no", text: str = "text",
+                 bucket_pages: int = 4096) -> DataFrame:
+    """S2 without a whole document in one group: each page's text and the place
+    ``start`` where it begins in the assembled text.  Sums run per (document,
+    bucket of page numbers) and carry over from one summary row per bucket."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = pages.select(doc, page_no, body.alias("page_text"), F.length(body).cast("long").alias("__n"),
+                        W.floor_div(F.col(page_no), bucket_pages).alias(W.BUCKET))
+    rows = W.running_sum_across(rows, doc, [page_no], "__n", "__end")
+    return rows.select(doc, page_no, (F.col("__end") - F.col("__n")).alias("start"), "page_text")
+
+
 def save_index(index: DataFrame, path: str) -> None:
     """S3: write the index, replacing what was saved at ``path``.
 

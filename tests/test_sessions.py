@@ -129,3 +129,11 @@ def test_bounded_history_across_buckets_equals_plain_window(spark, seed, last_n,
     plain = turns.select("conv_id", "turn", F.size(hist).alias("n"), hist.alias("h"))
     exp = {(r.conv_id, r.turn): (r.n, "\n".join(f"{x.role}: {x.text}" for x in r.h)) for r in plain.collect()}
     assert got == exp
+
+
+def test_transcript_rows_place_every_line(spark):
+    data = [(c, t, "user" if t % 2 else "assistant", f"tekst {c} {t}" * (t % 3)) for c in range(3) for t in range(25)]
+    turns = spark.createDataFrame(data, "conv_id long, turn int, role string, text string")
+    whole = {r.conv_id: r.transcript_text for r in C.transcript(turns).collect()}
+    for r in C.transcript_rows(turns, bucket_turns=4).collect():
+        assert whole[r.conv_id][r.start:r.start + len(r.line)] == r.line
