@@ -1,16 +1,14 @@
 """Byte-level BPE encoding and decoding with higher-order functions.
 
-Texts are cut into words without a shuffle: each task gathers a bounded amount of
-text and lists its distinct words (matches of the split pattern) as byte arrays.
-Spark's higher-order functions then fold the ranked merges over each
-distinct word, once, with the rank map as a literal: ``aggregate`` carries the
-word's ids and the ranks of its neighbouring pairs and makes the least-ranked merge at
-each step.  Decoding joins the byte pieces of the ids.  Documents are put together
-again in the same task from the numbers of their words.
-
-A task sends, for each batch of texts, one row with the batch's distinct words and
-after it one row per document; the rows of a task stay in order, as nothing
-between the two Python steps moves them.
+Texts are cut into words (matches of the split pattern) in chunks of bounded size; a
+chunk keeps its texts as numbers of its own distinct words.  The words of all chunks
+are dealt by hash, so that each distinct word of the corpus is merged once: Spark's
+higher-order functions fold the ranked merges over the words as byte arrays, with
+the rank map as a literal.  ``aggregate`` carries the word's ids and the ranks of its
+neighbouring pairs and makes the least-ranked merge at each step.  Each chunk
+gets its words' ids back and puts its texts together; decoding concatenates the
+binary pieces of the ids.  What is shuffled is the numbered texts, the distinct
+words of each chunk and their ids, all compressed.
 """
 
 from __future__ import annotations
@@ -19,22 +17,31 @@ import base64
 import hashlib
 import heapq
 import re
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Text whose distinct words are merged together.
-BATCH_BYTES = 16 << 20
+from storelens.llm.common import n_groups
+
+#: Text of a chunk, and the distinct words at which a chunk ends before that.
+CHUNK_BYTES, WORDS = 16 << 20, 400_000
 #: Words longer than this (runs of one kind of character without any break) are merged
 #: with a heap in the task: folding copies the word at every merge.
-LONG_WORD = 1024
+LONG_WORD = 1024  # at most, as a place takes 11 bits
 #: A space between white space on both sides: there a text can't be cut safely.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
-_NONE = 2147483647
+#: single marks that the split pattern leaves alone after a word
+_MARKS = frozenset("!#$%&()*+,-./:;<=>?@[]^_`{|}~")
+#: rank of a pair that is not in the vocabulary; bits of an entry's id and place
+_NONE, _IDS, _PLACES = 1_000_000, (1 << 17) - 1, ((1 << 11) - 1) << 17
 #: Sizes of the two halves of the rank table (primes).
 _N1, _N2 = 121001, 113501
 
@@ -80,53 +87,74 @@ def _literal(values, kind: str) -> Column:
 
 
 def merge_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """For an array of words, each an array of byte ids: the words' token ids."""
+    """For an array of words, each as ``spell`` writes it: the words merged, entry by
+    entry; the low bits (``_IDS``) of the entries are the token ids."""
     table = _literal(rank_table(pair_ranks(ranks)), "bigint")
     # bound once as a lambda's argument: the literal stands in the plan a single time
     return F.get(F.transform(F.array(table), lambda t: _merge_with(t, words)), F.lit(0))
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` worked out once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _merge_with(table: Column, words: Column) -> Column:
-    def rank(left: Column, right: Column) -> Column:
-        key = left.cast("bigint") * 65536 + right
-        a, b = F.get(table, F.pmod(key, F.lit(_N1))), F.get(table, F.pmod(key, F.lit(_N2)) + _N1)
-        return (F.when(F.shiftright(a, 17) == key, a.bitwiseAND(131071)).when(F.shiftright(b, 17) == key, b.bitwiseAND(131071))
-                .otherwise(_NONE).cast("int"))
-
-    def state(ids: Column, ranks_: Column) -> Column:
-        return F.struct(ids.alias("ids"), ranks_.alias("ranks"))
-
-    def merge(acc: Column, at: Column) -> Column:
-        """One merge at the 1-based pair ``at``."""
-        ids, pairs = acc["ids"], acc["ranks"]
-        new = F.get(pairs, at - 1)
-        n = F.size(ids)
-        left = F.when(at > 1, F.array(rank(F.get(ids, at - 2), new))).otherwise(F.slice(pairs, 1, 0))
-        right = F.when(at + 1 < n, F.array(rank(new, F.get(ids, at + 1)))).otherwise(F.slice(pairs, 1, 0))
-        return state(F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, n)),
-                     F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, n)))
-
-    def step(acc: Column, _: Column) -> Column:
-        least = F.array_min(acc["ranks"])
-        place = F.array_position(acc["ranks"], least).cast("int")
-        return F.when(least < _NONE, F.get(F.transform(F.array(place), lambda p: merge(acc, p)), F.lit(0))).otherwise(acc)
+    """A word being merged is an array of ``rank << 28 | place << 17 | id``: the rank of
+    the pair that a piece makes with the next one, the piece's first byte, its id.
+    The least entry is the next merge, leftmost first; its rank is the new id."""
+    long = lambda n: F.lit(n).cast("bigint")
+    n1, n2, ids, places, none = long(_N1), long(_N2), long(_IDS), long(_PLACES), long(_NONE << 28)
+
+    def look(key: Column) -> Column:
+        """Rank of a pair of ids, shifted to its place in an entry."""
+        second = lambda b: F.when(F.shiftright(b, 17) == key, F.shiftleft(b.bitwiseAND(ids), 28)).otherwise(none)
+        return _let(F.get(table, F.pmod(key, n1).cast("int")), lambda a: F.when(
+            F.shiftright(a, 17) == key, F.shiftleft(a.bitwiseAND(ids), 28)).otherwise(_let(F.get(table, (F.pmod(key, n2) + n1).cast("int")), second)))
+
+    def entry(left: Column, right: Column, kept: Column) -> Column:
+        return _let(F.shiftleft(left, 16).bitwiseOR(right), look).bitwiseOR(kept)
+
+    def merge(state: Column, least: Column) -> Column:
+        new = F.shiftright(least, 28)
+
+        def each(e: Column, i: Column) -> Column:
+            after = F.get(state, i + 2)
+            merged = least.bitwiseAND(places).bitwiseOR(new)
+            return (F.when(e == least, F.when(after.isNull(), none.bitwiseOR(merged)).otherwise(entry(new, after.bitwiseAND(ids), merged)))
+                    .when(F.get(state, i + 1) == least, entry(e.bitwiseAND(ids), new, e.bitwiseAND(long(_PLACES | _IDS))))
+                    .when(F.get(state, i - 1) == least, long(-1)).otherwise(e))
+
+        return F.filter(F.transform(state, each), lambda e: e >= 0)
+
+    def step(state: Column, _: Column) -> Column:
+        return _let(F.array_min(state), lambda least: F.when(least < none, merge(state, least)).otherwise(state))
 
     def word(w: Column) -> Column:
-        first = F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: rank(x, F.get(w, i + 1)))
-        folded = F.aggregate(F.sequence(F.lit(2), F.size(w)), state(w, first), step)
-        return F.when(F.size(w) < 2, w).otherwise(folded["ids"])
+        return F.when(F.size(w) < 2, w).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(w)), w, step))
 
     return F.transform(words, word)
 
 
-def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """For an array of id arrays: the bytes of each, the ids' pieces one after another."""
-    pieces = [b""] * (max(ranks.values()) + 1)
+def byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the bytes, and ranks of the pairs of bytes."""
+    pairs = np.full((256, 256), _NONE, dtype=np.int64)
     for piece, i in ranks.items():
-        pieces[i] = piece
-    table = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    spell = lambda t: F.transform(ids, lambda one: F.unhex(F.array_join(F.transform(one, lambda i: F.get(t, i)), "")))
-    return F.get(F.transform(F.array(table), spell), F.lit(0))
+        if len(piece) == 2:
+            pairs[piece[0], piece[1]] = i
+    return np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64), pairs
+
+
+def spell(words: list[bytes], byte_ids: np.ndarray, pairs: np.ndarray) -> pa.ListArray:
+    """Each word as the array that ``merge_words`` folds: its bytes' ids, places and ranks of neighbouring pairs."""
+    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    starts = np.r_[0, ends]
+    rank = np.full(len(raw), _NONE, dtype=np.int64)
+    rank[:-1] = pairs[raw[:-1], raw[1:]]
+    rank[ends[np.diff(starts) > 0] - 1] = _NONE  # a word's last byte has no next one
+    place = np.arange(len(raw)) - np.repeat(starts[:-1], np.diff(starts))
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(rank << 28 | place << 17 | byte_ids[raw]))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -157,127 +185,237 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
-_ROWS = pa.schema([("row", pa.int64()), ("words", pa.list_(pa.list_(pa.int32()))), ("parts", pa.list_(pa.list_(pa.int32()))),
-                   ("long", pa.list_(pa.binary())), ("units", pa.list_(pa.int32()))])
+class _Memory(dict):
+    """Remembers what ``make`` gave for a key."""
+
+    def __init__(self, make):
+        self.make = make
 
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
 
-def _cut(texts: list[str], pattern) -> tuple[dict, list, list[list[int]], list[list[int]]]:
-    """Distinct words, the parts of each distinct unit, and the units of each text.
 
-    A unit is a stretch of text that begins at a single space (or the text's start); the pattern never
-    matches across such a cut, so a unit is split into words once.
+class _Cutter:
+    """Numbers of the words of texts, and the words not numbered before.
+
+    The pattern begins a new word at every single space, so a text is cut there into units
+    and each distinct unit is split into words once.
     """
-    words: dict[str, int] = {}
-    units: dict[str, int] = {}
-    parts: list[list[int]] = []
-    out = []
-    for t in texts:
-        if _UNSAFE.search(t):
-            own = [t]
-        else:
-            own = t.split(" ")
-            own[1:] = [" " + u for u in own[1:]]
-        numbers = []
-        for u in own:
-            k = units.get(u)
-            if k is None:
-                k = units[u] = len(parts)
-                parts.append([words.setdefault(w, len(words)) for w in pattern.findall(u)])
-            numbers.append(k)
-        out.append(numbers)
-    return words, parts, out
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", batch_bytes: int = BATCH_BYTES,
-           carry: list[str] = ()) -> DataFrame:
-    """``carry`` columns, n_tokens, ids (array), ids_text (decimal, comma-joined), decoded (bytes) of every row.
+
+    def __init__(self, pattern: str):
+        self.find = regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.new: list[str] = []
+        self.words = _Memory(self._number)
+        self.units = _Memory(self._unit)
+
+    def _number(self, word: str) -> bytes:
+        self.new.append(word)
+        return len(self.words).to_bytes(4, "little")
+
+    def _unit(self, unit: str) -> bytes:
+        if unit.isalpha():  # the two usual shapes, without the pattern: a word, and a word with a mark after it
+            return self.words[" " + unit]
+        if unit[-1:] in _MARKS and unit[:-1].isalpha():
+            return self.words[" " + unit[:-1]] + self.words[unit[-1]]
+        return self._whole(" " + unit)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.words[w] for w in self.find(text)])
+
+    def numbers(self, text: str | None) -> bytes:
+        """Word numbers as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        if _UNSAFE.search(text):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        return self._whole(first) + b"".join(map(self.units.__getitem__, rest))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """32-bit integers, compressed byte plane by byte plane."""
+    return zstandard.ZstdCompressor(3).compress(np.asarray(x).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = _pack(np.array([len(w) for w in words], dtype=np.int64))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(3).compress(b"".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    raw = zstandard.ZstdDecompressor().decompress(data[4 + n:])
+    ends = np.cumsum(_unpack(data[4:4 + n])).tolist()
+    return [raw[a:z] for a, z in zip([0, *ends], ends)]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of several runs, one after another."""
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+
+
+_SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
+_ASKED = pa.schema([("words", pa.list_(pa.list_(pa.int64()))), ("long", pa.list_(pa.binary())), ("chunks", pa.list_(pa.int64())),
+                    ("numbers", pa.list_(pa.binary())), ("places", pa.list_(pa.binary()))])
+_TOLD = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+
+
+def _send_words(n_buckets: int):
+    """The words of a chunk, dealt by their crc32."""
+
+    def send(table: pa.Table) -> pa.Table:
+        words, rows = _unpack_words(table.column("words")[0].as_py()), []
+        bucket = np.array([zlib.crc32(w) % n_buckets for w in words], dtype=np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            rows.append({"bucket": int(bucket[own[0]]), "chunk": table.column("chunk")[0].as_py(), "numbers": _pack(own),
+                         "words": _pack_words([words[i] for i in own.tolist()])})
+        return pa.Table.from_pylist(rows, schema=_SENT)
+
+    return send
+
+
+def _distinct_words(byte_ids: np.ndarray, byte_pairs: np.ndarray):
+    """One row per bucket: its distinct words, ready to be merged, and who asked for which."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        places = [_pack(np.array([place.setdefault(w, len(place)) for w in _unpack_words(x)], dtype=np.int64))
+                  for x in table.column("words").to_pylist()]
+        flat = spell([w if len(w) <= LONG_WORD else b"" for w in place], byte_ids, byte_pairs)
+        return pa.Table.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat),
+             pa.array([[w for w in place if len(w) > LONG_WORD]], pa.list_(pa.binary())), pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())),
+             pa.array([table.column("numbers").to_pylist()], pa.list_(pa.binary())), pa.array([places], pa.list_(pa.binary()))], schema=_ASKED)
+
+    return gather
+
+
+def _answer(ranks: dict[bytes, int]):
+    """The ids of a bucket's words, to the chunks that asked."""
+
+    def answer(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                found = row.column("words").flatten()
+                ends = found.offsets.to_numpy().astype(np.int64) - found.offsets[0].as_py()
+                ids, sizes, starts = found.flatten().to_numpy() & _IDS, np.diff(ends), ends[:-1]
+                if not sizes.all():  # long words come merged by themselves
+                    more = [merge_long(w, ranks) for w in row.column("long")[0].as_py()]
+                    at, extra = np.flatnonzero(sizes == 0), np.array([len(m) for m in more])
+                    starts, sizes = starts.copy(), sizes.copy()
+                    starts[at] = len(ids) + np.r_[0, np.cumsum(extra)[:-1]]
+                    sizes[at] = extra
+                    ids = np.concatenate([ids, *[np.array(m, dtype=np.int64) for m in more]])
+                rows = []
+                for chunk, numbers, places in zip(*(row.column(c)[0].as_py() for c in ("chunks", "numbers", "places"))):
+                    own = _unpack(places)
+                    rows.append({"chunk": chunk, "numbers": numbers, "sizes": _pack(sizes[own]), "ids": _pack(ids[_runs(starts[own], sizes[own])])})
+                yield pa.RecordBatch.from_pylist(rows, schema=_TOLD)
+
+    return answer
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
+           carry: list[str] = (), words: int = WORDS) -> DataFrame:
+    """carried (struct of the ``carry`` columns), n_tokens, ids_text (decimal ids joined by commas), decoded (bytes) of every row.
 
     A null text is empty: no ids.  The split pattern's words are encoded one by
-    one, without special tokens.
+    one, without special tokens.  An empty table gives no rows.
     """
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-    kept = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    byte_ids, byte_pairs = byte_tables(ranks)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    kept = docs.select(carried.alias("carried"), F.col(text_col).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    held = to_arrow_schema(kept.select(*[F.col(f"`{c}`") for c in carry]).schema) if carry else pa.schema([])
-    sent_schema = pa.schema([pa.field(f.name, f.type, True) for f in held] + list(_ROWS))
+    own_type = to_arrow_type(_nullable(kept.schema["carried"].dataType))
+    own_ddl = kept.schema["carried"].dataType.simpleString()
+    n_buckets = 4 * n_groups(docs, text_col, chunk_bytes)
 
     def cut(batches):
-        split = regex.compile(pattern)
-
-        def flush(rows: list):
-            texts = [t for part in rows for t in part.column("_text").to_pylist()]
-            texts = ["" if t is None else t for t in texts]
-            words, parts, numbers = _cut(texts, split)
-            spelt = [w.encode() for w in words]
-            short = [byte_ids[np.frombuffer(w, dtype=np.uint8)] if len(w) <= LONG_WORD else np.zeros(0, np.int32) for w in spelt]
-            ends = np.r_[0, np.cumsum([len(s) for s in short])].astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *short])))
-            one = {"words": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat),
-                   "parts": pa.array([parts], sent_schema.field("parts").type),
-                   "long": pa.array([[w for w in spelt if len(w) > LONG_WORD]], pa.list_(pa.binary())), "row": pa.array([None], pa.int64()),
-                   "units": pa.array([None], pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_arrays([one[f.name] if f.name in one and f.name in _ROWS.names else pa.nulls(1, f.type) for f in sent_schema], schema=sent_schema)
-            at = 0
-            for part in rows:
-                n = part.num_rows
-                own = [part.column(f.name) for f in held]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(range(n), pa.int64()), *[pa.nulls(n, _ROWS.field(c).type) for c in ("words", "parts", "long")],
-                     pa.array(numbers[at:at + n], pa.list_(pa.int32()))], schema=sent_schema)
-                at += n
-
-        rows, size = [], 0
+        part, number = TaskContext.get().partitionId(), 0
+        cutter = _Cutter(pattern)
+        rows: list = []
+        texts: list[bytes] = []
+        size = 0
+
+        def flush():
+            nonlocal rows, texts, size, number
+            spelt = [w.encode() for w in cutter.new]
+            own = pa.concat_arrays(rows)
+            listed = _pack_words(spelt)
+            # named after its words: ids can't meet a chunk that a repeated task has cut differently
+            name = hashlib.blake2b(listed + f"{part}/{number}".encode(), digest_size=8).digest()
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                 pa.array([_pack(np.array([len(t) // 4 for t in texts]))]), pa.array([_pack(np.frombuffer(b"".join(texts), dtype="<u4"))]),
+                 pa.array([listed])], ["chunk", "carried", "sizes", "numbers", "words"])
+            cutter.forget()
+            rows, texts, size, number = [], [], 0, number + 1
+            return out
+
         for b in batches:
             for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                rows.append(part)
-                size += part.column("_text").nbytes
-                if size >= batch_bytes:
-                    yield from flush(rows)
-                    rows, size = [], 0
+                some = b.slice(a, 256)
+                rows.append(some.column("carried").cast(own_type))
+                for t in some.column("text").to_pylist():
+                    texts.append(cutter.numbers(t))
+                size += some.column("text").nbytes
+                if size >= chunk_bytes or len(cutter.words) > words:
+                    yield flush()
         if rows:
-            yield from flush(rows)
-
-    names = ["row", "words", "parts", "long", "units"]
-    inner = "row long, words array<array<int>>, parts array<array<int>>, long array<binary>, units array<int>"
-    lists = kept.mapInArrow(cut, ", ".join(x for x in (fields, inner) if x))
-    merged = lists.withColumn("words", merge_words(F.col("words"), ranks))
-    both = merged.select("*", decode_words(F.col("words"), ranks).alias("bytes"))
-
-    def join(batches):
-        texts, sizes, decoded = [], [], []
-        for b in batches:
-            listed = b.column("words")
-            made = {c: [] for c in ("n_tokens", "ids_text", "decoded")}
-            docs_at = []
-            for i in range(b.num_rows):
-                if listed[i].is_valid:
-                    found, raw = listed[i].as_py(), b.column("bytes")[i].as_py()
-                    extra = iter(b.column("long")[i].as_py())
-                    for k, ids in enumerate(found):
-                        if not ids:
-                            word = next(extra)
-                            found[k] = merge_long(word, ranks)
-                            raw[k] = b"".join(pieces[j] for j in found[k])
-                    spelt = [",".join(map(str, ids)) for ids in found]
-                    count = [len(ids) for ids in found]
-                    parts = b.column("parts")[i].as_py()
-                    texts = [",".join([spelt[w] for w in p]) for p in parts]
-                    sizes = np.array([sum([count[w] for w in p]) for p in parts], dtype=np.int64)
-                    decoded = [b"".join([raw[w] for w in p]) for p in parts]
-                else:
-                    units = b.column("units")[i].as_py()
-                    docs_at.append(i)
-                    made["n_tokens"].append(int(sizes[units].sum()) if units else 0)
-                    made["ids_text"].append(",".join([texts[u] for u in units if texts[u]]))
-                    made["decoded"].append(b"".join([decoded[u] for u in units]))
-            own = b.take(pa.array(docs_at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[own.column(f.name) for f in held], pa.array(made["n_tokens"], pa.int64()),
-                                              pa.array(made["ids_text"], pa.string()), pa.array(made["decoded"], pa.binary())],
-                                             [*held.names, "n_tokens", "ids_text", "decoded"])
-
-    pieces = {i: p for p, i in ranks.items()}
-    del names
-    return both.drop("row").mapInArrow(join, ", ".join(x for x in (fields, "n_tokens long, ids_text string, decoded binary") if x))
+            yield flush()
+
+    done = pa.schema([("carried", own_type), ("n_tokens", pa.int64()), ("ids_text", pa.string()), ("decoded", pa.binary())])
+
+    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return done.empty_table()
+        made = _unpack_words(left.column("words")[0].as_py())
+        texts: list = [""] * len(made)
+        raw: list = [b""] * len(made)
+        count = np.zeros(len(made), dtype=np.int64)
+        for numbers, sizes, ids in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids"))):
+            own, size, flat = _unpack(numbers), _unpack(sizes), _unpack(ids).tolist()
+            count[own] = size
+            spelt, bytes_ = list(map(str, flat)), list(map(pieces.__getitem__, flat))
+            ends = np.cumsum(size).tolist()
+            for k, a, z in zip(own.tolist(), [0, *ends], ends):
+                texts[k] = ",".join(spelt[a:z])
+                raw[k] = b"".join(bytes_[a:z])
+        if not count.all():
+            raise RuntimeError("ids of some words are missing: a chunk was cut anew after its words had been sent")
+        numbers = _unpack(left.column("numbers")[0].as_py())
+        ends = np.r_[0, np.cumsum(_unpack(left.column("sizes")[0].as_py()))]
+        total = np.r_[0, np.cumsum(count[numbers])]
+        each = [numbers[a:z].tolist() for a, z in zip(ends[:-1], ends[1:])]
+        return pa.Table.from_arrays(
+            [left.column("carried").combine_chunks().flatten(), pa.array(total[ends[1:]] - total[ends[:-1]]),
+             pa.array([",".join(map(texts.__getitem__, e)) for e in each], pa.string()),
+             pa.array([b"".join(map(raw.__getitem__, e)) for e in each], pa.binary())], ["carried", "n_tokens", "ids_text", "decoded"])
+
+    chunks = kept.mapInArrow(cut, f"chunk long, carried array<{own_ddl}>, sizes binary, numbers binary, words binary").groupBy("chunk")
+    sent = chunks.applyInArrow(_send_words(n_buckets), "bucket long, chunk long, numbers binary, words binary")
+    asked = sent.groupBy("bucket").applyInArrow(
+        _distinct_words(byte_ids, byte_pairs), "words array<array<bigint>>, long array<binary>, chunks array<bigint>, numbers array<binary>, places array<binary>")
+    told = asked.withColumn("words", merge_words(F.col("words"), ranks)).mapInArrow(
+        _answer(ranks), "chunk long, numbers binary, sizes binary, ids binary")
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(
+        put_together, f"carried {own_ddl}, n_tokens long, ids_text string, decoded binary")
+
+
+def _nullable(kind: StructType) -> StructType:
+    return StructType([StructField(f.name, f.dataType, True) for f in kind.fields])

@@ -42,7 +42,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
         return [], np.zeros(0), np.zeros(0)
     spark = docs.sparkSession
     picked = spark.createDataFrame(list(chosen.items()), "c_id long, y int")  # bounded by the sample's size
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("c_id")).select("c_id", text_col).dropDuplicates(["c_id"]).collect()
+    own = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text"))
+    texts = own.join(F.broadcast(picked), F.col("d_id") == F.col("c_id")).select("c_id", "d_text").dropDuplicates(["c_id"]).collect()
     texts.sort(key=lambda r: (hash_of(r[0]), r[0]))
     target = np.array([chosen[r[0]] for r in texts], dtype=np.float64)
     size = {y: max(1, int((target == y).sum())) for y in (0, 1)}

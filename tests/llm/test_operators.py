@@ -276,7 +276,7 @@ def test_forgetting_words_changes_nothing(spark):
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     a = byte_bpe.encode(docs, ranks, P.PATTERN, carry=["doc_id"])
-    b = byte_bpe.encode(docs, ranks, P.PATTERN, carry=["doc_id"], batch_bytes=3000, words=50)
+    b = byte_bpe.encode(docs, ranks, P.PATTERN, carry=["doc_id"], chunk_bytes=3000, words=50)
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
