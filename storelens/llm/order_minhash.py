@@ -15,12 +15,12 @@ all but surely (1 - 4e-9), one of 0.67 with 99.7 %, one of 0.5 with 63 %.
 
 Equal texts are collapsed first.  In a bucket every member is compared with its
 neighbour and with the leader of its share (large buckets are shared out), in an
-order that differs from bucket to bucket.  Then members of a bucket that are still
-in different classes are compared by how many of their 128 sketches agree
-(in blocks of bounded size, inside a task): first each member outside the
-bucket's largest class with the two that agree most, and after that every pair that
-agrees in at least ``AGREE`` goes to verification.  Members already in one class are
-never expanded into pairs.
+order that differs from bucket to bucket: first in the buckets of ``FIRST`` keys, then
+in all others where members are still in different classes.  After that such members
+are compared by how many of their 128 sketches agree (in blocks of bounded size,
+inside a task): each member outside the bucket's largest class with the two that
+agree most, and at last every pair that agrees in at least ``AGREE`` goes to
+verification.  Members already in one class are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: shingles per sketch, sketches per bucket key, bucket keys
 LEAST, PER_KEY, KEYS = 3, 2, 64
+#: keys whose buckets are worked through first
+FIRST = 4
 #: members of a bucket that are handled together
 SHARE = 2048
 #: sketches (of 128, by their last byte) that agree in a pair worth an alignment: of texts whose
@@ -244,9 +246,32 @@ def _blocks(left: DataFrame) -> DataFrame:
                     "node", "root", "small"))
 
 
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """(node, other) pairs of neighbours and leaders within the shares of a bucket, then
+    of the shares' first members; only pairs of different classes."""
+    one = lambda: F.struct("node", "root")
+    turned = rows.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("turn", F.xxhash64("node", "bucket"))
+    share = Window.partitionBy("bucket", "share").orderBy("turn", "node")
+    inside = turned.select("bucket", "node", "root", "turn", F.lag(one()).over(share).alias("before"), F.first(one()).over(share).alias("leader"))
+    over = Window.partitionBy("bucket").orderBy("turn", "node")
+    firsts = inside.where("before is null").select("node", "root", F.lag(one()).over(over).alias("before"), F.first(one()).over(over).alias("leader"))
+    both = inside.select("node", "root", "before", "leader").union(firsts)
+    apart = F.filter(F.array("before", "leader"), lambda o: o.isNotNull() & (o["root"] != F.col("root")))
+    return both.select("node", F.explode(apart).alias("o")).select("node", F.col("o.node").alias("other"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes joined by new links, worked out between the classes alone."""
+    a = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
+    b = roots.select(F.col("node").alias("v"), F.col("root").alias("b"))
+    between = components(links.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    onto = between.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return checkpointed(roots.join(onto, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
 def _with_class(members: DataFrame, roots: DataFrame) -> DataFrame:
     return (members.join(roots.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
-            .select("bucket", "node", "shares", F.coalesce("root", "node").alias("root")))
+            .select("bucket", "k", "node", "shares", F.coalesce("root", "node").alias("root")))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,49 +290,45 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     member = signed.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
     named = signed.groupBy("print").agg(F.min("doc_id").alias("node"))
 
-    entries = nodes.where("node is not null").select("node", F.explode("keys").alias("bucket"))
+    entries = nodes.where("node is not null").select("node", F.posexplode("keys").alias("k", "bucket"))
     shared = (entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
               .select(F.col("bucket").alias("b2"), F.ceil(F.col("n") / SHARE).alias("shares")))
-    members = checkpointed(entries.join(shared, F.col("bucket") == F.col("b2")).select("bucket", "node", "shares").distinct())
+    members = checkpointed(entries.join(shared, F.col("bucket") == F.col("b2")).select("bucket", "k", "node", "shares").distinct())
 
     wanted = members.select(F.col("node").alias("w")).distinct()
     texts = rows.join(wanted, F.col("doc_id") == F.col("w")).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
     texts = checkpointed(texts.mapInArrow(_normalise, "node long, words binary"))
 
-    # first round: neighbours and leaders within salted shares, then between the shares' leaders
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("turn", F.xxhash64("node", "bucket"))
-    share = Window.partitionBy("bucket", "salt").orderBy("turn", "node")
-    inside = salted.select("bucket", "node", "turn", F.lag("node").over(share).alias("before"), F.first("node").over(share).alias("leader"))
-    over = Window.partitionBy("bucket").orderBy("turn", "node")
-    leaders = inside.where("before is null").select("node", F.lag("node").over(over).alias("before"), F.first("node").over(over).alias("leader"))
-    linked = inside.select("node", "before", "leader").union(leaders)
-    pairs = (linked.select("node", F.explode(F.array("before", "leader")).alias("other")).where("other is not null and other <> node")
-             .select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct())
-    tried = checkpointed(_verified(pairs, texts))
-    links = tried.where("ok").select("u", "v")
-    roots = components(links)
-
-    # later rounds: whatever shares a bucket and is still apart
+    roots = checkpointed(members.select("node").distinct().withColumn("root", F.col("node")))
     small = signed.groupBy("print").agg(F.min("doc_id").alias("n3"), F.first("small").alias("small")).select("n3", "small")
-    for best in (2, None):
-        split = checkpointed(_with_class(members, roots))
-        torn = split.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket")
-        left = split.join(torn, "bucket").join(small, F.col("node") == F.col("n3"))
-        rest = (_blocks(left).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-                .mapInArrow(_agreeing(best), "u long, v long").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
-        more = checkpointed(_verified(rest, texts))
-        tried = tried.union(more)
-        if more.where("ok").limit(1).count():
-            links = links.union(more.where("ok").select("u", "v"))
-            roots = components(links)
+    tried = None
+    for search in ("first", "neighbours", 2, None):
+        left = _with_class(members.where(F.col("k") < FIRST) if search == "first" else members, roots)
+        if search != "first":  # whatever shares a bucket and is still apart
+            split = checkpointed(left)
+            torn = split.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket")
+            left = split.join(torn, "bucket")
+        if search in ("first", "neighbours"):
+            found = _neighbours(left).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
+        else:
+            marked = left.join(small, F.col("node") == F.col("n3"))
+            found = (_blocks(marked).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+                     .mapInArrow(_agreeing(search), "u long, v long"))
+        found = found.distinct()
+        if tried is not None:
+            found = found.join(tried.select("u", "v"), ["u", "v"], "left_anti")
+        new = checkpointed(_verified(found, texts))
+        tried = new if tried is None else tried.union(new)
+        roots = _merged(roots, new.where("ok").select("u", "v"))
 
     # back to the documents: rows that repeat an id tie their texts together as well
     ids = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1 and doc_id is not null")
     if ids.limit(1).count():
         tie = (member.join(named, "print").join(ids, "doc_id").where("node is not null")
                .select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
-        roots = components(links.union(tie))
-    roots = checkpointed(roots)
+        every = named.where("node is not null").select("node").union(tie.select("u")).distinct()
+        roots = every.join(roots.select(F.col("node").alias("n4"), "root"), F.col("node") == F.col("n4"), "left")
+        roots = _merged(roots.select("node", F.coalesce("root", "node").alias("root")), tie)
     grouped = signed.select("doc_id", "print").join(named, "print")
     return (grouped.join(roots.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
             .select("doc_id", F.coalesce("root", "node").alias("class_id")))

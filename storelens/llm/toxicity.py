@@ -10,6 +10,8 @@ hold nothing but the network and one batch of texts.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,8 +22,8 @@ from storelens.llm.toxicity_net import ToxicityNet, words_of
 
 #: Bound of the training sample, for each class.
 SAMPLE_PER_CLASS = 1500
-#: Batches the network learns from: six passes over a small sample, at most this many.
-UPDATES, PASSES, BATCH = 200, 6, 48
+#: Batches the network learns from at most, and texts in one.
+UPDATES, BATCH = 190, 48
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SAMPLE_PER_CLASS,
@@ -73,9 +75,23 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, updates: i
     held = rank % 5 == 4
     fit = np.flatnonzero(~held)
     own = [texts[i] for i in fit]
-    net.prime(own, target[fit]).fit(own, target[fit], updates=min(updates, max(40, PASSES * len(fit) // BATCH)), batch=BATCH)
+    net.prime(own, target[fit])
     check = np.flatnonzero(held) if len(set(target[held].tolist())) == 2 else np.arange(len(target))
-    return net.calibrate(net.logits([texts[i] for i in check]), target[check], weight[check])
+    shown = [texts[i] for i in check]
+    # rounds of training, each twice as long; the network that the held fifth likes best is kept
+    best, done, step = (np.inf, None), 0, 10
+    while done <= updates:
+        net.calibrate(net.logits(shown), target[check], weight[check])
+        p = np.clip(net.scores(shown), 1e-6, 1 - 1e-6)
+        loss = -(weight[check] * (target[check] * np.log(p) + (1 - target[check]) * np.log(1 - p))).sum()
+        if loss < best[0]:
+            best = (loss, copy.deepcopy(net))
+        if done == updates:
+            break
+        step = min(step, updates - done)
+        net.fit(own, target[fit], updates=step, batch=BATCH, seed=3 + done)
+        done, step = done + step, step * 2
+    return best[1]
 
 
 def _scores(net: ToxicityNet, texts: list) -> np.ndarray:
