@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from storelens.llm.common import n_groups
+from storelens.llm.common import n_groups, release
 
 #: Text of a chunk, and the distinct words at which a chunk ends before that.
-CHUNK_BYTES, WORDS = 16 << 20, 400_000
+CHUNK_BYTES, WORDS = 8 << 20, 300_000
 #: Words longer than this (runs of one kind of character without any break) are merged
 #: with a heap in the task: folding copies the word at every merge.
 LONG_WORD = 1024  # at most, as a place takes 11 bits
@@ -365,6 +365,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
                  pa.array([listed])], ["chunk", "carried", "sizes", "numbers", "words"])
             cutter.forget()
             rows, texts, size, number = [], [], 0, number + 1
+            release()
             return out
 
         for b in batches:
@@ -401,11 +402,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
         numbers = _unpack(left.column("numbers")[0].as_py())
         ends = np.r_[0, np.cumsum(_unpack(left.column("sizes")[0].as_py()))]
         total = np.r_[0, np.cumsum(count[numbers])]
-        each = [numbers[a:z].tolist() for a, z in zip(ends[:-1], ends[1:])]
-        return pa.Table.from_arrays(
+        whole_texts, whole_raw = [], []
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            each = numbers[a:z].tolist()
+            whole_texts.append(",".join(map(texts.__getitem__, each)))
+            whole_raw.append(b"".join(map(raw.__getitem__, each)))
+        out = pa.Table.from_arrays(
             [left.column("carried").combine_chunks().flatten(), pa.array(total[ends[1:]] - total[ends[:-1]]),
-             pa.array([",".join(map(texts.__getitem__, e)) for e in each], pa.string()),
-             pa.array([b"".join(map(raw.__getitem__, e)) for e in each], pa.binary())], ["carried", "n_tokens", "ids_text", "decoded"])
+             pa.array(whole_texts, pa.string()), pa.array(whole_raw, pa.binary())], ["carried", "n_tokens", "ids_text", "decoded"])
+        del whole_texts, whole_raw, texts, raw, made
+        release()
+        return out
 
     chunks = kept.mapInArrow(cut, f"chunk long, carried array<{own_ddl}>, sizes binary, numbers binary, words binary").groupBy("chunk")
     sent = chunks.applyInArrow(_send_words(n_buckets), "bucket long, chunk long, numbers binary, words binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 import zlib
@@ -15,6 +16,9 @@ from storelens.session import checkpoint_dir
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table, read as it is."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -58,6 +62,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers are
+    reused, and what one task leaves would count against the next."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def quiet_threads() -> None:
     """One thread per Python worker: Spark's cores are the parallelism."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

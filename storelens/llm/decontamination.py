@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import n_groups
+from storelens.llm.common import n_groups, release
 from storelens.llm.order_minhash import normalised
 from storelens.llm.wordhash import U64, blocks, shingle_hashes, word_hashes
 
@@ -115,6 +115,14 @@ class ItemIndex:
         return out
 
 
+def _slices(batches, rows: int = 512):
+    """The batches in slices of a few rows, so that few texts are open at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+    release()
+
+
 def item_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
     """The benchmark as indexes of at most about ``block_bytes`` of text each."""
     rows = bench.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
@@ -142,7 +150,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, threshold: float = CONTAINME
 
         def find(batches, sent=sent):
             index = sent.value
-            for b in batches:
+            for b in _slices(batches):
                 hits = index.search([normalised(t) for t in b.column("text").to_pylist()], threshold) if index.ids else []
                 ids = b.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
@@ -165,7 +173,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, threshold: float = CONTAINM
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches, sent=sent):
-            for b in batches:
+            for b in _slices(batches):
                 at = b.schema.get_field_index(text_col)
                 hits = sent.value.search([normalised(t) for t in b.column(at).to_pylist()], threshold) if sent.value.ids else []
                 keep = np.ones(b.num_rows, dtype=bool)

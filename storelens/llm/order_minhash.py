@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.llm.common import checkpointed
+from storelens.llm.common import checkpointed, release
 from storelens.llm.components import components
 from storelens.llm.wordhash import U64, blocks, mix, shingle_hashes, word_hashes
 
@@ -106,7 +106,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def _sign(batches):
-    for b in batches:
+    for b in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
         texts = [normalised(t) for t in b.column("text").to_pylist()]
         prints = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
         keys: list[np.ndarray | None] = [None] * len(texts)
@@ -121,6 +121,7 @@ def _sign(batches):
                     keys[lo + i] = own.view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                                           pa.array(small, pa.binary())], ["doc_id", "print", "keys", "small"])
+    release()
 
 
 def aligned(a: list, b: list, least: int) -> int:

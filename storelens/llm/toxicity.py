@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import crc_mod
+from storelens.llm.common import crc_mod, release
 from storelens.llm.toxicity_net import ToxicityNet, words_of
 
 #: Bound of the training sample, for each class.
 SAMPLE_PER_CLASS = 1500
 #: Batches the network learns from at most, and texts in one.
-UPDATES, BATCH = 190, 48
+UPDATES, BATCH = 70, 48
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SAMPLE_PER_CLASS,
@@ -94,8 +94,11 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, updates: i
     return best[1]
 
 
-def _scores(net: ToxicityNet, texts: list) -> np.ndarray:
-    return net.scores([words_of(t) for t in texts])
+def _scores(net: ToxicityNet, column: pa.Array, rows: int = 512) -> np.ndarray:
+    """Scores of a batch's texts, a few rows at a time."""
+    parts = [net.scores([words_of(t) for t in column.slice(a, rows).to_pylist()]) for a in range(0, len(column), rows)]
+    release()
+    return np.concatenate([np.zeros(0), *parts])
 
 
 def score(docs: DataFrame, net: ToxicityNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +108,7 @@ def score(docs: DataFrame, net: ToxicityNet, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(sent.value, b.column("text").to_pylist()))],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(sent.value, b.column("text")))],
                                              ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -118,7 +121,7 @@ def without_toxic(docs: DataFrame, net: ToxicityNet, text_col: str = "text", lim
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            yield b.filter(pa.array(_scores(sent.value, b.column(at).to_pylist()) < limit))
+            yield b.filter(pa.array(_scores(sent.value, b.column(at)) < limit))
 
     return docs.mapInArrow(run, docs.schema)
 
