@@ -32,7 +32,7 @@ from pyspark.sql.types import StructField, StructType
 from storelens.llm.common import n_groups, release
 
 #: Text of a chunk, and the distinct words at which a chunk ends before that.
-CHUNK_BYTES, WORDS = 8 << 20, 300_000
+CHUNK_BYTES, WORDS = 6 << 20, 250_000
 #: Words longer than this (runs of one kind of character without any break) are merged
 #: with a heap in the task: folding copies the word at every merge.
 LONG_WORD = 1024  # at most, as a place takes 11 bits
@@ -279,7 +279,10 @@ def _send_words(n_buckets: int):
         for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             rows.append({"bucket": int(bucket[own[0]]), "chunk": table.column("chunk")[0].as_py(), "numbers": _pack(own),
                          "words": _pack_words([words[i] for i in own.tolist()])})
-        return pa.Table.from_pylist(rows, schema=_SENT)
+        out = pa.Table.from_pylist(rows, schema=_SENT)
+        del words, rows
+        release()
+        return out
 
     return send
 
@@ -322,6 +325,7 @@ def _answer(ranks: dict[bytes, int]):
                     own = _unpack(places)
                     rows.append({"chunk": chunk, "numbers": numbers, "sizes": _pack(sizes[own]), "ids": _pack(ids[_runs(starts[own], sizes[own])])})
                 yield pa.RecordBatch.from_pylist(rows, schema=_TOLD)
+            release()
 
     return answer
 

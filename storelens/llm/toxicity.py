@@ -97,7 +97,6 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, updates: i
 def _scores(net: ToxicityNet, column: pa.Array, rows: int = 512) -> np.ndarray:
     """Scores of a batch's texts, a few rows at a time."""
     parts = [net.scores([words_of(t) for t in column.slice(a, rows).to_pylist()]) for a in range(0, len(column), rows)]
-    release()
     return np.concatenate([np.zeros(0), *parts])
 
 
@@ -110,6 +109,7 @@ def score(docs: DataFrame, net: ToxicityNet, id_col: str = "doc_id", text_col: s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(sent.value, b.column("text")))],
                                              ["doc_id", "score"])
+        release()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -121,7 +121,10 @@ def without_toxic(docs: DataFrame, net: ToxicityNet, text_col: str = "text", lim
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            yield b.filter(pa.array(_scores(sent.value, b.column(at)) < limit))
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
+                yield part.filter(pa.array(_scores(sent.value, part.column(at)) < limit))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

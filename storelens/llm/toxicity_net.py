@@ -130,13 +130,13 @@ class ToxicityNet:
         pooled = np.einsum("bt,bth->bh", att, h)
         return pooled @ self.p["u"] + self.p["c"][0], (h, k, att, pooled, sf, sb)
 
-    def logits(self, texts: list[bytes], block: int = 1 << 20) -> np.ndarray:
+    def logits(self, texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
         """Uncalibrated logit of each text, from all its windows."""
         out = np.zeros(len(texts), dtype=np.float64)
         for lo, hi in blocks(texts, block):
             b = Batch(texts[lo:hi])
             x = self._inputs(b)
-            each = np.concatenate([self._windows(b, slice(a, a + 4096), x)[0] for a in range(0, len(b.doc), 4096)])
+            each = np.concatenate([self._windows(b, slice(a, a + 2048), x)[0] for a in range(0, len(b.doc), 2048)])
             out[lo:hi] = self._pool(b, each)[0]
         return out
 
