@@ -35,6 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_in_few(df: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
+    """As ``checkpointed``, read on in as many partitions as the rows need: rounds over
+    small tables then do not write a file per partition of the largest shuffle."""
+    kept = checkpointed(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows_per_part)))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import checkpointed
+from storelens.llm.common import written_in_few
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
     (large star, then small star); rounds grow with the logarithm of the longest
     path.  Rounds are cut with checkpoint().
     """
-    stars = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    stars = written_in_few(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(stars)
     while mark[0]:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
-        stars = checkpointed(small.select("u", F.col("m").alias("v"))
+        stars = written_in_few(small.select("u", F.col("m").alias("v"))
                              .union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
         seen = _mark(stars)
         if seen == mark:

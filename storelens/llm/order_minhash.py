@@ -17,7 +17,7 @@ Equal texts are collapsed first.  In a bucket every member is compared with its
 neighbour and with the leader of its share (large buckets are shared out), in an
 order that differs from bucket to bucket: first in the buckets of ``FIRST`` keys, then
 in all others where members are still in different classes.  After that such members
-are compared by how many of their 128 sketches agree (in blocks of bounded size,
+are compared by how many of 64 of their sketches agree (in blocks of bounded size,
 inside a task): each member outside the bucket's largest class with the two that
 agree most, and at last every pair that agrees in at least ``AGREE`` goes to
 verification.  Members already in one class are never expanded into pairs.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.llm.common import checkpointed, release
+from storelens.llm.common import checkpointed, release, written_in_few
 from storelens.llm.components import components
 from storelens.llm.wordhash import U64, blocks, mix, shingle_hashes, word_hashes
 
@@ -41,12 +41,12 @@ SIMILARITY = 0.8
 #: shingles per sketch, sketches per bucket key, bucket keys
 LEAST, PER_KEY, KEYS = 3, 2, 64
 #: keys whose buckets are worked through first
-FIRST = 4
+FIRST = 8
 #: members of a bucket that are handled together
 SHARE = 2048
-#: sketches (of 128, by their last byte) that agree in a pair worth an alignment: of texts whose
-#: shingles have a Jaccard similarity of 0.67, 38 do, with a standard deviation of 5
-AGREE = 16
+#: sketches kept beside the keys, one byte each, and how many must agree in a pair worth an alignment:
+#: of texts whose shingles have a Jaccard similarity of 0.67, 19 do, with a standard deviation of 4
+SHOWN, AGREE = 64, 8
 
 
 def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def labelled_shingles(words: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The document's 64 bucket keys, and the last byte of each of its 128 sketches."""
+    """The document's 64 bucket keys, and the last byte of ``SHOWN`` of its sketches."""
     n = len(shingles)
     low = (shingles >> U64(32)).astype(np.uint32)
     take = min(LEAST, n)
@@ -93,7 +93,7 @@ def bucket_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     keys = sketches[0::PER_KEY].copy()
     for j in range(1, PER_KEY):
         keys = mix(keys * U64(5) + sketches[j::PER_KEY])
-    return keys + np.arange(KEYS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15), sketches.astype(np.uint8).tobytes()
+    return keys + np.arange(KEYS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15), sketches[:SHOWN].astype(np.uint8).tobytes()
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -229,7 +229,7 @@ def _agreeing(best: int | None):
 
     def answer(table, cuts):
         node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
-        small = np.frombuffer(b"".join(table.column("small").to_pylist()), dtype=np.uint8).reshape(-1, PER_KEY * KEYS)
+        small = np.frombuffer(b"".join(table.column("small").to_pylist()), dtype=np.uint8).reshape(-1, SHOWN)
         found = [block(node[a:z], root[a:z], side[a:z], small[a:z]) for a, z in zip(cuts[:-1], cuts[1:]) if z - a > 1]
         x, y = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
         pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
@@ -267,7 +267,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     b = roots.select(F.col("node").alias("v"), F.col("root").alias("b"))
     between = components(links.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     onto = between.select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return checkpointed(roots.join(onto, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+    return written_in_few(roots.join(onto, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
 def _with_class(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -309,6 +309,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             split = checkpointed(left)
             torn = split.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket")
             left = split.join(torn, "bucket")
+            if not torn.limit(1).count():
+                break
         if search in ("first", "neighbours"):
             found = _neighbours(left).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
         else:
@@ -318,9 +320,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         found = found.distinct()
         if tried is not None:
             found = found.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        new = checkpointed(_verified(found, texts))
+        new = written_in_few(_verified(found, texts))
         tried = new if tried is None else tried.union(new)
-        roots = _merged(roots, new.where("ok").select("u", "v"))
+        if new.where("ok").limit(1).count():
+            roots = _merged(roots, new.where("ok").select("u", "v"))
 
     # back to the documents: rows that repeat an id tie their texts together as well
     ids = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1 and doc_id is not null")
