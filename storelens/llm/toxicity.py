@@ -131,4 +131,6 @@ def without_toxic(docs: DataFrame, net: ToxicityNet, text_col: str = "text", lim
 
 def fit_on(docs: DataFrame, labels: DataFrame, fold: int = 5, out: int = 0) -> ToxicityNet:
     """The network learned from labelled rows whose crc32(doc_id as text) mod ``fold`` is not ``out``."""
-    return train(*training_sample(docs, labels, crc_mod(F.col("doc_id"), fold) != out))
+    net = train(*training_sample(docs, labels, crc_mod(F.col("doc_id"), fold) != out))
+    release()  # the sample's texts and the networks that were not kept
+    return net
