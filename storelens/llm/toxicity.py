@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import crc_mod, release
-from storelens.llm.toxicity_net import ToxicityNet, words_of
+from storelens.llm.toxicity_net import ToxicityNet, whole_passes, words_of
 
 #: Bound of the training sample, for each class.
 SAMPLE_PER_CLASS = 1500
 #: Batches the network learns from at most, and texts in one.
-UPDATES, BATCH = 70, 48
+UPDATES, BATCH = 190, 48
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SAMPLE_PER_CLASS,
@@ -80,6 +80,7 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, updates: i
     shown = [texts[i] for i in check]
     # rounds of training, each twice as long; the network that the held fifth likes best is kept
     best, done, step = (np.inf, None), 0, 10
+    turns = whole_passes(target[fit])  # the rounds go on where the one before stopped
     while done <= updates:
         net.calibrate(net.logits(shown), target[check], weight[check])
         p = np.clip(net.scores(shown), 1e-6, 1 - 1e-6)
@@ -89,7 +90,7 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, updates: i
         if done == updates:
             break
         step = min(step, updates - done)
-        net.fit(own, target[fit], updates=step, batch=BATCH, seed=3 + done)
+        net.fit(own, target[fit], updates=step, batch=BATCH, turns=turns)
         done, step = done + step, step * 2
     return best[1]
 

@@ -79,6 +79,16 @@ class Batch:
         self.at = np.where(self.mask, self.word[np.minimum(at, max(len(self.word) - 1, 0))] if len(self.word) else 0, 0)
 
 
+def whole_passes(target: np.ndarray, seed: int = 3) -> dict:
+    """For each class an endless run through its rows, every row once a pass, in an order drawn anew for each."""
+
+    def run(rows, r):
+        while True:
+            yield from r.permutation(rows).tolist()
+
+    return {y: run(np.flatnonzero(target == y), np.random.default_rng([seed, int(y)])) for y in np.unique(target)}
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
@@ -222,19 +232,16 @@ class ToxicityNet:
             self.p[name][~self.used[name]] = 0
         return self
 
-    def fit(self, texts: list[bytes], target: np.ndarray, updates: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 3) -> "ToxicityNet":
-        """Adam on batches with as many texts of either class (where both occur)."""
-        r = np.random.default_rng(seed)
-        ones, zeros = np.flatnonzero(target == 1), np.flatnonzero(target == 0)
+    def fit(self, texts: list[bytes], target: np.ndarray, updates: int = 500, batch: int = 48, rate: float = 0.01,
+            turns: dict | None = None) -> "ToxicityNet":
+        """Adam on batches with as many texts of either class (where both occur), in whole passes over each."""
+        turns = whole_passes(target) if turns is None else turns
+        if not turns:
+            return self
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, updates + 1):
-            if len(ones) and len(zeros):
-                pick = np.concatenate([r.choice(ones, batch // 2), r.choice(zeros, batch // 2)])
-            elif len(target):
-                pick = r.choice(len(target), batch)
-            else:
-                break
+            pick = np.array([next(run) for run in turns.values() for _ in range(batch // len(turns))])
             now = rate * min(1.0, 2 * (1 - step / (updates + 1)))
             for k, g in self._gradients([texts[i] for i in pick], target[pick]).items():
                 rows, g = g if isinstance(g, tuple) else (slice(None), g)
