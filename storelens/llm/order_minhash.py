@@ -6,12 +6,12 @@ labelled shingles and lists them in text order, so it agrees with probability
 close to the cube of the similarity and only when the order agrees as well.  Two
 sketches make a bucket key; documents that share a key are candidates.
 
-Candidates are verified by aligning the two word sequences (longest common subsequence
-inside a diagonal band): similarity = aligned words / words of the longer text, at
-least 0.8.  The band is as wide as the number of unaligned words that a passing
-pair may have, so it loses no passing pair.  With 64 keys of two sketches, a pair
-whose five-word shingles have a Jaccard similarity of 0.8 becomes a candidate
-all but surely (1 - 4e-9), one of 0.67 with 99.7 %, one of 0.5 with 63 %.
+Candidates are verified by aligning the two shingle sequences (longest common
+subsequence inside a diagonal band): similarity = aligned shingles / shingles of the
+longer text, at least 0.8.  The band is as wide as the number of unaligned
+shingles that a passing pair may have, so it loses no passing pair.  A passing pair
+has a shingle Jaccard similarity of at least 0.8 / 1.2 = 0.67, and with 64 keys of two
+sketches becomes a candidate with 99.7 %; one of 0.8 all but surely (1 - 4e-9).
 
 Equal texts are collapsed first.  In a bucket every member is compared with its
 neighbour and with the leader of its share (large buckets are shared out), in an
@@ -100,6 +100,10 @@ def _words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def _shingles(words: list[bytes]) -> list[tuple]:
+    return list(zip(*[words[j:] for j in range(min(SHINGLE, len(words)))]))
+
+
 def normalised(text: str | None) -> bytes:
     """Lower-cased words with single spaces (bytes.split() knows exactly the ASCII white space)."""
     return b" ".join((text or "").lower().encode().split())
@@ -160,8 +164,10 @@ def aligned(a: list, b: list, least: int) -> int:
 
 
 def similar(a: bytes, b: bytes, threshold: float = SIMILARITY) -> bool:
-    """Whether two normalised texts align in at least ``threshold`` of the longer one's words."""
-    x, y = _words(a), _words(b)
+    """Whether two normalised texts align in at least ``threshold`` of the longer one's shingles."""
+    x, y = _shingles(_words(a)), _shingles(_words(b))
+    if not x or not y:
+        return x == y
     least = -(-int(round(threshold * 1_000_000)) * max(len(x), len(y)) // 1_000_000)
     if min(len(x), len(y)) < least:
         return False
