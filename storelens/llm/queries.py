@@ -213,3 +213,80 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return score_texts(C.table(spark, sf_dir, "documents"), held_out_fold()).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_word_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words; a tenth of the documents, by hash of the id, gets a planted one."""
+    from storelens.llm.periodic_runs import periodic_runs
+
+    def bind(value, use):
+        return F.transform(F.array(value), use)[0]
+
+    def planted(words, n, a, g):
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    def told(words):
+        n = F.size(words).cast("long")
+        return F.when(n == 0, "").otherwise(planted(words, n, F.col("g") % n, F.col("g")))
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.regexp_extract_all("text", F.lit(f"({C.WORD_RE})"))
+    found = periodic_runs(docs.select("doc_id", F.when(F.col("h") % 10 == 0, bind(words, told)).otherwise(F.col("text")).alias("text")), carry=["doc_id"])
+    longest = F.expr("""array_sort(runs, (x, y) -> case when x.length != y.length then cast(sign(y.length - x.length) as int)
+                                                       when x.start != y.start then cast(sign(x.start - y.start) as int)
+                                                       else cast(sign(x.period - y.period) as int) end)[0]""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(F.col("carried.doc_id").alias("doc_id"), "n_words", F.size("runs").cast("long").alias("n_runs"),
+                        F.when(F.size("runs") > 0, longest).alias("r"), lines.alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", "r.start", "r.length", "r.period", F.expr("1000 * r.length div r.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+@query("op12_tier_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its window."""
+    from storelens.llm.tier_packing import pack_documents
+
+    return pack_documents(C.table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_id")
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024) -> str:
+    """Lloyd's rounds written out, in whole numbers of any size that DuckDB has."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale}.0::DOUBLE * x::DOUBLE)::HUGEINT) AS xs
+  FROM embeddings WHERE len(embedding) = {dims} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+x AS MATERIALIZED (SELECT rid, unnest(generate_series(1, {dims})) AS d, unnest(xs) AS x FROM v),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(generate_series(1, {dims})) AS d, unnest(xs) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), xs) - 1 AS c, xs FROM v) WHERE c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (s, c)) AS c, min(s) AS s
+  FROM (SELECT rid, c, sum((x.x - c{r}.x) * (x.x - c{r}.x)) AS s FROM x JOIN c{r} USING (d) GROUP BY rid, c) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT c, d, sum(x)::HUGEINT AS t, count(*)::HUGEINT AS n FROM x JOIN a{r} USING (rid) GROUP BY c, d),
+c{r + 1} AS MATERIALIZED (
+  SELECT c, d, CASE WHEN n IS NULL THEN x WHEN t >= 0 THEN t // n ELSE -((n - 1 - t) // n) END AS x FROM c{r} LEFT JOIN m{r} USING (c, d))""")
+    return f"""
+WITH {",".join(steps)},
+i AS (SELECT c, sum(s) AS own, sum(sum(s)) OVER () AS everything FROM a{rounds} GROUP BY c),
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, s::BIGINT AS distance, own::BIGINT AS cluster_inertia, everything::BIGINT AS inertia, sha AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN i USING (c) JOIN h USING (c)
+"""
+
+
+@query("op13_dimension_kmeans", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every usable vector after ten rounds."""
+    from storelens.llm.sharded_kmeans import cluster, with_inertia
+
+    return with_inertia(*cluster(C.table(spark, sf_dir, "embeddings")))
