@@ -42,18 +42,40 @@ CHUNK_BYTES = 8 << 20
 #: Distinct words whose ids a task remembers before it forgets the newer half.
 CACHE_WORDS = 400_000
 
-_SPACES = re.compile("[\t\n\v\f\r ]+")
-_MARKS = frozenset("!#$%&()*+,-./:;=?@[]^_`{}~\"")
+#: White space that the vocabulary drops, made plain spaces before a text is cut at those.
+_BLANKS = ("\n", "\t", "\r")
+#: A word of plain Latin letters, which no normalisation changes but for their case, and marks after it, which are one piece.
+_PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-\u012f\u0131-\u024f]+)([-!#$%&()*+,./:;=?@\\[\\]^_`{}~\"]*)")
 _ENCODERS: dict = {}
 
 
+class _Memory(dict):
+    """Remembers what ``make`` gave for a key, if the key is short."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        found = self.make(key)
+        if len(key) <= 64:
+            self[key] = found
+        return found
+
+    def trim(self, most: int) -> None:
+        """Keep the oldest half, mostly the frequent words, of more than ``most``."""
+        if len(self) > most:
+            for key in list(self)[most // 2:]:
+                del self[key]
+
+
 class SpacedEncoder:
     """``Tokenizer.encode(text, add_special_tokens=False)`` with the ids of words remembered.
 
     For vocabularies whose pattern drops white space: a piece never reaches over
     white space, and neither normalisation nor the pattern looks across it, so a text may be
-    cut there.  A text that holds one of the vocabulary's added tokens goes to the
-    library whole, since those are found before anything else.
+    cut there.  Words of the usual shapes go to the tokenizer's model at once, all others
+    through the whole library.  A text that holds one of the vocabulary's added tokens goes
+    to the library uncut, since those are found before anything else.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -65,44 +87,38 @@ class SpacedEncoder:
             raise ValueError("a vocabulary that drops white space is needed")
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        # the vocabulary's letters for bytes: printable ones stand for themselves, the rest follow from 256 on
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.pieces, self.units = _Memory(self._piece), _Memory(self._unit)
         self.cache_words = cache_words
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
-        if found is None:
-            found = self.cache[piece] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        return found
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of a text without white space; the two usual shapes need no pattern."""
-        if unit.isascii():
-            if unit.isalpha():
-                return self._piece(unit.lower())
-            if unit[-1] in _MARKS and unit[:-1].isalpha():
-                return self._piece(unit[:-1].lower()) + self._piece(unit[-1])
-        return self._library(unit)
+        """Ids of a text without spaces."""
+        if not unit:
+            return b""
+        shape = _PLAIN.fullmatch(unit)
+        if not shape:
+            return self._library(unit)
+        word, marks = shape.groups()
+        return self.pieces[word.lower()] + self.pieces[marks] if marks else self.pieces[word.lower()]
 
     def encode(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return np.frombuffer(self._library(text), dtype="<u4")
-        known, out = self.cache, []
-        for unit in _SPACES.split(text):
-            if not unit:
-                continue
-            ids = known.get(unit)
-            if ids is None:
-                ids = self._unit(unit)
-                if len(unit) <= 64:
-                    known[unit] = ids
-            out.append(ids)
-        if len(known) > self.cache_words:
-            for key in list(known)[self.cache_words // 2:]:
-                del known[key]
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        for blank in _BLANKS:
+            text = text.replace(blank, " ")
+        ids = b"".join(map(self.units.__getitem__, text.split(" ")))
+        self.pieces.trim(self.cache_words)
+        self.units.trim(self.cache_words)
+        return np.frombuffer(ids, dtype="<u4")
 
 
 def _encoder(path: str) -> SpacedEncoder:
