@@ -28,6 +28,8 @@ ROUND = 6
 BLOCK_BYTES = 64 << 20
 QUERY_STEP = 1024
 INDEX_STEP = 8192
+# Query vectors, as doubles, that may travel to every index partition.
+FEW_BYTES = 8 << 20
 # Pairs whose exact distance is worked out at once (two copies of 64 dims: 64 MiB).
 PAIR_STEP = 1 << 16
 # Below this many rows per block a table is not cut further just to use more cores.
@@ -130,6 +132,14 @@ def _topk_rows(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
     return qi[keep], ids[keep], d[keep]
 
 
+def _distinct(qi: np.ndarray, ids: np.ndarray, d: np.ndarray):
+    """One row per query and id, the nearest."""
+    order = np.lexsort((d, ids, qi))
+    qi, ids, d = qi[order], ids[order], d[order]
+    first = np.append(True, (qi[1:] != qi[:-1]) | (ids[1:] != ids[:-1]))[:len(qi)]
+    return qi[first], ids[first], d[first]
+
+
 def _pair_topk(qids: np.ndarray, qm: np.ndarray, xid: np.ndarray, xm: np.ndarray, k: int, metric: str):
     """Exact top-k of every query in ``qm`` over the rows of ``xm``, walked in
     tiles; only ``k`` (query, id, dist) rows per query are kept between tiles."""
@@ -163,13 +173,38 @@ def _n_blocks(n: int, rows: int, spread: int) -> int:
     return max(1, need, min(spread, -(-n // MIN_BLOCK_ROWS)))
 
 
+def _few(queries: DataFrame, dims: int, few_bytes: int) -> list | None:
+    """The query rows when they take at most ``few_bytes`` as doubles, else None."""
+    most = few_bytes // (8 * max(1, dims))
+    rows = queries.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def _search_partitions(x: DataFrame, qids: np.ndarray, qm: np.ndarray, k: int, metric: str, id_col: str, schema: StructType) -> DataFrame:
+    """At most k rows per query from each index partition; index rows stay where they are read."""
+
+    def run(batches):
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        place = np.arange(len(qids))
+        for b in batches:
+            if b.num_rows:
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                qi, ids, d = _pair_topk(place, qm, b.column(0).to_numpy(), flat.reshape(b.num_rows, -1), k, metric)
+                kept = _topk_rows(*(np.concatenate(c) for c in zip(kept, (qi, ids, d))), k)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query_id", id_col, "dist"])
+
+    return x.mapInArrow(run, schema)
+
+
 def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
                   vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
                   metric: str = "l2", max_block: int | None = None,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, few_bytes: int = FEW_BYTES) -> DataFrame:
     """V5: exact k nearest index rows for every query (blocked nested loop).
 
-    Queries and index rows are dealt into blocks of at most ``max_block``
+    Queries that take at most ``few_bytes`` travel to the index: every index
+    partition keeps its k best rows per query, and no index row is shuffled.
+    More queries are searched in blocks: queries and index rows are dealt into blocks of at most ``max_block``
     rows (by default what fits in ``block_bytes`` of vectors) by a hash of
     id and vector, so an id repeated with different vectors spreads over
     blocks, and a recomputed task deals rows exactly as before.  Every
@@ -192,6 +227,12 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
         empty = spark.createDataFrame([], schema.add(StructField("rank", LongType())))
         return empty.withColumnRenamed("query_id", query_id)
     width = 4 if isinstance(x.schema["__v"].dataType.elementType, FloatType) else 8
+    few = _few(q, len(first[0]), few_bytes)
+    if few is not None:
+        cand = _search_partitions(x, np.array([r[0] for r in few], dtype=np.int64),
+                                  np.array([r[1] for r in few], dtype=np.float64).reshape(len(few), -1), k, metric, id_col, schema)
+        ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col(id_col)], k)
+        return ranked.withColumnRenamed("query_id", query_id)
     rows = max_block or max(1, block_bytes // (width * max(1, len(first[0]))))
     try:
         cores = spark.sparkContext.defaultParallelism
@@ -231,28 +272,127 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
 
 # ------------------------------------------------------------------ V6
 
-# Hyperplanes are drawn once for so many planes; a table of n rows uses the first log2(n / BUCKET_ROWS).
+# Planes are drawn once for so many; a table of n rows uses the first log2(n / BUCKET_ROWS) of each of N_TABLES tables.
 MAX_PLANES, BUCKET_ROWS, N_TABLES, SEED = 40, 256, 8, 7
+SKETCH_WORDS = 3  # 64 signs each
+TARGET_RECALL, SAMPLE = 0.95, 256
+PLACES = 9  # projections and their squares are compared after rounding
+
+
+def _orthogonal(rng, planes: int, dim: int) -> np.ndarray:
+    """Random unit planes, orthogonal to each other inside every block of ``dim``; plain decimal constants."""
+    blocks = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-planes // dim))]
+    return np.round(np.concatenate(blocks)[:planes], 6)
 
 
 def hyperplanes(dim: int, n_tables: int = N_TABLES, seed: int = SEED) -> np.ndarray:
     """The fixed planes: (table, plane, dim); a prefix of the planes stays the same whatever the index size."""
-    return np.random.default_rng(seed).standard_normal((n_tables, MAX_PLANES, dim))
+    rng = np.random.default_rng(seed)
+    return np.stack([_orthogonal(rng, MAX_PLANES, dim) for _ in range(n_tables)])
+
+
+def sketch_planes(dim: int, words: int = SKETCH_WORDS, seed: int = SEED) -> np.ndarray:
+    """The fixed planes of the sketch: (64 * words, dim)."""
+    return _orthogonal(np.random.default_rng(seed + 1), 64 * words, dim)
+
+
+def _project(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    return np.round(np.einsum("nd,...pd->n...p", m, planes), PLACES)
+
+
+def _codes(projected: np.ndarray) -> np.ndarray:
+    """Signs of the last axis as one integer, plane i at bit i."""
+    return ((projected >= 0).astype(np.uint64) << np.arange(projected.shape[-1], dtype=np.uint64)).sum(-1, dtype=np.uint64)
+
+
+def _sketches(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    return _codes(_project(m, planes.reshape(-1, 64, planes.shape[-1])))
+
+
+def _probes(margins: np.ndarray, limit: float) -> np.ndarray:
+    """All sets of planes (as bits) whose squared margins add up to at most ``limit``, the empty set included."""
+    masks, costs = np.zeros(1, dtype=np.uint64), np.zeros(1)
+    for i in np.argsort(margins):
+        more = costs + margins[i] ** 2
+        reach = more <= limit + 10.0 ** -PLACES
+        if not reach.any():
+            break
+        masks = np.concatenate([masks, masks[reach] | np.uint64(1 << int(i))])
+        costs = np.concatenate([costs, more[reach]])
+    return masks[(np.round(costs, PLACES) <= limit) | (masks == 0)]
+
+
+def search_limits(index: DataFrame, planes: np.ndarray, sketch: np.ndarray, k: int, recall: float, id_col: str, vec_col: str,
+                  sample: int = SAMPLE) -> tuple[float, int]:
+    """How far a search must look for ``recall`` of the neighbours, from a sample of the index.
+
+    The ``sample`` rows of least md5 of their id look for their true k neighbours (exact search, the row
+    itself left out).  A neighbour's cost is the least, over the tables, of the squared
+    distances from the row to the planes that part the two; its gap is the number of
+    sketch signs that differ.  Either limit is the least that takes in the share
+    (1 + recall) / 2 of the sample's neighbours, so both together take in ``recall``.
+    """
+    rows = index.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v"))
+    asked = rows.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(sample).collect()
+    spark = index.sparkSession
+    few = spark.createDataFrame([(r[0], r[1]) for r in asked], rows.schema).select(F.col("__id").alias("__q"), F.col("__v").alias("__w"))
+    found = nearest_batch(rows, few, k + 1, "__id", "__v", "__q", "__w")
+    found = found.where(F.col("__id") != F.col("__q"))
+    ranked = top_k_per_group(found.drop("rank"), ["__q"], [F.col("dist"), F.col("__id")], k)
+    # at most k rows per sampled row, each with its vector
+    pairs = F.broadcast(ranked.select("__q", "__id")).join(rows, "__id").select("__q", "__v").collect()
+    if not pairs:
+        return 0.0, 64 * SKETCH_WORDS
+    own = {r[0]: r[1] for r in asked}
+    a = np.array([own[p[0]] for p in pairs], dtype=np.float64)
+    b = np.array([p[1] for p in pairs], dtype=np.float64)
+    pa_, pb = _project(a, planes), _project(b, planes)
+    cost = np.round((((pa_ >= 0) != (pb >= 0)) * pa_ ** 2).sum(-1), PLACES).min(-1)
+    gap = np.bitwise_count(_sketches(a, sketch) ^ _sketches(b, sketch)).sum(-1)
+    place = max(1, int(np.ceil(round((1 + recall) / 2 * len(pairs), 6)))) - 1
+    return float(np.sort(cost)[place]), int(np.sort(gap)[place])
+
+
+def _group_of(tables: np.ndarray, buckets: np.ndarray, groups: int) -> np.ndarray:
+    mixed = (buckets + tables.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(31)) % np.uint64(groups)).astype(np.int32)
+
+
+def _candidates(qcodes: np.ndarray, qm: np.ndarray, qs: np.ndarray, xcodes: np.ndarray, xm: np.ndarray, xs: np.ndarray, gap: int):
+    """Pairs (query, index row) that meet in a bucket and whose sketches differ in at most ``gap`` signs, a tile at a time.
+
+    ``qcodes`` are (query, bucket) pairs as two rows."""
+    order, qorder = np.argsort(xcodes, kind="stable"), np.argsort(qcodes[1], kind="stable")
+    sorted_x, sorted_q = xcodes[order], qcodes[1][qorder]
+    for code in np.intersect1d(sorted_q, sorted_x):
+        x = order[np.searchsorted(sorted_x, code):np.searchsorted(sorted_x, code, "right")]
+        q = qcodes[0][qorder[np.searchsorted(sorted_q, code):np.searchsorted(sorted_q, code, "right")]].astype(np.int64)
+        for a in range(0, len(q), QUERY_STEP):
+            for c in range(0, len(x), INDEX_STEP):
+                qa, xc = q[a:a + QUERY_STEP], x[c:c + INDEX_STEP]
+                apart = sum(np.bitwise_count(qs[qa, w][:, None] ^ xs[xc, w][None, :]).astype(np.int16) for w in range(qs.shape[1]))
+                i, j = np.nonzero(apart <= gap)
+                if len(i):
+                    yield qa[i], xc[j]
 
 
 def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
                    vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "vector",
                    n_tables: int = N_TABLES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED,
-                   target_group: int = 50_000) -> DataFrame:
-    """V6: approximate k nearest by random-hyperplane hashing.
+                   target_group: int = 50_000, recall: float = TARGET_RECALL) -> DataFrame:
+    """V6: approximate k nearest by hyperplane hashing, query-directed probes and a sketch.
+
+    Each of ``n_tables`` tables gives every vector a bucket from the signs of its projections on
+    log2(rows / ``bucket_rows``) planes, so buckets stay about ``bucket_rows`` rows however
+    large the index is.  A query looks into every bucket that it could reach by crossing planes
+    whose squared distances add up to at most a limit; rows met so are compared exactly if
+    their sketches (signs on further planes) differ in few enough places.  Both limits
+    come from ``search_limits``, so the share of true neighbours found stays at
+    ``recall`` as planes are added; an index of one bucket per table is searched whole.
 
-    Each of ``n_tables`` tables gives every vector a bucket from the signs of
-    its projections on log2(rows / ``bucket_rows``) planes, so buckets stay
-    about ``bucket_rows`` rows however large the index is.  A query looks into
-    its own bucket and those that differ in one sign, in every table.
-    Buckets are dealt to tasks in groups of about ``target_group`` rows; a
-    bucket above that is cut on both sides, and every query part meets every
-    index part.  Only k rows per query and group leave a task.
+    Buckets are dealt to tasks in groups of about ``target_group`` rows; a larger group (a
+    crowded bucket) is cut on both sides, and every query part meets every index part.  A query
+    travels once to each group that it looks into.  Only k rows per query and group leave a task.
 
     Every query is returned: ``short`` marks those with fewer than k
     neighbours found, and one without any (an empty index, a null vector)
@@ -268,57 +408,83 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
                           F.lit(None).cast("long").alias("rank"), F.lit(True).alias("short"))
     n = index.count()
     n_planes = min(MAX_PLANES, max(0, int(np.ceil(np.log2(max(n, 1) / bucket_rows)))))
-    planes = hyperplanes(len(first[0]), n_tables, seed)[:, :n_planes]
+    planes, sketch = hyperplanes(len(first[0]), n_tables, seed)[:, :n_planes], sketch_planes(len(first[0]), seed=seed)
+    reach, gap = search_limits(x, planes, sketch, k, recall, "__id", "__v") if n_planes else (0.0, 64 * SKETCH_WORDS)
     groups = max(1, -(-n * n_tables // target_group))
-
-    def hashed(probes: bool):
-        def run(batches):
-            for b in batches:
-                column = b.column(1)
-                m = np.array(column.to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-                bits = (np.einsum("nd,tpd->ntp", m, planes) >= 0) @ (1 << np.arange(n_planes, dtype=np.int64))
-                flips = np.r_[0, 1 << np.arange(n_planes, dtype=np.int64)] if probes else np.zeros(1, np.int64)
-                per = n_tables * len(flips)
-                who = np.repeat(np.arange(b.num_rows), per)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(who)), column.take(pa.array(who)), pa.array(np.tile(np.repeat(np.arange(n_tables), len(flips)), b.num_rows)),
-                     pa.array((bits[:, :, None] ^ flips).reshape(-1))], [*b.schema.names, "__t", "__b"])
-
-        return run
-
-    kind = x.schema["__v"].dataType.simpleString()
-    idx = x.mapInArrow(hashed(False), f"__id long, __v {kind}, __t long, __b long")
+    table = np.arange(n_tables, dtype=np.uint64)
+
+    def matrix(column) -> np.ndarray:
+        return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+
+    def words(column, m, who) -> list:
+        return [pa.array(w[who].view(np.int64)) for w in _sketches(m, sketch).T]
+
+    def index_buckets(batches):
+        for b in batches:
+            m = matrix(b.column(1))
+            who = np.repeat(np.arange(b.num_rows), n_tables)
+            codes = _codes(_project(m, planes)).reshape(-1)
+            t = np.tile(table, b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), *words(b.column(1), m, who),
+                 pa.array((codes | t << np.uint64(MAX_PLANES)).view(np.int64)), pa.array(_group_of(t, codes, groups))], [*b.schema.names, *sketch_cols, "__b", "__g"])
+
+    def query_buckets(batches):
+        for b in batches:
+            m = matrix(b.column(1))
+            projected = _project(m, planes)
+            own, who, into, lists = _codes(projected), [], [], []
+            for row in range(b.num_rows):
+                found = [_probes(np.abs(projected[row, t]), reach) ^ own[row, t] for t in range(n_tables)]
+                t = np.repeat(table, [len(f) for f in found])
+                codes = np.concatenate(found)
+                to = _group_of(t, codes, groups)
+                order = np.argsort(to, kind="stable")
+                parts = np.split((codes | t << np.uint64(MAX_PLANES)).view(np.int64)[order], np.flatnonzero(np.diff(to[order])) + 1)
+                who += [row] * len(parts)
+                into.append(np.unique(to))
+                lists += parts
+            who = np.array(who, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), *words(b.column(1), m, who),
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(np.concatenate(into) if into else np.empty(0, np.int32))], [*b.schema.names, *sketch_cols, "__b", "__g"])
+
+    sketch_cols = [f"__s{w}" for w in range(SKETCH_WORDS)]
+    held = ", ".join(f"{c} long" for c in sketch_cols)
+    idx = x.mapInArrow(index_buckets, f"__id long, __v {x.schema['__v'].dataType.simpleString()}, {held}, __b long, __g int")
     qs = (asked.where(F.col("__qv").isNotNull())
-          .mapInArrow(hashed(True), f"__qid long, __qv {asked.schema['__qv'].dataType.simpleString()}, __t long, __b long"))
-    # buckets above the target are cut; all others are one part on either side
+          .mapInArrow(query_buckets, f"__qid long, __qv {asked.schema['__qv'].dataType.simpleString()}, {held}, __b array<long>, __g int"))
+    # groups above the target are cut; all others are one part on either side
     parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / target_group)).cast("int")
-    cut = (idx.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__ni"))
-           .join(qs.groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("__nq")), ["__t", "__b"])
-           .select("__t", "__b", parts("__ni").alias("__si"), parts("__nq").alias("__sq")))
-    group = F.pmod(F.xxhash64("__t", "__b"), F.lit(groups)).cast("int").alias("__g")
-    idx = idx.join(cut, ["__t", "__b"]).select(
-        "__id", "__v", "__t", "__b", group, F.pmod(F.xxhash64("__id", "__v"), F.col("__si")).cast("int").alias("__is"),
+    cut = (idx.groupBy("__g").agg(F.count(F.lit(1)).alias("__ni"))
+           .join(qs.groupBy("__g").agg(F.count(F.lit(1)).alias("__nq")), "__g")
+           .select("__g", parts("__ni").alias("__si"), parts("__nq").alias("__sq")))
+    idx = idx.join(cut, "__g").select(
+        "__id", "__v", *sketch_cols, "__b", "__g", F.pmod(F.xxhash64("__id", "__v"), F.col("__si")).cast("int").alias("__is"),
         F.explode(F.sequence(F.lit(0), F.col("__sq") - 1)).alias("__qs"))
-    qs = qs.join(cut, ["__t", "__b"]).select(
-        "__qid", "__qv", "__t", "__b", group, F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
+    qs = qs.join(cut, "__g").select(
+        "__qid", "__qv", *sketch_cols, "__b", "__g", F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
         F.explode(F.sequence(F.lit(0), F.col("__si") - 1)).alias("__is"))
 
     def group_topk(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
-        inside = right.groupby(["__t", "__b"]).indices
-        for bucket, rows in left.groupby(["__t", "__b"]).indices.items():
-            if bucket in inside:
-                l, r = left.iloc[rows], right.iloc[inside[bucket]]
-                found.append(_pair_topk(l["__qid"].to_numpy(np.int64), np.stack(l["__qv"].to_numpy()).astype(np.float64),
-                                        r["__id"].to_numpy(np.int64), np.stack(r["__v"].to_numpy()).astype(np.float64), k, "l2"))
-        q, i, d = (np.concatenate(c) for c in zip(*found))
-        keep = pd.DataFrame({"query_id": q, "vec_id": i, "dist": d}).drop_duplicates()
-        return keep.sort_values(["query_id", "dist", "vec_id"]).groupby("query_id").head(k)
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        if len(left) and len(right):
+            qm, xm = (np.stack(f[c].to_numpy()).astype(np.float64) for f, c in ((left, "__qv"), (right, "__v")))
+            qw, xw = (np.stack([f[c].to_numpy(np.int64).view(np.uint64) for c in sketch_cols], axis=1) for f in (left, right))
+            lists = left["__b"].to_numpy()
+            asked_in = np.stack([np.repeat(np.arange(len(left)), [len(b) for b in lists]), np.concatenate(lists)])
+            xid = right["__id"].to_numpy(np.int64)
+            for qi, xi in _candidates(asked_in, qm, qw, right["__b"].to_numpy(np.int64), xm, xw, gap):
+                for a in range(0, len(qi), PAIR_STEP):
+                    q, r = qi[a:a + PAIR_STEP], xi[a:a + PAIR_STEP]
+                    d = np.round(_exact(qm[q], xm[r], "l2"), ROUND)
+                    kept = _topk_rows(*_distinct(*(np.concatenate(c) for c in zip(kept, (q, xid[r], d)))), k)
+        return pd.DataFrame({"query_id": left["__qid"].to_numpy(np.int64)[kept[0]] if len(left) else kept[0], "vec_id": kept[1], "dist": kept[2]})
 
     keys = ["__g", "__is", "__qs"]
     cand = qs.groupBy(*keys).cogroup(idx.groupBy(*keys)).applyInPandas(group_topk, "query_id long, vec_id long, dist double")
-    # a neighbour found by several tables is one candidate
-    cand = cand.dropDuplicates(["query_id", "vec_id"])
+    # a neighbour found in several groups is one candidate
+    cand = cand.groupBy("query_id", "vec_id").agg(F.min("dist").alias("dist"))
     ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col("vec_id")], k)
     sizes = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
     out = ids.join(ranked.join(sizes, "query_id"), F.col("__qid") == F.col("query_id"), "left")

@@ -206,7 +206,7 @@ def c05(t):
     return C.sweep_counts(C.sessionize_swept(D.activity_log(t.events)))
 
 
-@query("c08_role_as_of", f"""
+C8_SQL = f"""
 WITH s AS ({C4_SQL}), {D.ACTIVITY_SQL},
 b AS (SELECT session_id, ts_us, seq, kind, session_no FROM s
       UNION ALL SELECT session_id, ts_us, seq, kind, NULL FROM activity WHERE kind = 'logout'),
@@ -216,7 +216,10 @@ f AS (SELECT *, CASE kind WHEN 'login_ok' THEN true WHEN 'logout' THEN false END
       FROM a WHERE sess IS NOT NULL),
 r AS (SELECT *, COALESCE(last_value(flag IGNORE NULLS) OVER (PARTITION BY session_id, sess
                 ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING), false) AS is_admin FROM f)
-SELECT session_id, seq, ts_us, sess AS session_no, is_admin FROM r WHERE kind = 'chat'""")
+SELECT session_id, seq, ts_us, sess AS session_no, is_admin FROM r WHERE kind = 'chat'"""
+
+
+@query("c08_role_as_of", C8_SQL)
 def c08(t):
     return C.role_as_of(D.activity_log(t.events))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from storelens.plans import (  # noqa: F401  (registration)
-    activity_queries, document_queries, seed_queries, store_queries, stream_queries)
+    activity_queries, document_queries, retrieval_queries, seed_queries, store_queries, stream_queries)
 from storelens.plans.registry import REGISTRY
 
 

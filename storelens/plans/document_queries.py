@@ -13,6 +13,7 @@ from storelens.functions.text import sql_literal
 from storelens.operators import chunking as V1
 from storelens.operators import pages as P
 from storelens.operators import vectors as V
+from storelens.plans.chunk_sql import CHUNK_SQL
 from storelens.plans.registry import query
 from storelens.sources import documents as S
 
@@ -42,7 +43,7 @@ def v01(t):
     return V1.chunk_invariants(chunks)
 
 
-@query("v01_chunks")
+@query("v01_chunks", CHUNK_SQL)
 def v01_rows(t):
     return V1.chunk_documents(t.documents)
 
@@ -120,21 +121,50 @@ def v05(t):
 
 
 def _planes_sql(dim: int = 64, planes: int = 12) -> str:
-    """The first planes of every table, as rows (t, i, plane): enough for 2**20 index rows."""
-    fixed = V.hyperplanes(dim)[:, :planes]
-    return ", ".join(f"({t}, {i}, [{', '.join(repr(float(v)) for v in p)}])" for t, table in enumerate(fixed) for i, p in enumerate(table))
+    """Rows (t, i, plane): the first planes of every table (enough for 2**20 index rows), then the sketch's words."""
+    words = V.sketch_planes(dim).reshape(-1, 64, dim)
+    tables = [*V.hyperplanes(dim)[:, :planes], *words]
+    return ", ".join(f"({t}, {i}, [{', '.join(str(float(v)) for v in p)}])" for t, table in enumerate(tables) for i, p in enumerate(table))
 
 
+# At most this share of the sample's neighbours lies beyond either limit.
+V6_SHARE = (1 + V.TARGET_RECALL) / 2
 V6_CTE = f"""
 WITH p AS (SELECT greatest(0, ceil(log2(count(*) / {V.BUCKET_ROWS}.0)))::INT AS planes FROM embeddings),
 pl(t, i, plane) AS (VALUES {_planes_sql()}),
-e AS (SELECT vec_id, embedding, t FROM embeddings, range({V.N_TABLES}) AS r(t) WHERE embedding IS NOT NULL),
-h AS (SELECT vec_id, e.t, any_value(embedding) AS embedding, coalesce(sum(CASE WHEN list_sum(list_transform(range(1, len(embedding) + 1),
-             lambda j: embedding[j]::DOUBLE * plane[j])) >= 0 THEN 1 << i ELSE 0 END), 0)::BIGINT AS b
-      FROM e LEFT JOIN (SELECT pl.* FROM pl, p WHERE i < planes) pl ON pl.t = e.t GROUP BY vec_id, e.t),
-pr AS (SELECT vec_id, t, b FROM h UNION ALL
-       SELECT vec_id, t, xor(b, (1 << f)::BIGINT) FROM h, p, range(64) AS r(f) WHERE f < planes),
-c AS (SELECT DISTINCT pr.vec_id AS query_id, h.vec_id FROM pr JOIN h USING (t, b)),
+e AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+pj AS MATERIALIZED (
+  SELECT vec_id, t, i, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda j: embedding[j]::DOUBLE * plane[j]::DOUBLE)), {V.PLACES}) AS m
+  FROM e, pl, p WHERE t >= {V.N_TABLES} OR i < planes),
+signs AS MATERIALIZED (SELECT vec_id, t, sum(CASE WHEN m >= 0 THEN 1::HUGEINT << i ELSE 0 END)::UBIGINT AS b FROM pj GROUP BY vec_id, t),
+h AS MATERIALIZED (SELECT vec_id, t, coalesce(b, 0)::UBIGINT AS b FROM (SELECT vec_id, t FROM e, range({V.N_TABLES}) AS r(t)) LEFT JOIN signs USING (vec_id, t)),
+sk AS MATERIALIZED (SELECT vec_id, t, b FROM signs WHERE t >= {V.N_TABLES}),
+asked AS (SELECT vec_id AS query_id FROM e ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {V.SAMPLE}),
+near AS MATERIALIZED (
+  SELECT query_id, vec_id FROM (
+    SELECT query_id, a.vec_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY {L2_SQL}, a.vec_id) AS rank
+    FROM asked JOIN e b ON b.vec_id = query_id JOIN e a ON a.vec_id <> query_id) WHERE rank <= 3),
+costs AS (
+  SELECT query_id, vec_id, min(c) AS c FROM (
+    SELECT query_id, near.vec_id, a.t, round(sum(CASE WHEN (a.m >= 0) <> (b.m >= 0) THEN a.m * a.m ELSE 0 END), {V.PLACES}) AS c
+    FROM near JOIN pj a ON a.vec_id = query_id JOIN pj b ON b.vec_id = near.vec_id AND b.t = a.t AND b.i = a.i WHERE a.t < {V.N_TABLES}
+    GROUP BY ALL) GROUP BY ALL),
+gaps AS (
+  SELECT query_id, near.vec_id, sum(bit_count(xor(a.b, b.b))) AS g
+  FROM near JOIN sk a ON a.vec_id = query_id JOIN sk b ON b.vec_id = near.vec_id AND b.t = a.t GROUP BY ALL),
+reach AS (SELECT coalesce(min(c), 0) AS reach FROM (SELECT c, row_number() OVER (ORDER BY c) AS r, count(*) OVER () AS n FROM costs)
+          WHERE r >= ceil(round({V6_SHARE} * n, 6))),
+gap AS (SELECT CASE WHEN (SELECT planes FROM p) = 0 THEN {64 * V.SKETCH_WORDS} ELSE coalesce(min(g), {64 * V.SKETCH_WORDS}) END AS gap
+        FROM (SELECT g, row_number() OVER (ORDER BY g) AS r, count(*) OVER () AS n FROM gaps) WHERE r >= ceil(round({V6_SHARE} * n, 6))),
+sets AS (SELECT s::UBIGINT AS s FROM p, range(4096) AS r(s) WHERE s < (1 << planes)),
+pr AS MATERIALIZED (
+  SELECT vec_id, t, xor(h.b, s)::UBIGINT AS b
+  FROM (SELECT vec_id, t, s, round(sum(m * m), {V.PLACES}) AS c FROM pj JOIN sets ON (s >> i) & 1 = 1 WHERE t < {V.N_TABLES} GROUP BY vec_id, t, s)
+  JOIN h USING (vec_id, t), reach WHERE c <= reach
+  UNION ALL SELECT vec_id, t, b FROM h),
+met AS (SELECT DISTINCT pr.vec_id AS query_id, h.vec_id FROM pr JOIN h USING (t, b)),
+c AS (SELECT query_id, met.vec_id FROM met JOIN sk a ON a.vec_id = query_id JOIN sk b ON b.vec_id = met.vec_id AND b.t = a.t, gap
+      GROUP BY query_id, met.vec_id, gap HAVING sum(bit_count(xor(a.b, b.b))) <= gap),
 d AS (SELECT query_id, a.vec_id, {L2_SQL} AS dist FROM c JOIN embeddings a ON a.vec_id = c.vec_id JOIN embeddings b ON b.vec_id = query_id),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d),
 t3 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM r WHERE rank <= 3)"""

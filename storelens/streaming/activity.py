@@ -16,7 +16,9 @@ from pyspark.sql.types import StructType
 from storelens.operators.sessions import SESSION_TTL_S, SWEEP_S, US
 from storelens.functions.times import epoch_us, instant_from_us
 from storelens.plans.derived import KIND_SQL
+from storelens.functions.windows import floor_div
 from storelens.session import cut_lineage, drop_scratch, scratch_path
+from storelens.streaming.late import LateGate
 
 
 def activity_stream(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet",
@@ -94,6 +96,64 @@ def run_in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFram
     return _collected(spark, streaming.schema, base)
 
 
+def run_in_triggers(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str,
+                    rows_per_file: int = 2_000_000) -> DataFrame:
+    """As ``run_in_batches`` in one query start: every part is written as the same number of
+    files, and the file source takes that many, oldest first, per trigger.  A micro-batch after
+    the watermark moved still lets rows in that the watermark before it would (Spark
+    keeps both, for chained operators)."""
+    base = scratch_path(parts[0].sparkSession, name)
+    streaming = build(_arriving(parts, base, rows_per_file))
+    _drain(streaming, base)
+    return _collected(streaming.sparkSession, streaming.schema, base)
+
+
+def _arriving(parts: list[DataFrame], base: str, rows_per_file: int = 2_000_000) -> DataFrame:
+    """The activity stream of parts written one after another below ``base``, a part per trigger."""
+    files = max(1, max(-(-p.count() // rows_per_file) for p in parts))
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(f"{base}/in")
+    return activity_stream(parts[0].sparkSession, f"{base}/in", parts[0].schema, max_files_per_trigger=files)
+
+
+def ticks_with_late_rows(parts: list[DataFrame], name: str, tick_s: int = SWEEP_S, delay_s: int = 60) -> DataFrame:
+    """C7 behind a gate for late rows: per tick the rows that the stream counted (``n_on_time``), those that came
+    too late for it (``n_late``), their sum, and the last micro-batch that brought late ones."""
+    spark = parts[0].sparkSession
+    base = scratch_path(spark, name)
+    stream = _arriving(parts, base)
+    gate = LateGate(spark, f"{base}/gate", delay_s)
+    gate.run(stream)
+    ticks = stream_ticks(gate.on_time(stream.schema), tick_s, delay_s)
+    _drain(ticks, base)
+    us = tick_s * US
+    late = gate.late(stream.schema).groupBy((floor_div(F.unix_micros("ts"), us) * us).alias("tick_start_us")).agg(
+        F.count(F.lit(1)).alias("late"), F.max("batch_id").alias("late_batch"))
+    counted = spark.read.schema(ticks.schema).parquet(f"{base}/out").select("tick_start_us", "n_activities")
+    both = counted.join(late, "tick_start_us", "full")
+    n = [F.coalesce(c, F.lit(0)) for c in ("n_activities", "late")]
+    out = cut_lineage(both.select("tick_start_us", n[0].alias("n_on_time"), n[1].alias("n_late"), (n[0] + n[1]).alias("n_all"), "late_batch"))
+    drop_scratch(base)
+    return out
+
+
+def in_arrival_order(events: DataFrame, slices: int, delay_s: int, flush_s: int, late_every: int = 0) -> list[DataFrame]:
+    """``slices`` parts of the events by time of arrival, then one closing event.
+
+    A row arrives less than ``delay_s`` after its event time, by a hash of its id, so parts overlap in time.  With
+    ``late_every`` every row whose id that divides arrives with the last part, however old it is.
+    """
+    us = epoch_us("ts")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(delay_s * US)) if delay_s else F.lit(0)
+    parts, high = in_time_order(events, slices, flush_s)
+    low = events.agg(F.min(us)).first()[0]
+    step = (high - low) // slices + 1
+    at = F.least(F.floor((us + delay - low) / step), F.lit(slices - 1))
+    if late_every:
+        at = F.when(F.col("event_id") % late_every == 0, slices - 1).otherwise(at)
+    return [*[events.where(at == k) for k in range(slices)], parts[-1]]
+
+
 def in_time_order(events: DataFrame, slices: int, flush_s: int) -> tuple[list[DataFrame], int]:
     """``slices`` consecutive parts of the events by time, then one closing event
     ``flush_s`` after the last, which lets the watermark pass every open window;
