@@ -12,10 +12,11 @@ a task, and the weights (FEATURES numbers, whatever the corpus) travel to the ta
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
@@ -29,12 +30,15 @@ FEATURES = 16 ** FEATURE_DIGITS
 DIMS = 256
 SCALE = 100
 CHUNKS_PER_DOC = 1 << 20
-WORD_RE = r"[\p{L}\p{N}]+"
+#: Texts whose words are counted at once.
+STEP = 2048
+#: Letters and digits of any script.
+WORD_RE = r"[^\W_]+"
 
 INDEX_SCHEMA = StructType([StructField("chunk_id", LongType()), StructField("doc_id", LongType()), StructField("chunk_no", LongType()),
                            StructField("chunk_text", StringType()), StructField("embedding", ArrayType(FloatType()))])
 
-_words = regex.compile(WORD_RE).findall
+_words = re.compile(WORD_RE).findall
 
 
 class _Features(dict):
@@ -47,10 +51,13 @@ class _Features(dict):
         return found
 
 
-def _counts(text: str | None, features: _Features) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct features of a text and how often each occurs."""
-    found = np.fromiter((features[w] for w in _words((text or "").lower())), dtype=np.int64)
-    return np.unique(found, return_counts=True)
+def _counts(texts: list[str | None], features: _Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text number, feature) pairs of some texts, and how often each occurs."""
+    words = [_words((t or "").lower()) for t in texts]
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    found = np.fromiter(map(features.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=len(row))
+    pairs, times = np.unique(row * FEATURES + found, return_counts=True)
+    return pairs // FEATURES, pairs % FEATURES, times
 
 
 def feature_counts(texts: DataFrame, text: str = "chunk_text") -> DataFrame:
@@ -62,8 +69,8 @@ def feature_counts(texts: DataFrame, text: str = "chunk_text") -> DataFrame:
     def run(batches):
         features, held, n = _Features(), np.zeros(FEATURES, dtype=np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held[_counts(t, features)[0]] += 1
+            for a in range(0, b.num_rows, STEP):
+                held += np.bincount(_counts(b.column(0).slice(a, STEP).to_pylist(), features)[1], minlength=FEATURES)
             n += b.num_rows
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(n, held[some]))], ["feature", "n"])
@@ -75,12 +82,10 @@ def feature_counts(texts: DataFrame, text: str = "chunk_text") -> DataFrame:
 def weights_of(counts: DataFrame) -> np.ndarray:
     """Whole-number idf weights of all features (FEATURES numbers come to the driver)."""
     n_texts = np.zeros(FEATURES, dtype=np.float64)
-    total = 0
-    for feature, n in counts.collect():  # at most FEATURES + 1 rows
-        if feature < 0:
-            total = n
-        else:
-            n_texts[feature] = n
+    held = counts.select("feature", "n_texts").toArrow()  # at most FEATURES + 1 rows
+    feature, n = (held.column(c).to_numpy() for c in ("feature", "n_texts"))
+    total = int(n[feature < 0].sum())
+    n_texts[feature[feature >= 0]] = n[feature >= 0]
     return np.round(SCALE * (np.log((1 + total) / (1 + n_texts)) + 1)).astype(np.int64)
 
 
@@ -94,15 +99,14 @@ def vectorize(df: DataFrame, weights: np.ndarray, text: str = "chunk_text", out:
         features = _Features()
         feature = np.arange(FEATURES)
         dim, sign = feature % dims, 1 - 2 * (feature // dims % 2)
-        place = None
-        for b in batches:
-            place = b.schema.get_field_index(text)
-            rows = np.zeros((b.num_rows, dims), dtype=np.int64)
-            for row, t in zip(rows, b.column(place).to_pylist()):
-                found, times = _counts(t, features)
-                np.add.at(row, dim[found], sign[found] * np.round(weights[found] * (1 + np.log(times))).astype(np.int64))
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dims, pa.int32()), pa.array(rows.reshape(-1).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, vectors], [*b.schema.names, out])
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP):
+                b = whole.slice(a, STEP)
+                row, found, times = _counts(b.column(text).to_pylist(), features)
+                value = sign[found] * np.round(weights[found] * (1 + np.log(times)))
+                held = np.bincount(row * dims + dim[found], weights=value, minlength=b.num_rows * dims)  # whole numbers below 2**53: exact
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dims, pa.int32()), pa.array(held.astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, vectors], [*b.schema.names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))]))
 

@@ -210,7 +210,7 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     blocks, and a recomputed task deals rows exactly as before.  Every
     query block meets every index block in one cogroup task: each query row
     travels to the index blocks and each index row to the query blocks, and
-    nothing passes through the driver.  A task keeps a running top-k per
+    nothing passes through the driver.  Index rows without an id or a vector are left out.  A task keeps a running top-k per
     query and emits at most ``k`` rows per query; a window over those
     candidates (``k`` per index block) picks the final k.  Exact search is
     quadratic by nature: ``nearest_approx`` is the option for large query sets.
@@ -219,7 +219,7 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     q = queries.select(F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv")) \
         .where(F.col("__qv").isNotNull())
     x = index.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v")) \
-        .where(F.col("__v").isNotNull())
+        .where(F.col("__v").isNotNull() & F.col("__id").isNotNull())
     schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()),
                          StructField("dist", DoubleType())])
     first = x.select("__v").first()  # one row: the vector width
@@ -400,7 +400,7 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
     """
     spark = index.sparkSession
     asked = queries.select(F.col(query_id).cast("long").alias("__qid"), F.col(query_vec).alias("__qv"))
-    x = index.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v")).where(F.col("__v").isNotNull())
+    x = index.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__v")).where(F.col("__v").isNotNull() & F.col("__id").isNotNull())
     first = x.select("__v").first()
     ids = asked.select("__qid").distinct()
     if first is None:
