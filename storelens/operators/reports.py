@@ -171,6 +171,33 @@ def distinct_buyers_per_category(lines: DataFrame, parts: DataFrame, orders: Dat
     return pairs.groupBy(category).agg(agg.alias("n_buyers"))
 
 
+SKETCH_LG_K = 14
+
+
+def buyer_sketches(lines: DataFrame, parts: DataFrame, orders: DataFrame, category="p_type", ts="o_orderdate",
+                   lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """R13 to store: a distinct-count sketch of the customers per category and month.
+
+    A sketch takes at most about 2**``lg_k`` bytes, whatever it counts, and sketches of new months are
+    appended to the stored ones.
+    """
+    pairs = (lines.select("l_orderkey", "l_partkey")
+             .join(orders.select("o_orderkey", "o_custkey", F.date_format(ts, "yyyy-MM").alias("month")), F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(parts.select("p_partkey", category), F.col("l_partkey") == F.col("p_partkey")))
+    return pairs.groupBy(category, "month").agg(F.hll_sketch_agg("o_custkey", lg_k).alias("sketch"))
+
+
+def distinct_in_spans(sketches: DataFrame, spans: dict[str, tuple[str, str]], category="p_type") -> DataFrame:
+    """Estimated distinct customers per category in each span of months (first, last), from stored sketches alone.
+
+    Merging sketches loses nothing against one sketch of all rows; the estimate's relative standard error is
+    1.04 / sqrt(2**lg_k) at most (0.8 % for 14), and small counts are exact.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("span"), F.lit(a).alias("a"), F.lit(z).alias("z")) for n, (a, z) in spans.items()]))
+    rows = sketches.select("*", named.alias("s")).where(F.col("month").between(F.col("s.a"), F.col("s.z")))
+    return rows.groupBy(category, F.col("s.span").alias("span")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_buyers"))
+
+
 def customers_by_type_and_status(customers: DataFrame, kind="c_mktsegment",
                                  balance="c_acctbal") -> DataFrame:
     """Customers per account type, pivoted by status (sign of the balance).

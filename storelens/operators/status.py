@@ -9,6 +9,8 @@ value, so lines are parsed by a Pandas UDF, once per line.
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,16 +59,25 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _js(value) -> str | None:
     """A value's text: strings as they are, null as null, else compact JSON with
-    whole floats written as integers."""
-    if value is None or isinstance(value, str):
+    whole floats written as integers.  Half a surrogate pair, which no column can hold,
+    is U+FFFD in a string and its escape in JSON, as the client has it."""
+    if value is None:
         return value
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    if isinstance(value, str):
+        return _LONE.sub("\ufffd", value)
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 
 def _number(text: str):
+    """A number as the client writes it back: one beyond a double's range is infinite there, and null in JSON."""
     value = float(text)
+    if math.isinf(value):
+        return None
     return int(value) if value.is_integer() and abs(value) < 1e21 else value
 
 
@@ -89,7 +100,7 @@ def _parse_line(line: str | None):
     data = value["data"]
     name = {dict: "object", list: "array", str: "string", type(None): "null"}.get(type(data), "other")
     text = data.get("text") if isinstance(data, dict) else None
-    return _js(kind), False, _js(data), name, _js(text) if text else None
+    return _js(kind), False, _js(data), name, _js(text) if text else None  # a text of 1e400 counts as null
 
 
 def _parse(lines: pd.Series) -> pd.DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from storelens.operators import contracts as T
 from storelens.operators import reports as R
 from storelens.plans.registry import query
+from storelens.session import cut_lineage, drop_scratch, scratch_path
+from storelens.sources.snapshots import SnapshotTable
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 Q1_1997 = ("1997-01-01", "1997-04-01")
@@ -152,6 +154,35 @@ def r13(t):
     return R.distinct_buyers_per_category(t.lineitem, t.part, t.orders)
 
 
+SPANS = {"all": ("0000-00", "9999-99"), "1994": ("1994-01", "1994-12"), "1995-1996": ("1995-01", "1996-12")}
+# three standard errors of the estimate
+SKETCH_BOUND = 3 * 1.04 / 2 ** (R.SKETCH_LG_K / 2)
+
+
+@query("r13_sketched_spans", f"""
+SELECT p_type, span, COUNT(DISTINCT o_custkey) AS n_exact, true AS within_bound
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+JOIN (VALUES {", ".join(f"('{n}', '{a}', '{z}')" for n, (a, z) in SPANS.items())}) s(span, a, z)
+  ON strftime(o_orderdate, '%Y-%m') BETWEEN a AND z
+GROUP BY p_type, span""")
+def r13_sketched(t):
+    """R13 from stored sketches by category and month, merged for three spans, beside the exact counts."""
+    path = scratch_path(t.spark, "r13-sketches")
+    stored = SnapshotTable(t.spark, path)
+    stored.save(R.buyer_sketches(t.lineitem, t.part, t.orders))
+    estimates = R.distinct_in_spans(stored.read(), SPANS)
+    exact = None
+    for name, (a, z) in SPANS.items():
+        within = t.orders.where(F.date_format("o_orderdate", "yyyy-MM").between(a, z))
+        one = R.distinct_buyers_per_category(t.lineitem, t.part, within).select("p_type", F.lit(name).alias("span"), F.col("n_buyers").alias("n_exact"))
+        exact = one if exact is None else exact.unionByName(one)
+    out = cut_lineage(exact.join(estimates, ["p_type", "span"], "left").select(
+        "p_type", "span", "n_exact", F.coalesce(F.abs(F.col("n_buyers") - F.col("n_exact")) <= F.lit(SKETCH_BOUND) * F.col("n_exact"),
+                                                F.lit(False)).alias("within_bound")))
+    drop_scratch(path)
+    return out
+
+
 @query("r14_customers_by_type_status", """
 SELECT c_mktsegment, COUNT(*) FILTER (WHERE c_acctbal < 0) AS negative,
        COUNT(*) FILTER (WHERE NOT c_acctbal < 0) AS non_negative

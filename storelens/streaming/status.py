@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storelens.operators.status import parse_status_lines
+from storelens.sources.growing_lines import GrowingLines
 
 
 def status_line_stream(spark: SparkSession, folder: str, glob: str = "*.jsonl",
@@ -21,3 +22,11 @@ def status_line_stream(spark: SparkSession, folder: str, glob: str = "*.jsonl",
     lines = reader.text(folder).select(F.col("_metadata.file_path").alias("source_file"),
                                        F.col("value").alias("line"))
     return parse_status_lines(lines)
+
+
+def growing_status_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """As ``status_line_stream`` for files that are still being appended to: each line comes once, when it is
+    whole, with the byte ``at`` which it begins; an unterminated last line waits for its line break."""
+    spark.dataSource.register(GrowingLines)
+    lines = spark.readStream.format("growing_lines").option("path", folder).option("glob", glob).load()
+    return parse_status_lines(lines.withColumnRenamed("path", "source_file"))
