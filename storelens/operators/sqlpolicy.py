@@ -8,6 +8,7 @@ as Spark plans over registered tables.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -76,8 +77,9 @@ def _starts_as_read(c: Column) -> Column:
     return head.startswith("SELECT") | head.startswith("WITH")
 
 
-#: functions that reach outside the registered tables
-_OUTSIDE = re.compile(r"`?\b(java_method|try_reflect|reflect)\b`?\s*\(", re.IGNORECASE)
+#: functions that reach outside the registered tables, and names put together at run time; comments may part a name from its bracket
+_REACHING = ("java_method", "try_reflect", "reflect")
+_OUTSIDE = re.compile(rf"`?\b({'|'.join(_REACHING)}|identifier)\b`?(\s|/\*.*?\*/|--[^\n]*\n)*\(", re.IGNORECASE | re.DOTALL)
 _RELATION = re.compile(r"'UnresolvedRelation \[(.*?)\]")
 _CTE = re.compile(r"CTE \[(.*?)\]")
 
@@ -91,6 +93,34 @@ def _relations(spark: SparkSession, body: str) -> set[str]:
     return {n.strip().lower() for n in _RELATION.findall(parsed)} - own
 
 
+def _not_for_guests(*_values) -> str:
+    raise ValueError("not for guests")
+
+
+def _reading_session(spark: SparkSession, tables: Mapping[str, DataFrame], guest: bool) -> tuple[SparkSession, list[str]]:
+    """A session of its own in which the tables, and no other temporary views, have names.
+
+    A guest's session reads no files by path, and the functions that call Java are replaced there by ones that raise.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        try:
+            if own.conf.get(key, None) != value:
+                own.conf.set(key, value)
+        except PySparkException:  # a setting of the whole application
+            pass
+    passed = []
+    for name, df in tables.items():
+        passed.append(f"read_{uuid.uuid4().hex}")
+        df.createGlobalTempView(passed[-1])
+        own.sql(f"CREATE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.`{passed[-1]}`")
+    if guest:
+        own.conf.set("spark.sql.runSQLOnFiles", "false")
+        for function in _REACHING:
+            own.udf.register(function, _not_for_guests)
+    return own, passed
+
+
 def run_read(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], is_admin: bool = False,
              guest_tables: Sequence[str] | None = None):
     """Q4: run one read over registered tables.
@@ -99,10 +129,13 @@ def run_read(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], is_
     ``refused``, ``rows``, ``empty``, ``error``.  The statement is cleaned
     (Q1) and screened (Q2).  A final ``;`` is dropped and the text wrapped as
     ``select * from (...)``, so commands that the screen misses (TRUNCATE,
-    CREATE) fail to parse instead of running.  A guest reads the permitted tables
-    alone: a statement that names any other relation (a file path, a view left
-    by someone else) or a function that calls Java is refused.  The tables
-    are views only while the statement is analysed; views of the same name come back.
+    CREATE) fail to parse instead of running.
+
+    Every read has a session of its own in which only its tables have names, so reads at the
+    same time don't meet, and views of the caller's session are neither seen nor touched.  A
+    guest reads the permitted tables alone: a statement is refused that names another
+    relation that exists, calls Java, puts a name together at run time, or, once it is
+    analysed, would read a file that belongs to none of the permitted tables.
     Run-time errors are the error outcome too.  Emptiness is tested with
     ``limit(1)``, never a full count.
     """
@@ -112,24 +145,25 @@ def run_read(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], is_
     permitted = tables if is_admin or guest_tables is None else {
         k: v for k, v in tables.items() if k in set(guest_tables)}
     body = clean[:-1] if clean.endswith(";") else clean
-    before = {name: spark.table(name) for name in permitted if _is_view(spark, name)}
+    passed: list[str] = []
     try:
+        own, passed = _reading_session(spark, permitted, not is_admin)
         if not is_admin:
-            others = _relations(spark, body) - {k.lower() for k in permitted}
+            others = _relations(own, body) - {k.lower() for k in permitted}
             if _OUTSIDE.search(body) or any(_there(spark, name, tables) for name in others):
                 return "refused", None, MSG_REFUSED
-        for name, df in permitted.items():
-            df.createOrReplaceTempView(name)
-        result = spark.sql(f"select * from (\n{body}\n)")
+        result = own.sql(f"select * from (\n{body}\n)")
+        if not is_admin:
+            theirs = {f for df in permitted.values() for f in df.inputFiles()}
+            if not theirs.issuperset(result.inputFiles()):
+                return "refused", None, MSG_REFUSED
         empty = len(result.limit(1).collect()) == 0
     except PySparkException as err:
         first = next((x.strip() for x in str(err).splitlines() if x.strip()), type(err).__name__)
         return "error", None, MSG_ERROR.format(err=first, sql=clean)
     finally:
-        for name in permitted:
-            spark.catalog.dropTempView(name)
-        for name, df in before.items():
-            df.createOrReplaceTempView(name)
+        for name in passed:
+            spark.catalog.dropGlobalTempView(name)
     if empty:
         return "empty", result, MSG_EMPTY.format(sql=clean)
     return "rows", result, None

@@ -126,3 +126,56 @@ def test_a_refused_edit_is_told_from_an_edit_of_no_rows(spark):
     t = spark.createDataFrame([(1, "Nowe")], "id int, s string")
     assert tuple(Q.delete_where(t, F.lit(True), is_admin=False)[1].first()) == ("refused", 0)
     assert tuple(Q.delete_where(t, F.lit(False))[1].first()) == ("modified", 0)
+
+
+def test_guests_reach_nothing_outside_their_tables(spark):
+    import os
+    import tempfile
+
+    spark.range(3).createOrReplaceTempView("leftover")
+    spark.range(3).createOrReplaceGlobalTempView("leftover_everywhere")
+    folder = os.path.join(tempfile.mkdtemp(prefix="storelens-guard-"), "t")
+    spark.range(5).write.parquet(folder)
+    zam = spark.read.parquet(folder).withColumn("v", F.col("id") + 1)
+    guest = lambda sql: Q.run_read(spark, sql, {"zam": zam}, guest_tables=["zam"])[0]
+    assert guest("select sum(v) from zam") == "rows"
+    assert guest("with a as (with b as (select id from zam) select * from b) select * from a where id in (select max(v) - 1 from zam)") == "rows"
+    for sql in ("select java_method /* c */ ('java.lang.System','getProperty','user.home')", "select reflect\n-- x\n('java.lang.System','nanoTime')",
+                "select * from identifier('left' || 'over')", "select * from IDENTIFIER /* */ ('zam')", "select * from leftover",
+                "select * from zam where id in (select id from leftover)", f"select * from parquet.`{folder}`", "select * from global_temp.leftover_everywhere",
+                "with a as (select * from leftover) select * from a", "with leftover2 as (select 1) select * from leftover2 join leftover"):
+        assert guest(sql) == "refused", sql
+    # a name that nobody has is an error like any other
+    assert guest("select * from nothing_of_that_name") == "error"
+    assert spark.table("leftover").count() == 3
+    spark.catalog.dropTempView("leftover")
+    spark.catalog.dropGlobalTempView("leftover_everywhere")
+
+
+def test_the_screen_is_not_the_only_guard(spark):
+    """Without the look at the text, the session itself still holds: functions are replaced, views unseen, files closed."""
+    spark.range(3).createOrReplaceTempView("leftover")
+    own, passed = Q._reading_session(spark, {"zam": spark.range(2)}, guest=True)
+    for sql in ("select java_method('java.lang.System', 'nanoTime')", "select * from leftover", "select * from parquet.`/tmp`"):
+        try:
+            own.sql(sql).collect()
+            raise AssertionError(sql)
+        except Exception as e:
+            assert not isinstance(e, AssertionError), sql
+    assert own.sql("select count(*) from zam").first()[0] == 2
+    for name in passed:
+        spark.catalog.dropGlobalTempView(name)
+    spark.catalog.dropTempView("leftover")
+    assert spark.sql("select reflect('java.lang.Math', 'abs', 5)").first()[0] == "5"  # the caller's session is as it was
+
+
+def test_two_reads_at_once_do_not_meet(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def read(n):
+        outcome, df, _ = Q.run_read(spark, "select sum(id) as s from t", {"t": spark.range(n)})
+        return outcome, df.first().s
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(read, range(2, 10)))
+    assert got == [("rows", n * (n - 1) // 2) for n in range(2, 10)]
