@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storelens.functions.text import sql_literal
 from storelens.operators import retrieval as R
 from storelens.operators import vectors as V
+from storelens.operators.phrases import PhraseIndex
 from storelens.plans.chunk_sql import chunk_ctes
 from storelens.plans.registry import query
 from storelens.session import cut_lineage, drop_scratch, scratch_path
@@ -87,3 +88,17 @@ def snapshot_edits(t):
                                           F.lit(len(before - after) == 1).alias("few_files")))
     drop_scratch(path)
     return out
+
+
+@query("q06_phrase_index", """
+WITH p AS (SELECT item_id AS phrase_id, substr(text, 1, 9) AS phrase FROM benchmark)
+SELECT phrase_id, doc_id FROM p JOIN documents ON contains(lower(text), lower(phrase))""")
+def phrase_index(t):
+    """Q6 by a stored gram index: every document that holds the first characters of a benchmark item, all items at once."""
+    path = scratch_path(t.spark, "q06-index")
+    index = PhraseIndex(t.spark, path, "lower")
+    index.build(t.documents, "doc_id", "text")
+    phrases = t.benchmark.select(F.col("item_id").alias("phrase_id"), F.substring("text", 1, 9).alias("phrase"))
+    out = cut_lineage(index.search(phrases).select("phrase_id", F.col("id").alias("doc_id")))
+    drop_scratch(path)
+    return out
