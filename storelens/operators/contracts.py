@@ -42,10 +42,13 @@ def _violations(df: DataFrame, key, checks: Sequence[Column]) -> DataFrame:
 
 def check_not_null(df: DataFrame, key, cols: Sequence[str]) -> DataFrame:
     """One violation row per (row, column) that is null."""
-    checks = [F.struct(F.lit("not_null").alias("rule"), F.lit(c).alias("column"),
-                       F.lit(None).cast("string").alias("value"), F.col(c).isNull().alias("bad"))
-              for c in cols]
-    return _violations(df, key, checks)
+    return _violations(df, key, _null_checks(cols))
+
+
+def _null_checks(cols: Sequence[str], rule: str = "not_null") -> list[Column]:
+    return [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"),
+                     F.lit(None).cast("string").alias("value"), F.col(c).isNull().alias("bad"))
+            for c in cols]
 
 
 def fill_defaults(df: DataFrame, defaults: Mapping[str, object], now=None) -> DataFrame:
@@ -67,7 +70,8 @@ def check_unique(df: DataFrame, cols: Sequence[str] | str, collation: str | None
     """Key values held by more than one row.  NULL keys never conflict.
 
     With ``collation`` (e.g. ``UNICODE_CI``) the key compares under it, as
-    the database's case-insensitive collation does.
+    the database's case-insensitive collation does.  Which of the spellings stands for
+    the others is not fixed (``check_contract`` reports the least).
     """
     cols = _keys(cols)
     keyed = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
@@ -85,10 +89,12 @@ def enum_rank(c: Column, values: Sequence[str]) -> Column:
 
 def check_enum(df: DataFrame, key, col: str, values: Sequence[str]) -> DataFrame:
     """T4: non-null values outside the declared list."""
+    return _violations(df, key, [_enum_check(col, values)])
+
+
+def _enum_check(col: str, values: Sequence[str]) -> Column:
     bad = F.col(col).isNotNull() & ~F.col(col).isin(list(values))
-    checks = [F.struct(F.lit("enum").alias("rule"), F.lit(col).alias("column"),
-                       F.col(col).cast("string").alias("value"), bad.alias("bad"))]
-    return _violations(df, key, checks)
+    return F.struct(F.lit("enum").alias("rule"), F.lit(col).alias("column"), F.col(col).cast("string").alias("value"), bad.alias("bad"))
 
 
 def check_width(df: DataFrame, key, specs: Mapping[str, str]) -> DataFrame:
@@ -96,6 +102,10 @@ def check_width(df: DataFrame, key, specs: Mapping[str, str]) -> DataFrame:
 
     ``try_cast`` yields null on overflow instead of raising under ANSI mode.
     """
+    return _violations(df, key, _width_checks(specs))
+
+
+def _width_checks(specs: Mapping[str, str]) -> list[Column]:
     checks = []
     for c, spec in specs.items():
         spec = spec.strip().lower()
@@ -111,7 +121,7 @@ def check_width(df: DataFrame, key, specs: Mapping[str, str]) -> DataFrame:
         checks.append(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"),
                                F.col(c).cast("string").alias("value"),
                                F.coalesce(bad, F.lit(False)).alias("bad")))
-    return _violations(df, key, checks)
+    return checks
 
 
 def check_fk(child: DataFrame, parent: DataFrame, child_col: str, parent_col: str) -> DataFrame:
@@ -213,14 +223,19 @@ class Contract:
     defaults: Mapping[str, object] = field(default_factory=dict)
 
 
-#: The two tables of the shop (fixed values: columns, widths, lists and defaults of the reference DDL).
+#: The two tables of the shop (fixed values: keys, columns, widths, lists and defaults of the reference DDL).
 CUSTOMER_CONTRACT = Contract(
     "id_klienta", not_null=("imie", "nazwisko", "email"), unique=("email",),
     enums={"typ_konta": ACCOUNT_TYPES, "status_konta": ACCOUNT_STATUSES},
+    widths={"imie": "varchar(50)", "nazwisko": "varchar(50)", "email": "varchar(100)", "telefon": "varchar(20)",
+            "miasto": "varchar(50)", "wojewodztwo": "varchar(50)"},
     defaults={**CUSTOMER_DEFAULTS, "data_rejestracji": "CURRENT_TIMESTAMP"})
 ORDER_CONTRACT = Contract(
-    "id_zamowienia", not_null=("id_klienta", "numer_zamowienia", "produkt_nazwa", "cena_jednostkowa"), unique=("numer_zamowienia",),
+    "id_zamowienia", not_null=("id_klienta", "numer_zamowienia", "produkt_nazwa", "kategoria", "cena_jednostkowa", "ilosc"),
+    unique=("numer_zamowienia",),
     enums={"status_zamowienia": ORDER_STATUSES, "metoda_platnosci": PAYMENT_METHODS},
+    widths={"numer_zamowienia": "varchar(30)", "produkt_nazwa": "varchar(150)", "kategoria": "varchar(50)",
+            "cena_jednostkowa": "decimal(10,2)", "koszt_dostawy": "decimal(6,2)"},
     foreign_keys={"id_klienta": ("customers", "id_klienta")},
     defaults={**ORDER_DEFAULTS, "data_zamowienia": "CURRENT_TIMESTAMP"})
 
@@ -228,30 +243,27 @@ ORDER_CONTRACT = Contract(
 def check_contract(df: DataFrame, contract: Contract, parents: Mapping[str, DataFrame] | None = None, now=None) -> DataFrame:
     """All violations of a contract in one report ``(rule, key, column, value)``.
 
-    Defaults are filled first (T2), so an omitted column with a default is no
-    violation.  ``key`` is the row's key as text, or the repeated value for
-    the unique rule.
+    Defaults are filled first (T2), so a null in a column with a default is no
+    violation.  ``key`` is the row's key as text, or the repeated value (of several
+    spellings the least) for the unique and primary-key rules.  Rules of columns that
+    ``df`` does not have are left out.  All rules of single rows are checked in one pass; each
+    unique rule, and the primary key, is one aggregation.
     """
-    df = fill_defaults(df, {c: v for c, v in contract.defaults.items() if c in df.columns}, now)
-    parts = []
-    if contract.not_null:
-        parts.append(check_not_null(df, contract.key, contract.not_null))
-    for col, values in contract.enums.items():
-        parts.append(check_enum(df, contract.key, col, values))
-    if contract.widths:
-        parts.append(check_width(df, contract.key, contract.widths))
-    out = None
-    for p in parts:
-        row = p.select("rule", F.col(contract.key).cast("string").alias("key"), "column", F.col("value").cast("string").alias("value"))
-        out = row if out is None else out.unionAll(row)
-    for col in contract.unique:
-        dup = check_unique(df, col, contract.unique_collation)
-        row = dup.select(F.lit("unique").alias("rule"), F.collate(F.col(col).cast("string"), "UTF8_BINARY").alias("key"),
-                         F.lit(col).alias("column"), F.col("n_rows").cast("string").alias("value"))
-        out = row if out is None else out.unionAll(row)
+    has = set(df.columns)
+    df = fill_defaults(df, {c: v for c, v in contract.defaults.items() if c in has}, now)
+    checks = _null_checks([contract.key], "primary_key") + _null_checks([c for c in contract.not_null if c in has])
+    checks += [_enum_check(c, values) for c, values in contract.enums.items() if c in has]
+    checks += _width_checks({c: spec for c, spec in contract.widths.items() if c in has})
+    found = df.select(F.col(contract.key).cast("string").alias("key"), F.inline(F.array(*checks))).where("bad")
+    out = found.select("rule", "key", "column", "value")
+    for col, rule in [(contract.key, "primary_key"), *[(c, "unique") for c in contract.unique if c in has]]:
+        kept = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("text"))
+        grouped = kept.groupBy(F.collate("text", contract.unique_collation if rule == "unique" else "UTF8_BINARY").alias("k"))
+        dup = grouped.agg(F.min("text").alias("key"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionAll(dup.select(F.lit(rule).alias("rule"), "key", F.lit(col).alias("column"), F.col("n").cast("string").alias("value")))
     for col, (table, parent_key) in contract.foreign_keys.items():
         bad = check_fk(df, parents[table], col, parent_key)
         row = bad.select(F.lit("foreign_key").alias("rule"), F.col(contract.key).cast("string").alias("key"), F.lit(col).alias("column"),
                          F.col(col).cast("string").alias("value"))
-        out = row if out is None else out.unionAll(row)
+        out = out.unionAll(row)
     return out

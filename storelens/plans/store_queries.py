@@ -278,7 +278,9 @@ ORDERS_AS_DECLARED = [
     "o_orderkey AS id_zamowienia",
     "CASE WHEN o_orderkey % 100 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS id_klienta",
     "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 'ZA-' || CAST(o_orderkey - o_orderkey % 8 AS STRING) END AS numer_zamowienia",
-    "o_orderpriority AS status_zamowienia", "o_orderstatus AS produkt_nazwa", "CAST(o_totalprice AS DOUBLE) AS cena_jednostkowa",
+    "o_orderpriority AS status_zamowienia", "o_orderstatus AS produkt_nazwa",
+    "CAST(CASE WHEN o_orderkey % 40 = 0 THEN o_totalprice * 1000000 ELSE o_totalprice END AS DECIMAL(18,2)) AS cena_jednostkowa",
+    "CASE WHEN o_orderkey % 60 = 0 THEN NULL WHEN o_orderkey % 61 = 0 THEN repeat('kategoria ', 6) ELSE 'Moda' END AS kategoria",
     "CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'Czek' ELSE 'BLIK' END AS metoda_platnosci"]
 
 
@@ -287,6 +289,10 @@ WITH o AS (SELECT {', '.join(ORDERS_AS_DECLARED)} FROM orders)
 SELECT 'not_null' AS rule, CAST(id_zamowienia AS VARCHAR) AS "key", 'numer_zamowienia' AS "column", NULL AS value FROM o WHERE numer_zamowienia IS NULL
 UNION ALL SELECT 'enum', CAST(id_zamowienia AS VARCHAR), 'status_zamowienia', status_zamowienia FROM o
 UNION ALL SELECT 'enum', CAST(id_zamowienia AS VARCHAR), 'metoda_platnosci', metoda_platnosci FROM o WHERE metoda_platnosci = 'Czek'
+UNION ALL SELECT 'not_null', CAST(id_zamowienia AS VARCHAR), 'kategoria', NULL FROM o WHERE kategoria IS NULL
+UNION ALL SELECT 'width', CAST(id_zamowienia AS VARCHAR), 'kategoria', kategoria FROM o WHERE length(kategoria) > 50
+UNION ALL SELECT 'range', CAST(id_zamowienia AS VARCHAR), 'cena_jednostkowa', CAST(cena_jednostkowa AS VARCHAR) FROM o
+  WHERE cena_jednostkowa IS NOT NULL AND TRY_CAST(cena_jednostkowa AS DECIMAL(10,2)) IS NULL
 UNION ALL SELECT 'unique', numer_zamowienia, 'numer_zamowienia', CAST(COUNT(*) AS VARCHAR) FROM o
   WHERE numer_zamowienia IS NOT NULL GROUP BY numer_zamowienia HAVING COUNT(*) > 1
 UNION ALL SELECT 'foreign_key', CAST(id_zamowienia AS VARCHAR), 'id_klienta', CAST(id_klienta AS VARCHAR) FROM o

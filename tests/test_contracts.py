@@ -86,3 +86,21 @@ def test_a_repeated_old_key_multiplies_nothing(spark):
     mapping = spark.createDataFrame([(1, 7), (1, 5)], "old_key long, new_key long")
     p, c = T.cascade_update(parent, child, mapping, "k", "k")
     assert rows(p) == [(2,), (5,)] and rows(c) == [(10, 5), (11, 5)]
+
+
+def test_widths_keys_and_categories_are_part_of_the_contracts(spark):
+    customers = spark.createDataFrame(
+        [(1, "a" * 60, "n", "A@b"), (1, "b", "n", "a@B"), (None, "c", None, "e" * 101)], "id_klienta long, imie string, nazwisko string, email string")
+    report = lambda df: [tuple(r) for r in df.select("rule", "key", "column", "value").collect()]
+    got = report(T.check_contract(customers, T.CUSTOMER_CONTRACT))
+    assert sorted(map(str, got)) == sorted(map(str, [
+        ("width", "1", "imie", "a" * 60), ("primary_key", "1", "id_klienta", "2"), ("primary_key", None, "id_klienta", None),
+        ("not_null", None, "nazwisko", None), ("width", None, "email", "e" * 101), ("unique", "A@b", "email", "2")]))
+    orders = spark.createDataFrame([(1, 1, "ZA-1", "x", None, "123456789.5", None, "99999"), (2, 1, "ZA-2", "x", "k" * 51, "1", 2, None)],
+                                   "id_zamowienia long, id_klienta long, numer_zamowienia string, produkt_nazwa string, kategoria string, "
+                                   "cena_jednostkowa string, ilosc int, koszt_dostawy string")
+    orders = orders.withColumn("cena_jednostkowa", F.col("cena_jednostkowa").cast("decimal(18,2)")).withColumn("koszt_dostawy", F.col("koszt_dostawy").cast("decimal(18,2)"))
+    got = report(T.check_contract(orders, T.ORDER_CONTRACT, {"customers": customers.select("id_klienta")}))
+    assert sorted(map(str, got)) == sorted(map(str, [
+        ("not_null", "1", "kategoria", None), ("range", "1", "cena_jednostkowa", "123456789.50"), ("range", "1", "koszt_dostawy", "99999.00"),
+        ("width", "2", "kategoria", "k" * 51)]))
