@@ -39,16 +39,3 @@ def sql_literal(s: str) -> str:
     if run or not parts:
         parts.append("'" + run + "'")
     return parts[0] if len(parts) == 1 else "(" + " || ".join(parts) + ")"
-
-
-def sql_concat(*pieces) -> str:
-    """Concatenate literal strings (``str``) and SQL expressions (``Expr``)."""
-    out = [p.sql if isinstance(p, Expr) else sql_literal(p) for p in pieces if p != ""]
-    return "(" + " || ".join(out) + ")" if len(out) > 1 else out[0]
-
-
-class Expr:
-    """Marks a piece of SQL expression text for :func:`sql_concat`."""
-
-    def __init__(self, sql: str):
-        self.sql = sql

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from storelens.session import cut_lineage
+
 BUCKET = "__bucket"
 
 
@@ -25,6 +27,19 @@ def with_bucket(df: DataFrame, ts: str, bucket_us: int) -> DataFrame:
     return df.withColumn(BUCKET, floor_div(F.col(ts), bucket_us))
 
 
+def with_rank_bucket(df: DataFrame, keys, order: Sequence[str], rows: int) -> DataFrame:
+    """Buckets of about ``rows`` rows by rank in (keys, order) instead of by time.
+
+    Rows are range-partitioned by key and order and a bucket is a partition, so an id that holds a third of
+    all rows within minutes is spread over many buckets, still in order.  Only one summary
+    row per (key, bucket) crosses over, as with time buckets.  The placed rows are written to the checkpoint
+    folder: a range partition's bounds are sampled, and must be the same for all that reads them.
+    """
+    parts = max(1, -(-df.count() // rows))
+    placed = df.repartitionByRange(parts, *_keys(keys), *order)
+    return cut_lineage(placed.withColumn(BUCKET, F.spark_partition_id().cast("long")))
+
+
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

@@ -68,7 +68,14 @@ def expired_at(sessions: DataFrame, now_us: int, ttl_s: int = SESSION_TTL_S) ->
 
 # ------------------------------------------------------------------ C3, C4
 
-def _sessionize(rows: DataFrame, is_new, bucket_s: int) -> DataFrame:
+def _bucketed(rows: DataFrame, bucket_s: int, bucket_rows: int | None) -> DataFrame:
+    """Rows with their bucket: ``bucket_s`` seconds of time, or about ``bucket_rows`` rows by rank."""
+    if bucket_rows:
+        return W.with_rank_bucket(rows, "session_id", ["ts_us", "seq"], bucket_rows)
+    return W.with_bucket(rows, "ts_us", bucket_s * US)
+
+
+def _sessionize(rows: DataFrame, is_new, bucket_s: int, bucket_rows: int | None = None) -> DataFrame:
     """Shared skew-safe sessionizer (one window level, one summary join).
 
     ``is_new(prev_us, ts_us)`` says whether an activity at ``ts_us`` after one
@@ -81,7 +88,7 @@ def _sessionize(rows: DataFrame, is_new, bucket_s: int) -> DataFrame:
     """
     order = ["ts_us", "seq"]
     b = W.BUCKET
-    rows = W.with_bucket(rows, "ts_us", bucket_s * US)
+    rows = _bucketed(rows, bucket_s, bucket_rows)
     w = Window.partitionBy("session_id", b).orderBy(*order)
     rows = rows.withColumn("__lag", F.lag("ts_us").over(w))
     rows = rows.withColumn("__inner", F.when(F.col("__lag").isNotNull()
@@ -106,11 +113,12 @@ def _sessionize(rows: DataFrame, is_new, bucket_s: int) -> DataFrame:
 
 
 def sessionize(log: DataFrame, ttl_s: int = CLIENT_IDLE_MS // 1000, kinds: Sequence[str] = ("chat",),
-               bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+               bucket_s: int = DEFAULT_BUCKET_S, bucket_rows: int | None = None) -> DataFrame:
     """C3, client rule: a new session when the gap between activities exceeds
-    ``ttl`` (a gap of exactly ``ttl`` stays in the session)."""
+    ``ttl`` (a gap of exactly ``ttl`` stays in the session).  With ``bucket_rows`` no window holds
+    more than about that many rows, however many one id has in however short a time."""
     rows = log.where(F.col("kind").isin(list(kinds))).select("session_id", "ts_us", "seq", "kind")
-    return _sessionize(rows, lambda a, b: (b - a) > F.lit(ttl_s * US), bucket_s)
+    return _sessionize(rows, lambda a, b: (b - a) > F.lit(ttl_s * US), bucket_s, bucket_rows)
 
 
 def sweep_after(a: Column, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_S, t0_us: int = 0) -> Column:
@@ -122,12 +130,12 @@ def sweep_after(a: Column, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_S, t
 
 def sessionize_swept(log: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_S,
                      t0_us: int = 0, kinds: Sequence[str] = ACTIVITY_KINDS,
-                     bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+                     bucket_s: int = DEFAULT_BUCKET_S, bucket_rows: int | None = None) -> DataFrame:
     """C4, server rule: a session ends at the first sweep after expiry, so
     activity between expiry and that sweep revives it.  When an activity
-    falls exactly on a sweep, the sweep goes first."""
+    falls exactly on a sweep, the sweep goes first.  ``bucket_rows`` as in ``sessionize``."""
     rows = log.where(F.col("kind").isin(list(kinds))).select("session_id", "ts_us", "seq", "kind")
-    return _sessionize(rows, lambda a, b: b >= sweep_after(a, ttl_s, sweep_s, t0_us), bucket_s)
+    return _sessionize(rows, lambda a, b: b >= sweep_after(a, ttl_s, sweep_s, t0_us), bucket_s, bucket_rows)
 
 
 def session_spans(sessionized: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_S,
@@ -149,8 +157,8 @@ def sweep_counts(sessionized: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: in
 # ------------------------------------------------------------------ C8
 
 def role_as_of(log: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_S,
-               t0_us: int = 0, bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
-    """Admin flag in effect at each chat.
+               t0_us: int = 0, bucket_s: int = DEFAULT_BUCKET_S, bucket_rows: int | None = None) -> DataFrame:
+    """Admin flag in effect at each chat.  ``bucket_rows`` as in ``sessionize``.
 
     login_ok sets the flag (and is activity), logout clears it (and is not
     activity), a new session starts as guest.  A logout belongs to the
@@ -159,12 +167,12 @@ def role_as_of(log: DataFrame, ttl_s: int = SESSION_TTL_S, sweep_s: int = SWEEP_
     """
     order = ["ts_us", "seq"]
     b = W.BUCKET
-    act = sessionize_swept(log, ttl_s, sweep_s, t0_us, ACTIVITY_KINDS, bucket_s) \
+    act = sessionize_swept(log, ttl_s, sweep_s, t0_us, ACTIVITY_KINDS, bucket_s, bucket_rows) \
         .select("session_id", "ts_us", "seq", "kind", "session_no")
     act = cut_lineage(act)  # one reliable write; the steps below read it, not its lineage
     outs = log.where(F.col("kind") == "logout").select(
         "session_id", "ts_us", "seq", "kind", F.lit(None).cast("long").alias("session_no"))
-    both = W.with_bucket(act.unionByName(outs), "ts_us", bucket_s * US)
+    both = _bucketed(act.unionByName(outs), bucket_s, bucket_rows)
     flag = F.when(F.col("kind") == "login_ok", True).when(F.col("kind") == "logout", False)
     w = Window.partitionBy("session_id", b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__sess_in", F.last("session_no", ignorenulls=True).over(w)).withColumn("__flag", flag)

@@ -155,11 +155,11 @@ def latest_status(requests: DataFrame, events: DataFrame, req: str = "request_id
             .select(req, F.coalesce("__s", F.lit(THINKING)).alias("status")))
 
 
-def status_spans(events: DataFrame, req: str = "request_id", bucket_s: int = 6 * 3600) -> DataFrame:
+def status_spans(events: DataFrame, req: str = "request_id", bucket_s: int = 6 * 3600, bucket_rows: int | None = None) -> DataFrame:
     """Time spent in each status per request (until the next status);
     the last status of a request has no end and is counted without time.
-    The next-status lookup is bucketed in time, so a hot request is split."""
-    spans = W.with_bucket(events, "ts_us", bucket_s * 1_000_000)
+    The next-status lookup is bucketed in time, or with ``bucket_rows`` by rank, so a hot request is split."""
+    spans = W.with_rank_bucket(events, req, ["ts_us", "seq"], bucket_rows) if bucket_rows else W.with_bucket(events, "ts_us", bucket_s * 1_000_000)
     spans = W.lead_across(spans, req, "ts_us", ["ts_us", "seq"], "ts_us", "__next")
     return spans.groupBy(req, "status").agg(
         F.count(F.lit(1)).alias("n_entries"),

@@ -224,6 +224,20 @@ def c08(t):
     return C.role_as_of(D.activity_log(t.events))
 
 
+HOT_ROWS = 4096
+
+
+@query("c04_hot_id", C4_SQL.replace(D.ACTIVITY_SQL, D.HOT_ACTIVITY_SQL))
+def c04_hot(t):
+    """C4 where a third of all rows is one id within six hours: windows by rank, none longer than about HOT_ROWS."""
+    return C.sessionize_swept(D.hot_activity_log(t.events), bucket_rows=HOT_ROWS)
+
+
+@query("c08_hot_id", C8_SQL.replace(D.ACTIVITY_SQL, D.HOT_ACTIVITY_SQL))
+def c08_hot(t):
+    return C.role_as_of(D.hot_activity_log(t.events), bucket_rows=HOT_ROWS)
+
+
 @query("c09_history_before", """
 SELECT conv_id, turn, COUNT(*) OVER w AS n_before,
        COALESCE(array_to_string(list(role || ': ' || text) OVER w, chr(10)), '') AS history_text

@@ -41,6 +41,22 @@ ACTIVITY_SQL = f"""activity AS (
   FROM events)"""
 
 
+# A third of all activities on one id, within one time bucket of six hours.
+HOT_ID_SQL = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END"
+HOT_TS_SQL = "CASE WHEN event_id % 3 = 0 THEN 1704067200000000 + ts_us % 21600000000 ELSE ts_us END"
+
+
+def hot_activity_log(events: DataFrame) -> DataFrame:
+    """``activity_log`` with one very busy id."""
+    plain = events.select("user_id", "event_id", epoch_us("ts").alias("ts_us"), F.expr(KIND_SQL).alias("kind"))
+    return plain.selectExpr(f"{HOT_ID_SQL} AS session_id", f"{HOT_TS_SQL} AS ts_us", "event_id AS seq", "kind")
+
+
+HOT_ACTIVITY_SQL = f"""activity AS (
+  SELECT {HOT_ID_SQL} AS session_id, {HOT_TS_SQL} AS ts_us, event_id AS seq, kind
+  FROM (SELECT *, epoch_us(ts) AS ts_us, {KIND_SQL} AS kind FROM (SELECT event_id, user_id, event_type, ts FROM events)))"""
+
+
 # ------------------------------------------------------------ statement log
 
 # Hand-made statements of FIXTURES.md section 3; {u} becomes the user id.

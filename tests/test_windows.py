@@ -84,3 +84,26 @@ def test_epoch_us_ignores_session_time_zone(spark):
         exp = int((ts.replace(tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()
                   * 1_000_000)
         assert abs(ny[eid] - exp) <= 1
+
+
+def test_buckets_by_rank_split_a_hot_id_and_change_nothing(spark):
+    """One id with a third of all rows inside one time bucket: equal results, and no window far above the others."""
+    import random
+
+    from storelens.operators import sessions as C
+    from storelens.operators import status as N
+
+    r = random.Random(5)
+    data = [(0 if k % 3 == 0 else r.randint(1, 300), r.randint(0, 6 * 3600) * C.US if k % 3 == 0 else r.randint(0, 400_000) * C.US, k,
+             r.choice(["chat", "chat", "chat", "login_ok", "logout"])) for k in range(6000)]
+    log = spark.createDataFrame(data, "session_id long, ts_us long, seq long, kind string").repartition(4)
+    same = lambda a, b: sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
+    assert same(C.sessionize(log, bucket_rows=250), C.sessionize(log))
+    assert same(C.sessionize_swept(log, bucket_rows=250), C.sessionize_swept(log))
+    assert same(C.role_as_of(log, bucket_rows=250), C.role_as_of(log))
+    events = log.selectExpr("session_id AS request_id", "ts_us", "seq", "kind AS status")
+    assert same(N.status_spans(events, bucket_rows=250), N.status_spans(events))
+    placed = W.with_rank_bucket(log, "session_id", ["ts_us", "seq"], 250)
+    sizes = sorted(n for _, n in placed.groupBy(W.BUCKET).count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and len(sizes) >= 20
+    assert max(placed.groupBy("session_id", W.BUCKET).count().agg({"count": "max"}).first()) < 6000 / 3 / 4
