@@ -36,22 +36,6 @@ def class_ids(rows, similar, normalised):
     return sorted((d, find(d) if d is not None else own.get(normalised(t))) for d, t in rows if d is not None)
 
 
-def check_classes(got, rows, similar, normalised, sure=0.7):
-    """``got`` (doc_id, class) is no coarser than the classes of all similar pairs, names
-    each class by its least id, and joins every pair of a shingle Jaccard similarity of ``sure``."""
-    coarse = dict(class_ids(rows, similar, normalised))
-    own = dict(got)
-    assert set(own) == set(coarse)
-    for d, c in got:
-        assert coarse[d] == coarse[c] and c == min(x for x, y in got if y == c)
-    texts = {d: normalised(t).split() for d, t in rows if d is not None}
-    sets = {d: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for d, w in texts.items()}
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= sure * len(sets[a] | sets[b]) and similar(normalised_of(texts[a]), normalised_of(texts[b])):
-                assert own[a] == own[b], (a, b)
-
-
 def normalised_of(words):
     return b" ".join(words)
 
