@@ -82,11 +82,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def drop_scratch(path: str) -> None:
-    """Remove a folder of :func:`scratch_path` once its rows have been read."""
-    from pyarrow import fs
-
-    system, folder = fs.FileSystem.from_uri(path)
-    system.delete_dir(folder)
+    """Remove a folder of :func:`scratch_path` once its rows have been read, on whatever file system it is."""
+    spark = SparkSession.getActiveSession()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
