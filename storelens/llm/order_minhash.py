@@ -16,11 +16,13 @@ sketches becomes a candidate with 99.7 %; one of 0.8 all but surely (1 - 4e-9).
 Equal texts are collapsed first.  In a bucket every member is compared with its
 neighbour and with the leader of its share (large buckets are shared out), in an
 order that differs from bucket to bucket: first in the buckets of ``FIRST`` keys, then
-in all others where members are still in different classes.  After that such members
-are compared by how many of 64 of their sketches agree (in blocks of bounded size,
-inside a task): each member outside the bucket's largest class with the two that
-agree most, and at last every pair that agrees in at least ``AGREE`` goes to
-verification.  Members already in one class are never expanded into pairs.
+in all buckets, where two members speak for each class.  What is torn after that is settled
+inside tasks, in blocks of bounded size: each member outside the bucket's largest class
+meets all members of other classes.  A pair that passes shares at least as many labelled shingles
+as it aligns, so a count of shared shingles (exact, from the block's own postings) leaves out
+pairs without loss, and all others are aligned, most shared first, unless the links
+found so far in the block already join them.  A block gives at most one link
+per member, and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -44,9 +46,8 @@ LEAST, PER_KEY, KEYS = 3, 2, 64
 FIRST = 8
 #: members of a bucket that are handled together
 SHARE = 2048
-#: sketches kept beside the keys, one byte each, and how many must agree in a pair worth an alignment:
-#: of texts whose shingles have a Jaccard similarity of 0.67, 19 do, with a standard deviation of 4
-SHOWN, AGREE = 64, 8
+#: bytes of text that a block holds of either side
+BLOCK_BYTES = 16 << 20
 
 
 def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +73,8 @@ def labelled_shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def bucket_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The document's 64 bucket keys, and the last byte of ``SHOWN`` of its sketches."""
+def bucket_keys(shingles: np.ndarray) -> np.ndarray:
+    """The document's 64 bucket keys."""
     n = len(shingles)
     low = (shingles >> U64(32)).astype(np.uint32)
     take = min(LEAST, n)
@@ -93,7 +94,17 @@ def bucket_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     keys = sketches[0::PER_KEY].copy()
     for j in range(1, PER_KEY):
         keys = mix(keys * U64(5) + sketches[j::PER_KEY])
-    return keys + np.arange(KEYS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15), sketches[:SHOWN].astype(np.uint8).tobytes()
+    return keys + np.arange(KEYS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
+
+
+def shingles_of(texts: list[bytes]) -> list[np.ndarray]:
+    """The labelled shingles of each normalised text, a bounded amount of text at a time."""
+    out = []
+    for lo, hi in blocks(texts):
+        hashes, owner, _, _ = word_hashes(texts[lo:hi])
+        cut = np.searchsorted(owner, np.arange(hi - lo + 1))
+        out += [labelled_shingles(hashes[a:z]) if z > a else np.zeros(0, dtype=np.uint64) for a, z in zip(cut, cut[1:])]
+    return out
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -113,18 +124,9 @@ def _sign(batches):
     for b in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
         texts = [normalised(t) for t in b.column("text").to_pylist()]
         prints = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-        keys: list[np.ndarray | None] = [None] * len(texts)
-        small: list[bytes | None] = [None] * len(texts)
-        for lo, hi in blocks(texts):
-            hashes, owner, _, _ = word_hashes(texts[lo:hi])
-            cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                words = hashes[cut[i]:cut[i + 1]]
-                if len(words):
-                    own, small[lo + i] = bucket_keys(labelled_shingles(words))
-                    keys[lo + i] = own.view(np.int64)
+        keys = [bucket_keys(found).view(np.int64) if len(found) else None for found in shingles_of(texts)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                                          pa.array(small, pa.binary())], ["doc_id", "print", "keys", "small"])
+                                          pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "print", "keys", "size"])
     release()
 
 
@@ -192,65 +194,87 @@ def _normalise(batches):
                                          ["node", "words"])
 
 
-def _agreeing(best: int | None):
-    """For sorted rows of (bucket, i, j) blocks: pairs of different classes that agree in
-    enough sketches; with ``best``, only that many for each member outside the
-    block's largest class."""
+def _least_aligned(x: np.ndarray | int, y: int) -> np.ndarray | int:
+    """Shingles that must align in a passing pair of texts with x and y shingles."""
+    return -(-int(round(SIMILARITY * 1_000_000)) * np.maximum(x, y) // 1_000_000)
 
-    def block(node, root, side, small):
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the block meets itself
-        out = []
-        if best:
-            values, back, count = np.unique(root, return_inverse=True, return_counts=True)
-            asking = left[root[left] != values[count.argmax()]] if (side == 2).all() else left
-            others = right
-        else:
-            asking, others = left, right
-        for a in range(0, len(asking), 64):
-            mine = asking[a:a + 64]
-            agree = (small[mine][:, None, :] == small[others][None, :, :]).sum(axis=2, dtype=np.int16)
-            agree[root[mine][:, None] == root[others][None, :]] = 0
-            if best and len(others) > best:
-                least = np.partition(agree, len(others) - best, axis=1)[:, len(others) - best, None]
-                agree[agree < least] = 0
-                ties = np.cumsum(agree >= AGREE, axis=1)
-                agree[ties > best] = 0
-            x, y = np.nonzero(agree >= AGREE)
-            out.append(np.stack([node[mine[x]], node[others[y]]]))
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-
-    def find(batches):
-        held = None
-        for b in batches:
-            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            keys = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            if len(cut):  # the last block may go on in the next batch
-                yield from answer(held.slice(0, cut[-1]), np.r_[0, cut])
-                held = held.slice(cut[-1])
-        if held is not None and held.num_rows:
-            keys = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            yield from answer(held, np.r_[0, cut, held.num_rows])
-
-    def answer(table, cuts):
-        node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
-        small = np.frombuffer(b"".join(table.column("small").to_pylist()), dtype=np.uint8).reshape(-1, SHOWN)
-        found = [block(node[a:z], root[a:z], side[a:z], small[a:z]) for a, z in zip(cuts[:-1], cuts[1:]) if z - a > 1]
-        x, y = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-        pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-
-    return find
-
-
-def _blocks(left: DataFrame) -> DataFrame:
-    """Rows (bucket, i, j, side, ...): blocks of at most about ``SHARE`` x ``SHARE`` members, each pair of members in one."""
-    dealt = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
-    return (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)))
-            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                    F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-                    "node", "root", "small"))
+
+def links_of_block(node: np.ndarray, root: np.ndarray, asks: np.ndarray, asking: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
+    """Links (u > v) that join the classes of a block's members, at most one per member.
+
+    Rows are members that are asked, of which ``asks`` marks those that ask elsewhere or here as
+    well, and (``asking``) those that ask here.  Each asking member meets each asked one of
+    another class; of two that ask each other the greater node does.
+    """
+    found = shingles_of(texts)
+    asked = np.flatnonzero(~asking)
+    sizes = np.array([len(f) for f in found], dtype=np.int64)
+    flat = np.concatenate([found[i] for i in asked]) if len(asked) else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(asked)), sizes[asked])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    parent: dict = {}
+
+    def find(c):
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    for i in np.flatnonzero(asking):
+        low, high = np.searchsorted(flat, found[i], "left"), np.searchsorted(flat, found[i], "right")
+        n = high - low
+        ends = np.cumsum(n)
+        shared = np.bincount(owner[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + n, n)], minlength=len(asked))
+        may = np.flatnonzero((shared >= _least_aligned(sizes[asked], sizes[i])) & (root[asked] != root[i])
+                             & (~asks[asked] | (node[asked] < node[i])))
+        for j in may[np.argsort(-shared[may], kind="stable")]:
+            k = asked[j]
+            a, b = find(int(root[i])), find(int(root[k]))
+            if a != b and similar(texts[i], texts[k]):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(max(node[i], node[k])), int(min(node[i], node[k]))))
+    return links
+
+
+def _settle(_key, block):
+    node, root = (block.column(c).to_numpy() for c in ("node", "root"))
+    asks, asking = (block.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "asking"))
+    links = links_of_block(node, root, asks, asking, block.column("words").to_pylist()) if asking.any() else []
+    release()
+    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+
+def _settled(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between all similar members of different classes in torn buckets.
+
+    A bucket's members outside its largest class ask, all are asked.  Either side is dealt into
+    shares of at most about ``SHARE`` members and ``BLOCK_BYTES``, and each asking share meets
+    each asked one in a block.
+    """
+    classes = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    whole = classes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.struct("n", "b", "root")).alias("top"))
+
+    def shares(n, b):
+        return F.greatest(F.lit(1), F.ceil(n / SHARE), F.ceil(b / BLOCK_BYTES)).cast("int")
+
+    dealt = whole.select(F.col("bucket").alias("b3"), F.col("top.root").alias("most"), shares(F.col("n"), F.col("b")).alias("all_shares"),
+                         shares(F.col("n") - F.col("top.n"), F.col("b") - F.col("top.b")).alias("ask_shares"))
+    rows = left.join(dealt, F.col("bucket") == F.col("b3")).withColumn("asks", F.col("root") != F.col("most"))
+
+    def own(n):
+        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    asked = rows.select("bucket", each("ask_shares").alias("i"), own("all_shares").alias("j"), "node", "root", "asks", F.lit(False).alias("asking"))
+    asking = rows.where("asks").select("bucket", own("ask_shares").alias("i"), each("all_shares").alias("j"), "node", "root", "asks",
+                                       F.lit(True).alias("asking"))
+    words = texts.select(F.col("node").alias("n6"), "words")
+    return (asked.union(asking).join(words, F.col("node") == F.col("n6")).select("bucket", "i", "j", "node", "root", "asks", "asking", "words")
+            .groupBy("bucket", "i", "j").applyInArrow(_settle, "u long, v long"))
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -267,6 +291,13 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return both.select("node", F.explode(apart).alias("o")).select("node", F.col("o.node").alias("other"))
 
 
+def _speakers(rows: DataFrame) -> DataFrame:
+    """Two members at most of each class in a bucket, by a hash: the class meets its neighbours through them."""
+    turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), "node")
+    classes = rows.groupBy("bucket", "root").agg(F.min(turn).alias("a"), F.max(turn).alias("z"), F.max("shares").alias("shares"))
+    return classes.select("bucket", "root", "shares", F.explode(F.array_distinct(F.array("a.node", "z.node"))).alias("node"))
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Classes joined by new links, worked out between the classes alone."""
     a = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
@@ -278,7 +309,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _with_class(members: DataFrame, roots: DataFrame) -> DataFrame:
     return (members.join(roots.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
-            .select("bucket", "k", "node", "shares", F.coalesce("root", "node").alias("root")))
+            .select("bucket", "k", "node", "size", "shares", F.coalesce("root", "node").alias("root")))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,45 +322,36 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     for near copies.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(rows.mapInArrow(_sign, "doc_id long, print binary, keys array<long>, small binary"))
+    signed = checkpointed(rows.mapInArrow(_sign, "doc_id long, print binary, keys array<long>, size long"))
     # equal texts: one node, named by the least id; partial aggregation meets large groups of copies
-    nodes = signed.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    nodes = signed.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     member = signed.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
     named = signed.groupBy("print").agg(F.min("doc_id").alias("node"))
 
-    entries = nodes.where("node is not null").select("node", F.posexplode("keys").alias("k", "bucket"))
+    entries = nodes.where("node is not null").select("node", "size", F.posexplode("keys").alias("k", "bucket"))
     shared = (entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
               .select(F.col("bucket").alias("b2"), F.ceil(F.col("n") / SHARE).alias("shares")))
-    members = checkpointed(entries.join(shared, F.col("bucket") == F.col("b2")).select("bucket", "k", "node", "shares").distinct())
+    members = checkpointed(entries.join(shared, F.col("bucket") == F.col("b2")).select("bucket", "k", "node", "size", "shares").distinct())
 
     wanted = members.select(F.col("node").alias("w")).distinct()
     texts = rows.join(wanted, F.col("doc_id") == F.col("w")).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
     texts = checkpointed(texts.mapInArrow(_normalise, "node long, words binary"))
 
     roots = checkpointed(members.select("node").distinct().withColumn("root", F.col("node")))
-    small = signed.groupBy("print").agg(F.min("doc_id").alias("n3"), F.first("small").alias("small")).select("n3", "small")
-    tried = None
-    for search in ("first", "neighbours", 2, None):
+    for search in ("first", "neighbours", "blocks"):
         left = _with_class(members.where(F.col("k") < FIRST) if search == "first" else members, roots)
-        if search != "first":  # whatever shares a bucket and is still apart
+        if search == "blocks":  # whatever shares a bucket and is still apart
             split = checkpointed(left)
             torn = split.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket")
-            left = split.join(torn, "bucket")
             if not torn.limit(1).count():
                 break
-        if search in ("first", "neighbours"):
-            found = _neighbours(left).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
+            new = written_in_few(_settled(split.join(torn, "bucket"), texts).distinct())
         else:
-            marked = left.join(small, F.col("node") == F.col("n3"))
-            found = (_blocks(marked).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-                     .mapInArrow(_agreeing(search), "u long, v long"))
-        found = found.distinct()
-        if tried is not None:
-            found = found.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        new = written_in_few(_verified(found, texts))
-        tried = new if tried is None else tried.union(new)
-        if new.where("ok").limit(1).count():
-            roots = _merged(roots, new.where("ok").select("u", "v"))
+            found = _neighbours(left if search == "first" else _speakers(left))
+            found = found.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+            new = written_in_few(_verified(found, texts).where("ok").select("u", "v"))
+        if new.limit(1).count():
+            roots = _merged(roots, new)
 
     # back to the documents: rows that repeat an id tie their texts together as well
     ids = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1 and doc_id is not null")
