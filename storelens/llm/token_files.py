@@ -73,6 +73,7 @@ class WordEncoder:
         if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tokenizer.normalizer is not None:
             raise ValueError("a byte-level vocabulary without normalisation is needed")
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         # the vocabulary's letters for bytes: printable ones stand for themselves, the rest follow from 256 on
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -103,7 +104,9 @@ class WordEncoder:
         """Ids of each text, without any end id."""
         out = []
         for text in texts:
-            if _UNSAFE.search(text):
+            if any(t in text for t in self.added):  # the library finds these before anything else
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            elif _UNSAFE.search(text):
                 ids = self._whole(text)
             else:
                 first, *rest = text.split(" ")
