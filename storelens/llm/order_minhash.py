@@ -266,14 +266,18 @@ def _settled(left: DataFrame, texts: DataFrame) -> DataFrame:
     def own(n):
         return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
 
-    def each(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    def places(n, place):
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), place)
 
-    asked = rows.select("bucket", each("ask_shares").alias("i"), own("all_shares").alias("j"), "node", "root", "asks", F.lit(False).alias("asking"))
-    asking = rows.where("asks").select("bucket", own("ask_shares").alias("i"), each("all_shares").alias("j"), "node", "root", "asks",
-                                       F.lit(True).alias("asking"))
+    def block(i, j, asking):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(asking).alias("asking"))
+
+    asked = places("ask_shares", lambda i: block(i, own("all_shares"), False))
+    asking = F.when(F.col("asks"), places("all_shares", lambda j: block(own("ask_shares"), j, True))).otherwise(F.array().cast(
+        "array<struct<i:int,j:int,asking:boolean>>"))
+    placed = rows.select("bucket", "node", "root", "asks", F.explode(F.concat(asked, asking)).alias("to")).select("bucket", "to.*", "node", "root", "asks")
     words = texts.select(F.col("node").alias("n6"), "words")
-    return (asked.union(asking).join(words, F.col("node") == F.col("n6")).select("bucket", "i", "j", "node", "root", "asks", "asking", "words")
+    return (placed.join(words, F.col("node") == F.col("n6")).select("bucket", "i", "j", "node", "root", "asks", "asking", "words")
             .groupBy("bucket", "i", "j").applyInArrow(_settle, "u long, v long"))
 
 
@@ -345,7 +349,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             torn = split.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket")
             if not torn.limit(1).count():
                 break
-            new = written_in_few(_settled(split.join(torn, "bucket"), texts).distinct())
+            new = written_in_few(_settled(checkpointed(split.join(torn, "bucket")), texts).distinct())
         else:
             found = _neighbours(left if search == "first" else _speakers(left))
             found = found.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
