@@ -15,19 +15,41 @@ An empty table passes through all stages; extra columns are carried along.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.llm.byte_bpe import encode, load_ranks
-from storelens.llm.common import shared_folder, table, tokenizer_file
+from storelens.llm.common import release, shared_folder, table, tokenizer_file
 from storelens.llm.decontamination import decontaminate
 from storelens.llm.order_minhash import keep_one_per_class
 from storelens.llm.repeated_spans import without_repeats
 from storelens.llm.toxicity import fit_on, without_toxic
+from storelens.session import drop_scratch
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the driver collect what the stage before left: its plans, and with them broadcasts and
+    shuffle files that nothing refers to any more, are dropped when the JVM collects."""
+    gc.collect()
+    release()
+    if hasattr(spark, "_jvm"):  # not a client session
+        spark._jvm.System.gc()
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    @wraps(work)
+    def fresh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return work(spark, docs, sf_dir)
+
+    return fresh
+
+
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network does not reject.
 
@@ -37,22 +59,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of every near-duplicate class."""
     return keep_one_per_class(docs)
 
 
+@_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that earlier ones hold; ``n_chars`` follows the text."""
     left = without_repeats(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Columns of ``docs`` with the text decoded from its token ids, ``n_tokens`` and ``token_ids``."""
     import public_tokenizers
@@ -74,10 +100,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's rows are removed once the next stage's are written; the last ones stay, as the result reads them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_scratch(before)
+        before = path
     return docs
