@@ -62,7 +62,7 @@ ORDER_SLICES = 3
 
 def _in_order(t, build, name):
     parts = SA.in_arrival_order(t.events, ORDER_SLICES, ORDER_DELAY_S, FLUSH_S)
-    return SA.run_in_triggers(parts, build, name)
+    return SO.with_column_families(t.spark, lambda: SA.run_in_triggers(parts, build, name))
 
 
 @query("c04_stream_swept", f"""

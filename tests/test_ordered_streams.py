@@ -1,10 +1,17 @@
 """Sessions, admin state and late rows as streams against the batch forms and a direct simulation."""
 
+import os
 import random
+import subprocess
+import sys
+import tempfile
+from types import SimpleNamespace
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from storelens.operators import sessions as C
+from storelens.plans.stream_queries import c04_stream
 from storelens.streaming import activity as SA
 from storelens.streaming import ordered as SO
 
@@ -76,3 +83,26 @@ def test_the_gate_repeats_a_batch_without_doubling_it(spark):
     on_time = spark.read.schema(first.schema).option("recursiveFileLookup", "true").parquet(f"{gate.base}/on_time")
     assert sorted(r.event_id for r in on_time.collect()) == [1, 2, 4]
     assert LateGate(spark, scratch_path(spark, "test-gate-empty"), 60).late(first.schema).count() == 0
+
+
+def test_the_processor_loads_where_the_library_is_not_installed():
+    out = subprocess.run([sys.executable, "-c", "import sys, pickle; p = pickle.load(sys.stdin.buffer); print(type(p).__name__, p.out)"],
+                         input=cloudpickle.dumps(SO.SweptSessions("roles", 600, 300, 0)), capture_output=True, cwd=tempfile.mkdtemp(), timeout=60,
+                         env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.stdout.split() == [b"SweptSessions", b"roles"], out.stderr.decode()
+
+
+def test_the_registered_streams_run_in_a_session_of_the_default_state_store(spark):
+    own = spark.conf.get(SO.STATE_STORE)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    rows, _ = _random(4)
+    t = SimpleNamespace(spark=spark, events=_parts(spark, [rows])[0])
+    spark.conf.set(SO.STATE_STORE, plain)
+    try:
+        got = c04_stream(t)
+        assert spark.conf.get(SO.STATE_STORE) == plain
+    finally:
+        spark.conf.set(SO.STATE_STORE, own)
+    want = C.session_spans(C.sessionize_swept(_log(spark, rows)))
+    cols = ["session_id", "session_no", "start_us", "last_us", "n_activities", "removed_us"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
