@@ -10,14 +10,17 @@ separator left stays whole); runs of smaller neighbours are merged up to
 ``[start, end)`` offsets (code points) tile the text.
 
 The work is a per-document Python loop over spans run inside
-``mapInPandas``: documents stay in their scan partitions, nothing shuffles.
+``mapInArrow``: documents stay in their scan partitions, nothing shuffles.  A task
+cuts and gives out STEP_BYTES of text at a time, however many rows a batch has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -26,6 +29,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 SEPARATORS = ["\n§", "§", "\n\n", "\n", ".", " "]
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
+#: UTF-8 bytes of text that are cut at once (one larger text is cut alone).
+STEP_BYTES = 1 << 20
 
 
 def _pieces(text: str, lo: int, hi: int, sep: str) -> list[tuple[int, int]]:
@@ -91,6 +96,16 @@ def split_spans(text: str, separators: Sequence[str] = SEPARATORS, size: int = C
     return out
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` whose texts take at most ``most`` bytes together, or one row that takes more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     separators: Sequence[str] = SEPARATORS, size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP, carry: Sequence[str] = (),
@@ -112,19 +127,27 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = StructType(fields)
     seps = list(separators)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                text = getattr(rec, text_col)
-                if not isinstance(text, str) or not text:
-                    continue
-                extra = [getattr(rec, c) for c in carry] + ([len(text)] if with_length else [])
-                for i, (s, e) in enumerate(split_spans(text, seps, size, overlap)):
-                    rows.append([getattr(rec, id_col), i, s, e, text[s:e], *extra])
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
-
-    return src.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in byte_slices(whole, 1, STEP_BYTES):
+                owner, no, start, end, cut, length = [], [], [], [], [], []
+                for i, text in enumerate(b.column(1).to_pylist()):
+                    if not isinstance(text, str) or not text:
+                        continue
+                    spans = split_spans(text, seps, size, overlap)
+                    owner += [i] * len(spans)
+                    no += range(len(spans))
+                    start += [s for s, _ in spans]
+                    end += [e for _, e in spans]
+                    cut += [text[s:e] for s, e in spans]
+                    length += [len(text)] * len(spans)
+                of = pa.array(owner, pa.int64())
+                numbers = [pa.array(x, pa.int64()) for x in (no, start, end)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(of), *numbers, pa.array(cut, pa.string()), *[b.column(2 + i).take(of) for i in range(len(carry))],
+                     *([pa.array(length, pa.int64())] if with_length else [])], schema.fieldNames())
+
+    return src.mapInArrow(run, schema)
 
 
 def chunk_invariants(chunks: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id",

@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from storelens.operators import chunking as V1
@@ -92,3 +93,16 @@ def test_a_chunk_that_begins_with_its_separator_is_of_valid_size(spark):
     docs = spark.createDataFrame([(1, "a " + "w" * 1200)], "doc_id long, text string")
     r = V1.chunk_invariants(V1.chunk_documents(docs, with_length=True)).first()
     assert r.size_ok and r.no_gap and r.ends_at_length
+
+
+def test_texts_are_cut_a_bounded_slice_at_a_time(spark):
+    texts = ["a" * 40, None, "ł" * 30, "", "b" * 300, "c", "d" * 99]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    slices = list(V1.byte_slices(batch.slice(0), 1, 100))
+    assert [s.column(0).to_pylist() for s in slices] == [[0, 1, 2, 3], [4], [5, 6]]
+    assert [s.column(0).to_pylist() for s in V1.byte_slices(batch.slice(2, 3), 1, 100)] == [[2, 3], [4]]
+    docs = spark.createDataFrame([(i if i else None, f"{i} word. " * 400 * i, i if i % 2 else None) for i in range(40)], "doc_id long, text string, n int")
+    got = V1.chunk_documents(docs, carry=["n"], with_length=True)
+    want = [(r.doc_id, i, s, e, r.text[s:e], r.n, len(r.text)) for r in docs.collect() for i, (s, e) in enumerate(V1.split_spans(r.text))]
+    assert rows(got) == sorted(want)
+    assert sum(len(f"{i} word. " * 400 * i) for i in range(40)) > 2 * V1.STEP_BYTES
