@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
@@ -23,9 +24,12 @@ DEFAULT_K = 3  # fixed value from the reference search (k=3)
 ROUND = 6
 # Bytes of vectors on each side of one block pair (a block of queries against
 # a block of index rows).  Both blocks of a pair sit in one task, so task
-# memory is bounded by twice this plus one distance tile of
-# QUERY_STEP x INDEX_STEP doubles (64 MiB), whatever the table sizes.
-BLOCK_BYTES = 64 << 20
+# memory is bounded by twice this, twice that again as doubles, plus one distance tile of
+# TILE_QUERIES x TILE_ROWS doubles (8 MiB), whatever the table sizes.
+BLOCK_BYTES = 16 << 20
+TILE_QUERIES = 256
+TILE_ROWS = 4096
+# Sketches of buckets are compared in tiles of so many.
 QUERY_STEP = 1024
 INDEX_STEP = 8192
 # Query vectors, as doubles, that may travel to every index partition.
@@ -83,25 +87,30 @@ def nearest(index: DataFrame, vector, k: int = DEFAULT_K, id_col: str = "vec_id"
 
 # ------------------------------------------------------------------ V5
 
-def _distances(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        d = (qm * qm).sum(1)[:, None] + (xm * xm).sum(1)[None, :] - 2.0 * (qm @ xm.T)
-        return np.maximum(d, 0.0)
-    dot = qm @ xm.T
-    if metric == "dot":
-        return -dot
-    norms = np.linalg.norm(qm, axis=1)[:, None] * np.linalg.norm(xm, axis=1)[None, :]
-    return 1.0 - np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
+def _matrix(column) -> np.ndarray:
+    """A column of vectors of one width as rows of doubles."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = np.unique(pc.list_value_length(flat).to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of several widths: {widths.tolist()}")
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
 
+def _sides(qm: np.ndarray, xm: np.ndarray, metric: str):
+    """Two matrices and a number per query whose product and sum bound the exact distance from below, and
+    the numbers per query and row that, added, bound it from above.
 
-def _slack(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
-    """A bound on how far ``_distances`` is from the exact distance: rounding
-    grows with the squared norms and the number of dimensions."""
+    Rounding grows with the squared norms (for cosine they are 1) and the number of dimensions.
+    """
     eps = 8 * (qm.shape[1] + 4) * np.finfo(np.float64).eps
-    if metric == "cosine":
-        return np.full((len(qm), len(xm)), eps)
     q, x = (qm * qm).sum(1), (xm * xm).sum(1)
-    return eps * (q[:, None] + x[None, :])
+    if metric == "cosine":  # a zero vector stays one: it is as far as an orthogonal one
+        qm, xm = (m / np.sqrt(np.where(n > 0, n, 1))[:, None] for m, n in ((qm, q), (xm, x)))
+        q, x = np.ones(len(q)), np.ones(len(x))
+    base, slope = {"l2": (1.0, -2.0), "dot": (0.0, -1.0), "cosine": (0.5, -1.0)}[metric]
+    left = np.concatenate([slope * qm, np.ones((len(qm), 1))], axis=1)
+    right = np.concatenate([xm, ((base - eps) * x)[:, None]], axis=1)
+    return left, np.ascontiguousarray(right.T), (base - eps) * q, 2 * eps * q, 2 * eps * x
 
 
 def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
@@ -141,29 +150,37 @@ def _distinct(qi: np.ndarray, ids: np.ndarray, d: np.ndarray):
 
 
 def _pair_topk(qids: np.ndarray, qm: np.ndarray, xid: np.ndarray, xm: np.ndarray, k: int, metric: str):
-    """Exact top-k of every query in ``qm`` over the rows of ``xm``, walked in
-    tiles; only ``k`` (query, id, dist) rows per query are kept between tiles."""
-    st_q = np.empty(0, np.int64)
-    st_id = np.empty(0, np.int64)
-    st_d = np.empty(0, np.float64)
-    for xlo in range(0, len(xm), INDEX_STEP):
-        xs, ids = xm[xlo:xlo + INDEX_STEP], xid[xlo:xlo + INDEX_STEP]
-        for lo in range(0, len(qm), QUERY_STEP):
-            qs = qm[lo:lo + QUERY_STEP]
-            approx = _distances(qs, xs, metric)
-            err = _slack(qs, xs, metric)
-            kk = min(k, approx.shape[1])
-            # the k-th exact distance is at most this, and rounding moves either side by half a unit
-            kth = np.partition(approx + err, kk - 1, axis=1)[:, kk - 1] + 10.0 ** -ROUND
-            qi, xi = np.nonzero(approx - err <= kth[:, None])
+    """Exact top-k of every query in ``qm`` over the rows of ``xm``, walked in tiles.
+
+    A tile of queries goes over all rows with its k best so far; what the k-th of them rules
+    out by a bound from below is not looked at closer."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
+    left, right, q_low, q_up, x_up = _sides(qm, xm, metric)
+    space = np.empty(TILE_QUERIES * TILE_ROWS)
+    for lo in range(0, len(qm), TILE_QUERIES):
+        qs = qm[lo:lo + TILE_QUERIES]
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        limit = np.full(len(qs), np.inf)  # the k-th distance is at most this; rounding moves either side by half a unit
+        for xlo in range(0, len(xm), TILE_ROWS):
+            part = right[:, xlo:xlo + TILE_ROWS]
+            low = np.matmul(left[lo:lo + TILE_QUERIES], part, out=space[:len(qs) * part.shape[1]].reshape(len(qs), -1))
+            if part.shape[1] >= k and np.isinf(limit).any():
+                up = low + x_up[xlo:xlo + TILE_ROWS]
+                up.partition(k - 1, axis=1)
+                limit = np.fmin(limit, up[:, k - 1] + (q_low + q_up)[lo:lo + TILE_QUERIES] + 10.0 ** -ROUND)
+            qi, xi = np.nonzero(low <= (limit - q_low[lo:lo + TILE_QUERIES])[:, None])
             # ties and wide error bounds can select a whole tile: worked off in
             # slices of a fixed number of pairs, keeping k rows per query
             for a in range(0, len(qi), PAIR_STEP):
-                qa, xa = qi[a:a + PAIR_STEP], xi[a:a + PAIR_STEP]
-                d = np.round(_exact(qs[qa], xs[xa], metric), ROUND)
-                st_q, st_id, st_d = _topk_rows(np.concatenate([st_q, qa + lo]), np.concatenate([st_id, ids[xa]]),
-                                               np.concatenate([st_d, d]), k)
-    return qids[st_q], st_id, st_d
+                qa, xa = qi[a:a + PAIR_STEP], xi[a:a + PAIR_STEP] + xlo
+                d = np.round(_exact(qs[qa], xm[xa], metric), ROUND)
+                kept = _topk_rows(*(np.concatenate(c) for c in zip(kept, (qa, xid[xa], d))), k)
+            full = np.flatnonzero(np.bincount(kept[0], minlength=len(qs)) == k)
+            if len(full):
+                last = np.searchsorted(kept[0], full, "right") - 1
+                limit[full] = np.fmin(limit[full], kept[2][last] + 10.0 ** -ROUND)
+        found.append((qids[lo + kept[0]], kept[1], kept[2]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _n_blocks(n: int, rows: int, spread: int) -> int:
@@ -188,8 +205,7 @@ def _search_partitions(x: DataFrame, qids: np.ndarray, qm: np.ndarray, k: int, m
         place = np.arange(len(qids))
         for b in batches:
             if b.num_rows:
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                qi, ids, d = _pair_topk(place, qm, b.column(0).to_numpy(), flat.reshape(b.num_rows, -1), k, metric)
+                qi, ids, d = _pair_topk(place, qm, b.column(0).to_numpy(), _matrix(b.column(1)), k, metric)
                 kept = _topk_rows(*(np.concatenate(c) for c in zip(kept, (qi, ids, d))), k)
         yield pa.RecordBatch.from_arrays([pa.array(qids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query_id", id_col, "dist"])
 
@@ -253,18 +269,15 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_c
     xb = (x.withColumn("__xb", F.pmod(F.xxhash64("__id", "__v"), F.lit(b_x)).cast("int"))
           .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1)))))
 
-    def pair(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), id_col: np.empty(0, np.int64),
-                                 "dist": np.empty(0, np.float64)})
-        qm = np.stack(left["__qv"].to_numpy()).astype(np.float64)
-        xm = np.stack(right["__v"].to_numpy()).astype(np.float64)
-        qi, ids, d = _pair_topk(left["__qid"].to_numpy(np.int64), qm,
-                                right["__id"].to_numpy(np.int64), xm, k, metric)
-        return pd.DataFrame({"query_id": qi, id_col: ids, "dist": d})
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        qi, ids, d = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        if left.num_rows and right.num_rows:
+            qi, ids, d = _pair_topk(left.column("__qid").to_numpy(), _matrix(left.column("__qv")),
+                                    right.column("__id").to_numpy(), _matrix(right.column("__v")), k, metric)
+        return pa.table({"query_id": pa.array(qi, pa.int64()), id_col: pa.array(ids, pa.int64()), "dist": pa.array(d, pa.float64())})
 
     cand = (qb.groupBy("__qb", "__xb").cogroup(xb.groupBy("__qb", "__xb"))
-            .applyInPandas(pair, schema))
+            .applyInArrow(pair, schema))
     # a query id repeated many times reaches its final window pre-cut
     ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col(id_col)], k)
     return ranked.withColumnRenamed("query_id", query_id)

@@ -2,6 +2,8 @@ import random
 
 from hypothesis import given, settings, strategies as st
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from storelens.operators import pages as P
 from storelens.operators import vectors as V
@@ -206,3 +208,20 @@ def test_approximate_recall(spark):
     idx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     q = idx.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
     assert V.recall_at_k(V.nearest_approx(idx, q), V.nearest_batch(idx, q)).first()[0] >= 0.9
+
+
+def test_a_tile_of_queries_is_ranked_by_itself(monkeypatch):
+    r = np.random.default_rng(5)
+    qm, xm = r.standard_normal((3000, 4)), r.standard_normal((9000, 4))
+    want = np.lexsort((np.arange(9000)[None, :].repeat(3, 0), np.round(((qm[:3, None] - xm[None]) ** 2).sum(-1), V.ROUND)))[:, :3]
+    ranked, inner = [], V._topk_rows
+    monkeypatch.setattr(V, "PAIR_STEP", 1024)
+    monkeypatch.setattr(V, "_topk_rows", lambda qi, *a: ranked.append(len(qi)) or inner(qi, *a))
+    q, ids, _ = V._pair_topk(np.arange(3000), qm, np.arange(9000), xm, 3, "l2")
+    assert len(q) == 9000 and ids[:9].reshape(3, 3).tolist() == want.tolist()
+    assert max(ranked) < 3000
+
+
+def test_vectors_of_several_widths_are_refused():
+    with pytest.raises(ValueError, match="widths"):
+        V._matrix(pa.array([[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]]))
