@@ -1,6 +1,7 @@
 """The gram index against the scan."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,29 @@ def test_index_equals_the_scan(spark, mode, monkeypatch):
 def test_modes_without_an_index_are_refused(spark):
     with pytest.raises(ValueError):
         P.PhraseIndex(spark, "/tmp/none", "collation")
+
+
+def test_postings_of_odd_texts():
+    ids = [70_000, -1, 5, 5, 9, 6]
+    texts = ["abca", "", "a\U0010FFFFb", "xy", "\x00" * 3, "žab"]
+    got = {}
+    for b in P._postings([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["id", "text"])]):
+        for gram, block, data in zip(*(c.to_pylist() for c in b.columns)):
+            got[gram, block] = P._unpacked(data).tolist()
+    want = {}
+    for i, t in zip(ids, texts):
+        for n in range(P.GRAM + 1):
+            for a in range(len(t) - n + 1):
+                want.setdefault((t[a:a + n], i // P.BLOCK_ROWS), set()).add(i % P.BLOCK_ROWS)
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_texts_are_not_shuffled_with_the_phrases(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i} of some rows") for i in range(50)], "i long, t string")
+    index = P.PhraseIndex(spark, scratch_path(spark, "test-phrases"), "lower")
+    index.build(df, "i", "t")
+    checked = []
+    monkeypatch.setattr(P, "cut_lineage", lambda d: checked.append(d) or d.checkpoint())
+    found = index.search(spark.createDataFrame([(1, "of some"), (2, "text 1")], "phrase_id long, phrase string"))
+    assert sorted(found.groupBy("phrase_id", "n_verified").count().collect()) == [(1, 50, 50), (2, 11, 11)]
+    assert len(checked) == 1  # the candidates' texts are read once
