@@ -30,8 +30,8 @@ BLOCK_BYTES = 16 << 20
 TILE_QUERIES = 256
 TILE_ROWS = 4096
 # Sketches of buckets are compared in tiles of so many.
-QUERY_STEP = 1024
-INDEX_STEP = 8192
+QUERY_STEP = 256
+INDEX_STEP = 2048
 # Query vectors, as doubles, that may travel to every index partition.
 FEW_BYTES = 8 << 20
 # Pairs whose exact distance is worked out at once (two copies of 64 dims: 64 MiB).
@@ -383,7 +383,9 @@ def _candidates(qcodes: np.ndarray, qm: np.ndarray, qs: np.ndarray, xcodes: np.n
         for a in range(0, len(q), QUERY_STEP):
             for c in range(0, len(x), INDEX_STEP):
                 qa, xc = q[a:a + QUERY_STEP], x[c:c + INDEX_STEP]
-                apart = sum(np.bitwise_count(qs[qa, w][:, None] ^ xs[xc, w][None, :]).astype(np.int16) for w in range(qs.shape[1]))
+                apart = np.zeros((len(qa), len(xc)), dtype=np.uint8 if 64 * qs.shape[1] < 256 else np.uint16)
+                for w in range(qs.shape[1]):
+                    apart += np.bitwise_count(qs[qa, w][:, None] ^ xs[xc, w][None, :])
                 i, j = np.nonzero(apart <= gap)
                 if len(i):
                     yield qa[i], xc[j]

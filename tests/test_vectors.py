@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from hypothesis import given, settings, strategies as st
 import numpy as np
@@ -225,3 +226,16 @@ def test_a_tile_of_queries_is_ranked_by_itself(monkeypatch):
 def test_vectors_of_several_widths_are_refused():
     with pytest.raises(ValueError, match="widths"):
         V._matrix(pa.array([[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]]))
+
+
+def test_sketches_are_compared_in_small_tiles():
+    r = np.random.default_rng(6)
+    qs, xs = (r.integers(0, 2 ** 63, (n, 3), dtype=np.uint64) for n in (1500, 9000))
+    asked = np.stack([np.arange(1500), np.zeros(1500, dtype=np.int64)])
+    tracemalloc.start()
+    met = {(int(a), int(b)) for q, x in V._candidates(asked, None, qs, np.zeros(9000, dtype=np.int64), None, xs, 70) for a, b in zip(q, x)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {(i, int(j)) for i in range(1500) for j in np.flatnonzero(np.bitwise_count(qs[i] ^ xs).sum(1) <= 70)}
+    assert met == want and want
+    assert peak < 32 << 20
