@@ -85,10 +85,9 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = load_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
-    found = encode(docs, ranks, public_tokenizers.PATTERN, carry=others)
-    ids = F.when(F.col("n_tokens") == 0, F.array().cast("array<int>")).otherwise(F.split("ids_text", ",").cast("array<int>"))
-    return found.select(*[F.col("carried").getField(c).alias(c) if c != "text" else F.col("decoded").cast("string").alias("text")
-                          for c in docs.columns if c in others or c == "text"], "n_tokens", ids.alias("token_ids"))
+    found = encode(docs, ranks, public_tokenizers.PATTERN, carry=others, as_ids=True)
+    return found.select(*[F.col("carried").getField(c).alias(c) if c != "text" else F.col("decoded").alias("text")
+                          for c in docs.columns if c in others or c == "text"], "n_tokens", "token_ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -33,6 +33,8 @@ from storelens.llm.common import n_groups, release
 
 #: Text of a chunk, and the distinct words at which a chunk ends before that.
 CHUNK_BYTES, WORDS = 6 << 20, 250_000
+#: Texts of a chunk that go back to Spark at once.
+BATCH_ROWS = 256
 #: Words longer than this (runs of one kind of character without any break) are merged
 #: with a heap in the task: folding copies the word at every merge.
 LONG_WORD = 1024  # at most, as a place takes 11 bits
@@ -258,6 +260,11 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:z] for a, z in zip([0, *ends], ends)]
 
 
+def _n_words(data: bytes) -> int:
+    """How many words ``_pack_words`` has packed."""
+    return len(_unpack(data[4:4 + int.from_bytes(data[:4], "little")]))
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of several runs, one after another."""
     return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
@@ -331,9 +338,10 @@ def _answer(ranks: dict[bytes, int]):
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
-           carry: list[str] = (), words: int = WORDS) -> DataFrame:
+           carry: list[str] = (), words: int = WORDS, as_ids: bool = False) -> DataFrame:
     """carried (struct of the ``carry`` columns), n_tokens, ids_text (decimal ids joined by commas), decoded (bytes) of every row.
 
+    With ``as_ids`` token_ids (an array of int) and decoded as text take the place of the last two.
     A null text is empty: no ids.  The split pattern's words are encoded one by
     one, without special tokens.  An empty table gives no rows.
     """
@@ -384,39 +392,51 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
         if rows:
             yield flush()
 
-    done = pa.schema([("carried", own_type), ("n_tokens", pa.int64()), ("ids_text", pa.string()), ("decoded", pa.binary())])
+    kinds = (pa.list_(pa.int32()), pa.string()) if as_ids else (pa.string(), pa.binary())
+    done = pa.schema([("carried", own_type), ("n_tokens", pa.int64()), ("token_ids" if as_ids else "ids_text", kinds[0]), ("decoded", kinds[1])])
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The texts of a chunk, in batches of a few: Spark holds a batch whole."""
         if not left.num_rows:
             return done.empty_table()
-        made = _unpack_words(left.column("words")[0].as_py())
-        texts: list = [""] * len(made)
-        raw: list = [b""] * len(made)
-        count = np.zeros(len(made), dtype=np.int64)
-        for numbers, sizes, ids in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids"))):
-            own, size, flat = _unpack(numbers), _unpack(sizes), _unpack(ids).tolist()
-            count[own] = size
-            spelt, bytes_ = list(map(str, flat)), list(map(pieces.__getitem__, flat))
-            ends = np.cumsum(size).tolist()
-            for k, a, z in zip(own.tolist(), [0, *ends], ends):
-                texts[k] = ",".join(spelt[a:z])
-                raw[k] = b"".join(bytes_[a:z])
+        n = _n_words(left.column("words")[0].as_py())
+        spelt: list = [""] * n
+        raw: list = [b""] * n
+        start, count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        flats, at = [np.zeros(0, dtype=np.int32)], 0
+        for numbers, sizes, ids in zip(*(right.column(c) for c in ("numbers", "sizes", "ids"))):
+            own, size, flat = _unpack(numbers.as_py()), _unpack(sizes.as_py()), _unpack(ids.as_py())
+            ends = np.cumsum(size)
+            start[own], count[own], at = at + ends - size, size, at + len(flat)
+            each = flat.tolist()
+            for k, a, z in zip(own.tolist(), (ends - size).tolist(), ends.tolist()):
+                raw[k] = b"".join([pieces[i] for i in each[a:z]])
+                if not as_ids:
+                    spelt[k] = ",".join(map(str, each[a:z]))
+            if as_ids:
+                flats.append(flat.astype(np.int32))
         if not count.all():
             raise RuntimeError("ids of some words are missing: a chunk was cut anew after its words had been sent")
+        flat = np.concatenate(flats)
+        del flats
         numbers = _unpack(left.column("numbers")[0].as_py())
         ends = np.r_[0, np.cumsum(_unpack(left.column("sizes")[0].as_py()))]
-        total = np.r_[0, np.cumsum(count[numbers])]
-        whole_texts, whole_raw = [], []
-        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            each = numbers[a:z].tolist()
-            whole_texts.append(",".join(map(texts.__getitem__, each)))
-            whole_raw.append(b"".join(map(raw.__getitem__, each)))
-        out = pa.Table.from_arrays(
-            [left.column("carried").combine_chunks().flatten(), pa.array(total[ends[1:]] - total[ends[:-1]]),
-             pa.array(whole_texts, pa.string()), pa.array(whole_raw, pa.binary())], ["carried", "n_tokens", "ids_text", "decoded"])
-        del whole_texts, whole_raw, texts, raw, made
+        carried = left.column("carried").combine_chunks().flatten()
+        out = []
+        for first in range(0, len(carried), BATCH_ROWS):
+            cut = ends[first:first + BATCH_ROWS + 1]
+            own = numbers[cut[0]:cut[-1]]
+            total = np.r_[0, np.cumsum(count[own])][cut - cut[0]]
+            each = [own[a:z].tolist() for a, z in zip(cut[:-1] - cut[0], cut[1:] - cut[0])]
+            if as_ids:
+                ids = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(flat[_runs(start[own], count[own])]))
+            else:
+                ids = pa.array([",".join([spelt[k] for k in words]) for words in each], pa.string())
+            texts = pa.array([b"".join([raw[k] for k in words]) for words in each], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([carried.slice(first, len(each)), pa.array(np.diff(total)), ids, texts.cast(kinds[1])], schema=done))
+        del spelt, raw, numbers
         release()
-        return out
+        return pa.Table.from_batches(out, done)
 
     chunks = kept.mapInArrow(cut, f"chunk long, carried array<{own_ddl}>, sizes binary, numbers binary, words binary").groupBy("chunk")
     sent = chunks.applyInArrow(_send_words(n_buckets), "bucket long, chunk long, numbers binary, words binary")
@@ -425,7 +445,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     told = asked.withColumn("words", merge_words(F.col("words"), ranks)).mapInArrow(
         _answer(ranks), "chunk long, numbers binary, sizes binary, ids binary")
     return chunks.cogroup(told.groupBy("chunk")).applyInArrow(
-        put_together, f"carried {own_ddl}, n_tokens long, ids_text string, decoded binary")
+        put_together, f"carried {own_ddl}, n_tokens long, " + ("token_ids array<int>, decoded string" if as_ids else "ids_text string, decoded binary"))
 
 
 def _nullable(kind: StructType) -> StructType:

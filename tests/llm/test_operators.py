@@ -294,6 +294,18 @@ def test_byte_bpe_equals_the_library(run, rows_of, where):
     assert _key(tuple(r) for r in run("op10", sf).collect()) == _key(want)
 
 
+def test_ids_as_arrays_in_batches_equal_the_text_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BATCH_ROWS", 3)
+    ranks = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "it's 12345 \u65e5\u672c", " \n", "x" * 3000, "a b"] * 3)], "doc_id long, text string").coalesce(1)
+    plain = {r[0]: r for r in byte_bpe.encode(docs, ranks, P.PATTERN, carry=["doc_id"]).select("carried.doc_id", "n_tokens", "ids_text", "decoded").collect()}
+    got = byte_bpe.encode(docs, ranks, P.PATTERN, carry=["doc_id"], as_ids=True).select("carried.doc_id", "n_tokens", "token_ids", "decoded").collect()
+    assert len(got) == len(plain) == 21
+    for r in got:
+        want = plain[r["doc_id"]]
+        assert (r["n_tokens"], ",".join(map(str, r["token_ids"])), r["decoded"].encode()) == (want["n_tokens"], want["ids_text"], bytes(want["decoded"]))
+
+
 def test_forgetting_words_changes_nothing(spark):
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
