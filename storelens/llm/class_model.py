@@ -73,44 +73,72 @@ def exchange(bigrams: np.ndarray, fixed: int, n_classes: int, rounds: int = 6) -
     return classes
 
 
+def _transitions(counts: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """P(class | class before), smoothed by the classes' own shares, and the tokens of each class."""
+    members = counts.sum(axis=0)  # every token has a predecessor: the first one the end before it
+    prior = (members + 1) / (members.sum() + len(counts))
+    return (counts + weight * prior) / (counts.sum(axis=1, keepdims=True) + weight), members
+
+
 @dataclass
-class ClassModel:
-    """What scoring needs: fixed size, whatever the corpus."""
+class Seeds:
+    """The classes of the most frequent words, which all other words join: fixed size, whatever the corpus."""
 
-    words: np.ndarray       # sorted hashes of the clustered words
+    words: np.ndarray       # sorted hashes of the seeds
     word_class: np.ndarray  # their classes
-    first_rest: int         # class of the first shape of unclustered words; the end of text is the last class
-    transition: np.ndarray  # log10 P(class | class before)
+    first_rest: int         # class of the first shape; the end of text is the last class
+    total: int              # classes
+    follow: np.ndarray      # log P(class | class before), seeds' classes and shapes
     members: np.ndarray     # training tokens of each class
-    types: np.ndarray       # distinct training words of each class of unclustered words
-    n_tokens: int
-    n_types: int
 
     @staticmethod
-    def build(words, classes, bigrams, fixed, types, n_tokens, n_types, weight: float = 1.0) -> "ClassModel":
-        """From the clustered words (in table order), everyone's class, and the items' bigram counts."""
+    def build(words, classes, bigrams, fixed) -> "Seeds":
+        """From the seeds (in table order), everyone's class, and the items' bigram counts."""
         total = int(classes.max()) + 1
         counts = np.zeros((total, total))
         np.add.at(counts, (classes[:, None], classes[None, :]), bigrams)
-        members = counts.sum(axis=0)  # every token has a predecessor: the first one the end before it
-        prior = (members + 1) / (members.sum() + total)
-        transition = np.log10((counts + weight * prior) / (counts.sum(axis=1, keepdims=True) + weight))
+        follow, members = _transitions(counts)
         order = np.argsort(words, kind="stable")
-        return ClassModel(words[order], classes[:len(words)][order], total - fixed, transition, members, types, n_tokens, n_types)
+        return Seeds(words[order], classes[:len(words)][order], total - fixed, total, np.log(follow), members)
 
     def classes_of(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        """Class of each token: its own when clustered, else its shape's."""
+        """Class of each word: a seed's own, else its shape's."""
         if not len(self.words):
             return self.first_rest + shapes
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.word_class[at], self.first_rest + shapes)
 
-    def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | class).  Clustered words are all seen; an unclustered word has
-        half a count more than seen, and half a count stands for any unseen one."""
-        rest = classes >= self.first_rest
-        shape = np.where(rest, classes - self.first_rest, 0)
-        end = classes == len(self.members) - 1
-        up = np.where(rest, counts + 0.5, np.maximum(counts, 1))
-        down = np.where(rest, self.members[classes] + 0.5 * (self.types[shape] + 1), np.maximum(self.members[classes], 1))
-        return np.where(end, 0.0, np.log10(up / down))
+    def place(self, before: np.ndarray, after: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        """Class of each word, of how often each class stands ``before`` and ``after`` it: that which
+        makes its tokens and their neighbours likeliest.  It leaves its shape's class when it gains more than
+        the log of the number of learnt classes, the cost of naming one; ties go to the smaller number."""
+        n = before.sum(axis=1)
+        gain = before @ self.follow + after @ self.follow.T
+        size = np.broadcast_to(self.members, gain.shape).copy()
+        size[:, :self.first_rest] += n[:, None]  # it is in its shape's class already
+        gain -= n[:, None] * np.log(np.maximum(size, 1))
+        own = self.first_rest + shapes
+        stay = gain[np.arange(len(own)), own]
+        gain = np.round(gain[:, :self.first_rest], 6)
+        best = gain.argmax(axis=1)
+        return np.where(gain[np.arange(len(own)), best] > np.round(stay + np.log(max(1, self.first_rest)), 6), best, own)
+
+
+@dataclass
+class ClassModel:
+    """What scoring needs: fixed size, whatever the corpus."""
+
+    transition: np.ndarray  # log10 P(class | class before)
+    down: np.ndarray        # log10 of what a word's count is divided by in its class
+
+    @staticmethod
+    def build(counts, fixed, types) -> "ClassModel":
+        """From the counts of class bigrams and the distinct training words of each fixed class.
+
+        log10 P(word | class) is the log10 of its count less ``down``.  Words of learnt classes are all seen; in
+        a shape's class a word has half a count more than seen, and half a count stands for any unseen one."""
+        follow, members = _transitions(counts)
+        down = np.log10(np.maximum(members, 1))
+        down[-fixed:] = np.log10(members[-fixed:] + 0.5 * (types + 1))
+        down[-1] = 0.0  # the end is alone in its class
+        return ClassModel(np.log10(follow), down)

@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, an exact round trip, or its SQL."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -9,9 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelens.llm import byte_bpe, patched_frames, suffix_sort, toxicity, toxicity_net
+from storelens.llm.class_lm import held_out_fold, score_texts
+from storelens.llm.class_model import exchange
 from storelens.llm.decontamination import contaminated
 from storelens.llm.order_minhash import aligned, near_duplicate_classes, normalised, similar
 from storelens.llm.sharding import histogram_shards
+from storelens.llm.wordhash import word_hashes
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -167,6 +171,96 @@ def test_the_class_model_beats_the_unigram_on_held_out_text(run):
     assert got[0] > got[1]
 
 
+def _class_scores(rows, clustered, n_classes):
+    """Dictionary version of the class model: (doc_id, score) of each row."""
+    def shape(w):
+        return 16 if w is None else min(len(w), 8) - 1 + 8 * (w[-1:] in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+    texts = [(d, brute.tokens(t), brute.crc_mod(d, 5) != 1) for d, t in rows]
+    taught = [[None] + x for _, x, training in texts if training]
+    counts = Counter(w for x in taught for w in x[1:] if w is not None)
+    hashed = {w: int(word_hashes([w])[0].view(np.int64)[0]) for w in counts}
+    seeds = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[:clustered]
+    item = {w: i for i, w in enumerate(seeds)}
+    table = np.zeros((len(seeds) + 17,) * 2)
+    for x in taught:
+        for u, w in zip(x, x[1:]):
+            table[item.get(u, len(seeds) + shape(u)), item.get(w, len(seeds) + shape(w))] += 1
+    classes = exchange(table, 17, max(1, min(n_classes, len(seeds))))
+    k = int(classes.max()) + 1 - 17
+
+    def follow(bigrams):
+        after = Counter()
+        for (_, b), n in bigrams.items():
+            after[b] += n
+        total, first = sum(after.values()), Counter()
+        for (a, _), n in bigrams.items():
+            first[a] += n
+        prior = {b: (after[b] + 1) / (total + k + 17) for b in range(k + 17)}
+        return (lambda a, b: math.log10((bigrams[a, b] + prior[b]) / (first[a] + 1))), after
+
+    def class_bigrams(of):
+        out = Counter()
+        for x in taught:
+            out.update(zip(map(of, x), map(of, x[1:])))
+        return out
+
+    first = {w: int(classes[item[w]]) if w in item else k + shape(w) for w in counts} | {None: k + 16}
+    p, members = follow(class_bigrams(first.__getitem__))
+    before, after = defaultdict(Counter), defaultdict(Counter)
+    for x in taught:
+        for u, w in zip(x, x[1:]):
+            after[u][first[w]] += 1
+            before[w][first[u]] += 1
+    own = dict(first)
+    for w in counts:
+        if w not in item:
+            def gain(c):
+                size = members[c] + (counts[w] if c < k else 0)
+                return (sum(n * p(a, c) for a, n in before[w].items()) + sum(n * p(c, b) for b, n in after[w].items())
+                        - counts[w] * math.log10(max(size, 1))) * math.log(10)
+            best = max(range(k), key=lambda c: (round(gain(c), 6), -c))
+            if round(gain(best), 6) > round(gain(first[w]) + math.log(k), 6):
+                own[w] = best
+    p, members = follow(class_bigrams(own.__getitem__))
+    types = Counter(own[w] for w in counts)
+
+    def score(x):
+        total, before = 0.0, k + 16
+        for w in x:
+            c = own[w] if w in own else k + shape(w)
+            total += p(before, c)
+            if c < k:
+                total += math.log10(counts[w] / members[c])
+            elif w is not None:
+                total += math.log10((counts[w] + 0.5) / (members[c] + 0.5 * (types[c] + 1)))
+            before = c
+        return total
+
+    return [(d, score(x)) for d, x, _ in texts], {w for w in counts if w not in item and own[w] < k}
+
+
+@BOTH
+def test_class_scores_equal_the_plain_ones_in_any_chunks(spark, rows_of, where):
+    rows = rows_of[where][1]
+    want, placed = _class_scores(rows, 40, 6)
+    assert placed  # words that are no seeds take learnt classes
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (8 << 20, 3000):
+        got = score_texts(docs, held_out_fold(), clustered=40, n_classes=6, chunk_bytes=size).select("doc_id", "score").collect()
+        got, plain = _key(map(tuple, got)), _key(want)
+        assert [g[0] for g in got] == [w[0] for w in plain]
+        assert np.allclose([g[1] for g in got], [w[1] for w in plain])
+
+
+def test_words_beyond_the_seeds_learn_their_class(spark):
+    r = random.Random(4)
+    pick = lambda c: f"{c}{min(r.randrange(10), r.randrange(10))}"
+    docs = spark.createDataFrame([(i, " ".join(pick("ab"[j % 2]) for j in range(40))) for i in range(200)], "doc_id long, text string")
+    got = score_texts(docs, held_out_fold(), clustered=4, n_classes=2).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert got[2] / got[0] > got[1] / got[0] + 0.25  # every other word is known to be of the other kind: log10(2) a word
+
+
 # -- 7: repeats
 
 @BOTH
