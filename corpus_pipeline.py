@@ -40,10 +40,22 @@ def give_back(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+#: Bytes of the batches that go from Spark to Python workers and stand on either side of the pipe at once.
+BATCH_BYTES = "1m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of bounded bytes for the session's Python workers, unless the session sets its own bound: by
+    Spark's default a batch has 10,000 rows, and executors hold what they once needed for such batches from stage to stage."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
     @wraps(work)
     def fresh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         give_back(spark)
+        small_batches(spark)
         return work(spark, docs, sf_dir)
 
     return fresh

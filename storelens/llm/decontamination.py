@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import n_groups, release
+from storelens.llm.common import n_groups, released
 from storelens.llm.order_minhash import normalised
 from storelens.llm.wordhash import U64, blocks, shingle_hashes, word_hashes
 
@@ -120,7 +120,6 @@ def _slices(batches, rows: int = 512):
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
-    release()
 
 
 def item_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
@@ -148,6 +147,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, threshold: float = CONTAINME
     for index in item_blocks(bench, item_id_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)  # at most block_bytes of text
 
+        @released
         def find(batches, sent=sent):
             index = sent.value
             for b in _slices(batches):
@@ -172,6 +172,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, threshold: float = CONTAINM
     for index in item_blocks(bench, item_id_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
+        @released
         def clean(batches, sent=sent):
             for b in _slices(batches):
                 at = b.schema.get_field_index(text_col)

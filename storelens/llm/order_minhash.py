@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.llm.common import checkpointed, release, written_in_few
+from storelens.llm.common import checkpointed, release, released, written_in_few
 from storelens.llm.components import components
 from storelens.llm.wordhash import U64, blocks, mix, shingle_hashes, word_hashes
 
@@ -120,6 +120,7 @@ def normalised(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode().split())
 
 
+@released
 def _sign(batches):
     for b in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
         texts = [normalised(t) for t in b.column("text").to_pylist()]
@@ -127,7 +128,6 @@ def _sign(batches):
         keys = [bucket_keys(found).view(np.int64) if len(found) else None for found in shingles_of(texts)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                                           pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "print", "keys", "size"])
-    release()
 
 
 def aligned(a: list, b: list, least: int) -> int:
@@ -176,6 +176,7 @@ def similar(a: bytes, b: bytes, threshold: float = SIMILARITY) -> bool:
     return aligned(x, y, least) >= least
 
 
+@released
 def _verify(batches):
     for b in batches:
         ok = [similar(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
@@ -188,6 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long, ok boolean")
 
 
+@released
 def _normalise(batches):
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([normalised(t) for t in b.column("text").to_pylist()], pa.binary())],

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import crc_mod, release
+from storelens.llm.common import crc_mod, release, released
 from storelens.llm.toxicity_net import ToxicityNet, whole_passes, words_of
 
 #: Bound of the training sample, for each class.
@@ -43,7 +43,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
     if not chosen:
         return [], np.zeros(0), np.zeros(0)
     spark = docs.sparkSession
-    picked = spark.createDataFrame(list(chosen.items()), "c_id long, y int")  # bounded by the sample's size
+    # bounded by the sample's size; an Arrow table, as a list of rows would start Python workers of another kind
+    picked = spark.createDataFrame(pa.table({"c_id": pa.array(list(chosen), pa.int64())}))
     own = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text"))
     texts = own.join(F.broadcast(picked), F.col("d_id") == F.col("c_id")).select("c_id", "d_text").dropDuplicates(["c_id"]).collect()
     texts.sort(key=lambda r: (hash_of(r[0]), r[0]))
@@ -106,11 +107,11 @@ def score(docs: DataFrame, net: ToxicityNet, id_col: str = "doc_id", text_col: s
     sent = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the tables of the network
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    @released
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(sent.value, b.column("text")))],
                                              ["doc_id", "score"])
-        release()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -119,13 +120,13 @@ def without_toxic(docs: DataFrame, net: ToxicityNet, text_col: str = "text", lim
     """The rows of ``docs`` that score below ``limit``; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
+    @released
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
                 yield part.filter(pa.array(_scores(sent.value, part.column(at)) < limit))
-        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -85,3 +85,46 @@ def test_planted_cases(spark, tmp_path):
     assert set(got) == {d for d, _ in clean} | {102, 103}
     assert passage in got[102] and passage[:100] not in got[103]
     assert all(got[d] == t for d, t in clean)
+
+
+def test_stages_take_texts_in_batches_of_bounded_bytes(spark):
+    """An executor holds a batch on both sides of the pipe: its bytes are bounded, unless the session has a bound of its own."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text"))
+    stage = corpus_pipeline._stage(lambda _spark, rows, _dir: rows.mapInArrow(seen, "size long, n long"))
+    try:
+        spark.conf.unset(key)
+        made = stage(spark, docs, "").collect()
+        assert max(r["size"] for r in made) < (1 << 20) + 2000
+        assert sum(r["n"] for r in made) == 4000
+        spark.conf.set(key, "2m")
+        made = stage(spark, docs, "").collect()
+        assert 1 << 20 < max(r["size"] for r in made) < (2 << 20) + 2000
+    finally:
+        spark.conf.unset(key)
+
+
+def test_the_training_sample_starts_no_other_python_workers(spark, monkeypatch):
+    """Rows given as a list would go through Python workers of a kind of their own, which stay beside the others."""
+    from pyspark import SparkContext
+    from pyspark.sql import functions as F
+
+    from storelens.llm.toxicity import training_sample
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+
+    def never(*_a, **_k):
+        raise AssertionError("a list of rows was dealt out through Python workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", never)
+    texts, target, weight = training_sample(docs, labels, F.lit(True), per_class=15)
+    assert len(texts) == 30 and target.sum() == 15 and set(weight.tolist()) == {20 / 15}
+    assert all(int(t.split()[1]) % 2 == y for t, y in zip(texts, target))
