@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import n_groups, released
 from storelens.llm.order_minhash import normalised
-from storelens.llm.wordhash import U64, blocks, shingle_hashes, word_hashes
+from storelens.llm.wordhash import FEW_BYTES, U64, blocks, shingle_hashes, word_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -101,7 +101,7 @@ class ItemIndex:
         """(text number, item number, item's shingles, shared shingles) of verified finds."""
         out = []
         need = int(round(threshold * 1_000_000))
-        for lo, hi in blocks(texts):
+        for lo, hi in blocks(texts, FEW_BYTES):
             words, owner, _, _ = word_hashes(texts[lo:hi])
             hashes = shingle_hashes(words, SHINGLE)
             inside = owner[:len(hashes)] == owner[SHINGLE - 1:] if len(hashes) else np.zeros(0, dtype=bool)

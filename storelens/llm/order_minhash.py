@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import checkpointed, release, released, written_in_few
 from storelens.llm.components import components
-from storelens.llm.wordhash import U64, blocks, mix, shingle_hashes, word_hashes
+from storelens.llm.wordhash import FEW_BYTES, U64, blocks, mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -100,7 +100,7 @@ def bucket_keys(shingles: np.ndarray) -> np.ndarray:
 def shingles_of(texts: list[bytes]) -> list[np.ndarray]:
     """The labelled shingles of each normalised text, a bounded amount of text at a time."""
     out = []
-    for lo, hi in blocks(texts):
+    for lo, hi in blocks(texts, FEW_BYTES):
         hashes, owner, _, _ = word_hashes(texts[lo:hi])
         cut = np.searchsorted(owner, np.arange(hi - lo + 1))
         out += [labelled_shingles(hashes[a:z]) if z > a else np.zeros(0, dtype=np.uint64) for a, z in zip(cut, cut[1:])]

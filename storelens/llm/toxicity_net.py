@@ -16,6 +16,8 @@ DIM, HIDDEN, ATTENTION = 16, 8, 8
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 15
 SHARPNESS = 3.0
+#: words whose grams' vectors are gathered at once
+WORDS_AT_ONCE = 1 << 11
 #: texts of the sample that a word or gram must occur in to have a vector
 MIN_TEXTS = 5
 
@@ -107,7 +109,11 @@ class ToxicityNet:
 
     # -- forward
     def _inputs(self, b: Batch) -> np.ndarray:
-        chars = _sums(self.p["gram"][b.gram], b.whose, len(b.row)) / b.n_grams[:, None] if len(b.row) else np.zeros((0, DIM), np.float32)
+        chars = np.zeros((len(b.row), DIM), np.float32)
+        for a in range(0, len(b.row), WORDS_AT_ONCE):  # a vector per gram is the largest table of all
+            z = min(a + WORDS_AT_ONCE, len(b.row))
+            lo, hi = np.searchsorted(b.whose, (a, z))
+            chars[a:z] = _sums(self.p["gram"][b.gram[lo:hi]], b.whose[lo:hi] - a, z - a) / b.n_grams[a:z, None]
         return self.p["word"][b.row] + chars
 
     def _run(self, d: str, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool):

@@ -128,3 +128,32 @@ def test_the_training_sample_starts_no_other_python_workers(spark, monkeypatch):
     texts, target, weight = training_sample(docs, labels, F.lit(True), per_class=15)
     assert len(texts) == 30 and target.sum() == 15 and set(weight.tolist()) == {20 / 15}
     assert all(int(t.split()[1]) % 2 == y for t, y in zip(texts, target))
+
+
+def test_a_task_hashes_few_texts_at_once():
+    """Signatures, the search for items and the network's inputs take little memory besides the texts, however many there are."""
+    import random
+    import tracemalloc
+
+    from storelens.llm.decontamination import ItemIndex
+    from storelens.llm.order_minhash import shingles_of
+    from storelens.llm.toxicity_net import Batch, ToxicityNet
+
+    r = random.Random(7)
+    texts = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(10 ** 6)}" for _ in range(400)).encode() for _ in range(500)]  # 1.6 MB
+    index, net = ItemIndex.build([(1, texts[3])]), ToxicityNet()
+    net.logits(texts[:1])
+    batch = Batch(texts[:150])
+
+    def taken(work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert [t for t, *_ in index.search(texts, 0.8)] == [3]
+    assert taken(lambda: shingles_of(texts)) < 24 << 20
+    assert taken(lambda: index.search(texts, 0.8)) < 24 << 20
+    assert taken(lambda: net._inputs(batch)) < 16 << 20
