@@ -11,7 +11,6 @@ merges ``k`` candidates per index block and query.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,9 +28,15 @@ ROUND = 6
 BLOCK_BYTES = 16 << 20
 TILE_QUERIES = 256
 TILE_ROWS = 4096
-# Sketches of buckets are compared in tiles of so many.
+# Rows of buckets are compared in tiles of at most so many pairs.
 QUERY_STEP = 256
 INDEX_STEP = 2048
+# Queries are held against buckets in parts of so many pairs, and against buckets that may hold rows or not in parts of so many.
+LOOK_CELLS = 1 << 23
+PROBE_CELLS = 1 << 20
+# Index rows, as doubles, that tell a query beforehand how near its neighbours must be, and how many of them it looks at for each neighbour.
+SEED_BYTES = 1 << 20
+SEED_NEAR = 8
 # Query vectors, as doubles, that may travel to every index partition.
 FEW_BYTES = 8 << 20
 # Pairs whose exact distance is worked out at once (two copies of 64 dims: 64 MiB).
@@ -96,13 +101,13 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _sides(qm: np.ndarray, xm: np.ndarray, metric: str):
+def _sides(qm: np.ndarray, xm: np.ndarray, metric: str, dtype=np.float64):
     """Two matrices and a number per query whose product and sum bound the exact distance from below, and
     the numbers per query and row that, added, bound it from above.
 
     Rounding grows with the squared norms (for cosine they are 1) and the number of dimensions.
     """
-    eps = 8 * (qm.shape[1] + 4) * np.finfo(np.float64).eps
+    eps = 8 * (qm.shape[1] + 4) * np.finfo(dtype).eps
     q, x = (qm * qm).sum(1), (xm * xm).sum(1)
     if metric == "cosine":  # a zero vector stays one: it is as far as an orthogonal one
         qm, xm = (m / np.sqrt(np.where(n > 0, n, 1))[:, None] for m, n in ((qm, q), (xm, x)))
@@ -110,7 +115,7 @@ def _sides(qm: np.ndarray, xm: np.ndarray, metric: str):
     base, slope = {"l2": (1.0, -2.0), "dot": (0.0, -1.0), "cosine": (0.5, -1.0)}[metric]
     left = np.concatenate([slope * qm, np.ones((len(qm), 1))], axis=1)
     right = np.concatenate([xm, ((base - eps) * x)[:, None]], axis=1)
-    return left, np.ascontiguousarray(right.T), (base - eps) * q, 2 * eps * q, 2 * eps * x
+    return left.astype(dtype, copy=False), np.ascontiguousarray(right.T, dtype=dtype), (base - eps) * q, 2 * eps * q, 2 * eps * x
 
 
 def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
@@ -310,7 +315,7 @@ def sketch_planes(dim: int, words: int = SKETCH_WORDS, seed: int = SEED) -> np.n
 
 
 def _project(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    return np.round(np.einsum("nd,...pd->n...p", m, planes), PLACES)
+    return np.round((m @ planes.reshape(-1, planes.shape[-1]).T).reshape(len(m), *planes.shape[:-1]), PLACES)
 
 
 def _codes(projected: np.ndarray) -> np.ndarray:
@@ -322,17 +327,28 @@ def _sketches(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return _codes(_project(m, planes.reshape(-1, 64, planes.shape[-1])))
 
 
+def _probed(margins: np.ndarray, limit: float):
+    """For every row of ``margins`` all sets of planes (as bits) whose squared margins add up to at most ``limit``,
+    the empty set included, as (row, set) pairs."""
+    order = np.argsort(margins, axis=1)
+    squares, bits = np.take_along_axis(margins, order, 1) ** 2, np.uint64(1) << order.astype(np.uint64)
+    rows, masks, costs = np.arange(len(margins)), np.zeros(len(margins), dtype=np.uint64), np.zeros(len(margins))
+    found = []
+    for j in range(margins.shape[1]):
+        more = costs + squares[rows, j]
+        reach = more <= limit + 10.0 ** -PLACES
+        # a set that this plane puts out of reach stays as it is: all planes to come are further off
+        found.append((rows[~reach], masks[~reach], costs[~reach]))
+        rows, masks, costs, more = rows[reach], masks[reach], costs[reach], more[reach]
+        rows, masks, costs = np.tile(rows, 2), np.concatenate([masks, masks | bits[rows, j]]), np.concatenate([costs, more])
+    rows, masks, costs = (np.concatenate(c) for c in zip(*found, (rows, masks, costs)))
+    keep = (np.round(costs, PLACES) <= limit) | (masks == 0)
+    return rows[keep], masks[keep]
+
+
 def _probes(margins: np.ndarray, limit: float) -> np.ndarray:
     """All sets of planes (as bits) whose squared margins add up to at most ``limit``, the empty set included."""
-    masks, costs = np.zeros(1, dtype=np.uint64), np.zeros(1)
-    for i in np.argsort(margins):
-        more = costs + margins[i] ** 2
-        reach = more <= limit + 10.0 ** -PLACES
-        if not reach.any():
-            break
-        masks = np.concatenate([masks, masks[reach] | np.uint64(1 << int(i))])
-        costs = np.concatenate([costs, more[reach]])
-    return masks[(np.round(costs, PLACES) <= limit) | (masks == 0)]
+    return _probed(margins[None], limit)[1]
 
 
 def search_limits(index: DataFrame, planes: np.ndarray, sketch: np.ndarray, k: int, recall: float, id_col: str, vec_col: str,
@@ -371,24 +387,116 @@ def _group_of(tables: np.ndarray, buckets: np.ndarray, groups: int) -> np.ndarra
     return ((mixed >> np.uint64(31)) % np.uint64(groups)).astype(np.int32)
 
 
-def _candidates(qcodes: np.ndarray, qm: np.ndarray, qs: np.ndarray, xcodes: np.ndarray, xm: np.ndarray, xs: np.ndarray, gap: int):
+def _looked_into(qm: np.ndarray, planes: np.ndarray, buckets: np.ndarray, reach: float) -> np.ndarray:
+    """Whether each bucket (a row; table and code) lies within ``reach`` of each query (a column), as ``_probes`` tells."""
+    out = np.zeros((len(buckets), len(qm)), dtype=bool)
+    tables, codes = buckets >> np.uint64(MAX_PLANES), buckets & np.uint64((1 << MAX_PLANES) - 1)
+    for t in np.unique(tables):
+        at, own = np.flatnonzero(tables == t), _project(qm, planes[int(t)])
+        squares, sign = own ** 2, own >= 0
+        bits = (codes[at][:, None] >> np.arange(own.shape[1], dtype=np.uint64) & np.uint64(1)).astype(bool)
+        costs = np.concatenate([bits, ~bits], axis=1).astype(np.float64) @ np.concatenate([squares * ~sign, squares * sign], axis=1).T
+        out[at] = (np.round(costs, PLACES) <= reach) | (codes[at][:, None] == _codes(own)[None, :])
+    return out
+
+
+def _candidates(qcodes: np.ndarray, qm: np.ndarray, qs: np.ndarray, xcodes: np.ndarray, xm: np.ndarray, xs: np.ndarray, gap: int,
+                limit: np.ndarray | None = None):
     """Pairs (query, index row) that meet in a bucket and whose sketches differ in at most ``gap`` signs, a tile at a time.
 
-    ``qcodes`` are (query, bucket) pairs as two rows."""
+    ``qcodes`` are (query, bucket) pairs as two rows.  With ``limit``, a squared distance for each query that the
+    caller may lower after every tile, pairs further apart by a bound from below are left out; their sketches are not compared."""
     order, qorder = np.argsort(xcodes, kind="stable"), np.argsort(qcodes[1], kind="stable")
     sorted_x, sorted_q = xcodes[order], qcodes[1][qorder]
+    xs, bounds = xs[order], []
+    if limit is not None:
+        norms = max(((m * m).sum(1).max(initial=0.0) for m in (qm, xm)))
+        # single precision first; double where its wider error rules out too few
+        for dtype in ([np.float32] if norms < 1e30 else []) + [np.float64]:
+            left, right, low, *_ = _sides(qm, xm, "l2", dtype)
+            bounds.append((left, np.ascontiguousarray(right.T[order]), low, np.empty(QUERY_STEP * INDEX_STEP, dtype=dtype)))
     for code in np.intersect1d(sorted_q, sorted_x):
-        x = order[np.searchsorted(sorted_x, code):np.searchsorted(sorted_x, code, "right")]
+        lo, hi = np.searchsorted(sorted_x, code), np.searchsorted(sorted_x, code, "right")
         q = qcodes[0][qorder[np.searchsorted(sorted_q, code):np.searchsorted(sorted_q, code, "right")]].astype(np.int64)
-        for a in range(0, len(q), QUERY_STEP):
-            for c in range(0, len(x), INDEX_STEP):
-                qa, xc = q[a:a + QUERY_STEP], x[c:c + INDEX_STEP]
-                apart = np.zeros((len(qa), len(xc)), dtype=np.uint8 if 64 * qs.shape[1] < 256 else np.uint16)
-                for w in range(qs.shape[1]):
-                    apart += np.bitwise_count(qs[qa, w][:, None] ^ xs[xc, w][None, :])
-                i, j = np.nonzero(apart <= gap)
+        step = QUERY_STEP * INDEX_STEP // min(hi - lo, INDEX_STEP)
+        for a in range(0, len(q), step):
+            qa = q[a:a + step]
+            for c in range(lo, hi, INDEX_STEP):
+                end = min(c + INDEX_STEP, hi)
+                met, few = np.ones((len(qa), end - c), dtype=bool), False
+                for left, right, low, space in bounds:
+                    most = np.nextafter((limit[qa] - low[qa]).astype(left.dtype), left.dtype.type(np.inf))
+                    apart = np.matmul(left[qa], right[c:end].T, out=space[:met.size].reshape(met.shape))
+                    met &= ~(apart > most[:, None])
+                    few = np.count_nonzero(met) * 16 < met.size
+                    if few:
+                        break
+                if not few:
+                    met &= _apart(qs[qa][:, None], xs[None, c:end]) <= gap
+                i, j = np.divmod(np.flatnonzero(met), met.shape[1])
+                if few:
+                    close = _apart(qs[qa[i]], xs[c + j]) <= gap
+                    i, j = i[close], j[close]
                 if len(i):
-                    yield qa[i], xc[j]
+                    yield qa[i], order[c + j]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Signs in which sketches differ; the words are the last axis."""
+    out = 0
+    for w in range(a.shape[-1]):
+        out = out + np.bitwise_count(a[..., w] ^ b[..., w]).astype(np.uint8 if 64 * a.shape[-1] < 256 else np.uint16, copy=False)
+    return out
+
+
+class _Best:
+    """The k nearest distinct ids found so far for each of ``n`` queries."""
+
+    def __init__(self, n: int, k: int, limit: np.ndarray):
+        self.k, self.held, self.ids, self.d = k, np.zeros(n, dtype=np.int64), np.zeros((n, k), dtype=np.int64), np.zeros((n, k))
+        self.limit = limit  # no neighbour of a query is further away; rounding moves either side by half a unit
+
+    def may(self, qi: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether rows may be among the k, whatever their distance: not after k smaller ids at distance 0."""
+        return (self.held[qi] < self.k) | (self.d[qi, -1] != 0) | (ids < self.ids[qi, -1])
+
+    def add(self, qi: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        """Takes in more rows, in any order; only queries that one of them may be among the k of are gone through."""
+        last, last_id = self.d[qi, -1], self.ids[qi, -1]
+        may = ~((self.held[qi] == self.k) & ((d > last) | (d == last) & (ids >= last_id)))
+        qi, ids, d = qi[may], ids[may], d[may]
+        who, qi = np.unique(qi, return_inverse=True)
+        old, rank = np.nonzero(np.arange(self.k) < self.held[who][:, None])
+        qi, ids, d = _topk_rows(*_distinct(np.concatenate([old, qi]), np.concatenate([self.ids[who[old], rank], ids]),
+                                           np.concatenate([self.d[who[old], rank], d])), self.k)
+        held = np.bincount(qi, minlength=len(who))
+        rank = np.arange(len(qi)) - np.repeat(np.cumsum(held) - held, held)
+        self.held[who], self.ids[who[qi], rank], self.d[who[qi], rank] = held, ids, d
+        full = who[held == self.k]
+        self.limit[full] = np.fmin(self.limit[full], self.d[full, -1] + 10.0 ** -ROUND)
+
+    def rows(self):
+        qi, rank = np.nonzero(np.arange(self.k) < self.held[:, None])
+        return qi, self.ids[qi, rank], self.d[qi, rank]
+
+
+def _seed_limits(qm: np.ndarray, qs: np.ndarray, projected: np.ndarray, seeds: tuple, reach: float, gap: int, k: int) -> np.ndarray:
+    """A distance for each query that its k-th neighbour does not exceed, from what it would find among a few
+    index rows (ids, vectors, sketches, projections); infinite if it would not find k."""
+    ids, xm, xs, at = seeds
+    best = _Best(len(qm), k, np.full(len(qm), np.inf))
+    most = min(SEED_NEAR * k, len(ids))
+    step = max(1, min(QUERY_STEP, PAIR_STEP // 8 // max(1, most)))
+    for a in range(0, len(qm) if most else 0, step):
+        near = np.argpartition((xm * xm).sum(1) - 2 * qm[a:a + step] @ xm.T, most - 1, axis=1)[:, :most]
+        qi, xi = np.repeat(np.arange(a, a + len(near)), most), near.reshape(-1)
+        close = _apart(qs[qi], xs[xi]) <= gap
+        qi, xi = qi[close], xi[close]
+        own = projected[qi]
+        meet = np.round((((own >= 0) != (at[xi] >= 0)) * own ** 2).sum(-1), PLACES).min(-1) <= reach
+        qi, xi = qi[meet], xi[meet]
+        best.add(qi, ids[xi], np.round(_exact(qm[qi], xm[xi], "l2"), ROUND))
+    return best.limit
 
 
 def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
@@ -401,6 +509,7 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
     log2(rows / ``bucket_rows``) planes, so buckets stay about ``bucket_rows`` rows however
     large the index is.  A query looks into every bucket that it could reach by crossing planes
     whose squared distances add up to at most a limit; rows met so are compared exactly if
+    they may be among its k nearest (by one product of a bucket and the queries that look into it) and
     their sketches (signs on further planes) differ in few enough places.  Both limits
     come from ``search_limits``, so the share of true neighbours found stays at
     ``recall`` as planes are added; an index of one bucket per table is searched whole.
@@ -427,77 +536,99 @@ def nearest_approx(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_
     reach, gap = search_limits(x, planes, sketch, k, recall, "__id", "__v") if n_planes else (0.0, 64 * SKETCH_WORDS)
     groups = max(1, -(-n * n_tables // target_group))
     table = np.arange(n_tables, dtype=np.uint64)
-
-    def matrix(column) -> np.ndarray:
-        return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
-
-    def words(column, m, who) -> list:
-        return [pa.array(w[who].view(np.int64)) for w in _sketches(m, sketch).T]
+    n_seeds = SEED_BYTES // (8 * max(1, len(first[0]))) if n_planes else 0
+    held = x.orderBy(F.xxhash64("__id", "__v")).limit(n_seeds).collect() if n_seeds else []
+    seed_m = np.array([r[1] for r in held], dtype=np.float64).reshape(len(held), -1 if held else len(first[0]))
+    seeds = (np.array([r[0] for r in held], dtype=np.int64), seed_m, _sketches(seed_m, sketch), _project(seed_m, planes))
+
+    def index_groups(m) -> tuple:
+        t, codes = np.tile(table, len(m)), _codes(_project(m, planes)).reshape(-1)
+        return codes | t << np.uint64(MAX_PLANES), _group_of(t, codes, groups)
+
+    def query_groups(projected) -> tuple:
+        who, into = [], []
+        step = max(1, PROBE_CELLS // (n_tables << n_planes))
+        for a in range(0, len(projected), step):
+            part = projected[a:a + step]
+            row, masks = _probed(np.abs(part).reshape(len(part) * n_tables, n_planes), reach)
+            hit = np.zeros((len(part), groups), dtype=bool)
+            hit[row // n_tables, _group_of(table[row % n_tables], masks ^ _codes(part).reshape(-1)[row], groups)] = True
+            i, g = np.nonzero(hit)
+            who.append(a + i)
+            into.append(g)
+        return np.concatenate(who), np.concatenate(into).astype(np.int32)
+
+    def counted(groups_of):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    g, n = np.unique(groups_of(_matrix(b.column(0))), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["__g", "__n"])
+        return run
+
+    def sent(b, who, words, more) -> pa.RecordBatch:
+        who = pa.array(who)
+        return pa.RecordBatch.from_arrays([c.take(who) for c in (b.column(0), b.column(1), *(pa.array(w) for w in words.view(np.int64).T))]
+                                          + [pa.array(c) for c in more.values()], [*b.schema.names, *sketch_cols, *more])
 
     def index_buckets(batches):
         for b in batches:
-            m = matrix(b.column(1))
-            who = np.repeat(np.arange(b.num_rows), n_tables)
-            codes = _codes(_project(m, planes)).reshape(-1)
-            t = np.tile(table, b.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), *words(b.column(1), m, who),
-                 pa.array((codes | t << np.uint64(MAX_PLANES)).view(np.int64)), pa.array(_group_of(t, codes, groups))], [*b.schema.names, *sketch_cols, "__b", "__g"])
+            if b.num_rows:
+                m = _matrix(b.column(1))
+                codes, into = index_groups(m)
+                yield sent(b, np.repeat(np.arange(len(m)), n_tables), _sketches(m, sketch), {"__b": codes.view(np.int64), "__g": into})
 
     def query_buckets(batches):
         for b in batches:
-            m = matrix(b.column(1))
-            projected = _project(m, planes)
-            own, who, into, lists = _codes(projected), [], [], []
-            for row in range(b.num_rows):
-                found = [_probes(np.abs(projected[row, t]), reach) ^ own[row, t] for t in range(n_tables)]
-                t = np.repeat(table, [len(f) for f in found])
-                codes = np.concatenate(found)
-                to = _group_of(t, codes, groups)
-                order = np.argsort(to, kind="stable")
-                parts = np.split((codes | t << np.uint64(MAX_PLANES)).view(np.int64)[order], np.flatnonzero(np.diff(to[order])) + 1)
-                who += [row] * len(parts)
-                into.append(np.unique(to))
-                lists += parts
-            who = np.array(who, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), *words(b.column(1), m, who),
-                 pa.array(lists, pa.list_(pa.int64())), pa.array(np.concatenate(into) if into else np.empty(0, np.int32))], [*b.schema.names, *sketch_cols, "__b", "__g"])
+            if b.num_rows:
+                m = _matrix(b.column(1))
+                projected, words = _project(m, planes), _sketches(m, sketch)
+                who, into = query_groups(projected)
+                yield sent(b, who, words, {"__lim": _seed_limits(m, words, projected, seeds, reach, gap, k)[who], "__g": into})
 
     sketch_cols = [f"__s{w}" for w in range(SKETCH_WORDS)]
-    held = ", ".join(f"{c} long" for c in sketch_cols)
-    idx = x.mapInArrow(index_buckets, f"__id long, __v {x.schema['__v'].dataType.simpleString()}, {held}, __b long, __g int")
-    qs = (asked.where(F.col("__qv").isNotNull())
-          .mapInArrow(query_buckets, f"__qid long, __qv {asked.schema['__qv'].dataType.simpleString()}, {held}, __b array<long>, __g int"))
-    # groups above the target are cut; all others are one part on either side
-    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / target_group)).cast("int")
-    cut = (idx.groupBy("__g").agg(F.count(F.lit(1)).alias("__ni"))
-           .join(qs.groupBy("__g").agg(F.count(F.lit(1)).alias("__nq")), "__g")
-           .select("__g", parts("__ni").alias("__si"), parts("__nq").alias("__sq")))
+    words = ", ".join(f"{c} long" for c in sketch_cols)
+    asked_for = asked.where(F.col("__qv").isNotNull() & F.col("__qid").isNotNull())
+    idx = x.mapInArrow(index_buckets, f"__id long, __v {x.schema['__v'].dataType.simpleString()}, {words}, __b long, __g int")
+    qs = asked_for.mapInArrow(query_buckets, f"__qid long, __qv {asked.schema['__qv'].dataType.simpleString()}, {words}, __lim double, __g int")
+    # groups above the target are cut; all others are one part on either side.  Their sizes come from
+    # a pass of its own that sends numbers only: at most a row for each group
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / target_group)).cast("int")
+    cut = F.broadcast(
+        x.select("__v").mapInArrow(counted(lambda m: index_groups(m)[1]), "__g int, __n long").groupBy("__g").agg(parts("__n").alias("__si"))
+        .join(asked_for.select("__qv").mapInArrow(counted(lambda m: query_groups(_project(m, planes))[1]), "__g int, __n long")
+              .groupBy("__g").agg(parts("__n").alias("__sq")), "__g"))
     idx = idx.join(cut, "__g").select(
         "__id", "__v", *sketch_cols, "__b", "__g", F.pmod(F.xxhash64("__id", "__v"), F.col("__si")).cast("int").alias("__is"),
         F.explode(F.sequence(F.lit(0), F.col("__sq") - 1)).alias("__qs"))
     qs = qs.join(cut, "__g").select(
-        "__qid", "__qv", *sketch_cols, "__b", "__g", F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
+        "__qid", "__qv", *sketch_cols, "__lim", "__g", F.pmod(F.xxhash64("__qid", "__qv"), F.col("__sq")).cast("int").alias("__qs"),
         F.explode(F.sequence(F.lit(0), F.col("__si") - 1)).alias("__is"))
 
-    def group_topk(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
-        if len(left) and len(right):
-            qm, xm = (np.stack(f[c].to_numpy()).astype(np.float64) for f, c in ((left, "__qv"), (right, "__v")))
-            qw, xw = (np.stack([f[c].to_numpy(np.int64).view(np.uint64) for c in sketch_cols], axis=1) for f in (left, right))
-            lists = left["__b"].to_numpy()
-            asked_in = np.stack([np.repeat(np.arange(len(left)), [len(b) for b in lists]), np.concatenate(lists)])
-            xid = right["__id"].to_numpy(np.int64)
-            for qi, xi in _candidates(asked_in, qm, qw, right["__b"].to_numpy(np.int64), xm, xw, gap):
-                for a in range(0, len(qi), PAIR_STEP):
-                    q, r = qi[a:a + PAIR_STEP], xi[a:a + PAIR_STEP]
-                    d = np.round(_exact(qm[q], xm[r], "l2"), ROUND)
-                    kept = _topk_rows(*_distinct(*(np.concatenate(c) for c in zip(kept, (q, xid[r], d)))), k)
-        return pd.DataFrame({"query_id": left["__qid"].to_numpy(np.int64)[kept[0]] if len(left) else kept[0], "vec_id": kept[1], "dist": kept[2]})
+    def group_topk(left: pa.Table, right: pa.Table) -> pa.Table:
+        qid, found = np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        if left.num_rows and right.num_rows:
+            qid, xid, codes = (c.to_numpy() for c in (left.column("__qid"), right.column("__id"), right.column("__b")))
+            qm, xm = _matrix(left.column("__qv")), _matrix(right.column("__v"))
+            qw, xw = (np.stack([f.column(c).to_numpy().view(np.uint64) for c in sketch_cols], axis=1) for f in (left, right))
+            best = _Best(len(qm), k, left.column("__lim").to_numpy().copy())
+            buckets = np.unique(codes)
+            step = max(1, LOOK_CELLS // len(buckets))
+            for lo in range(0, len(qm), step):
+                part = slice(lo, lo + step)
+                into, who = np.nonzero(_looked_into(qm[part], planes, buckets.view(np.uint64), reach))
+                asked_in = np.stack([who, buckets[into]])
+                for qi, xi in _candidates(asked_in, qm[part], qw[part], codes, xm, xw, gap, best.limit[part]):
+                    for a in range(0, len(qi), PAIR_STEP):
+                        q, r = lo + qi[a:a + PAIR_STEP], xi[a:a + PAIR_STEP]
+                        may = best.may(q, xid[r])
+                        q, r = q[may], r[may]
+                        best.add(q, xid[r], np.round(_exact(qm[q], xm[r], "l2"), ROUND))
+            found = best.rows()
+        return pa.table({"query_id": pa.array(qid[found[0]], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "dist": pa.array(found[2], pa.float64())})
 
     keys = ["__g", "__is", "__qs"]
-    cand = qs.groupBy(*keys).cogroup(idx.groupBy(*keys)).applyInPandas(group_topk, "query_id long, vec_id long, dist double")
+    cand = qs.groupBy(*keys).cogroup(idx.groupBy(*keys)).applyInArrow(group_topk, "query_id long, vec_id long, dist double")
     # a neighbour found in several groups is one candidate
     cand = cand.groupBy("query_id", "vec_id").agg(F.min("dist").alias("dist"))
     ranked = top_k_per_group(cand, ["query_id"], [F.col("dist"), F.col("vec_id")], k)

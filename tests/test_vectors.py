@@ -239,3 +239,79 @@ def test_sketches_are_compared_in_small_tiles():
     want = {(i, int(j)) for i in range(1500) for j in np.flatnonzero(np.bitwise_count(qs[i] ^ xs).sum(1) <= 70)}
     assert met == want and want
     assert peak < 32 << 20
+
+
+def test_buckets_looked_into_are_those_probed():
+    r = np.random.default_rng(7)
+    planes, reach = V.hyperplanes(6)[:, :5], 0.4
+    qm = r.normal(size=(60, 6))
+    at = V._project(qm, planes)
+    row, masks = V._probed(np.abs(at).reshape(-1, 5), reach)
+    assert all(sorted(masks[row == i].tolist()) == sorted(V._probes(m, reach).tolist()) for i, m in enumerate(np.abs(at).reshape(-1, 5)))
+    own = V._codes(at).reshape(-1)
+    want = {(int(i) // V.N_TABLES, int(i) % V.N_TABLES, int(own[i] ^ m)) for i, m in zip(row, masks)}
+    buckets = (np.arange(32, dtype=np.uint64) | np.arange(V.N_TABLES, dtype=np.uint64)[:, None] << np.uint64(V.MAX_PLANES)).reshape(-1)
+    b, q = np.nonzero(V._looked_into(qm, planes, buckets, reach))
+    assert {(int(i), int(j) // 32, int(j) % 32) for i, j in zip(q, b)} == want and len(want) > 60 * V.N_TABLES
+
+
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (100.0, 1e-3), (0.0, 1e18)])
+def test_far_rows_are_ruled_out_before_their_sketches_are_compared(monkeypatch, shift, scale):
+    """Rows of one bucket; also vectors that single precision can't tell apart or hold."""
+    r = np.random.default_rng(8)
+    qm, xm = (shift + scale * r.normal(size=(n, 16)) for n in (400, 6000))
+    qs, xs = (r.integers(0, 2 ** 63, (n, 3), dtype=np.uint64) for n in (400, 6000))
+    d = ((qm[:, None] - xm[None]) ** 2).sum(-1)
+    limit = np.sort(d, axis=1)[:, 20]
+    compared, inner = [], V._apart
+    monkeypatch.setattr(V, "_apart", lambda a, b: compared.append(np.broadcast(a, b).size // 3) or inner(a, b))
+    asked = np.stack([np.arange(400), np.zeros(400, dtype=np.int64)])
+    met = {(int(a), int(b)) for q, x in V._candidates(asked, qm, qs, np.zeros(6000, dtype=np.int64), xm, xs, 96, limit) for a, b in zip(q, x)}
+    want = {(int(i), int(j)) for i, j in np.argwhere(d <= limit[:, None]) if np.bitwise_count(qs[i] ^ xs[j]).sum() <= 96}
+    assert want <= met and len(met) <= 1.1 * len(want)
+    assert sum(compared) < d.size / 50
+
+
+def test_the_best_so_far_are_distinct_and_lower_the_limit():
+    best = V._Best(3, 2, np.full(3, np.inf))
+    best.add(np.array([2, 0, 2, 2]), np.array([7, 5, 7, 8]), np.array([0.5, 1.0, 0.4, 3.0]))
+    best.add(np.array([2, 0]), np.array([9, 5]), np.array([1.0, 1.0]))
+    assert [c.tolist() for c in best.rows()] == [[0, 2, 2], [5, 7, 9], [1.0, 0.4, 1.0]]
+    assert best.limit[:2].tolist() == [np.inf, np.inf] and abs(best.limit[2] - 1.0) < 1e-5
+    best.add(np.array([2, 2]), np.array([3, 4]), np.zeros(2))
+    assert best.may(np.array([2, 2, 2, 0]), np.array([2, 4, 9, 9])).tolist() == [True, False, False, True]
+
+
+@pytest.mark.parametrize("target_group", [50_000, 700])
+def test_approximate_search_finds_the_nearest_within_its_limits(spark, target_group):
+    """Against the definition: rows met in a bucket of any table and close enough in their sketches."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((1500, 16)), r.standard_normal((20, 16))[r.integers(0, 20, 500)] + 0.01 * r.standard_normal((500, 16))])
+    x = x.astype(np.float32).astype(float)
+    ids = np.r_[np.arange(1900), np.arange(100)]  # some ids come twice, with other vectors
+    index = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    queries = index.where("vec_id % 5 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    planes, sketch = V.hyperplanes(16)[:, :3], V.sketch_planes(16)
+    reach, gap = V.search_limits(index, planes, sketch, 3, V.TARGET_RECALL, "vec_id", "embedding")
+    at, words, want = V._project(x, planes), V._sketches(x, sketch), {}
+    for i in np.flatnonzero(ids % 5 == 0):
+        meet = np.round((((at >= 0) != (at[i] >= 0)) * at[i] ** 2).sum(-1), V.PLACES).min(-1) <= reach
+        near = np.flatnonzero(meet & (np.bitwise_count(words ^ words[i]).sum(-1) <= gap))
+        for d, j in zip(np.round(((x[near] - x[i]) ** 2).sum(1), V.ROUND), ids[near]):
+            found = want.setdefault(int(ids[i]), {})
+            found[int(j)] = min(d, found.get(int(j), np.inf))
+    want = sorted((q, j) for q, found in want.items() for j in sorted(found, key=lambda j: (found[j], j))[:3])
+    assert rows(V.nearest_approx(index, queries, k=3, target_group=target_group), "query_id", "vec_id") == want
+
+
+def test_approximate_search_shuffles_vectors_once(spark):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    plan = V.nearest_approx(e, e.selectExpr("vec_id AS query_id", "embedding AS vector"))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow [__g" in plan and "BroadcastHashJoin [__g" in plan and "array<bigint>" not in plan
+
+
+def test_approximate_search_keeps_a_query_without_an_id(spark):
+    index = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (None, [2.0, 1.0])], "query_id long, vector array<double>")
+    got = {(r.query_id, r.vec_id, r.rank, r.short) for r in V.nearest_approx(index, q, k=1, bucket_rows=2).collect()}
+    assert got == {(1, 1, 1, False), (None, None, None, True)}
