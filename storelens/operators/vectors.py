@@ -10,6 +10,8 @@ merges ``k`` candidates per index block and query.
 
 from __future__ import annotations
 
+from functools import cache, partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +43,8 @@ SEED_NEAR = 8
 FEW_BYTES = 8 << 20
 # Pairs whose exact distance is worked out at once (two copies of 64 dims: 64 MiB).
 PAIR_STEP = 1 << 16
+# Rows left of a tile are few if they are less than one in so many.
+FEW = 16
 # Below this many rows per block a table is not cut further just to use more cores.
 MIN_BLOCK_ROWS = 256
 CONTEXT_SEPARATOR = "\n\n...\n\n"  # fixed value: appended after every hit
@@ -118,6 +122,18 @@ def _sides(qm: np.ndarray, xm: np.ndarray, metric: str, dtype=np.float64):
     return left.astype(dtype, copy=False), np.ascontiguousarray(right.T, dtype=dtype), (base - eps) * q, 2 * eps * q, 2 * eps * x
 
 
+def _upward(m: np.ndarray, dtype) -> np.ndarray:
+    """Numbers of ``dtype`` that are no less than those given."""
+    return np.nextafter(m.astype(dtype), np.array(np.inf, dtype=dtype))
+
+
+def _bounds(qm: np.ndarray, xm: np.ndarray, metric: str) -> list:
+    """Functions for ``_sides`` in single precision, if it holds the vectors, and in double, for where the wider
+    error of the former rules out too few rows.  Each works once, when it is first called."""
+    norms = max((m * m).sum(1).max(initial=0.0) for m in (qm, xm))
+    return [cache(partial(_sides, qm, xm, metric, dtype)) for dtype in ([np.float32] if norms < 1e30 else []) + [np.float64]]
+
+
 def _exact(qm: np.ndarray, xm: np.ndarray, metric: str) -> np.ndarray:
     """Row-wise distance of paired rows, summed in index order like SQL does."""
     if metric == "l2":
@@ -160,20 +176,25 @@ def _pair_topk(qids: np.ndarray, qm: np.ndarray, xid: np.ndarray, xm: np.ndarray
     A tile of queries goes over all rows with its k best so far; what the k-th of them rules
     out by a bound from below is not looked at closer."""
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
-    left, right, q_low, q_up, x_up = _sides(qm, xm, metric)
-    space = np.empty(TILE_QUERIES * TILE_ROWS)
+    bounds, space = _bounds(qm, xm, metric), np.empty(TILE_QUERIES * TILE_ROWS)
     for lo in range(0, len(qm), TILE_QUERIES):
         qs = qm[lo:lo + TILE_QUERIES]
         kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
         limit = np.full(len(qs), np.inf)  # the k-th distance is at most this; rounding moves either side by half a unit
         for xlo in range(0, len(xm), TILE_ROWS):
-            part = right[:, xlo:xlo + TILE_ROWS]
-            low = np.matmul(left[lo:lo + TILE_QUERIES], part, out=space[:len(qs) * part.shape[1]].reshape(len(qs), -1))
-            if part.shape[1] >= k and np.isinf(limit).any():
-                up = low + x_up[xlo:xlo + TILE_ROWS]
-                up.partition(k - 1, axis=1)
-                limit = np.fmin(limit, up[:, k - 1] + (q_low + q_up)[lo:lo + TILE_QUERIES] + 10.0 ** -ROUND)
-            qi, xi = np.nonzero(low <= (limit - q_low[lo:lo + TILE_QUERIES])[:, None])
+            for sides in bounds:
+                left, right, q_low, q_up, x_up = sides()
+                part = right[:, xlo:xlo + TILE_ROWS]
+                low = np.matmul(left[lo:lo + TILE_QUERIES], part,
+                                out=space.view(part.dtype)[:len(qs) * part.shape[1]].reshape(len(qs), -1))
+                if part.shape[1] >= k and np.isinf(limit).any():
+                    up = low + x_up[xlo:xlo + TILE_ROWS]
+                    up.partition(k - 1, axis=1)
+                    limit = np.fmin(limit, up[:, k - 1] + (q_low + q_up)[lo:lo + TILE_QUERIES] + 10.0 ** -ROUND)
+                near = low <= _upward(limit - q_low[lo:lo + TILE_QUERIES], part.dtype)[:, None]
+                if np.count_nonzero(near) * FEW < near.size:
+                    break
+            qi, xi = np.divmod(np.flatnonzero(near), near.shape[1])
             # ties and wide error bounds can select a whole tile: worked off in
             # slices of a fixed number of pairs, keeping k rows per query
             for a in range(0, len(qi), PAIR_STEP):
@@ -408,13 +429,8 @@ def _candidates(qcodes: np.ndarray, qm: np.ndarray, qs: np.ndarray, xcodes: np.n
     caller may lower after every tile, pairs further apart by a bound from below are left out; their sketches are not compared."""
     order, qorder = np.argsort(xcodes, kind="stable"), np.argsort(qcodes[1], kind="stable")
     sorted_x, sorted_q = xcodes[order], qcodes[1][qorder]
-    xs, bounds = xs[order], []
-    if limit is not None:
-        norms = max(((m * m).sum(1).max(initial=0.0) for m in (qm, xm)))
-        # single precision first; double where its wider error rules out too few
-        for dtype in ([np.float32] if norms < 1e30 else []) + [np.float64]:
-            left, right, low, *_ = _sides(qm, xm, "l2", dtype)
-            bounds.append((left, np.ascontiguousarray(right.T[order]), low, np.empty(QUERY_STEP * INDEX_STEP, dtype=dtype)))
+    xs, bounds = xs[order], [] if limit is None else _bounds(qm, xm[order], "l2")
+    space = np.empty(QUERY_STEP * INDEX_STEP if bounds else 0)
     for code in np.intersect1d(sorted_q, sorted_x):
         lo, hi = np.searchsorted(sorted_x, code), np.searchsorted(sorted_x, code, "right")
         q = qcodes[0][qorder[np.searchsorted(sorted_q, code):np.searchsorted(sorted_q, code, "right")]].astype(np.int64)
@@ -424,11 +440,11 @@ def _candidates(qcodes: np.ndarray, qm: np.ndarray, qs: np.ndarray, xcodes: np.n
             for c in range(lo, hi, INDEX_STEP):
                 end = min(c + INDEX_STEP, hi)
                 met, few = np.ones((len(qa), end - c), dtype=bool), False
-                for left, right, low, space in bounds:
-                    most = np.nextafter((limit[qa] - low[qa]).astype(left.dtype), left.dtype.type(np.inf))
-                    apart = np.matmul(left[qa], right[c:end].T, out=space[:met.size].reshape(met.shape))
-                    met &= ~(apart > most[:, None])
-                    few = np.count_nonzero(met) * 16 < met.size
+                for sides in bounds:
+                    left, right, q_low, *_ = sides()
+                    low = np.matmul(left[qa], right[:, c:end], out=space.view(left.dtype)[:met.size].reshape(met.shape))
+                    met &= ~(low > _upward(limit[qa] - q_low[qa], left.dtype)[:, None])
+                    few = np.count_nonzero(met) * FEW < met.size
                     if few:
                         break
                 if not few:

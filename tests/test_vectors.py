@@ -315,3 +315,16 @@ def test_approximate_search_keeps_a_query_without_an_id(spark):
     q = spark.createDataFrame([(1, [1.0, 1.0]), (None, [2.0, 1.0])], "query_id long, vector array<double>")
     got = {(r.query_id, r.vec_id, r.rank, r.short) for r in V.nearest_approx(index, q, k=1, bucket_rows=2).collect()}
     assert got == {(1, 1, 1, False), (None, None, None, True)}
+
+
+@pytest.mark.parametrize("shift, scale, used", [(0.0, 1.0, {np.float32}), (100.0, 1e-2, {np.float32, np.float64}), (0.0, 1e18, {np.float64})])
+def test_exact_search_bounds_in_single_precision_where_it_can(monkeypatch, shift, scale, used):
+    r = np.random.default_rng(10)
+    qm, xm = (shift + scale * r.normal(size=(n, 16)) for n in (300, 5000))
+    d = np.round(np.stack([V._exact(np.broadcast_to(q, xm.shape), xm, "l2") for q in qm]), V.ROUND)
+    want = [np.lexsort((np.arange(5000), row))[:3].tolist() for row in d]
+    seen, inner = set(), V._sides
+    monkeypatch.setattr(V, "_sides", lambda a, b, metric, dtype: seen.add(dtype) or inner(a, b, metric, dtype))
+    q, ids, _ = V._pair_topk(np.arange(300), qm, np.arange(5000), xm, 3, "l2")
+    assert ids.reshape(300, 3).tolist() == want and q.tolist() == np.repeat(np.arange(300), 3).tolist()
+    assert seen == used
